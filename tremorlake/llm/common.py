@@ -14,6 +14,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 CHUNK = 512
 
 
+def split_words(text: str) -> list[str]:
+    """Words of ``[^\\x20\\x09-\\x0D]+``: bytes split at ASCII white space, and at nothing else."""
+    parts = text.encode("utf-8", "surrogatepass").split()
+    return b"\n".join(parts).decode("utf-8", "surrogatepass").split("\n")[: len(parts)]
+
+
 def arrow_map(df: DataFrame, schema: str, make: Callable[[], Callable[..., dict]]) -> DataFrame:
     """Map ``df`` by chunks of rows: ``make()`` runs once a task and gives a function from
     column lists (by keyword) to the lists of the result's columns."""
@@ -31,10 +37,10 @@ def arrow_map(df: DataFrame, schema: str, make: Callable[[], Callable[..., dict]
     return df.mapInArrow(run, schema)
 
 
-def arrow_keep(df: DataFrame, text: str, make: Callable[[], Callable[[list], list]]) -> DataFrame:
-    """The rows of ``df``, all columns as they are, for which ``make()(texts)`` is true.
-    Columns are taken by position, so extra or repeated names do no harm."""
-    at_col = df.columns.index(text)
+def arrow_keep(df: DataFrame, cols: list[str | None], make: Callable[[], Callable[..., list]]) -> DataFrame:
+    """The rows of ``df``, all columns as they are, for which ``make()`` is true of the columns named
+    (a list of nulls for None). Columns are taken by position, so extra names do no harm."""
+    places = [c and df.columns.index(c) for c in cols]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = None
@@ -42,7 +48,8 @@ def arrow_keep(df: DataFrame, text: str, make: Callable[[], Callable[[list], lis
             f = f or make()
             for at in range(0, batch.num_rows, CHUNK):
                 part = batch.slice(at, CHUNK)
-                yield part.filter(pa.array(f(part.column(at_col).to_pylist()), pa.bool_()))
+                given = [[None] * part.num_rows if i is None else part.column(i).to_pylist() for i in places]
+                yield part.filter(pa.array(f(*given), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 
@@ -55,7 +62,3 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", "/tmp/checkpoints"))
     return df.checkpoint()
-
-
-def by_id(df: DataFrame, *cols: str) -> DataFrame:
-    return df.select(*(F.col(c) for c in cols))

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from tremorlake.llm import bpe, licenses, sharding
+from tremorlake.llm import bpe, fertility, licenses, pii, sharding
 from tremorlake.sources.tables import table
 
 #: Folder of the public vocabulary files; an environment variable or the installed package gives it.
@@ -44,3 +44,13 @@ def op9_interleaved_shards(spark, d):
     rows = docs.select("doc_id", "source", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
     out = sharding.interleaved(rows, 24)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op1_fertility_rules(spark, d):
+    return fertility.measure(table(spark, d, "documents"), vocab_path("piece_bpe_32k.model"))
+
+
+@query
+def op5_pii(spark, d):
+    return pii.digest(table(spark, d, "documents"))
