@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from tremorlake.llm import bpe, fertility, licenses, pii, sharding
+from tremorlake.llm import bpe, fertility, licenses, pii, sharding, simhash
 from tremorlake.sources.tables import table
 
 #: Folder of the public vocabulary files; an environment variable or the installed package gives it.
@@ -54,3 +54,8 @@ def op1_fertility_rules(spark, d):
 @query
 def op5_pii(spark, d):
     return pii.digest(table(spark, d, "documents"))
+
+
+@query
+def op6_simhash(spark, d):
+    return simhash.near_duplicates(table(spark, d, "documents"))
