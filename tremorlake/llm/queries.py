@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from tremorlake.llm import bpe, fertility, licenses, pii, sharding, simhash
+from tremorlake.llm import bpe, fertility, licenses, pii, sharding, simhash, substrings
 from tremorlake.sources.tables import table
 
 #: Folder of the public vocabulary files; an environment variable or the installed package gives it.
@@ -59,3 +59,8 @@ def op5_pii(spark, d):
 @query
 def op6_simhash(spark, d):
     return simhash.near_duplicates(table(spark, d, "documents"))
+
+
+@query
+def op10_substrings(spark, d):
+    return substrings.remove_repeats(table(spark, d, "documents"), keep_text=False)
