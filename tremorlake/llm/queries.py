@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from tremorlake.llm import bpe, fertility, licenses, pii, sharding, simhash, substrings
+from tremorlake.llm import bpe, decontaminate, fertility, licenses, pii, sharding, simhash, substrings
 from tremorlake.sources.tables import table
 
 #: Folder of the public vocabulary files; an environment variable or the installed package gives it.
@@ -64,3 +64,8 @@ def op6_simhash(spark, d):
 @query
 def op10_substrings(spark, d):
     return substrings.remove_repeats(table(spark, d, "documents"), keep_text=False)
+
+
+@query
+def op3_spaced_seeds(spark, d):
+    return decontaminate.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark"))
