@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from tremorlake.llm import bpe, decontaminate, fertility, licenses, pii, sharding, simhash, substrings
+from tremorlake.llm import bpe, decontaminate, fertility, licenses, pairwise, pii, sharding, simhash, substrings
 from tremorlake.sources.tables import table
 
 #: Folder of the public vocabulary files; an environment variable or the installed package gives it.
@@ -69,3 +69,8 @@ def op10_substrings(spark, d):
 @query
 def op3_spaced_seeds(spark, d):
     return decontaminate.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+@query
+def op2_bradley_terry(spark, d):
+    return pairwise.classify(table(spark, d, "documents"), table(spark, d, "labels"))
