@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from tremorlake.llm import bpe, decontaminate, fertility, licenses, pairwise, pii, sharding, simhash, substrings
+from tremorlake.llm import bpe, decontaminate, fertility, licenses, pairwise, pii, sharding, simhash, substrings, templates
 from tremorlake.sources.tables import table
 
 #: Folder of the public vocabulary files; an environment variable or the installed package gives it.
@@ -74,3 +74,8 @@ def op3_spaced_seeds(spark, d):
 @query
 def op2_bradley_terry(spark, d):
     return pairwise.classify(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query
+def op7_templates(spark, d):
+    return templates.extract(table(spark, d, "pages"))
