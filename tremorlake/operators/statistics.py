@@ -62,7 +62,7 @@ def bh_fdr(df: DataFrame, p: str, alpha: float = 0.05, step_up: bool = False, by
     t = df.groupBy(*by, F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_k"))
     t = t.withColumn("_before", F.sum("_k").over(W.partitionBy(*by).orderBy("_p").rowsBetween(W.unboundedPreceding, 0)) - F.col("_k")).withColumn("_n", F.sum("_k").over(W.partitionBy(*by)))
     out = df.withColumn("_p", F.col(p)).join(t, [*by, "_p"])
-    out = out.withColumn("rank", F.col("_before") + F.row_number().over(W.partitionBy(*by, "_p").orderBy("_p"))).withColumn("critical", F.col("rank") * alpha / F.col("_n"))
+    out = out.withColumn("rank", F.col("_before") + F.row_number().over(W.partitionBy(*by, "_p").orderBy(*df.columns))).withColumn("critical", F.col("rank") * alpha / F.col("_n"))
     if step_up:
         # equal p values pass together by the last of their ranks
         last = t.filter(F.col("_p") <= (F.col("_before") + F.col("_k")) * alpha / F.col("_n")).groupBy(*by).agg(F.max("_p").alias("_cut"))

@@ -1 +1,115 @@
-"""Registered later."""
+"""Queries of feed readers: payloads are made from the tables in the feeds' formats and read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tremorlake.plans.bindings import ctes, env, events
+from tremorlake.plans.registry import query
+from tremorlake.sources import json_feeds as J
+from tremorlake.sources import text_formats as T
+from tremorlake.sources import xml_feeds as X
+from tremorlake.sources.tables import table
+
+
+def quake_payloads(spark, d):
+    """A day's events of a zone as one GeoJSON payload."""
+    e = events(spark, d)
+    point = F.struct(F.lit("Point").alias("type"), F.array("lon", "lat", "depth_km").alias("coordinates"))
+    props = F.struct(F.col("magnitude").alias("mag"), (F.unix_date("d").cast("long") * 86400000).alias("time"), F.col("zone").alias("place"), F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("c"), F.col("event_id").cast("string"))).alias("code"))
+    feature = F.struct(F.when(F.col("event_id") % 5 != 0, F.concat(F.lit("ev"), F.col("event_id").cast("string"))).alias("id"), props.alias("properties"), point.alias("geometry"))
+    return e.groupBy("zone", "d").agg(F.collect_list(feature).alias("features")).select(F.to_json(F.struct("features")).alias("value"))
+
+
+@query("a01_quake_features", ctes("ev") + " SELECT CASE WHEN event_id % 5 = 0 THEN 'c' ELSE 'ev' END || CAST(event_id AS VARCHAR) AS event_id, d, lat AS latitude, lon AS longitude, depth_km, magnitude, zone AS place FROM ev")
+def a01(spark, d):
+    q = J.quake_features(quake_payloads(spark, d))
+    return q.select("event_id", F.to_date("time").alias("d"), "latitude", "longitude", "depth_km", "magnitude", "place")
+
+
+@query("a02_a03_severe_alerts", "SELECT 'E' || CAST(event_id AS VARCHAR) AS id, event_type AS event, CASE WHEN value >= 100 THEN 'Extreme' ELSE 'Severe' END AS severity FROM events WHERE value >= 50")
+def a02(spark, d):
+    e = table(spark, d, "events")
+    sev = F.when(F.col("value") >= 100, "Extreme").when(F.col("value") >= 50, "Severe").otherwise("Minor")
+    f = F.struct(F.concat(F.lit("E"), F.col("event_id").cast("string")).alias("id"), F.struct(F.col("event_type").alias("event"), sev.alias("severity")).alias("properties"))
+    pay = e.groupBy("user_id").agg(F.collect_list(f).alias("features")).select(F.to_json(F.struct("features")).alias("value"))
+    return J.severe_only(J.cap_geojson_alerts(pay), None).select("id", "event", "severity")
+
+
+@query("a04_cap_xml", "SELECT 'E' || CAST(event_id AS VARCHAR) AS identifier, event_type AS event, CASE WHEN event_id % 2 = 0 THEN CAST(event_id % 90 AS DOUBLE) END AS lat FROM events WHERE event_id % 10 = 0")
+def a04(spark, d):
+    e = table(spark, d, "events").filter("event_id % 10 = 0")
+    poly = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("<cap:polygon>"), (F.col("event_id") % 90).cast("string"), F.lit(",10 1,2 3,4</cap:polygon>"))).otherwise("")
+    entry = F.concat(F.lit('<entry><title>t</title><content type="text/xml"><cap:alert xmlns:cap="urn:x"><cap:identifier>E'), F.col("event_id").cast("string"), F.lit("</cap:identifier><cap:event>"), F.col("event_type"), F.lit("</cap:event>"), poly, F.lit("</cap:alert></content></entry>"))
+    pay = e.groupBy("user_id").agg(F.concat(F.lit("<feed>"), F.array_join(F.collect_list(entry), ""), F.lit("</feed>")).alias("value"))
+    return X.cap_xml_alerts(pay).select("identifier", "event", "lat")
+
+
+@query("a06_header_row_json", ctes("env") + " SELECT CAST(d AS VARCHAR) AS time_tag, kp_max AS kp FROM env")
+def a06(spark, d):
+    rows = env(spark, d).groupBy(F.year("d").alias("y")).agg(F.collect_list(F.array(F.col("d").cast("string"), F.col("kp_max").cast("string"))).alias("r"))
+    pay = rows.select(F.to_json(F.concat(F.array(F.array(F.lit("time_tag"), F.lit("kp"))), "r")).alias("value"))
+    return J.header_row_json(pay, ["time_tag", "kp"]).select("time_tag", F.col("kp").try_cast("double").alias("kp"))
+
+
+@query("a07_index_json", ctes("env") + " SELECT CAST(d AS VARCHAR) AS t, kp_max AS kp FROM env")
+def a07(spark, d):
+    odd = F.year("d") % 2 == 1
+    rows = env(spark, d).select(F.year("d").alias("y"), F.create_map(F.when(odd, "time_tag").otherwise("time"), F.col("d").cast("string"), F.when(odd, "Kp").otherwise("kp_index"), F.col("kp_max").cast("string")).alias("m"))
+    pay = rows.groupBy("y").agg(F.to_json(F.collect_list("m")).alias("value"))
+    return J.index_json(pay, {"t": ["time_tag", "time"], "kp": ["kp", "Kp", "kp_index"]}).select("t", F.col("kp").try_cast("double").alias("kp"))
+
+
+@query("a10_last_observation", "SELECT event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+def a10(spark, d):
+    e = table(spark, d, "events").withColumn("k", F.struct("ts", "event_id"))
+    return J.last_observation(e, ["event_type"], "k").select("event_type", "event_id", "value")
+
+
+@query("a11_csv_catalog", ctes("ev") + " SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE magnitude END AS mag, CASE WHEN event_id % 7 = 0 THEN NULL ELSE CAST(depth_km AS BIGINT) END AS depth FROM ev")
+def a11(spark, d):
+    e = events(spark, d).select("event_id", F.when(F.col("event_id") % 4 == 0, "  ").otherwise(F.col("magnitude").cast("string")).alias("mag"), F.when(F.col("event_id") % 7 == 0, "n/a").otherwise(F.concat(F.lit(" "), F.col("depth_km").cast("long").cast("string"))).alias("depth"))
+    return T.csv_catalog(e, {"mag": "double", "depth": "bigint"})
+
+
+@query("a12_kp_table", ctes("env") + " SELECT d, kp_max, round((kp_max + 7 * floor(kp_max / 2)) / 8, 6) AS kp_mean, CASE WHEN sw_speed > 48 THEN sw_speed END AS f107 FROM env")
+def a12(spark, d):
+    half = F.floor(F.col("kp_max") / 2).cast("string")
+    line = F.concat_ws(" ", F.date_format("d", "yyyy MM dd"), F.col("kp_max").cast("string"), *([half] * 7), F.lit("11"), F.when(F.col("sw_speed") > 48, F.col("sw_speed")).otherwise(-1.0).cast("string"))
+    lines = env(spark, d).select(line.alias("value")).unionByName(env(spark, d).limit(1).select(F.lit("# comment").alias("value")))
+    return T.kp_table(lines).select("d", "kp_max", F.round("kp_mean", 6).alias("kp_mean"), "f107")
+
+
+@query("a14_omni_hourly", "WITH v AS (SELECT CAST(ts AS DATE) AS d, CAST(floor(value) AS DOUBLE) AS x FROM events WHERE floor(value) <> 99) SELECT d, max(x) / 10 AS kp_max, min(x) / 10 AS kp_min, round(avg(x / 10), 6) AS kp_mean FROM v GROUP BY 1")
+def a14(spark, d):
+    e = table(spark, d, "events")
+    line = F.concat_ws(" ", F.year("ts").cast("string"), F.dayofyear("ts").cast("string"), F.hour("ts").cast("string"), F.floor("value").cast("string"))
+    return T.omni_hourly(e.select(line.alias("value")), "kp", 99, 10).select("d", "kp_max", "kp_min", F.round("kp_mean", 6).alias("kp_mean"))
+
+
+@query("a16_flare_reports", "WITH f AS (SELECT CAST(ts AS DATE) AS d, CASE WHEN value < 20 THEN 'B' WHEN value < 90 THEN 'C' WHEN value < 300 THEN 'M' ELSE 'X' END AS c FROM events) SELECT d, max(c) AS xray_class_max, CAST(bool_or(c = 'M') AS INT) AS has_m_flare, CAST(bool_or(c = 'X') AS INT) AS has_x_flare FROM f GROUP BY 1")
+def a16(spark, d):
+    from tremorlake.functions.exprs import bin_by
+
+    line = F.concat(F.date_format("ts", "yyyyMMdd"), F.lit(" 0100 "), bin_by("value", [20, 90, 300], ["B", "C", "M", "X"]), F.lit("1.5"))
+    return T.flare_reports(table(spark, d, "events").select(line.alias("value"))).drop("xray_max")
+
+
+@query("a19_daily_network", "WITH c AS (SELECT CAST(l_shipdate AS DATE) AS d, CAST(l_partkey % 200 AS DOUBLE) AS x FROM lineitem) SELECT d, round(avg(x), 4) AS mean, round(var_pop(x), 4) AS variance, CAST(count(*) AS INT) AS n_reporting, 'ok' AS status FROM c GROUP BY 1")
+def a19(spark, d):
+    li = table(spark, d, "lineitem").groupBy(F.to_date("l_shipdate").alias("d")).agg(F.collect_list((F.col("l_partkey") % 200).cast("string")).alias("x"))
+    lines = li.select("d", F.concat(F.lit("13,0,"), F.array_join("x", ",")).alias("value")).unionByName(li.select("d", F.concat(F.lit("11,1,"), F.size("x").cast("string")).alias("value")))
+    return T.daily_network_csv(lines).select("d", F.round("mean", 4).alias("mean"), F.round("variance", 4).alias("variance"), "n_reporting", "status")
+
+
+@query("a21_unify_hazards", ctes("ev") + " SELECT 'quake-' || CAST(event_id AS VARCHAR) AS event_id, 'quake' AS hazard, CASE WHEN event_id % 3 = 0 THEN make_date(CAST(year(d) AS INT), 1, 1) ELSE d END AS start_day, magnitude AS mag FROM ev UNION ALL SELECT 'wave-' || CAST(event_id AS VARCHAR), 'wave', CASE WHEN event_id % 2 = 0 THEN NULL ELSE d END, NULL FROM ev WHERE event_id % 11 = 0")
+def a21(spark, d):
+    from tremorlake.sources.catalogs import unify, unify_hazards
+
+    e = events(spark, d)
+    gap = F.col("event_id") % 3 == 0
+    q = e.select(F.col("event_id").cast("string").alias("id"), F.year("d").alias("yr"), F.when(gap, "").otherwise(F.month("d").cast("string")).alias("mo"), F.when(gap, None).otherwise(F.dayofmonth("d")).alias("dy"), F.lit("25").alias("hr"), "magnitude")
+    w = e.filter("event_id % 11 = 0").select(F.col("event_id").alias("id"), F.year("d").alias("yr"), F.when(F.col("event_id") % 2 == 0, 2).otherwise(F.month("d")).alias("mo"), F.when(F.col("event_id") % 2 == 0, 30).otherwise(F.dayofmonth("d")).alias("dy"))
+    names = {"id": "id", "year": "yr", "month": "mo", "day": "dy"}
+    u = unify_hazards(unify(q, "quake", "s1", names | {"hour": "hr", "mag": "magnitude"}), unify(w, "wave", "s2", names))
+    return u.select("event_id", "hazard", F.to_date("start_ts").alias("start_day"), "mag")

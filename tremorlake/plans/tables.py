@@ -1 +1,67 @@
-"""Registered later."""
+"""Queries of whole-table steps."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tremorlake.operators import tables as T
+from tremorlake.plans.bindings import ctes, env, events
+from tremorlake.plans.registry import query
+from tremorlake.sources.tables import table
+
+
+@query("a22_upsert", ctes("ev") + ", u AS (SELECT event_id + CASE WHEN event_id % 10 = 0 THEN 10000000 ELSE 0 END AS event_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE magnitude + 1 END AS magnitude FROM ev WHERE event_id % 5 = 0) SELECT coalesce(t.event_id, u.event_id) AS event_id, CASE WHEN u.event_id IS NOT NULL THEN u.magnitude ELSE t.magnitude END AS magnitude, t.zone FROM ev t FULL JOIN u USING (event_id)")
+def a22(spark, d):
+    t = events(spark, d).select("event_id", "magnitude", "zone")
+    i = F.col("event_id")
+    u = t.filter(i % 5 == 0).select((i + F.when(i % 10 == 0, 10000000).otherwise(0)).alias("event_id"), F.when(i % 4 == 0, None).otherwise(F.col("magnitude") + 1).alias("magnitude"))
+    return T.upsert(t, u, ["event_id"], ["magnitude"])
+
+
+@query("a23_keep_latest", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1")
+def a23(spark, d):
+    return T.keep_latest(table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")]).drop("o_orderdate")
+
+
+@query("a24_new_only", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def a24(spark, d):
+    return T.new_only(table(spark, d, "orders").select("o_orderkey"), table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")), ["o_orderkey"])
+
+
+@query("a25_resume_pending", ctes("ev", "boxes") + ", plan AS (SELECT CAST(unnest(generate_series(DATE '1999-01-01', DATE '1999-12-31', INTERVAL 1 DAY)) AS DATE) AS d, fault_id FROM boxes) SELECT d, fault_id FROM plan WHERE (d, fault_id) NOT IN (SELECT d, 'z' || CAST(event_id % 5 AS VARCHAR) FROM ev)")
+def a25(spark, d):
+    from tremorlake.operators.panel import date_zone_spine
+    from tremorlake.plans.bindings import boxes
+
+    plan = date_zone_spine(boxes(spark, d), "1999-01-01", "1999-12-31", day="d")
+    done = events(spark, d).select("d", F.concat(F.lit("z"), (F.col("event_id") % 5).cast("string")).alias("fault_id"))
+    return T.new_only(plan, done, ["d", "fault_id"]).select("d", "fault_id")
+
+
+@query("a26_date_window", ctes("ev") + " SELECT event_id, least(CAST(d + 30 AS DATE), DATE '2001-07-18', CAST(d + 9 AS DATE)) AS to_day FROM ev")
+def a26(spark, d):
+    e = events(spark, d).select("event_id", "d", F.date_add("d", 30).alias("e"), F.lit("2001-08-01").cast("date").alias("today"))
+    return T.date_window(e, "d", "e", "today", 14, 10).select("event_id", "to_day")
+
+
+@query("a27_heartbeat", ctes("ev") + " SELECT event_id, zone FROM ev WHERE magnitude > 6.98 UNION ALL SELECT -1, 'heartbeat'")
+def a27(spark, d):
+    e = events(spark, d).select("event_id", "zone")
+    full = T.heartbeat_if_empty(events(spark, d).filter("magnitude > 6.98").select("event_id", "zone"), {"event_id": 0, "zone": "unused"})
+    return full.unionByName(T.heartbeat_if_empty(e.filter("event_id < 0"), {"event_id": -1, "zone": "heartbeat"}))
+
+
+@query("a28_publish_json", "SELECT '{\"n_nationkey\":' || CAST(n_nationkey AS VARCHAR) || ',\"n_name\":\"' || n_name || '\",\"n_regionkey\":' || CAST(n_regionkey AS VARCHAR) || '}' AS value FROM nation")
+def a28(spark, d):
+    return T.publish_json(table(spark, d, "nation"))
+
+
+@query("a30_a31_columns", ctes("env") + " SELECT d, kp_max, CAST(NULL AS DOUBLE) AS tec_anomaly FROM env")
+def a30(spark, d):
+    e = T.add_missing_columns(env(spark, d), {"tec_anomaly": "double", "kp_max": "double"})
+    return e.select("d", *T.available_features(e, ["kp_max", "tec_anomaly", "not_there"]))
+
+
+@query("a33_high_water_mark", "SELECT max(CAST(ts AS DATE)) AS mark, CAST(max(CAST(ts AS DATE)) + 1 AS DATE) AS next_day FROM events WHERE value < 50")
+def a33(spark, d):
+    return T.high_water_mark(table(spark, d, "events"), "ts", F.col("value") < 50, "2020-01-01")
