@@ -212,9 +212,9 @@ def geojson_centroid(geometry_json) -> Column:
     vertices = (
         F.when(kind == "Point", F.array(F.from_json(coords, "array<double>")))
         .when(kind == "Polygon", F.element_at(F.from_json(coords, "array<array<array<double>>>"), 1))
-        .when(kind == "MultiPolygon", F.flatten(F.transform(F.from_json(coords, "array<array<array<array<double>>>>"), lambda p: p[0])))
+        .when(kind == "MultiPolygon", F.flatten(F.transform(F.from_json(coords, "array<array<array<array<double>>>>"), lambda p: F.get(p, F.lit(0)))))
     )
-    mean = lambda k: F.try_divide(F.aggregate(vertices, F.lit(0.0), lambda a, v: a + v[k]), F.size(vertices))
+    mean = lambda k: F.try_divide(F.aggregate(vertices, F.lit(0.0), lambda a, v: a + F.get(v, F.lit(k))), F.size(vertices))
     return F.when(F.size(vertices) > 0, F.struct(mean(1).alias("lat"), mean(0).alias("lon")))
 
 

@@ -65,7 +65,7 @@ def severe_only(df: DataFrame, n: int | None = 100) -> DataFrame:
 def header_row_json(df: DataFrame, cols: list[str]) -> DataFrame:
     """Rows of ``[[h1, h2], [v1, v2], ...]`` by the names in the first; short rows leave the rest null."""
     t = df.select(F.from_json("value", "array<array<string>>").alias("t"))
-    r = t.select(F.col("t")[0].alias("h"), F.explode(F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0)))).alias("r"))
+    r = t.select(F.get("t", F.lit(0)).alias("h"), F.explode(F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0)))).alias("r"))
     return r.select(*(F.when(F.array_contains("h", c), F.get("r", (F.array_position("h", c) - 1).cast("int"))).alias(c) for c in cols))
 
 

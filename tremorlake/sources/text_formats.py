@@ -68,7 +68,7 @@ def flare_reports(df: DataFrame) -> DataFrame:
 def iaga_hourly(df: DataFrame, component: str) -> DataFrame:
     """Whole observatory files: date, time and the column whose header ends in ``component``; 99990 and more is missing."""
     lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.length(F.trim(x)) > 0)
-    w = df.select(lines.alias("l")).withColumn("head", F.filter("l", lambda x: F.startswith(x, F.lit("DATE")))[0])
+    w = df.select(lines.alias("l")).withColumn("head", F.get(F.filter("l", lambda x: F.startswith(x, F.lit("DATE"))), F.lit(0)))
     w = w.withColumn("k", F.expr(f"array_position(transform(split(trim(replace(head, '|', '')), '\\\\s+'), h -> right(h, 1)), '{component}')"))
     r = w.filter("head IS NOT NULL AND k > 0").select("k", F.explode("l").alias("x")).filter(F.col("x").rlike(r"^\d{4}-\d{2}-\d{2}\s")).select("k", F.split(F.trim("x"), r"\s+").alias("f"))
     v = F.get("f", F.col("k").cast("int") - 1).try_cast("double")

@@ -33,7 +33,7 @@ def cap_xml_alerts(df: DataFrame) -> DataFrame:
     out = x.select(*(_pick(F.col("alert"), f).alias(f) for f in FIELDS), _pick(F.col("entry"), "title").alias("_title"), F.nullif(F.xpath_string("entry", F.lit("(//link/@href)[1]")), F.lit("")).alias("link"), _pick(F.col("entry"), "id").alias("_id"))
     out = out.withColumns({"identifier": F.coalesce("identifier", "_id", "link"), "headline": F.coalesce("headline", "_title"), "sent": F.try_to_timestamp("sent"), "effective": F.try_to_timestamp("effective"), "expires": F.try_to_timestamp("expires")})
     vertex = first_polygon_vertex(F.col("polygon"))
-    return out.select(*FIELDS, "link", vertex[0].alias("lat"), vertex[1].alias("lon"))
+    return out.select(*FIELDS, "link", F.get(vertex, F.lit(0)).alias("lat"), F.get(vertex, F.lit(1)).alias("lon"))
 
 
 def first_polygon_vertex(polygon: Column) -> Column:
