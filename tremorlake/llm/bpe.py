@@ -37,11 +37,20 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
 
 
+def _latin(text: str) -> bool:
+    """Whether a text is of Latin-1, which is in NFC and has plain small forms."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class WordBpe:
     """Encoder for a vocabulary file of word-end BPE: ids of texts, and texts of ids.
 
     ``spec`` is the file's parsed JSON. A text is cut at special tokens; the rest is put in NFC,
-    white space runs become a space, letters become small one by one, and words are found by
+    letters become small one by one, and words are found by
     the file's pattern. Each word's bytes are symbols, the last with the word-end suffix."""
 
     def __init__(self, spec: dict):
@@ -64,7 +73,6 @@ class WordBpe:
             pattern = pattern.replace(kind, rest)
         self.late_pattern = pattern
         self.late_words = None
-        self.spaces = regex.compile(r"\s+")
         suffix = model["end_of_word_suffix"] or ""
         letters = byte_letters()
         self.inner = np.array([self.vocab[c] for c in letters], np.int64)
@@ -122,14 +130,15 @@ class WordBpe:
     def pieces(self, text: str) -> list[str]:
         """The words of a text without special tokens."""
         find = self.words
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).translate(SMALL)
+        if not _latin(text) and not _latin(text := unicodedata.normalize("NFC", text)):
+            text = text.translate(SMALL)
             if self.late.search(text):
                 import regex
 
                 self.late_words = self.late_words or regex.compile(self.late_pattern, regex.V1).findall
                 find = self.late_words
-        return find(self.spaces.sub(" ", text).lower())
+        # no word holds white space, so runs of it need not be made one
+        return find(text.lower())
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
