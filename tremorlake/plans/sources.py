@@ -113,3 +113,81 @@ def a21(spark, d):
     names = {"id": "id", "year": "yr", "month": "mo", "day": "dy"}
     u = unify_hazards(unify(q, "quake", "s1", names | {"hour": "hr", "mag": "magnitude"}), unify(w, "wave", "s2", names))
     return u.select("event_id", "hazard", F.to_date("start_ts").alias("start_day"), "mag")
+
+
+@query("a05_first_vertex", ctes("ev") + " SELECT event_id, lat, lon FROM ev WHERE event_id % 3 = 0")
+def a05(spark, d):
+    e = events(spark, d).filter("event_id % 3 = 0")
+    v = X.first_polygon_vertex(F.concat(F.lit(" "), F.col("lat").cast("string"), F.lit(","), F.col("lon").cast("string"), F.lit("  1,2 3,4")))
+    return e.select("event_id", F.get(v, F.lit(0)).alias("lat"), F.get(v, F.lit(1)).alias("lon"))
+
+
+@query("a08_nested_series", "SELECT event_type AS site, CAST(user_id AS VARCHAR) AS variable, CAST(ts AS DATE) AS d, value FROM events")
+def a08(spark, d):
+    e = table(spark, d, "events")
+    point = F.struct(F.col("value").cast("string").alias("value"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("dateTime"))
+    code = lambda c: F.array(F.struct(F.col(c).cast("string").alias("value")))
+    one = e.groupBy("event_type", "user_id").agg(F.collect_list(point).alias("p"))
+    series = one.select("event_type", F.struct(F.struct(F.lit("n").alias("siteName"), code("event_type").alias("siteCode")).alias("sourceInfo"), F.struct(code("user_id").alias("variableCode")).alias("variable"), F.array(F.struct(F.col("p").alias("value"))).alias("values")).alias("s"))
+    pay = series.select(F.to_json(F.struct(F.struct(F.array("s").alias("timeSeries")).alias("value"))).alias("value"))
+    return J.nested_series(pay).select("site", "variable", F.to_date("ts").alias("d"), "value")
+
+
+@query("a09_gauge_status", "SELECT CAST(s_suppkey AS VARCHAR) AS gauge, CASE WHEN s_suppkey % 4 = 1 THEN NULL ELSE s_acctbal END AS stage FROM supplier WHERE s_suppkey % 10 = 3 OR s_suppkey % 10 = 1")
+def a09(spark, d):
+    k = F.col("s_suppkey")
+    g = table(spark, d, "supplier").select(k.cast("string").alias("gauge"), F.when(k % 10 == 3, "Minor").when(k % 10 == 1, "major").otherwise("none").alias("category"), F.when(k % 4 == 1, -999.0).otherwise(F.col("s_acctbal")).alias("stage"))
+    return J.gauge_status(g).select("gauge", "stage")
+
+
+@query("a13_hourly_dst", ctes("env") + " SELECT d, CAST(least(dst_min, -5) AS INT) AS dst_min, round((dst_min + 22 * -5) / 23, 6) AS dst_mean FROM env WHERE year(d) = 1997 AND month(d) = 3 AND abs(dst_min) < 500")
+def a13(spark, d):
+    e = env(spark, d).filter("year(d) = 1997 AND month(d) = 3")
+    line = F.concat(F.lpad(F.dayofmonth("d").cast("string"), 3, " "), F.lit("  "), F.col("dst_min").cast("int").cast("string"), F.repeat(F.lit(" -5"), 22), F.lit(" 9999"))
+    return T.hourly_dst(e.select(line.alias("value")), 1997, 3).select("d", "dst_min", F.round("dst_mean", 6).alias("dst_mean"))
+
+
+@query("a15_sectioned_report", ctes("env") + " SELECT d, CASE WHEN dst_min > 0 THEN dst_min END AS x FROM env")
+def a15(spark, d):
+    text = F.concat(F.lit(":Product: daily\n:Energetic:\n# unit\n "), F.col("d").cast("string"), F.lit(" 1.0  "), F.col("dst_min").cast("string"), F.lit("\n:Other:\n 1 2 3\n"))
+    return T.sectioned_report(env(spark, d).select("d", text.alias("value")), "Energetic", 2).select("d", "x")
+
+
+@query("a17_iaga_hourly", ctes("env") + " SELECT d, CASE WHEN kp_max < 9 THEN kp_max * 10 END AS x FROM env")
+def a17(spark, d):
+    row = F.concat(F.col("d").cast("string"), F.lit(" 00:00:00.000 001 "), F.when(F.col("kp_max") < 9, F.col("kp_max") * 10).otherwise(99999.0).cast("string"), F.lit(" 1.0"))
+    text = F.concat(F.lit(" Format\nDATE TIME DOY BOUH BOUD |\n"), F.array_join(F.array_sort(F.collect_list(row)), "\n"))
+    files = env(spark, d).groupBy(F.year("d")).agg(text.alias("value"))
+    return T.iaga_hourly(files, "H").select(F.to_date("ts").alias("d"), "x")
+
+
+@query("a18_tenv3_positions", ctes("stations") + ", n AS (SELECT station_id FROM stations GROUP BY 1 HAVING count(*) >= 500) SELECT CAST(station_id AS VARCHAR) AS station_id, count(*) AS n, round(max(east) * 1000, 3) AS east_mm FROM stations JOIN n USING (station_id) GROUP BY 1")
+def a18(spark, d):
+    from tremorlake.plans.bindings import stations
+
+    s = stations(spark, d)
+    line = F.concat_ws(" ", F.col("station_id").cast("string"), F.lit("x"), F.year("d").cast("string"), F.lit("1 2 3 4 5"), F.col("east").cast("string"), F.lit("0"), F.col("north").cast("string"), F.lit("0"), F.col("up").cast("string"))
+    p = T.tenv3_positions(s.select(line.alias("value")), 500)
+    return p.groupBy("station_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("east_mm"), 3).alias("east_mm"))
+
+
+@query("a20_ionex_cells", ctes("env") + ", c AS (SELECT d, CAST(unnest(generate_series(0, 19)) AS INT) AS k, CAST(n AS BIGINT) AS n FROM env) SELECT d, 0 AS map_idx, CAST(-180 + 5 * k AS DOUBLE) AS lon, CASE WHEN k = 17 THEN NULL ELSE round(CAST(n + k AS DOUBLE) * 0.1, 6) END AS tec FROM c")
+def a20(spark, d):
+    """One map of one latitude a day, its values over two lines, one missing."""
+    from tremorlake.sources.grids import ionex_cells
+
+    rec = lambda body, label: F.concat(F.rpad(body, 60, " "), F.lit(label))
+    num = lambda x, w: F.lpad(x.cast("string"), w, " ")
+    values = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda k: num(F.when(k == 17, 9999).otherwise(F.col("n") + k), 5))
+    zeros = F.repeat(F.lit("     0"), 3)
+    lines = [
+        rec(F.lit("    -1"), "EXPONENT"),
+        rec(F.lit("     1"), "START OF TEC MAP"),
+        rec(F.concat(num(F.year("d"), 6), num(F.month("d"), 6), num(F.dayofmonth("d"), 6), zeros), "EPOCH OF CURRENT MAP"),
+        rec(F.lit("    45.0-180.0 -85.0   5.0 450.0"), "LAT/LON1/LON2/DLON/H"),
+        F.array_join(F.slice(values, 1, 16), ""),
+        F.array_join(F.slice(values, 17, 4), ""),
+        rec(F.lit("     1"), "END OF TEC MAP"),
+    ]
+    files = env(spark, d).select(F.concat_ws("\n", *lines).alias("value"))
+    return ionex_cells(files).select("d", "map_idx", "lon", F.round("tec", 6).alias("tec"))

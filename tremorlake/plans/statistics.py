@@ -242,3 +242,55 @@ def h14(spark, d):
     panel = seismic_panel(spark, d).filter("d < DATE '2001-07-25'").withColumn("row_id", F.xxhash64("zone", "d"))
     scores = walk_forward(panel, ["n", "n5", "n_7d", "n_30d", "max_30d", "mean_90d", "std_30d"], "label_7d", "d", ["row_id"], [("1998-12-31", "1999-12-31"), ("1999-12-31", "2001-12-31")], rounds=8)
     return S.binary_metrics(scores, "y", "p", ["fold"]).select("fold", "n", "positives", F.round("auroc", 4).alias("auroc"), F.round("brier", 4).alias("brier"))
+
+
+@query("d23_sequence_survivors", ctes("ev", "boxes") + " SELECT fault_id, count(*) AS n, count(*) FILTER (magnitude >= 6) AS strong FROM ev JOIN boxes ON lat BETWEEN lat_min AND lat_max AND lon BETWEEN lon_min AND lon_max WHERE d BETWEEN DATE '1997-01-01' AND DATE '1999-12-31' GROUP BY 1")
+def d23(spark, d):
+    from tremorlake.plans.bindings import boxes
+
+    e = spatial.bbox_join(events(spark, d).filter("d BETWEEN DATE '1997-01-01' AND DATE '1999-12-31'"), boxes(spark, d))
+    return e.groupBy("fault_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("magnitude") >= 6).alias("strong"))
+
+
+@query("h10_bin_moderation", ctes("ev", "sensor") + ", big AS (SELECT event_id, d, CAST(event_id % 4 AS INT) AS bin FROM ev WHERE magnitude >= 6.5), c AS (SELECT bin, count(*) AS n FROM big GROUP BY 1), x AS (SELECT round(sum(pow(n - e, 2) / e), 6) AS chi2 FROM c, (SELECT sum(n) / 4.0 AS e FROM c)), r AS (SELECT bin, round(avg(s.x) FILTER (s.d = big.d - 1), 4) AS before_1, round(avg(s.x) FILTER (s.d = big.d - 5), 4) AS before_5 FROM big JOIN sensor s ON s.zone = 'R' AND s.d BETWEEN big.d - 5 AND big.d - 1 GROUP BY 1) SELECT bin, n, chi2, before_1, before_5 FROM c JOIN r USING (bin), x")
+def h10(spark, d):
+    big = events(spark, d).filter("magnitude >= 6.5").select("event_id", "d", (F.col("event_id") % 4).cast("int").alias("bin"))
+    counts = S.binned_counts(big, "bin", 4)
+    sig = sensor(spark, d).filter("zone = 'R'").select("d", "x")
+    at = lambda k: F.round(F.avg(F.when(F.col("rel_day") == -k, F.col("x"))), 4)
+    read = epoch.epoch_join(big, sig, 5).groupBy("bin").agg(at(1).alias("before_1"), at(5).alias("before_5"))
+    chi = S.chi2_uniform(counts).select(F.round("chi2", 6).alias("chi2"))
+    return counts.select("bin", "n").join(read, "bin").crossJoin(F.broadcast(chi))
+
+
+@query("h20_isotonic")
+def h20(spark, d):
+    """Calibrated rates by score of later rows, fitted on earlier ones."""
+    from tremorlake.operators.models import isotonic_calibrate
+
+    s = scored(spark, d)
+    c = isotonic_calibrate(s.filter("d < DATE '1999-01-01'"), s.filter("d >= DATE '1999-01-01'"), "y", "p", "row_id")
+    return c.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("calibrated"), 4).alias("calibrated"))
+
+
+@query("h21_ablation")
+def h21(spark, d):
+    """AUROC with and without the strength features."""
+    from tremorlake.operators.models import ablation
+    from tremorlake.plans.panels import seismic_panel
+
+    p = seismic_panel(spark, d).filter("d < DATE '2001-07-25'").withColumn("row_id", F.xxhash64("zone", "d"))
+    sets = {"counts": ["n", "n_7d", "n_30d"], "all": ["n", "n_7d", "n_30d", "max_30d", "mean_90d"]}
+    got = ablation(p.filter("split = 'train'"), p.filter("split = 'test'"), sets, "label_7d", "d", ["row_id"], rounds=3)
+    return S.binary_metrics(got, "y", "p", ["model"]).select("model", "n", F.round("auroc", 4).alias("auroc"))
+
+
+@query("h23_triangulate")
+def h23(spark, d):
+    """Triangles of stations laid out by supplier, by zone."""
+    from tremorlake.operators.stations import triangulate
+    from tremorlake.sources.tables import table
+
+    k = F.col("s_suppkey")
+    net = table(spark, d, "supplier").select(k.alias("station_id"), (k % 3).cast("string").alias("zone"), (35 + (k * 37 % 200) / 100).cast("double").alias("lat"), (139 + (k * 53 % 200) / 100).cast("double").alias("lon"))
+    return triangulate(net, "zone").groupBy("zone").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("area"), 2).alias("area"))

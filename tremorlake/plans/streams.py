@@ -41,3 +41,31 @@ def i05(spark, d):
 @query("i09_stream_severe", "SELECT event_id, value FROM events WHERE value >= 150")
 def i09(spark, d):
     return feeds.run_to_table(_events(spark, d).filter("value >= 150").select("event_id", "value"), "append", _base(spark))
+
+
+@query("i03_stream_upsert", "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
+def i03(spark, d):
+    """The newest event of each user in a versioned table."""
+    from uuid import uuid4
+
+    base = f"{_base(spark).rstrip('/')}/upsert-{uuid4().hex}"
+    feeds.upsert_stream(_events(spark, d), f"{base}/table", ["user_id"], "event_id", f"{base}/cp").awaitTermination()
+    return feeds.VersionedTable(spark, f"{base}/table").read().select("user_id", "event_id", "value")
+
+
+@query("i06_stream_match", "WITH a AS (SELECT event_id, date_trunc('minute', ts) AS m, ts FROM events WHERE event_id % 2 = 0), b AS (SELECT event_id AS other, date_trunc('minute', ts) AS m FROM events WHERE event_id % 2 = 1) SELECT a.event_id, b.other FROM a JOIN b ON a.m = b.m")
+def i06(spark, d):
+    """Even and odd events of the same minute; events without a partner are left out here."""
+    a = _events(spark, d).filter("event_id % 2 = 0").select("event_id", "ts")
+    b = _events(spark, d).filter("event_id % 2 = 1").select(F.col("event_id").alias("other"), F.col("ts").alias("rts"))
+    j = feeds.match_feeds(a, b, "ts", "rts", delay="60 days").filter("other IS NOT NULL").select("event_id", "other")
+    return feeds.run_to_table(j, "append", _base(spark))
+
+
+@query("i08_stream_publish", "SELECT '{\"event_id\":' || CAST(event_id AS VARCHAR) || ',\"event_type\":\"' || event_type || '\"}' AS value FROM events WHERE value >= 200")
+def i08(spark, d):
+    from uuid import uuid4
+
+    base = f"{_base(spark).rstrip('/')}/publish-{uuid4().hex}"
+    feeds.publish_stream(_events(spark, d).filter("value >= 200").select("event_id", "event_type"), f"{base}/out", f"{base}/cp").awaitTermination()
+    return spark.read.text(f"{base}/out")
