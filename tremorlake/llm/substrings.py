@@ -29,6 +29,10 @@ ANCHOR = 8
 CHUNK_WORDS = 1_000_000
 LEAF_ROWS = 100_000
 CACHE_WORDS = 300_000
+#: Bits of a window's hash that travel; two windows are taken for one another only where their
+#: anchors' 64 bits, their places by the anchor and these are equal.
+LABEL_BYTES = 5
+LABEL_BITS = 8 * LABEL_BYTES
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _LEAST = -(1 << 63)
@@ -92,18 +96,18 @@ def chunk_leaves(docs: list[tuple[int, int, list[bytes]]], hashes: dict, window:
     open_ = np.add.reduceat(~again, first)
     owner = doc[first]
     ids = np.array([d for d, _, _ in docs], np.int64)
-    texts = np.array([t for _, t, _ in docs], np.int64)
+    texts = np.array([t for _, t, _ in docs], np.int32)
     key = grams[at[first]]
     # a stretch without labels has nothing to ask of its anchor's group and may go anywhere
     key = np.where(open_ > 0, key, _mix(key ^ ids[owner].view(np.uint64) ^ place[first].astype(np.uint64)))
-    flat = (label[~again] >> np.uint64(32)).astype("<u4").tobytes()
-    cut = np.r_[0, np.cumsum(open_)] * 4
+    flat = (label[~again] >> np.uint64(64 - LABEL_BITS)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :LABEL_BYTES].tobytes()
+    cut = np.r_[0, np.cumsum(open_)] * LABEL_BYTES
     cut = pa.array(cut, pa.int32())
     labels = pa.Array.from_buffers(pa.binary(), len(first), [None, cut.buffers()[1], pa.py_buffer(flat)])
     return {"anchor": key.view(np.int64), "d": ids[owner], "th": texts[owner], "pos": place[first].astype(np.int32), "info": (mask | offset << 16 | length << 24).astype(np.int32), "labels": labels}
 
 
-_LEAF = pa.schema([("anchor", pa.int64()), ("d", pa.int64()), ("th", pa.int64()), ("pos", pa.int32()), ("info", pa.int32()), ("labels", pa.binary())])
+_LEAF = pa.schema([("anchor", pa.int64()), ("d", pa.int64()), ("th", pa.int32()), ("pos", pa.int32()), ("info", pa.int32()), ("labels", pa.binary())])
 
 
 def _leaves(df: DataFrame, window: int, anchor: int) -> DataFrame:
@@ -133,7 +137,7 @@ def _leaves(df: DataFrame, window: int, anchor: int) -> DataFrame:
         if held:
             yield from flush(held)
 
-    return df.mapInArrow(run, "anchor long, d long, th long, pos int, info int, labels binary")
+    return df.mapInArrow(run, "anchor long, d long, th int, pos int, info int, labels binary")
 
 
 def _marks(leaves: DataFrame) -> DataFrame:
@@ -160,10 +164,13 @@ def _marks(leaves: DataFrame) -> DataFrame:
                 row, nth = row[with_label], nth[with_label]
                 flat = b.column(5)
                 bounds = np.frombuffer(flat.buffers()[1], np.int32)[flat.offset : flat.offset + len(flat) + 1]
-                label = np.frombuffer(flat.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].view("<u4") if len(row) else np.zeros(0, "<u4")
+                wide = np.zeros((len(row), 8), np.uint8)
+                if len(row):
+                    wide[:, :LABEL_BYTES] = np.frombuffer(flat.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].reshape(-1, LABEL_BYTES)
+                label = wide.view("<u8").ravel()
                 # the prefix's length stands for the prefix, as the group has its end
-                leaf = (offset[row] - nth).astype(np.uint64) << np.uint64(32) | label.astype(np.uint64)
-                key = group[row].astype(np.uint64) << np.uint64(40) | leaf
+                leaf = (offset[row] - nth).astype(np.uint64) << np.uint64(LABEL_BITS) | label
+                key = group[row].astype(np.uint64) << np.uint64(LABEL_BITS + 4) | leaf
                 fresh = ~same[row]
                 order = np.flatnonzero(fresh)[np.argsort(key[fresh], kind="stable")]
                 again = np.zeros(len(row), bool)
@@ -178,7 +185,7 @@ def _marks(leaves: DataFrame) -> DataFrame:
                 hit = mask > 0
                 yield pa.RecordBatch.from_arrays([pa.array(d[hit]), pa.array(th[hit]), pa.array(pos[hit], pa.int32()), pa.array(mask[hit], pa.int32())], names=["d", "th", "pos", "mask"])
 
-    return dealt.mapInArrow(run, "d long, th long, pos int, mask int")
+    return dealt.mapInArrow(run, "d long, th int, pos int, mask int")
 
 
 def covered(n_words: int, marks: list[tuple[int, int]], window: int) -> np.ndarray:
@@ -202,13 +209,13 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     id counts as the smallest. Rows of equal id and text are one document and share the result;
     of equal ids with different texts, that of the smaller text hash comes first. A null text has no
     words; texts shorter than a window lose nothing; an empty table gives no rows. Only the two
-    named columns are read. Windows are told apart by 96 bits of hashes.
+    named columns are read. Windows are told apart by 104 bits of hashes, 64 within a chunk.
     """
     anchor = min(ANCHOR, window)
     if not 1 <= window <= 15 + anchor or window > 3 * anchor:
         raise ValueError("window must be at most 23 words, or 24 with anchors of 8")
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    src = src.select("id", F.coalesce("id", F.lit(_LEAST)).alias("d"), F.xxhash64("text").alias("th"), "text")
+    src = src.select("id", F.coalesce("id", F.lit(_LEAST)).alias("d"), F.hash("text").alias("th"), "text")
     marks = _marks(_leaves(src.select("d", "th", "text"), window, anchor))
     marks = marks.groupBy("d", "th").agg(F.collect_list(F.struct("pos", "mask")).alias("marks"))
     rows = src.join(marks, ["d", "th"], "left").select("id", "text", "marks")
