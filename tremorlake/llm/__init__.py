@@ -1,11 +1 @@
-"""Operators for large-scale training-data preparation.
-
-Nothing else in the library imports this package. Functions that run in Python
-workers travel by value, so executors need no copy of the package.
-"""
-
-import sys
-
-from pyspark import cloudpickle
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+"""Operators for large-scale training-data preparation; nothing else in the library imports this package."""

@@ -29,8 +29,8 @@ _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x2
 
 
 def words_of(text: str | None) -> list[bytes]:
-    """Words of ASCII letters (in lower case), digits and all characters beyond ASCII."""
-    return (text or "").encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split()
+    """Words of letters in lower case, ASCII digits and all other characters beyond ASCII."""
+    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split()
 
 
 def _seed_keys(ids: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
@@ -70,6 +70,13 @@ class SeedIndex:
             self.keys.append(key[order])
             self.places.append(at[order])
 
+    @classmethod
+    def of(cls, state: dict) -> SeedIndex:
+        """An index from the plain values that a broadcast carries, so that workers need no copy of the library."""
+        out = cls.__new__(cls)
+        out.__dict__.update(state)
+        return out
+
     def matches(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
         """(text, item, first word, number of words, equal words) of the longest overlap of each pair that passes."""
         get = self.vocab.get
@@ -129,7 +136,7 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list:
             break
         n_blocks *= 2
     sc = benchmark.sparkSession.sparkContext
-    return [sc.broadcast(SeedIndex([(r.id, r.text) for r in sized.filter(F.pmod("h", F.lit(n_blocks)) == b).select("id", "text").distinct().orderBy("id", "text").collect()])) for b in range(n_blocks)]
+    return [sc.broadcast(vars(SeedIndex([(r.id, r.text) for r in sized.filter(F.pmod("h", F.lit(n_blocks)) == b).select("id", "text").distinct().orderBy("id", "text").collect()]))) for b in range(n_blocks)]
 
 
 def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -149,12 +156,13 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     for block in blocks(benchmark, item_col, item_text):
 
         def run(batches, block=block):
+            index = SeedIndex.of(block.value)
             for batch in batches:
                 for at in range(0, batch.num_rows, 512):
                     part = batch.slice(at, 512)
                     ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
-                    found = block.value.matches(texts)
-                    cols = [[ids[d] for d, *_ in found], [block.value.item_ids[i] for _, i, *_ in found], *([x[k] for x in found] for k in (2, 3, 4)), [x[4] / x[3] for x in found]]
+                    found = index.matches(texts)
+                    cols = [[ids[d] for d, *_ in found], [index.item_ids[i] for _, i, *_ in found], *([x[k] for x in found] for k in (2, 3, 4)), [x[4] / x[3] for x in found]]
                     types = [part.schema.field(0).type, pa.int64() if item_kind == "bigint" else None, pa.int64(), pa.int64(), pa.int64(), pa.float64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
@@ -168,8 +176,10 @@ def drop_contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text
     for block in blocks(benchmark, item_col, item_text):
 
         def make(block=block):
+            index = SeedIndex.of(block.value)
+
             def f(texts):
-                hit = {d for d, *_ in block.value.matches(texts)}
+                hit = {d for d, *_ in index.matches(texts)}
                 return [i not in hit for i in range(len(texts))]
 
             return f
