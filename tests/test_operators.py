@@ -52,11 +52,18 @@ def test_auroc_with_ties(spark):
     assert abs(m.auroc - want) < 1e-12 and abs(m.brier - np.mean([(p - y) ** 2 for _, y, p in rows])) < 1e-12
     same = statistics.binary_metrics(df.withColumn("p", F.pow("p", 3) * 7), "y", "p").first()
     assert abs(same.auroc - want) < 1e-12
-    ci = statistics.bootstrap_auroc(df, "y", "p", "id", 100, 1).first()
+    ci = statistics.bootstrap_auroc(df, "y", "p", 100, 1).first()
     assert ci.ci_low < want < ci.ci_high and ci.replicates == 100
     assert statistics.binary_metrics(df.filter("y = 1"), "y", "p").first().auroc is None
 
 
+def test_poisson_quantiles():
+    u = (np.arange(20000) + 0.5) / 20000
+    for mean in (0.3, 1.0, 20.0, 80.0, 5000.0):
+        k = statistics.poisson_quantile(u, np.full(len(u), mean))
+        assert abs(k.mean() - mean) < 0.02 * mean + 0.01 and abs(k.var() - mean) < 0.05 * mean
+
+
 def test_chi2_tails(spark):
     counts = spark.createDataFrame([(i, n) for i, n in enumerate([11, 11, 9, 13, 12, 15, 12, 13])], "bin int, n long").withColumn("expected", F.lit(12.0))
     got = statistics.chi2_uniform(counts).first()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -107,22 +109,52 @@ def binary_metrics(df: DataFrame, y: str, p: str, by: list[str] | None = None) -
     )
 
 
-def bootstrap_auroc(df: DataFrame, y: str, p: str, ident: str, iters: int, seed: int, least: int = 100) -> DataFrame:
+def poisson_quantile(u: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """Poisson counts at the probabilities ``u``: exact up to a mean of 50, by a second-order normal expansion beyond."""
+    out = np.zeros(len(u))
+    small = mean <= 50
+    m, v = mean[small], u[small]
+    p = np.exp(-m)
+    total, k = p.copy(), np.zeros(len(m))
+    for i in range(1, 200):
+        more = v > total
+        if not more.any():
+            break
+        k[more] = i
+        p = p * m / i
+        total = total + p
+    out[small] = k
+    z = _normal_quantile(u[~small])
+    out[~small] = np.maximum(0, np.round(mean[~small] + np.sqrt(mean[~small]) * z + (z * z - 1) / 6))
+    return out
+
+
+def _normal_quantile(u: np.ndarray) -> np.ndarray:
+    from statistics import NormalDist
+
+    return np.array([NormalDist().inv_cdf(x) for x in np.clip(u, 1e-12, 1 - 1e-12)])
+
+
+def bootstrap_auroc(df: DataFrame, y: str, p: str, iters: int, seed: int, least: int = 100) -> DataFrame:
     """AUROC of bootstrap replicates and their 2.5 and 97.5 percentiles: one row (ci_low, ci_high, replicates).
 
-    A row's weight in a replicate is Poisson with mean one from a portable draw, the usual form of
-    resampling that needs no counts of the whole; weights are summed by distinct score before any
-    window, so a replicate costs its distinct scores. One-class replicates are skipped; with
-    fewer than ``least`` left the bounds are null."""
-    cuts = [1579929806, 3159859612, 3949824515, 4213146149, 4278976558, 4292142640, 4294336987]  # cumulative Poisson(1) times 2^32
-    u = portable_draw(seed, "iter", ident)
-    weight = sum((F.when(u >= c, 1).otherwise(0) for c in cuts), F.lit(0))
-    draws = df.select(ident, F.col(y).alias("y"), F.col(p).alias("score")).withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(iters - 1)))).withColumn("w", weight)
-    t = draws.filter("w > 0").groupBy("iter", "score").agg(F.sum(F.col("w") * F.col("y")).alias("pos"), F.sum("w").alias("n"))
+    A row counts Poisson(1) times in a replicate, the usual form of resampling that needs no count of the
+    whole, so the rows of one score and class count Poisson(k) times: a replicate draws once for
+    each distinct score and class, never for each row. Draws are portable. One-class replicates are
+    skipped; with fewer than ``least`` left the bounds are null."""
+    t = score_table(df, y, p, []).select("score", F.col("pos").cast("double").alias("pos"), (F.col("n") - F.col("pos")).cast("double").alias("neg"))
+    t = t.withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(iters - 1))))
+    t = t.withColumns({f"u_{k}": (portable_draw(seed, "iter", "score", F.lit(k)) + 0.5) / 4294967296.0 for k in ("pos", "neg")})
+
+    def draw(batches):
+        for b in batches:
+            yield pd.DataFrame({"iter": b["iter"], "score": b["score"], "pos": poisson_quantile(b["u_pos"].to_numpy(), b["pos"].to_numpy()), "neg": poisson_quantile(b["u_neg"].to_numpy(), b["neg"].to_numpy())})
+
+    t = t.mapInPandas(draw, "iter int, score double, pos double, neg double")
     up = W.partitionBy("iter").orderBy("score").rowsBetween(W.unboundedPreceding, -1)
-    t = t.withColumn("below", F.coalesce(F.sum(F.col("n") - F.col("pos")).over(up), F.lit(0)))
-    a = t.groupBy("iter").agg(F.sum(F.col("pos") * (F.col("below") + (F.col("n") - F.col("pos")) / 2)).alias("u"), F.sum("pos").alias("k"), F.sum("n").alias("n"))
-    a = a.filter("k > 0 AND k < n").select((F.col("u") / (F.col("k") * (F.col("n") - F.col("k")))).alias("auroc"))
+    t = t.withColumn("below", F.coalesce(F.sum("neg").over(up), F.lit(0.0)))
+    a = t.groupBy("iter").agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("k"), F.sum("neg").alias("m"))
+    a = a.filter("k > 0 AND m > 0").select((F.col("u") / (F.col("k") * F.col("m"))).alias("auroc"))
     q = F.percentile("auroc", F.array(F.lit(0.025), F.lit(0.975)))
     return a.agg(q.alias("q"), F.count(F.lit(1)).alias("replicates")).select(F.when(F.col("replicates") >= least, F.col("q")[0]).alias("ci_low"), F.when(F.col("replicates") >= least, F.col("q")[1]).alias("ci_high"), "replicates")
 

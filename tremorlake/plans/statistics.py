@@ -164,7 +164,7 @@ def h16(spark, d):
 
 @query("h17_bootstrap_auroc")
 def h17(spark, d):
-    return S.bootstrap_auroc(scored(spark, d), "y", "p", "row_id", 20, SEED, least=1)
+    return S.bootstrap_auroc(scored(spark, d), "y", "p", 1000, SEED)
 
 
 @query("h18_verdict", ctes("scored") + ", y AS (SELECT year(d) AS fold, CAST(sum(y) AS BIGINT) AS positives, avg(p) AS auroc FROM scored GROUP BY 1) SELECT fold, positives, CASE WHEN positives < 5 THEN 'INSUFFICIENT_DATA' WHEN auroc < 0.5 THEN 'NULL' ELSE 'CONFIRMED' END AS verdict FROM y")
