@@ -61,9 +61,20 @@ def op6_simhash(spark, d):
     return simhash.near_duplicates(table(spark, d, "documents"))
 
 
+ORACLES["op10_substrings"] = r"""
+WITH words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i, len(ws) AS n FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents)),
+windows AS (SELECT doc_id, i, md5(string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)) AS h, n FROM words),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS r FROM windows WHERE i + 19 <= n) WHERE r > 1),
+marked AS (SELECT w.doc_id, w.i, w.word, coalesce(max(CASE WHEN a.i IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY w.doc_id ORDER BY w.i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 0) AS gone FROM words w LEFT JOIN again a ON a.doc_id = w.doc_id AND a.i = w.i),
+kept AS (SELECT doc_id, count(*) AS n_words, CAST(sum(gone) AS BIGINT) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS text FROM marked GROUP BY 1)
+SELECT d.doc_id, coalesce(k.n_words, 0) AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256 FROM documents d LEFT JOIN kept k USING (doc_id)
+"""
+
+
 @query
 def op10_substrings(spark, d):
-    return substrings.remove_repeats(table(spark, d, "documents"), keep_text=False)
+    out = substrings.remove_repeats(table(spark, d, "documents"), keep_text=False)
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 @query
