@@ -15,8 +15,8 @@ def date_zone_spine(zones: DataFrame, start, end, zone: str = "fault_id", day: s
 def spine_of(df: DataFrame, zone: str, day: str) -> DataFrame:
     """The dense spine over the zones and the range of days that ``df`` has."""
     span = df.agg(F.min(day).alias("_a"), F.max(day).alias("_b"))
-    days = span.select(F.explode(F.sequence("_a", "_b", F.expr("INTERVAL 1 DAY"))).alias(day))
-    return df.select(zone).distinct().crossJoin(F.broadcast(days))  # one row a zone and day is the result asked for
+    zones = df.select(zone).distinct().crossJoin(F.broadcast(span))  # the span is one row
+    return zones.select(zone, F.explode(F.sequence("_a", "_b", F.expr("INTERVAL 1 DAY"))).alias(day))
 
 
 def forward_label(spine: DataFrame, events: DataFrame, lo: int, hi: int, name: str, zone: str = "zone", day: str = "d", mag: str = "magnitude", where: Column | None = None) -> DataFrame:
