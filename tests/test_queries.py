@@ -39,7 +39,8 @@ def test_same_rows_as_sql(spark, con, name):
     assert sorted(names) == cols
     want = [tuple(r[names.index(c)] for c in cols) for r in cur.fetchall()]
     got = [tuple(r) for r in df.select(*cols).collect()]
-    key = lambda r: [(x is None, "" if x is None else f"{x:.3f}" if isinstance(x, float) else str(x)) for x in r]
+    exact = lambda x: (x is None, "" if x is None or isinstance(x, float) else str(x))
+    key = lambda r: ([exact(x) for x in r], [round(x, 3) + 0.0 for x in r if isinstance(x, float)])
     got.sort(key=key)
     want.sort(key=key)
     assert len(got) == len(want)
