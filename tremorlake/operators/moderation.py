@@ -16,13 +16,15 @@ def moderation_test(events: DataFrame, signal: DataFrame, bin_col: str, metric:
     that of shuffled bins. One row: observed, null_mean, null_std, p.
 
     Each event has one value, its mean over the days; a shuffle gives the values a portable random
-    order and sets them against the events in order of their ids, so bins keep their sizes. Bins of
-    fewer than ``least`` events are left out of the observed variance."""
+    order and deals them to the bins in turn, so bins keep their sizes. Bins of fewer than ``least``
+    events are left out of the observed variance. Only a shuffle's own events are ordered in a task."""
     pre = epoch_join(events, signal, max(map(abs, days))).filter(F.col("rel_day").between(*days)).groupBy(ident, bin_col).agg(F.avg(metric).alias("_m"))
-    ranked = pre.withColumn("_r", F.row_number().over(W.orderBy(ident)))  # one row an event of the study
+    sizes = pre.groupBy(bin_col).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.select(F.struct(F.sum("_n").over(W.orderBy(bin_col)).alias("to"), F.col(bin_col).alias("bin")).alias("_s")).agg(F.array_sort(F.collect_list("_s")).alias("_to"))  # one row a bin
     again = pre.withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(iters - 1))))
     again = again.withColumn("_r", F.row_number().over(W.partitionBy("iter").orderBy(portable_draw(seed, "iter", ident), ident))).select("iter", "_r", "_m")
-    means = again.join(ranked.select("_r", bin_col), "_r").groupBy("iter", bin_col).agg(F.avg("_m").alias("a"))
+    dealt = again.crossJoin(F.broadcast(sizes)).withColumn(bin_col, F.filter("_to", lambda s: s["to"] >= F.col("_r"))[0]["bin"])
+    means = dealt.groupBy("iter", bin_col).agg(F.avg("_m").alias("a"))
     null = means.groupBy("iter").agg(F.var_pop("a").alias("v"))
     obs = pre.groupBy(bin_col).agg(F.avg("_m").alias("a"), F.count(F.lit(1)).alias("k")).filter(F.col("k") >= least).agg(F.var_pop("a").alias("observed"))
     both = null.crossJoin(F.broadcast(obs))

@@ -101,9 +101,9 @@ def h08(spark, d):
     "h09_moderation",
     ctes("ev", "sensor")
     + f""", sig AS (SELECT d, x FROM sensor WHERE zone = 'R'), big AS (SELECT event_id, d, CAST(event_id % 4 AS INT) AS bin FROM ev WHERE magnitude >= 6.9), k AS (SELECT CAST(unnest(generate_series(-5, -1)) AS INT) AS rel_day),
-    pre AS (SELECT event_id, bin, avg(x) AS m FROM big, k JOIN sig ON sig.d = big.d + rel_day GROUP BY 1, 2), n AS (SELECT event_id, bin, m, row_number() OVER (ORDER BY event_id) AS r FROM pre),
+    pre AS (SELECT event_id, bin, avg(x) AS m FROM big, k JOIN sig ON sig.d = big.d + rel_day GROUP BY 1, 2), n AS (SELECT event_id, bin, m FROM pre), cum AS (SELECT bin, sum(c) OVER (ORDER BY bin) AS hi, sum(c) OVER (ORDER BY bin) - c AS lo FROM (SELECT bin, count(*) AS c FROM n GROUP BY 1)),
     it AS (SELECT CAST(unnest(generate_series(0, 29)) AS INT) AS iter), sh AS (SELECT iter, m, row_number() OVER (PARTITION BY iter ORDER BY {draw("iter", "event_id")}, event_id) AS r FROM n, it),
-    nul AS (SELECT iter, var_pop(a) AS v FROM (SELECT iter, bin, avg(sh.m) AS a FROM sh JOIN n USING (r) GROUP BY 1, 2) GROUP BY 1), obs AS (SELECT var_pop(a) AS v FROM (SELECT bin, avg(m) AS a FROM n GROUP BY 1 HAVING count(*) >= 5))
+    nul AS (SELECT iter, var_pop(a) AS v FROM (SELECT iter, bin, avg(sh.m) AS a FROM sh JOIN cum ON r > lo AND r <= hi GROUP BY 1, 2) GROUP BY 1), obs AS (SELECT var_pop(a) AS v FROM (SELECT bin, avg(m) AS a FROM n GROUP BY 1 HAVING count(*) >= 5))
     SELECT round(any_value(obs.v), 2) AS observed, round(avg(nul.v), 2) AS null_mean, round(avg(CAST(nul.v >= obs.v AS INT)), 6) AS p FROM nul, obs""",
 )
 def h09(spark, d):
