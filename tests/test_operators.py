@@ -54,6 +54,8 @@ def test_auroc_with_ties(spark):
     assert abs(same.auroc - want) < 1e-12
     ci = statistics.bootstrap_auroc(df, "y", "p", 100, 1).first()
     assert ci.ci_low < want < ci.ci_high and ci.replicates == 100
+    both = statistics.binary_metrics(df.withColumn("g", F.when(F.col("id") % 2 == 0, "a")), "y", "p", ["g"]).collect()
+    assert sorted(str(x.g) for x in both) == ["None", "a"] and sum(x.n for x in both) == len(rows)
     assert statistics.binary_metrics(df.filter("y = 1"), "y", "p").first().auroc is None
 
 

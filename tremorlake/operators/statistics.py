@@ -80,14 +80,28 @@ def score_table(df: DataFrame, y: str, p: str, by: list[str]) -> DataFrame:
     return df.groupBy(*by, F.col(p).alias("score")).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"), F.sum(F.pow(F.col(p) - F.col(y), 2)).alias("sq"))
 
 
+def running_counts(t: DataFrame, by: list[str], slices: int = 4096) -> DataFrame:
+    """Adds to a score table the positives and rows of lower scores (``pos_below``, ``n_below``) and of all (``pos_all``,
+    ``n_all``). Scores are cut into slices of equal width: a slice starts at the sums of those before it and is
+    ordered by itself, so that no task orders all scores."""
+    span = t.agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
+    part = F.coalesce(F.floor(F.try_divide(F.col("score") - F.col("_lo"), F.col("_hi") - F.col("_lo")) * slices), F.lit(0))
+    t = t.crossJoin(F.broadcast(span)).withColumn("_slice", part).drop("_lo", "_hi")
+    sums = t.groupBy(*by, "_slice").agg(F.sum("pos").alias("_p"), F.sum("n").alias("_n"))
+    whole, before = W.partitionBy(*by), W.partitionBy(*by).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select(*(F.col(c).alias(f"_k_{c}") for c in [*by, "_slice"]), *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in ("_p", "_n")), F.sum("_p").over(whole).alias("pos_all"), F.sum("_n").over(whole).alias("n_all"))
+    inside = W.partitionBy(*by, "_slice").orderBy("score").rowsBetween(W.unboundedPreceding, -1)
+    t = t.select("*", *(F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"{c}_in") for c in ("pos", "n"))).join(sums, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in [*by, "_slice"]])
+    t = t.drop(*(f"_k_{c}" for c in [*by, "_slice"]))
+    return t.withColumns({"pos_below": F.col("_p0") + F.col("pos_in"), "n_below": F.col("_n0") + F.col("n_in")}).drop("_slice", "_p0", "_n0", "pos_in", "n_in")
+
+
 def binary_metrics(df: DataFrame, y: str, p: str, by: list[str] | None = None) -> DataFrame:
     """AUROC with tied scores averaged, Brier score, average precision, base rate and Brier skill against it; AUROC and
     average precision are null where only one class is there."""
     by = by or []
-    t = score_table(df, y, p, by)
-    up = W.partitionBy(*by).orderBy("score").rowsBetween(W.unboundedPreceding, -1)
-    down = W.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
-    t = t.withColumns({"neg_below": F.coalesce(F.sum(F.col("n") - F.col("pos")).over(up), F.lit(0)), "tp": F.sum("pos").over(down), "seen": F.sum("n").over(down)})
+    t = running_counts(score_table(df, y, p, by), by)
+    t = t.withColumns({"neg_below": F.col("n_below") - F.col("pos_below"), "tp": F.col("pos_all") - F.col("pos_below"), "seen": F.col("n_all") - F.col("n_below")})
     a = t.groupBy(*by).agg(
         F.sum("n").alias("n"),
         F.sum("pos").alias("positives"),
