@@ -1,5 +1,7 @@
+import math
 import random
 import re
+from itertools import combinations
 
 import numpy as np
 
@@ -62,3 +64,45 @@ def test_pairs_against_brute_force(spark, monkeypatch):
         assert sorted(left) == sorted(d for d, _ in docs if d not in {p for p, _ in want})
     assert dec.contaminated(df.limit(0), bench).count() == 0 and dec.contaminated(df, bench.limit(0)).count() == 0
     assert dec.drop_contaminated(df, bench.limit(0)).count() == len(docs)
+
+
+def test_every_allowed_substitution_is_found():
+    for n in range(1, 17):
+        item = [f"w{k}" for k in range(n)]
+        index = dec.SeedIndex([(1, " ".join(item))])
+        allowed = n - math.ceil(0.8 * n - 1e-9) if n >= 7 else 0
+        for held in range(allowed + 1):
+            texts = [" ".join(["before", *("x" if k in gone else w for k, w in enumerate(item)), "after"]) for gone in combinations(range(n), held)]
+            found = {d for d, *_ in index.matches(texts)}
+            assert len(found) == len(texts), (n, held, len(texts) - len(found))
+        if n < 7:
+            assert not index.matches([" ".join("x" if k == 0 else w for k, w in enumerate(item))])
+            assert index.matches([" ".join(["a", *item, "b", *item])]) == [(0, 0, 1, n, n)]
+
+
+def test_no_overlap_of_any_length_avoids_the_masks():
+    # least number of unequal words in n words that keep every mask from a hit, over the outcomes of the last words
+    for low, high, masks in ((7, 12, dec.SHORT_MASKS), (13, 90, dec.MASKS)):
+        bits, full = [int(m, 2) for m in masks], (1 << max(map(len, masks)) - 1) - 1
+        least, open_ = {0: 0}, []
+        for n in range(1, high + 1):
+            new = {}
+            for state, cost in least.items():
+                for equal in (0, 1):
+                    s = state << 1 | equal
+                    if not any(s & b == b for b in bits):
+                        new[s & full] = min(new.get(s & full, n), cost + 1 - equal)
+            least = new
+            if n >= low and min(least.values()) <= n - math.ceil(0.8 * n - 1e-9):
+                open_.append(n)
+        # these two lengths have a mask more, whose patterns are tried one by one above; items of
+        # over 75 words pass only with a stretch of 13 words that passes
+        assert open_ == ([] if high == 12 else [15, 16])
+
+
+def test_short_items_in_tables(spark):
+    bench = spark.createDataFrame([(1, "alpha beta gamma"), (2, "one two three four five six seven"), (3, "...")], "item_id long, text string")
+    df = spark.createDataFrame([(1, "so Alpha, beta gamma it is"), (2, "alpha beta delta"), (3, "one two three x five six seven"), (4, "one two x four x six seven"), (5, "...")], "doc_id long, text string")
+    got = [(r.doc_id, r.item_id, r.first_word, r.n_words, r.n_equal) for r in dec.contaminated(df, bench).orderBy("doc_id").collect()]
+    assert got == [(1, 1, 1, 3, 3), (3, 2, 0, 7, 6)]
+    assert sorted(r.doc_id for r in dec.drop_contaminated(df, bench).collect()) == [2, 4, 5]
