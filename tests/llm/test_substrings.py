@@ -62,3 +62,19 @@ def test_repeated_rows_and_nulls(spark):
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_words, r.n_removed) for r in substrings.remove_repeats(df).collect())
     assert got == [(-1, 30, 0), (1, 30, 30), (2, 30, 30), (2, 50, 0), (2, 50, 0), (3, 50, 50)]
     assert substrings.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_texts_without_id_of_equal_32_bit_hash(spark):
+    from pyspark.sql import functions as F
+
+    # two texts that the 32-bit hash takes for one: a passage of one of them also stands in a later document
+    tail = " ".join(f"t{i}" for i in range(30))
+    rows = spark.range(400_000).select("id", F.concat(F.lit("n"), F.col("id").cast("string"), F.lit(f" {tail}")).alias("text"))
+    pair = rows.groupBy(F.hash("text").alias("h")).agg(F.collect_list("text").alias("t")).filter(F.size("t") > 1).orderBy("h").first().t
+    first, second = sorted(pair)[:2]
+    long = " ".join(f"u{i}" for i in range(25))
+    for docs in ([(None, first), (None, second)], [(7, first), (7, second)], [(None, first), (None, second), (9, second + " " + long)]):
+        df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+        got = substrings.remove_repeats(df).collect()
+        # the tail stays in one of the two only
+        assert sorted(r.n_removed for r in got)[:2] == [0, 30] and sum(r.n_removed == 0 for r in got) == 1

@@ -97,7 +97,7 @@ def chunk_leaves(docs: list[tuple[int, int, list[bytes]]], hashes: dict, window:
     open_ = np.add.reduceat(~again, first)
     owner = doc[first]
     ids = np.array([d for d, _, _ in docs], np.int64)
-    texts = np.array([t for _, t, _ in docs], np.int32)
+    texts = np.array([t for _, t, _ in docs], np.int64)
     key = grams[at[first]]
     # a stretch without labels has nothing to ask of its anchor's group and may go anywhere
     key = np.where(open_ > 0, key, _mix(key ^ ids[owner].view(np.uint64) ^ place[first].astype(np.uint64)))
@@ -108,7 +108,7 @@ def chunk_leaves(docs: list[tuple[int, int, list[bytes]]], hashes: dict, window:
     return {"anchor": key.view(np.int64), "d": ids[owner], "th": texts[owner], "pos": place[first].astype(np.int32), "info": (mask | offset << 16 | length << 24).astype(np.int32), "labels": labels}
 
 
-_LEAF = pa.schema([("anchor", pa.int64()), ("d", pa.int64()), ("th", pa.int32()), ("pos", pa.int32()), ("info", pa.int32()), ("labels", pa.binary())])
+_LEAF = pa.schema([("anchor", pa.int64()), ("d", pa.int64()), ("th", pa.int64()), ("pos", pa.int32()), ("info", pa.int32()), ("labels", pa.binary())])
 
 
 def _leaves(df: DataFrame, window: int, anchor: int) -> DataFrame:
@@ -138,7 +138,7 @@ def _leaves(df: DataFrame, window: int, anchor: int) -> DataFrame:
         if held:
             yield from flush(held)
 
-    return df.mapInArrow(run, "anchor long, d long, th int, pos int, info int, labels binary")
+    return df.mapInArrow(run, "anchor long, d long, th long, pos int, info int, labels binary")
 
 
 def _packed(src: DataFrame) -> DataFrame:
@@ -149,7 +149,7 @@ def _packed(src: DataFrame) -> DataFrame:
             packed = [zlib.compress(t.as_buffer() or b"", 1) if t.is_valid else None for t in b.column(3)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(packed, pa.binary())], names=["id", "d", "th", "packed"])
 
-    return src.mapInArrow(run, "id long, d long, th int, packed binary")
+    return src.mapInArrow(run, "id long, d long, th long, packed binary")
 
 
 def _marks(leaves: DataFrame) -> DataFrame:
@@ -197,7 +197,7 @@ def _marks(leaves: DataFrame) -> DataFrame:
                 hit = mask > 0
                 yield pa.RecordBatch.from_arrays([pa.array(d[hit]), pa.array(th[hit]), pa.array(pos[hit], pa.int32()), pa.array(mask[hit], pa.int32())], names=["d", "th", "pos", "mask"])
 
-    return dealt.mapInArrow(run, "d long, th int, pos int, mask int")
+    return dealt.mapInArrow(run, "d long, th long, pos int, mask int")
 
 
 def covered(n_words: int, marks: list[tuple[int, int]], window: int) -> np.ndarray:
@@ -221,13 +221,14 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     id counts as the smallest. Rows of equal id and text are one document and share the result;
     of equal ids with different texts, that of the smaller text hash comes first. A null text has no
     words; texts shorter than a window lose nothing; an empty table gives no rows. Only the two
-    named columns are read. Windows are told apart by 104 bits of hashes, 64 within a chunk.
+    named columns are read. Windows are told apart by 104 bits of hashes, 64 within a chunk; texts of one id, or without
+    an id, by 64 bits.
     """
     anchor = min(ANCHOR, window)
     if not 1 <= window <= 15 + anchor or window > 3 * anchor:
         raise ValueError("window must be at most 23 words, or 24 with anchors of 8")
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    src = src.select("id", F.coalesce("id", F.lit(_LEAST)).alias("d"), F.hash("text").alias("th"), "text")
+    src = src.select("id", F.coalesce("id", F.lit(_LEAST)).alias("d"), F.xxhash64("text").alias("th"), "text")
     marks = _marks(_leaves(src.select("d", "th", "text"), window, anchor))
     marks = marks.groupBy("d", "th").agg(F.collect_list(F.struct("pos", "mask")).alias("marks"))
     rows = _packed(src).join(marks, ["d", "th"], "left").select("id", "packed", "marks")
