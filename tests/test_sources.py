@@ -72,6 +72,14 @@ def test_station_formats(spark):
     assert got[1].status == "ok" and got[1].n_reporting == 3 and abs(got[1].variance - 2 / 3) < 1e-12 and got[2].status == "no_data" and got[3].status == "decode_error"
 
 
+def test_daily_network_reads_every_cell(spark):
+    long = "13,0," + ",".join(["0"] * 100_000 + ["1"] * 50_000)
+    net = spark.createDataFrame([(1, long), (1, "13,0,3"), (1, "11,1,150001"), (2, "13,0"), (3, "13,")], "d int, value string")
+    got = {r.d: r for r in text_formats.daily_network_csv(net).collect()}
+    assert abs(got[1]["mean"] - 50_003 / 150_001) < 1e-12 and got[1].n_reporting == 150_001
+    assert got[2].status == got[3].status == "no_data"
+
+
 def test_grid_cells(spark):
     rec = lambda body, label: f"{body:<60}{label}"
     values = [f"{v:5d}" for v in [*range(72), 9999]]

@@ -88,7 +88,7 @@ def tenv3_positions(df: DataFrame, least_days: int = 365) -> DataFrame:
 def daily_network_csv(df: DataFrame) -> DataFrame:
     """Lines of a network file with the day in ``d``: all cells of lines of type 13 pooled to mean, population variance and
     z = mean / deviation, reporting stations of the line of type 11, and a status."""
-    cells = df.filter(F.col("value").startswith("13,")).select("d", F.explode(F.slice(F.split("value", ","), 3, 100000)).alias("x")).select("d", F.col("x").try_cast("double").alias("x"))
+    cells = df.filter(F.col("value").startswith("13,")).select("d", F.split("value", ",").alias("c")).select("d", F.explode(F.slice("c", F.lit(3), F.greatest(F.size("c") - 2, F.lit(0)))).alias("x")).select("d", F.col("x").try_cast("double").alias("x"))
     stats = cells.groupBy("d").agg(F.avg("x").alias("mean"), F.var_pop("x").alias("variance"), F.count("x").alias("n_cells"), F.count(F.lit(1)).alias("n_all"))
     meta = df.groupBy("d").agg(F.max(F.regexp_extract("value", r"^11,\d+,(\d+)", 1).try_cast("int")).alias("n_reporting"))
     out = meta.join(stats, "d", "left")
