@@ -44,3 +44,19 @@ def test_unnamed_template(spark, monkeypatch):
 @pytest.mark.parametrize("raw,text", [("<p>a<b>b</b>c</p>d", "abc d"), ("<p>a &amp;amp; b &#233; &bogus; 5 < 6 <3", "a &amp; b é &bogus; 5 < 6 <3"), ("<div class='Cookie-Notice'>x</div>y", "y"), ("<ARTICLE>a<aside>b</aside>c<div class=comments>d</div></ARTICLE>e", "a c"), ("<textarea><p>x</textarea>y<script>z", "y"), ("a<!-- b -->c<!d>e<?f?>g", "aceg"), ("<header>top</header><main><header><h1>T</h1></header>x</main>", "T x"), ("x" * 200_000 + "<p>" * 20_000, "x" * 200_000), ("<div>" * 60_000 + "deep" + "</p></nav>" * 50_000, "deep"), ('<a href="x>y">z</a>', "z"), ("<article><div class='post-header'><h1>T</h1></div><p class='ad'>x<b>y</b><p>keep <span class=share-count>9<span>8</span>7</span> on</p><ul><li class=comment>c<li>d</ul><p id=promo>e</article>", "T keep on d"), ("<p class='lead'>a</p><p class=cookie>b</p><div>c</div>", "a c"), ("<p class=ad>x<div>y</div>", "y"), ("<img class=ad>t<br class=ad>u", "t u")])
 def test_parsing(raw, text):
     assert templates.main_text(raw) == text
+
+
+def test_same_text_on_all_pages_is_template(spark):
+    def page(k, layout="a"):
+        told = " ".join(f"story{k}x{j}" for j in range(12))
+        always = f"written by the {layout} desk for all our readers every day"
+        return f'<html><body><div class="{layout}"><div class="story">{told}</div><div class="box">{always}</div></div></body></html>', told
+
+    made = [(k, *page(k)) for k in range(8)] + [(20 + k, *page(20 + k, "b")) for k in range(3)]
+    rows = [(k, f"http://h.org/{k}", p) for k, p, _ in made]
+    # copies of one page tell nothing of its template
+    rows += [(50 + k, f"http://copies.org/{k}", made[0][1]) for k in range(4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in templates.extract(df).collect()}
+    assert {k: got[k] for k, *_ in made} == {k: told for k, _, told in made}
+    assert all("desk" in got[50 + k] and "story0x0" in got[50 + k] for k in range(4))

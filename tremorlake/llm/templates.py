@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from tremorlake.llm.common import arrow_map
 
 MIN_PAGES = 3
-#: A class is of the template if this share of the host's pages has its tokens.
+#: A class can hold the main slot or a slot of links if this share of the host's pages has its tokens; slots of
+#: the same text need ``MIN_PAGES`` only.
 SUPPORT = 0.5
 LINK_SHARE = 0.6
 #: Containers below this depth have the path of the last one above it; marks hold at any depth.
@@ -203,20 +204,21 @@ def templates(pages: DataFrame) -> DataFrame:
     total = tokens.filter("path = ''").select("host", F.col("n").alias("pages"), F.col("vec").alias("all_pages")).filter(F.col("n") >= MIN_PAGES)
     tokens = tokens.filter("path != ''").join(total, "host")
     # an equivalence class is the tokens of equal occurrence; its support is the number of its pages
-    classes = tokens.groupBy("host", "vec", "n").agg(F.count(F.lit(1)).alias("tokens"), F.collect_list(F.struct("path", "chars", "links", "low", "high", "marked")).alias("members"), F.first("pages").alias("pages"))
-    valid = classes.filter((F.col("n") >= SUPPORT * F.col("pages")) & (F.col("n") >= MIN_PAGES)).select("host", "n", F.explode("members").alias("m")).select("host", "n", "m.*")
+    # where the pages of a class differ, a slot of the same text on all of them is template; copies of one page tell nothing
+    classes = tokens.groupBy("host", "vec", "n").agg(F.max(F.col("low") != F.col("high")).alias("varies"), F.collect_list(F.struct("path", "chars", "links", "low", "high", "marked")).alias("members"), F.first("pages").alias("pages"))
+    valid = classes.filter(F.col("n") >= MIN_PAGES).select("host", (F.col("n") >= SUPPORT * F.col("pages")).alias("wide"), "varies", F.explode("members").alias("m")).select("host", "wide", "varies", "m.*")
+    same = F.col("varies") & (F.col("low") == F.col("high"))
     slot = valid.withColumn("deep", F.size(F.split("path", "/"))).withColumn(
-        "closed", (F.col("marked") == 1) | ((F.col("links") > LINK_SHARE * F.col("chars")) & (F.col("chars") > 0))
+        "closed", (F.col("marked") == 1) | ((same | (F.col("wide") & (F.col("links") > LINK_SHARE * F.col("chars")))) & (F.col("chars") > 0))
     )
     semantic = F.col("path").rlike(r"/(article|main)[^/]*$")
     by_host = slot.groupBy("host").agg(
-        F.max(F.when(~F.col("closed"), F.col("chars"))).alias("most"),
+        F.max(F.when(~F.col("closed") & F.col("wide"), F.col("chars"))).alias("most"),
         F.collect_list(F.when(F.col("closed") & (F.col("marked") == 0) & ~F.col("path").rlike("/(article|main)"), F.col("path"))).alias("drop"),
-        F.collect_list(F.when(~F.col("closed"), F.struct(semantic.alias("semantic"), "deep", "chars", "path"))).alias("open"),
+        F.collect_list(F.when(~F.col("closed") & F.col("wide"), F.struct(semantic.alias("semantic"), "deep", "chars", "path"))).alias("open"),
     )
     fit = F.filter("open", lambda s: (s["chars"] >= MAIN_SHARE * F.col("most")))
     best = F.array_max(F.transform(fit, lambda s: F.struct(s["semantic"].alias("a"), F.when(s["semantic"], -s["deep"]).otherwise(s["deep"]).alias("b"), s["chars"].alias("c"), s["path"].alias("p"))))["p"]
-    # a slot is only taken for the main one where its text differs between pages or an element names it so
     return by_host.select("host", best.alias("main"), "drop")
 
 
