@@ -22,6 +22,7 @@ TEXTS = [
     "0 mit 0 license",
     "cc cc by by " * 2000,
     "x" * 100_000,
+    "so the apache license É " * 3000 + "end",
 ]
 
 
@@ -49,3 +50,34 @@ def test_tags_and_notices():
     r = licenses.scanner()("// SPDX-License-Identifier: (MIT OR Apache-2.0)\ncode\n# spdx-license-identifier: GPL-3.0-only\nAll rights reserved.")
     assert r["labels"] == "all-rights-reserved,apache,gpl,mit" and r["base_labels"] == "" and r["permissive"] is False
     assert r["expressions"] == ["MIT Apache-2.0 or", "GPL-3.0-only"]
+
+
+def test_expressions_in_prose():
+    f = licenses.scanner()
+    for text, labels, found in [
+        ("SPDX-License-Identifier: MIT and see the LICENSE file", "mit", ["MIT"]),
+        ("SPDX-License-Identifier: MIT OR", "mit", ["MIT"]),
+        ("/* SPDX-License-Identifier: (MIT OR BSD-3-Clause */", "bsd,mit", ["MIT BSD-3-Clause or"]),
+        ("License: MIT or Apache-2.0.", "apache,mit", ["MIT Apache-2.0 or"]),
+        ("license : see the file", "", []),
+        ("SPDX-License-Identifier: Zlib\nMIT", "zlib", ["Zlib"]),
+        ("SPDX-License-Identifier: GPL-2.0 WITH Classpath-exception-2.0 with thanks", "gpl", ["GPL-2.0 Classpath-exception-2.0 with"]),
+        ("SPDX License Identifier MIT", "", []),
+        ("SPDX-License-Identifier: AND MIT", "", []),
+        ("é SPDX-License-Identifier: (MIT) AND (ISC OR (MPL-2.0", "isc,mit,mpl", ["MIT ISC MPL-2.0 or and"]),
+    ]:
+        r = f(text)
+        assert (r["labels"], r["expressions"]) == (labels, found), text
+
+
+def test_time_is_linear_in_hits():
+    import time
+
+    f, took = licenses.scanner(), []
+    text = "SPDX-License-Identifier: MIT OR ISC, the apache license and so on; "
+    for n in (20_000, 80_000):  # 1.3 and 5.3 MB
+        start = time.process_time()
+        r = f(text * n)
+        took.append(time.process_time() - start)
+        assert r["n_base"] == n and r["last_word"] == r["n_words"] - 5 and len(r["expressions"]) == n
+    assert took[1] < 10 * took[0]

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from tremorlake.llm.common import arrow_map
@@ -29,7 +31,8 @@ NOTICE_PHRASES = {
     "released under": "",
     "without warranty of any kind": "",
 }
-TAG = "spdx license identifier"
+#: Words that announce an expression where a colon follows, and whether its first name may be of no known family.
+TAGS = {"spdx license identifier": True, "license": False, "licence": False}
 
 # Families of licence identifiers, by prefix in lower case; the longest prefix decides.
 FAMILIES = {"gpl": "gpl", "lgpl": "lgpl", "agpl": "agpl", "apache": "apache", "mit": "mit", "bsd": "bsd", "mpl": "mpl", "epl": "epl", "cc-by": "cc-by", "cc0": "public-domain", "isc": "isc", "bsl": "bsl", "unlicense": "public-domain"}
@@ -37,8 +40,11 @@ FAMILIES = {"gpl": "gpl", "lgpl": "lgpl", "agpl": "agpl", "apache": "apache", "m
 PERMISSIVE = frozenset({"apache", "mit", "bsd", "cc-by", "isc", "bsl", "public-domain"})
 
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
-_TAG_LINE = re.compile(r"(?i)SPDX-License-Identifier:[ \t]*([^\r\n]*)")
 _SYMBOL = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+:-]*")
+_COLON = re.compile(rb"[ \t]*:")
+#: A symbol behind spaces of the same line; anything else ends an expression.
+_NEXT = re.compile(rb"[ \t]*([()]|[A-Za-z0-9](?:[A-Za-z0-9.+:-]*[A-Za-z0-9+])?)")
+_NAME = re.compile(r"(?:[A-Za-z0-9.+]+-)+[A-Za-z0-9.+]+")
 _NOT_WORD = bytes(i if 0x30 <= i <= 0x39 or 0x61 <= i <= 0x7A or i >= 0x80 else 0x20 for i in range(256))
 
 
@@ -48,6 +54,35 @@ def family(identifier: str) -> str:
     return FAMILIES[max(hit, key=len)] if (hit := [p for p in FAMILIES if x.startswith(p)]) else x
 
 
+def symbols(raw: bytes, at: int) -> Iterator[str]:
+    """Names, operators and parentheses from a place on, up to the end of the line or any other character."""
+    while m := _NEXT.match(raw, at):
+        yield m[1].decode("ascii")
+        at = m.end()
+
+
+def leading_expression(found: Iterable[str], any_first: bool = True) -> str:
+    """The longest expression that some symbols begin with, its open parentheses closed; empty if there is none.
+
+    The first name may be any if ``any_first``; the others are of known families, or a hyphen joins
+    their parts, so prose after an expression ends it and an operator without a name is left out."""
+    taken: list[str] = []
+    depth, whole, open_, operand = 0, 0, 0, True
+    for s in found:
+        if s == "(" if operand else s == ")" and depth:
+            depth += 1 if operand else -1
+        elif not operand and s.lower() in PRECEDENCE:
+            operand = True
+        elif operand and s not in "()" and s.lower() not in PRECEDENCE and ((any_first and not whole) or family(s) != s.lower() or _NAME.fullmatch(s) or s.lower() in FAMILIES):
+            operand = False
+        else:
+            break
+        taken.append(s)
+        if not operand:
+            whole, open_ = len(taken), depth
+    return " ".join(taken[:whole] + [")"] * open_)
+
+
 def to_postfix(text: str) -> list[str] | None:
     """A licence expression in postfix order, by the shunting-yard rule; None if it is not one.
     ``with`` binds closest, then ``and``, then ``or``; all associate to the left."""
@@ -104,34 +139,43 @@ def scanner(phrases: dict[str, str] | None = None):
 
     extra = NOTICE_PHRASES if phrases is None else phrases
     trie = ahocorasick.Automaton()
-    for p, label in ({p: (p, label, False) for p, label in extra.items()} | {p: (p, label, True) for p, label in BASE_PHRASES.items()} | {TAG: (TAG, "", None)}).items():
-        trie.add_word(f" {p} ", label)
+    for p, what in ({p: (label, "notice") for p, label in extra.items()} | {p: (label, "base") for p, label in BASE_PHRASES.items()}).items():
+        trie.add_word(f" {p} ", (p.count(" ") + 1, *what))
+    for p, any_first in TAGS.items():
+        trie.add_word(f" {p} ", (p.count(" ") + 1, any_first, "tag"))
     trie.make_automaton()
 
     def scan(text: str | None) -> dict:
-        words = (text or "").encode("utf-8", "surrogatepass").lower().translate(_NOT_WORD).split()
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        spaced = raw.lower().translate(_NOT_WORD)
+        words = spaced.split()
         flat = f" {b' '.join(words).decode('utf-8', 'surrogatepass')} "
-        base, labels, notices, expressions, starts = set(), set(), 0, [], []
-        tagged = False
-        for end, (phrase, label, kind) in trie.iter(flat):
-            if kind:
-                starts.append(flat.count(" ", 0, end - len(phrase) - 1))
+        base, labels, notices, expressions, starts, tags = set(), set(), 0, [], [], []
+        seen = last = 0  # words that end before ``last``; matches come in the order of their ends
+        for end, (n, label, kind) in trie.iter(flat):
+            seen += flat.count(" ", last, end)
+            last = end
+            if kind == "base":
+                starts.append(seen - n)
                 base.add(label)
-            elif kind is None:
-                tagged = True
+            elif kind == "tag":
+                tags.append((seen - 1, label))
             else:
                 notices += 1
                 labels |= {label} - {""}
         free = None
-        if tagged:
-            for m in _TAG_LINE.finditer(text):
-                if postfix := to_postfix(m[1]):
+        if tags:
+            blank = np.frombuffer(spaced + b" ", np.uint8) == 32
+            ends = np.flatnonzero(~blank[:-1] & blank[1:]) + 1
+            for word, any_first in tags:
+                colon = _COLON.match(raw, ends[word])
+                if colon and (postfix := to_postfix(leading_expression(symbols(raw, colon.end()), any_first))):
                     found, ok = evaluate(postfix)
                     expressions.append(" ".join(postfix))
                     labels |= found
                     free = ok if free is None else free and ok
         evidence = 2 * len(starts) + notices + 4 * len(expressions)
-        return {"n_words": len(words), "n_base": len(starts), "first_word": min(starts, default=None), "last_word": max(starts, default=None), "base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(base | labels)), "score": 1 - 0.5**evidence, "expressions": expressions, "permissive": free}
+        return {"n_words": len(words), "n_base": len(starts), "first_word": min(starts, default=None), "last_word": max(starts, default=None), "base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(base | labels)), "score": 1 - 0.5 ** min(evidence, 60), "expressions": expressions, "permissive": free}
 
     return scan
 
@@ -142,7 +186,7 @@ SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_label
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] | None = None) -> DataFrame:
     """One row for each row of ``df``: its id and what the automaton and the parser find in the whole text.
 
-    Identifier tags give expressions (in postfix form); ``permissive`` tells whether every tagged
+    Identifier tags, and ``license:`` before a known name, give expressions (in postfix form); ``permissive`` tells whether every tagged
     expression can be met by permissive licences, null without a tag. Null and empty texts have no
     words and empty labels; repeated rows give repeated rows, an empty table none. Columns other
     than the two named are not read, so their names may be anything.
