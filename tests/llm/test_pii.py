@@ -45,3 +45,43 @@ def test_iban_context_and_redaction(spark):
     assert red[1].text == "pay to IBAN [IBAN] now" and red[3].text == "call [PHONE] or [EMAIL]" and red[4].text is None and red[5].text == "ünï [CARD]"
     assert red[1].spans == "k" and pii.redact(df).columns == df.columns
     assert pii.digest(df.limit(0)).count() == 0
+
+
+def test_account_numbers_by_country(spark):
+    texts = ["AT61 1904 3002 3457 3201 CALL NOW", "AT611904300234573201X", "NO93 8601 1117 947, BE68539007547034", "XX61 1904 3002 3457 3201", "AT61 1904 3002 3457 3202", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"]
+    got = {r.doc_id: r.spans for r in pii.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    iban = {i: [s for s in (x or "").split(",") if s.startswith("iban")] for i, x in got.items()}
+    assert iban == {0: ["iban:0:24"], 1: [], 2: ["iban:0:18", "iban:20:36"], 3: [], 4: [], 5: ["iban:0:38"]}
+
+
+def test_context_decides_what_is_redacted(spark):
+    df = spark.createDataFrame([(1, "version 1.2.3.4 of the server 1.2.3.4")], "doc_id long, text string")
+    assert pii.redact(df).first().text == "version 1.2.3.4 of the server [IP]"
+    assert pii.redact(df, min_score=0).first().text == "version [IP] of the server [IP]"
+
+
+def test_many_spans(spark):
+    # places beyond one block of running sums, and stretches over several pieces
+    import time
+
+    r = random.Random(5)
+    words = ["é" * 30, "x" * 3000, "a@b.cd", "+1 (555) 123-4567", "1.2.3.4", "ü 4111 1111 1111 1111 ", " 1.2.3.4@b.cd "]
+    texts = [" ".join(r.choices(words, [20, 0.2, 5, 5, 5, 5, 5], k=n)) for n in (600, 1500, 4000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {i: brute(t) for i, t in enumerate(texts)}
+    assert {x.doc_id: x.spans.split(",") for x in pii.digest(df).collect()} == spans
+    for x in pii.redact(df).collect():
+        out, at = [], 0
+        for s in spans[x.doc_id]:
+            kind, a, b = s.split(":")
+            if int(a) >= at:
+                out.append(texts[x.doc_id][at : int(a)] + f"[{kind.upper()}]")
+            at = max(at, int(b))
+        assert x.text == "".join(out) + texts[x.doc_id][at:]
+    took = []
+    for n in (12_500, 100_000):
+        one = spark.createDataFrame([(1, "mail someone at a@b.cd or 1.2.3.4 in good time and " * (n // 2))], "doc_id long, text string")
+        start = time.time()
+        assert pii.digest(one).first().n_email == n // 2
+        took.append(time.time() - start)
+    assert took[1] < 20 * took[0]

@@ -5,9 +5,19 @@ Only DataFrame functions are used; nothing leaves the JVM.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Account numbers' length by country, from the public registry.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+IBAN = r"(?<![A-Za-z0-9])(?:" + "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items()) + r")(?![A-Za-z0-9])"
+
 # Kinds in their order, with patterns. Each starts where the plain pattern could start
 # first (at the end of the last match, or where no longer match begins further left) and takes its
 # runs whole, so that a search is linear in the text.
@@ -16,7 +26,7 @@ PATTERNS = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": IBAN,
 }
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: A character without which a text has no span of the kind.
@@ -33,6 +43,11 @@ CONTEXT = {
 LOWERS = {"email": None, "ip": r"\b(version|release|section|chapter)\b", "card": r"\b(isbn|order|tracking|serial)\b", "phone": None, "iban": None}
 CONTEXT_CHARS = 40
 CONTEXT_STEP = 0.2
+#: Least score of a span that is redacted.
+MIN_SCORE = 0.4
+#: Values of a block of running sums, and characters of a piece of a text.
+BLOCK = 256
+PIECE = 1024
 
 SPAN = "struct<start:int,ord:int,kind:string,stop:int,score:double>"
 
@@ -78,23 +93,35 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _spans(text: Column, found: Column, between: Column, kind: str) -> Column:
+def before_each(values: Column, add: Callable[[Column, Column], Column], zero: Column) -> Column:
+    """For each value what the values before it add up to, in blocks of ``BLOCK`` values: the sum of each block,
+    the sums before the blocks, then the values of each block, so that the work is linear in the array."""
+    blocks = F.sequence(F.lit(0), F.greatest(F.floor((F.size(values) - 1) / BLOCK), F.lit(0)).cast("int"))
+    of = lambda b: F.slice(values, b * BLOCK + 1, F.lit(BLOCK))
+    whole = F.transform(blocks, lambda b: F.aggregate(of(b), zero, add))
+
+    def scan(xs: Column, start: Column) -> Column:
+        state = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(xs, state, lambda s, x: F.struct(add(s["at"], x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+
+    starts = scan(whole, zero)
+    return F.when(F.size(values) <= BLOCK, scan(values, zero)).otherwise(F.flatten(F.zip_with(blocks, starts, lambda b, start: scan(of(b), start))))
+
+
+def _spans(found: Column, between: Column, kind: str) -> Column:
     """Spans of the valid matches ``found``: their places follow from the lengths of what lies between."""
     order = list(PATTERNS).index(kind)
+    steps = F.zip_with(between, found, lambda gap, m: F.length(gap) + F.length(m))
+    pairs = F.zip_with(F.zip_with(found, between, lambda m, gap: F.struct(m.alias("m"), gap.alias("gap"))), before_each(steps, lambda a, b: a + b, F.lit(0)), lambda x, at: F.struct(x["m"].alias("m"), x["gap"].alias("gap"), (at + F.length(x["gap"])).alias("start")))
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["gap"])
-        stop = start + F.length(x["m"])
-        before = F.lower(F.substring(text, F.greatest(start - CONTEXT_CHARS, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT_CHARS))))
+    def span(x: Column) -> Column:
+        before = F.lower(F.right(x["gap"], F.lit(CONTEXT_CHARS)))
         score = F.lit(SCORES[kind]) + F.when(before.rlike(CONTEXT[kind]), CONTEXT_STEP).otherwise(0.0)
         if LOWERS[kind]:
             score = score - F.when(before.rlike(LOWERS[kind]), CONTEXT_STEP).otherwise(0.0)
-        span = F.struct(start.alias("start"), F.lit(order).alias("ord"), F.lit(kind).alias("kind"), stop.alias("stop"), F.least(score, F.lit(1.0)).alias("score"))
-        return F.struct(stop.alias("at"), F.when(_valid(kind, x["m"]), F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
+        return F.struct(x["start"].alias("start"), F.lit(order).alias("ord"), F.lit(kind).alias("kind"), (x["start"] + F.length(x["m"])).alias("stop"), F.least(score, F.lit(1.0)).alias("score"))
 
-    pairs = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda m, gap: F.struct(m.alias("m"), gap.alias("gap")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, start, step, lambda s: s["out"])).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return F.when(F.size(found) > 0, F.transform(F.filter(pairs, lambda x: _valid(kind, x["m"])), span)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def with_spans(df: DataFrame, text_col: str = "text", out: str = "pii_spans") -> DataFrame:
@@ -103,8 +130,8 @@ def with_spans(df: DataFrame, text_col: str = "text", out: str = "pii_spans") ->
 
     Matches are leftmost and do not overlap within a kind; those that fail their check are dropped
     and not retried: octets over 255, cards of other than 14 to 19 digits or against Luhn, phones
-    of other than 10 to 15 digits, account numbers against mod 97. Words of the 40 characters
-    before a span raise or lower its score by 0.2. Null and empty texts have no spans. All rows
+    of other than 10 to 15 digits, account numbers against mod 97. Words of up to 40 characters
+    before a span, back to the last match of its kind, raise or lower its score by 0.2. Null and empty texts have no spans. All rows
     and columns stay; columns that begin with ``_pii_`` or bear the name ``out`` are replaced.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -117,14 +144,20 @@ def with_spans(df: DataFrame, text_col: str = "text", out: str = "pii_spans") ->
         row = row.withColumn(f"_pii_{kind}", found)
     for kind, pattern in PATTERNS.items():
         m = F.col(f"_pii_{kind}")
-        row = row.withColumn(f"_pii_{kind}_gaps", F.when(F.size(m) > 0, F.split(text, pattern, -1)).otherwise(F.array().cast("array<string>")))
+        gaps = F.split(text, pattern, -1)  # one more than matches
+        row = row.withColumn(f"_pii_{kind}_gaps", F.when(F.size(m) > 0, gaps).otherwise(F.array().cast("array<string>")))
+    for kind in PATTERNS:
+        gaps = F.col(f"_pii_{kind}_gaps")
+        row = row.withColumn(f"_pii_{kind}_gaps", F.slice(gaps, F.lit(1), F.size(f"_pii_{kind}")))
     for kind in PATTERNS:
-        row = row.withColumn(f"_pii_{kind}_spans", _spans(text, F.col(f"_pii_{kind}"), F.col(f"_pii_{kind}_gaps"), kind))
+        row = row.withColumn(f"_pii_{kind}_spans", _spans(F.col(f"_pii_{kind}"), F.col(f"_pii_{kind}_gaps"), kind))
     return row.select(*cols, F.array_sort(F.concat(*(F.col(f"_pii_{k}_spans") for k in PATTERNS))).alias(out))
 
 
 def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``df``: its id, counts by kind, the spans as text, their SHA-256 for the base kinds, and scores."""
+    """One row for each row of ``df``: its id, counts by kind, the spans as text, their SHA-256 for the base kinds, and
+    the highest score. Null and empty texts have no spans, the hash of the empty string and the score 0; repeated
+    rows give repeated rows, an empty table none; other columns are not read."""
     src = with_spans(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", "spans")
     said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
     of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
@@ -139,17 +172,26 @@ def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     )
 
 
-def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
+def redact(df: DataFrame, text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
     """``df`` with each stretch covered by spans replaced by its first kind in brackets; null texts stay null.
-    Columns keep their order; other columns are carried along."""
+    Spans whose context lowers their score below ``min_score`` stay as they are, such as version numbers
+    that look like addresses. Columns keep their order; other columns are carried along; repeated rows give
+    repeated rows, an empty table none."""
     row = with_spans(df, text_col, "_pii_all")
     text = F.col(text_col)
-
-    def step(state: Column, s: Column) -> Column:
-        fresh = s["start"] >= state["at"]
-        mark = F.concat(F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.greatest(state["at"], s["stop"]).alias("at"), F.when(fresh, F.concat(state["out"], F.array(mark))).otherwise(state["out"]).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    clean = F.aggregate("_pii_all", start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text))))
+    spans = F.filter("_pii_all", lambda s: s["score"] >= min_score)
+    row = row.withColumn("_pii_all", spans)
+    # the text in pieces of equal length: a stretch is read from its pieces, not from the text's start
+    pieces = F.when(F.size("_pii_all") > 0, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)))
+    ends = before_each(F.transform("_pii_all", lambda s: s["stop"]), lambda a, b: F.greatest(a, b), F.lit(0))  # how far spans reach before each
+    row = row.select("*", pieces.alias("_pii_pieces"), ends.alias("_pii_ends"), F.length(text).alias("_pii_length"))
+
+    def stretch(a: Column, b: Column) -> Column:
+        first = F.floor(a / PIECE).cast("int")
+        some = F.slice("_pii_pieces", first + 1, F.floor((b - 1) / PIECE).cast("int") - first + 1)
+        return F.when(b > a, F.substring(F.array_join(some, ""), a - first * PIECE + 1, b - a)).otherwise("")
+
+    marked = F.zip_with("_pii_all", "_pii_ends", lambda s, at: F.when(s["start"] >= at, F.concat(stretch(at, s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(""))
+    last = F.greatest(F.element_at("_pii_ends", -1), F.element_at("_pii_all", -1)["stop"])
+    clean = F.concat(F.array_join(marked, ""), stretch(last, F.col("_pii_length")))
     return row.select(*(F.when(F.size("_pii_all") > 0, clean).otherwise(text).alias(c) if c == text_col else F.col(c) for c in df.columns))
