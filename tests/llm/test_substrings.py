@@ -43,10 +43,15 @@ def some_docs(seed, n):
     return [*docs, *dict(copies).items(), (5, None), (8, ""), (11, "the " * 3000)]
 
 
-@pytest.mark.parametrize("window,chunk,rows", [(20, 10**6, 10**5), (20, 700, 37), (12, 3000, 500), (23, 2000, 50)])
-def test_against_brute_force(spark, monkeypatch, window, chunk, rows):
+@pytest.mark.parametrize("window,chunk,group,most,hot", [(20, 10**6, 10**7, 10**5, 10**6), (20, 700, 3000, 2, 40), (12, 3000, 10**5, 3, 10**6), (23, 2000, 500, 10**5, 60), (5, 900, 2000, 1, 20)])
+def test_against_brute_force(spark, monkeypatch, window, chunk, group, most, hot):
+    # chunks that cut texts, groups worked off in parts, several groups a partition, prefixes that go on past hot anchors
     monkeypatch.setattr(substrings, "CHUNK_WORDS", chunk)
-    monkeypatch.setattr(substrings, "LEAF_ROWS", rows)
+    monkeypatch.setattr(substrings, "GROUP_BYTES", group)
+    monkeypatch.setattr(substrings, "MOST_PARTITIONS", most)
+    monkeypatch.setattr(substrings, "HOT_COUNT", hot)
+    monkeypatch.setattr(substrings, "SORT_ROWS", 50)
+    monkeypatch.setattr(substrings, "LEAST_COUNT", 2)
     docs = some_docs(window + chunk, 150)
     random.Random(0).shuffle(docs)
     df = spark.createDataFrame([(i, t, 0) for i, t in docs], "doc_id long, text string, n_words int").repartition(5)
@@ -78,3 +83,38 @@ def test_texts_without_id_of_equal_32_bit_hash(spark):
         got = substrings.remove_repeats(df).collect()
         # the tail stays in one of the two only
         assert sorted(r.n_removed for r in got)[:2] == [0, 30] and sum(r.n_removed == 0 for r in got) == 1
+
+
+def test_words_decide_and_not_their_hash(spark, monkeypatch):
+    # with hashes of few bits nearly all windows share theirs with others
+    rolling = substrings.rolling
+    monkeypatch.setattr(substrings, "rolling", lambda r, width: rolling(r, width) & substrings.np.uint64(3))
+    docs = some_docs(4, 60)
+    want = brute(docs, 20)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    for r in substrings.remove_repeats(df).collect():
+        assert (r.n_words, r.n_removed, r.kept_sha256) == want[r.doc_id]
+
+
+def test_phrase_between_unique_words_is_no_anchor(spark, monkeypatch):
+    # eight words that recur every twenty words and would be most windows' anchor: once counted as hot, their places
+    # are dealt to many groups
+    from pyspark.sql import functions as F
+
+    np = substrings.np
+    tries = ([*b"all of these words are always here".split(), b"%d" % k] for k in range(10**6))
+    phrase, gram = next((b" ".join(w).decode(), g) for w in tries if (g := substrings.rolling(substrings._word_hashes(w), 8)[0]) < np.uint64(1 << 56))
+    rows = [(i, " ".join(f"{phrase} " + " ".join(f"u{i}x{j}x{k}" for k in range(12)) for j in range(8))) for i in range(400)]
+    df = spark.createDataFrame(rows, "d long, text string").selectExpr("d", "d AS th", "text").repartition(4)
+    slots = [r.slot for r in substrings.prefix_counts(df, 20, 8).filter("slot >= 0 AND n > 500").collect()]
+    assert slots == [int(gram) % substrings.SLOTS]
+    bits = np.zeros(substrings.SLOTS, bool)
+    bits[slots] = True
+    share = []
+    for hot in (None, spark.sparkContext.broadcast(np.packbits(bits).tobytes())):
+        sizes = [r.n for r in substrings._stretches(df, 20, 8, hot, 64).groupBy("g").agg(F.sum(F.length("packed")).alias("n")).collect()]
+        share.append(max(sizes) / sum(sizes))
+    assert share[0] > 0.3 and share[1] < 0.05
+    monkeypatch.setattr(substrings, "HOT_COUNT", 500)
+    got = substrings.remove_repeats(spark.createDataFrame([*rows, (900, rows[7][1])], "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id for r in got if r.n_removed} == {900} and max(r.n_removed for r in got) == 160

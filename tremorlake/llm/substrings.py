@@ -1,12 +1,17 @@
 """Repeated passages by prefix-partitioned suffix trees, cut at the depth of a window.
 
 A suffix is a word's place in a text with the words that follow. Its prefix, of variable length, ends
-with the smallest hash of eight words that begins within the window: equal windows have equal
-prefixes, whatever surrounds them, and neighbouring suffixes mostly share that last part, the
-anchor, so they travel together as one row. Anchors split all suffixes into groups by hash; in
-a group, suffixes sorted by prefix and by the label of their window are the leaves of the group's
-subtree, and leaves of equal labels hang under an internal node at least a window deep: a
-repeat. Its first leaf stays, the others are repeats; runs of them are the maximal repeats.
+with the smallest hash of eight words that begins within the window, so equal windows have equal
+prefixes, whatever surrounds them, and neighbouring suffixes mostly share that last part, the anchor,
+and travel together as one stretch of words. Eight words that very many places have are counted first
+and are no anchors: a prefix then goes on to rarer words, and where a window has none it is the prefix
+itself. Prefixes are dealt to groups of a size that fits in memory.
+
+In a group, suffixes are sorted by their words and the lengths of common prefixes of neighbours give
+the subtree's internal nodes; those as deep as a window are repeats. The first leaf of such a node
+stays, the others are repeats, and runs of them in a text are the maximal repeats. Windows that share
+their hash with no other have no deep node above them and are left out of the sort; all others
+are told apart by their words.
 
 Each task first builds the tree of its own chunk of texts and sends one leaf of each deep node, so
 a passage that a third of all texts share reaches its group once a chunk.
@@ -15,10 +20,12 @@ a passage that a third of all texts share reaches its group once a chunk.
 from __future__ import annotations
 
 import hashlib
-import zlib
+import struct
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,17 +33,24 @@ from tremorlake.llm.common import arrow_map, split_words
 
 WINDOW = 20
 ANCHOR = 8
-#: Words of a chunk whose tree is built at once in a task, and rows of leaves handled at once.
+#: Words of a chunk whose tree is built at once in a task.
 CHUNK_WORDS = 700_000
-LEAF_ROWS = 100_000
-CACHE_WORDS = 300_000
-#: Bits of a window's hash that travel; two windows are taken for one another only where their
-#: anchors' 64 bits, their places by the anchor and these are equal.
-LABEL_BYTES = 5
-LABEL_BITS = 8 * LABEL_BYTES
-
-_M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+#: Bytes of words of a group; a group that is larger all the same is worked off in parts.
+GROUP_BYTES = 24 << 20
+#: Most partitions; beyond it a partition has several groups, one after the other.
+MOST_PARTITIONS = 50_000
+#: Counters of eight words by hash, the least count in a task that is sent on, and the count beyond which eight words are no anchor.
+SLOTS = 1 << 22
+LEAST_COUNT = 16
+HOT_COUNT = 200_000
+#: Suffixes of equal hashes that are sorted by their words at once.
+SORT_ROWS = 200_000
+#: Places of a stretch, and of a mask of marked places.
+STRETCH = 16
+
+_M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _LEAST = -(1 << 63)
+_TOP = np.uint64((1 << 64) - 1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -45,168 +59,319 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class _Hashes(dict):
-    def __missing__(self, word):
-        from xxhash import xxh64_intdigest
+def rolling(r: np.ndarray, width: int) -> np.ndarray:
+    """A hash of every ``width`` neighbouring values, put together from those of powers of two."""
+    out, done, at, power, k = None, 0, r, int(_M1), 1  # ``at`` has the hashes of k values
+    while True:
+        if width & k:
+            n = max(0, len(r) - done - k + 1)
+            out = at[:n] if out is None else out[:n] * np.uint64(power) + at[done : done + n]
+            done += k
+        if done == width:
+            return _mix(out)
+        at = at[: max(0, len(at) - k)] * np.uint64(power) + at[k:]
+        power, k = power * power % (1 << 64), 2 * k
 
-        h = self[word] = xxh64_intdigest(word, 7)
-        return h
 
+def _least(v: np.ndarray, width: int) -> np.ndarray:
+    """The least of every ``width`` neighbouring values."""
+    k = 1
+    while 2 * k <= width:
+        v = np.minimum(v[:-k], v[k:])
+        k *= 2
+    return np.minimum(v[: len(v) - (width - k)], v[width - k :]) if width > k else v
 
-def _gram(r: np.ndarray, k: int) -> np.ndarray:
-    out = r[: len(r) - k + 1].copy()
-    for j in range(1, k):
-        out = out * _M1 + r[j : len(r) - k + 1 + j]
-    return _mix(out)
 
+def _coded(flat: bytes) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Words set apart by one space, as numbers: the numbers, the words, and the place of each word's first byte."""
+    values = pc.split_pattern(pa.array([flat], pa.large_binary()), pattern=" ").values
+    coded = values.dictionary_encode()
+    length = pc.binary_length(values).to_numpy(zero_copy_only=False).astype(np.int64)
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist(), np.cumsum(length + 1) - length - 1
 
-def chunk_leaves(docs: list[tuple[int, int, list[bytes]]], hashes: dict, window: int, anchor: int) -> dict:
-    """Rows of leaves of one chunk; ``docs`` are (id, text hash, words) in their order. A row is a stretch
-    of up to ``window - anchor + 1`` suffixes that share an anchor: its first place, where the anchor
-    lies from there, which of its suffixes an earlier one in the chunk repeats, and the labels of the others."""
-    sizes = np.array([len(w) for _, _, w in docs], np.int64)
-    r = np.fromiter((h for _, _, words in docs for h in map(hashes.__getitem__, words)), np.uint64, int(sizes.sum()))
-    grams = _gram(r, anchor)
-    # a window is covered by three grams when they are laid close enough
-    steps = list(range(0, window - anchor, anchor)) + [window - anchor]
-    n = len(r) - window + 1
-    label = np.zeros(n, np.uint64)
-    for s in steps:
-        label = label * _M1 + grams[s : s + n]
-    label = _mix(label)
-    ends = np.cumsum(sizes)
-    doc = np.repeat(np.arange(len(docs)), sizes)[:n]
-    place = np.arange(n) - np.repeat(ends - sizes, sizes)[:n]
-    at = np.empty(n, np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(grams, window - anchor + 1)
-    for a in range(0, n, 1 << 17):
-        at[a : a + (1 << 17)] = view[a : a + (1 << 17)].argmin(axis=1)
-    at += np.arange(n)
-    inside = np.arange(n) + window <= ends[doc]
-    keep = np.flatnonzero(inside)
-    doc, place, at, label = doc[keep], place[keep], at[keep], label[keep]
-    if not len(keep):
-        return {k: [] for k in ("anchor", "d", "th", "pos", "info", "labels")}
+
+def later_leaves(codes: np.ndarray, start: np.ndarray, label: np.ndarray, window: int, rank) -> np.ndarray:
+    """Which suffixes stand under a node at least ``window`` words deep and are not its first leaf.
+
+    ``codes`` are the words in a row, ``start`` the places of the suffixes, ``label`` their windows' hashes;
+    ``rank`` gives numbers of some suffixes that order them (equal ones are one leaf)."""
+    again = np.zeros(len(start), bool)
     order = np.argsort(label, kind="stable")
-    again = np.zeros(len(keep), bool)
-    again[order[1:]] = label[order[1:]] == label[order[:-1]]
-    first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])])
-    length = np.diff(np.r_[first, len(keep)])
-    mask = np.add.reduceat(np.where(again, 1 << (np.arange(len(keep)) - np.repeat(first, length)), 0), first)
-    offset = at[first] - keep[first]
-    open_ = np.add.reduceat(~again, first)
-    owner = doc[first]
-    ids = np.array([d for d, _, _ in docs], np.int64)
-    texts = np.array([t for _, t, _ in docs], np.int64)
-    key = grams[at[first]]
-    # a stretch without labels has nothing to ask of its anchor's group and may go anywhere
-    key = np.where(open_ > 0, key, _mix(key ^ ids[owner].view(np.uint64) ^ place[first].astype(np.uint64)))
-    flat = (label[~again] >> np.uint64(64 - LABEL_BITS)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :LABEL_BYTES].tobytes()
-    cut = np.r_[0, np.cumsum(open_)] * LABEL_BYTES
-    cut = pa.array(cut, pa.int32())
-    labels = pa.Array.from_buffers(pa.binary(), len(first), [None, cut.buffers()[1], pa.py_buffer(flat)])
-    return {"anchor": key.view(np.int64), "d": ids[owner], "th": texts[owner], "pos": place[first].astype(np.int32), "info": (mask | offset << 16 | length << 24).astype(np.int32), "labels": labels}
-
-
-_LEAF = pa.schema([("anchor", pa.int64()), ("d", pa.int64()), ("th", pa.int64()), ("pos", pa.int32()), ("info", pa.int32()), ("labels", pa.binary())])
-
-
-def _leaves(df: DataFrame, window: int, anchor: int) -> DataFrame:
+    same = label[order[1:]] == label[order[:-1]]
+    order = order[np.r_[False, same] | np.r_[same, False]] if len(order) else order
+    if not len(order):
+        return again
+    turn = np.flatnonzero(np.r_[True, label[order[1:]] != label[order[:-1]]])
+    cut = turn[np.flatnonzero(np.diff(turn // SORT_ROWS)) + 1]
+    for some in np.split(order, cut):
+        rows = codes[start[some][:, None] + np.arange(window)].astype(">u4")
+        by_words = np.argsort(rows.view(f"S{4 * window}").ravel(), kind="stable")
+        some, rows = some[by_words], rows[by_words]
+        # the common prefix of neighbours in suffix order is the depth of the node that joins them
+        common = np.logical_and.accumulate(rows[1:] == rows[:-1], axis=1).sum(axis=1)
+        node = np.cumsum(np.r_[True, common < window]) - 1
+        number = rank(some)
+        first = np.minimum.reduceat(number, np.flatnonzero(np.r_[True, common < window]))
+        again[some] = number > first[node]
+    return again
+
+
+def _masks(doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of documents, each once, as (document, first place, bits of the places from there)."""
+    if not len(doc):
+        return doc, pos, pos
+    order = np.lexsort((pos, doc))
+    doc, pos = doc[order], pos[order]
+    head = pos // STRETCH
+    new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (head[1:] != head[:-1])])
+    return doc[new], head[new] * STRETCH, np.bitwise_or.reduceat(1 << pos % STRETCH, new)
+
+
+_HEAD = "<III"  # numbers of stretches and marks, bytes of words
+
+
+def _pack(press, d, th, pos, bits, text: bytes, marks) -> bytes:
+    """Stretches and marks of one group as bytes: the numbers of both, their columns, the stretches' words."""
+    cols = [np.asarray(d, "<i8"), np.asarray(th, "<i8"), np.asarray(pos, "<i4"), np.asarray(bits, "<u4"), *(np.asarray(m, t) for m, t in zip(marks, ("<i8", "<i8", "<i4", "<u4"), strict=True))]
+    return press.compress(struct.pack(_HEAD, len(d), len(marks[0]), len(text)) + b"".join(c.tobytes() for c in cols) + text)
+
+
+def _unpack(raw: bytes) -> tuple[list[np.ndarray], bytes, list[np.ndarray]]:
+    n, m, size = struct.unpack_from(_HEAD, raw)
+    at, cols = struct.calcsize(_HEAD), []
+    for count in (n, m):
+        for t, width in (("<i8", 8), ("<i8", 8), ("<i4", 4), ("<u4", 4)):
+            cols.append(np.frombuffer(raw, t, count, at))
+            at += count * width
+    return cols[:4], raw[at : at + size], cols[4:]
+
+
+class Chunk:
+    """Texts of a task, up to ``CHUNK_WORDS`` words at once; longer texts are cut into segments that overlap by
+    a window less one word, so that each place has its window in one segment."""
+
+    def __init__(self, window: int):
+        self.window, self.held, self.words = window, {}, 0
+
+    def add(self, d: int, th: int, text: bytes):
+        words = text.split()
+        for a in range(0, len(words) - self.window + 1, CHUNK_WORDS):
+            part = words[a : a + CHUNK_WORDS + self.window - 1]
+            if (d, th, a) not in self.held:
+                self.held[d, th, a] = (b" ".join(part), len(part))
+                self.words += len(part)
+            if self.words >= CHUNK_WORDS:
+                yield self.taken()
+
+    def taken(self) -> tuple[list[tuple[int, int, int]], np.ndarray, bytes]:
+        """The texts' keys (id, text hash, first place) in order, their numbers of words, and the words."""
+        keys = sorted(self.held)
+        sizes = np.array([self.held[k][1] for k in keys], np.int64)
+        flat = b" ".join(self.held[k][0] for k in keys)
+        self.held, self.words = {}, 0
+        return keys, sizes, flat
+
+
+def _chunks(batches, window: int):
+    chunk = Chunk(window)
+    for batch in batches:
+        for d, th, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if text.is_valid:
+                yield from chunk.add(d, th, text.as_buffer().to_pybytes())
+    if chunk.held:
+        yield chunk.taken()
+
+
+def _word_hashes(words: list[bytes]) -> np.ndarray:
+    from xxhash import xxh64_intdigest
+
+    return np.fromiter((xxh64_intdigest(w, 7) for w in words), np.uint64, len(words))
+
+
+def prefix_counts(texts: DataFrame, window: int, anchor: int) -> DataFrame:
+    """Counts of ``anchor`` words by hash: (slot, n) of those that a task has ``LEAST_COUNT`` times or more, and the
+    number of all words under slot -1."""
+
+    def run(batches):
+        seen, total = np.zeros(SLOTS, np.int64), 0
+        for _, sizes, flat in _chunks(batches, window):
+            codes, words, _ = _coded(flat)
+            total += int(sizes.sum())
+            seen += np.bincount((rolling(_word_hashes(words)[codes], anchor) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        slot = np.flatnonzero(seen >= LEAST_COUNT)
+        yield pa.RecordBatch.from_pydict({"slot": pa.array(np.r_[-1, slot], pa.int32()), "n": pa.array(np.r_[total, seen[slot]], pa.int64())})
+
+    return texts.mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+
+
+def chunk_stretches(keys, sizes, flat: bytes, window: int, anchor: int, hot: np.ndarray | None, n_groups: int, press):
+    """The stretches of one chunk as (group, bytes): neighbouring suffixes of one text and one anchor, without
+    those that an earlier suffix of the chunk repeats, and the marks of these."""
+    codes, words, byte = _coded(flat)
+    ends = np.cumsum(sizes)
+    doc = np.repeat(np.arange(len(keys)), sizes)
+    hashes = _word_hashes(words)[codes]
+    grams = rolling(hashes, anchor)
+    if hot is not None:
+        grams[hot[(grams % np.uint64(SLOTS)).astype(np.int64)]] = _TOP
+    start = np.flatnonzero(np.arange(len(codes)) + window <= ends[doc])
+    label = rolling(hashes, window)[start]
+    prefix = _least(grams, window - anchor + 1)[start]
+    prefix = np.where(prefix == _TOP, label, prefix)
+    again = later_leaves(codes, start, label, window, lambda some: some)
+    doc = doc[start]
+    d, th, base = (np.array(x, np.int64) for x in zip(*keys, strict=True))
+    pos = start - (ends - sizes)[doc] + base[doc]
+    # a stretch ends with its anchor or text, and after so many places
+    n = np.arange(len(start))
+    new = np.r_[True, (prefix[1:] != prefix[:-1]) | (doc[1:] != doc[:-1])]
+    inside = n - np.maximum.accumulate(np.where(new, n, 0))
+    begin = np.flatnonzero(new | (inside % STRETCH == 0))
+    of = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(n)]))
+    low = np.minimum.reduceat(np.where(again, len(n), n), begin)
+    high = np.maximum.reduceat(np.where(again, -1, n), begin)
+    bits = np.add.reduceat(np.where(again, 0, 1 << np.maximum(0, n - low[of])), begin)
+    sent = np.flatnonzero(high >= 0)
+    low, high, bits = low[sent], high[sent], bits[sent]
+    group = (prefix[low] >> np.uint64(1)).astype(np.int64) % n_groups
+    order = np.argsort(group, kind="stable")
+    mark_doc, mark_pos, mark_bits = _masks(doc[again], pos[again])
+    marks = (d[mark_doc], th[mark_doc], mark_pos, mark_bits)
+    none = tuple(m[:0] for m in marks)
+    if len(marks[0]):
+        yield int(marks[1][0] % n_groups), _pack(press, [], [], [], [], b"", marks)
+    byte = np.r_[byte, len(flat) + 1]
+    first, past = byte[start[low]], byte[start[high] + window] - 1
+    for some in np.split(order, np.flatnonzero(np.diff(group[order])) + 1) if len(order) else []:
+        text = b" ".join([flat[a:b] for a, b in zip(first[some].tolist(), past[some].tolist(), strict=True)])
+        at = low[some]
+        yield int(group[some[0]]), _pack(press, d[doc[at]], th[doc[at]], pos[at], bits[some], text, none)
+
+
+def _stretches(texts: DataFrame, window: int, anchor: int, hot: Broadcast | None, n_groups: int) -> DataFrame:
+    def run(batches):
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=1)
+        known = None if hot is None else np.unpackbits(np.frombuffer(hot.value, np.uint8), count=SLOTS).astype(bool)
+        for keys, sizes, flat in _chunks(batches, window):
+            rows = list(chunk_stretches(keys, sizes, flat, window, anchor, known, n_groups, press))
+            for a in range(0, len(rows), 256):
+                part = rows[a : a + 256]
+                yield pa.RecordBatch.from_pydict({"g": pa.array([g for g, _ in part], pa.int32()), "packed": pa.array([x for _, x in part], pa.binary())})
+
+    return texts.mapInArrow(run, "g int, packed binary")
+
+
+class Subtree:
+    """The suffixes of a group. Where they outgrow ``GROUP_BYTES``, deep nodes are reduced to their first leaf
+    before more are taken, so memory follows the different windows and not their repeats."""
+
+    def __init__(self, window: int):
+        self.window, self.cols, self.texts, self.bytes, self.limit = window, [], [], 0, GROUP_BYTES
+
+    def add(self, raw: bytes):
+        cols, text, marks = _unpack(raw)
+        if len(marks[0]):
+            yield tuple(marks)
+        if len(cols[0]):
+            self.cols.append(cols)
+            self.texts.append(text)
+            self.bytes += len(text)
+        if self.bytes > self.limit:
+            yield self.reduced(True)
+            self.limit = max(GROUP_BYTES, 2 * self.bytes)
+
+    def reduced(self, go_on: bool = False):
+        """Marks of the leaves that are not the first of a deep node; with ``go_on`` the others are kept."""
+        if not self.cols:
+            return None
+        d, th, pos, bits = (np.concatenate([c[k] for c in self.cols]).astype(np.int64) for k in range(4))
+        flat = b" ".join(self.texts)
+        self.cols, self.texts, self.bytes = [], [], 0
+        codes, _, byte = _coded(flat)
+        last = np.floor(np.log2(bits)).astype(np.int64)
+        size = last + self.window
+        begin = np.cumsum(size) - size
+        of, nth = np.nonzero(bits[:, None] >> np.arange(STRETCH) & 1)
+        start = begin[of] + nth
+        label = rolling(_mix(codes.astype(np.uint64) + _M1), self.window)[start]
+
+        def rank(some):
+            key = (pos[of[some]] + nth[some], th[of[some]], d[of[some]])
+            order = np.lexsort(key)
+            new = np.logical_or.reduce([np.r_[False, k[order][1:] != k[order][:-1]] for k in key])
+            out = np.empty(len(some), np.int64)
+            out[order] = np.cumsum(new)
+            return out
+
+        again = later_leaves(codes, start, label, self.window, rank)
+        doc = np.unique(np.c_[d, th], axis=0, return_inverse=True)
+        who, place, mask = _masks(doc[1].ravel()[of[again]], pos[of[again]] + nth[again])
+        if go_on:
+            left = np.zeros(len(bits), np.int64)
+            np.bitwise_or.at(left, of[~again], 1 << nth[~again])
+            # of rows of one text, one stretch is enough
+            _, once = np.unique(np.c_[d, th, pos, left], axis=0, return_index=True)
+            once = once[left[once] > 0]
+            byte = np.r_[byte, len(flat) + 1]
+            past = begin[once] + np.floor(np.log2(left[once])).astype(np.int64) + self.window
+            self.texts = [flat[a:b] for a, b in zip(byte[begin[once]].tolist(), (byte[past] - 1).tolist(), strict=True)]
+            self.cols = [[d[once], th[once], pos[once], left[once]]] if len(once) else []
+            self.bytes = sum(map(len, self.texts))
+        return doc[0][who, 0], doc[0][who, 1], place, mask
+
+
+def _marks(stretches: DataFrame, window: int, n_groups: int) -> DataFrame:
+    """Marked places of all texts: (d, th, pos, mask)."""
+    n = min(n_groups, MOST_PARTITIONS)
+    dealt = stretches.repartitionById(n, F.col("g") % n)
+    if n_groups > n:
+        dealt = dealt.sortWithinPartitions("g")
+
     def run(batches):
-        hashes = _Hashes()
-
-        def flush(docs):
-            docs = list({(d, t): (d, t, w) for d, t, w in docs}.values())
-            docs.sort(key=lambda x: x[:2])
-            out = pa.RecordBatch.from_pydict(chunk_leaves(docs, hashes, window, anchor), schema=_LEAF)
-            for a in range(0, out.num_rows, LEAF_ROWS):
-                yield out.slice(a, LEAF_ROWS)
-            if len(hashes) > CACHE_WORDS:
-                hashes.clear()
-
-        held, n = [], 0
+        import zstandard
+
+        open_ = zstandard.ZstdDecompressor()
+        tree, group = Subtree(window), None
+
+        def rows(marks):
+            for m in marks:
+                if m is not None and len(m[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(m, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["d", "th", "pos", "mask"])
+
         for batch in batches:
-            for d, t, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
-                if len(words) < window:
-                    continue
-                held.append((d, t, words))
-                n += len(words)
-                if n >= CHUNK_WORDS:
-                    yield from flush(held)
-                    held, n = [], 0
-        if held:
-            yield from flush(held)
+            for g, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if g != group and n_groups > n:
+                    yield from rows([tree.reduced()])
+                    tree, group = Subtree(window), g
+                yield from rows(tree.add(open_.decompress(packed.as_buffer())))
+        yield from rows([tree.reduced()])
 
-    return df.mapInArrow(run, "anchor long, d long, th long, pos int, info int, labels binary")
+    return dealt.mapInArrow(run, "d long, th long, pos int, mask int")
 
 
 def _packed(src: DataFrame) -> DataFrame:
     """Texts compressed for the way to their marks, which halves what is shuffled."""
 
     def run(batches):
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=1)
         for b in batches:
-            packed = [zlib.compress(t.as_buffer() or b"", 1) if t.is_valid else None for t in b.column(3)]
+            packed = [press.compress(t.as_buffer().to_pybytes()) if t.is_valid else None for t in b.column(3)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(packed, pa.binary())], names=["id", "d", "th", "packed"])
 
     return src.mapInArrow(run, "id long, d long, th long, packed binary")
 
 
-def _marks(leaves: DataFrame) -> DataFrame:
-    """Stretches with suffixes that repeat an earlier one: (d, th, pos, mask)."""
-    dealt = leaves.repartition("anchor").sortWithinPartitions("anchor", "d", "th", "pos")
-
-    def run(batches):
-        carried, seen = None, np.zeros(0, np.uint64)  # the last group so far and the leaves it has
-        last = None
-        for whole in batches:
-            for a in range(0, whole.num_rows, LEAF_ROWS):
-                b = whole.slice(a, LEAF_ROWS)
-                anchor, d, th, pos, info = (np.asarray(b.column(i)) for i in range(5))
-                offset, length, mask = info >> 16 & 255, info >> 24 & 255, info & 0xFFFF
-                same = np.zeros(len(anchor), bool)  # a repeated row of one text
-                same[1:] = (anchor[1:] == anchor[:-1]) & (d[1:] == d[:-1]) & (th[1:] == th[:-1]) & (pos[1:] == pos[:-1])
-                head = (anchor[0], d[0], th[0], pos[0])
-                same[0] = head == last
-                last = (anchor[-1], d[-1], th[-1], pos[-1])
-                group = np.cumsum(np.r_[False, anchor[1:] != anchor[:-1]])
-                row = np.repeat(np.arange(len(anchor)), length)
-                nth = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)
-                with_label = (mask[row] >> nth & 1) == 0
-                row, nth = row[with_label], nth[with_label]
-                flat = b.column(5)
-                bounds = np.frombuffer(flat.buffers()[1], np.int32)[flat.offset : flat.offset + len(flat) + 1]
-                wide = np.zeros((len(row), 8), np.uint8)
-                if len(row):
-                    wide[:, :LABEL_BYTES] = np.frombuffer(flat.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].reshape(-1, LABEL_BYTES)
-                label = wide.view("<u8").ravel()
-                # the prefix's length stands for the prefix, as the group has its end
-                leaf = (offset[row] - nth).astype(np.uint64) << np.uint64(LABEL_BITS) | label
-                key = group[row].astype(np.uint64) << np.uint64(LABEL_BITS + 4) | leaf
-                fresh = ~same[row]
-                order = np.flatnonzero(fresh)[np.argsort(key[fresh], kind="stable")]
-                again = np.zeros(len(row), bool)
-                again[order[1:]] = key[order[1:]] == key[order[:-1]]
-                if carried == anchor[0]:
-                    again |= fresh & (group[row] == 0) & np.isin(leaf, seen)
-                mask = mask.astype(np.int64)
-                np.bitwise_or.at(mask, row[again], 1 << nth[again])
-                end = np.unique(leaf[(group[row] == group[-1]) & fresh])
-                seen = np.union1d(seen, end) if carried == anchor[-1] else end
-                carried = anchor[-1]
-                hit = mask > 0
-                yield pa.RecordBatch.from_arrays([pa.array(d[hit]), pa.array(th[hit]), pa.array(pos[hit], pa.int32()), pa.array(mask[hit], pa.int32())], names=["d", "th", "pos", "mask"])
-
-    return dealt.mapInArrow(run, "d long, th long, pos int, mask int")
-
-
 def covered(n_words: int, marks: list[tuple[int, int]], window: int) -> np.ndarray:
     """Which words a marked window covers; ``marks`` are (first place, bits of the marked places from there)."""
     edge = np.zeros(n_words + 1, np.int64)
     if marks:
         pos, mask = np.array(marks, np.int64).T
-        bits = mask[:, None] >> np.arange(16) & 1
-        start = (pos[:, None] + np.arange(16))[bits == 1]
+        bits = mask[:, None] >> np.arange(STRETCH) & 1
+        start = (pos[:, None] + np.arange(STRETCH))[bits == 1]
         np.add.at(edge, start, 1)
         np.add.at(edge, start + window, -1)
     return np.cumsum(edge[:-1]) > 0
@@ -217,26 +382,40 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     space, the maximal repeats removed as (first word, number of words), and the kept text if ``keep_text``.
 
     A word goes if a window of ``window`` words that covers it also starts earlier: in a document of
-    smaller id, or earlier in the same one. Windows are judged on the input. Ids are longs; a null
+    smaller id, or earlier in the same one. Windows are judged on the input, by their words. Ids are longs; a null
     id counts as the smallest. Rows of equal id and text are one document and share the result;
-    of equal ids with different texts, that of the smaller text hash comes first. A null text has no
-    words; texts shorter than a window lose nothing; an empty table gives no rows. Only the two
-    named columns are read. Windows are told apart by 104 bits of hashes, 64 within a chunk; texts of one id, or without
-    an id, by 64 bits.
+    of equal ids with different texts, that of the smaller text hash comes first; texts of one id, or without
+    an id, are told apart by 64 bits. A null text has no words; texts shorter than a window lose
+    nothing; an empty table gives no rows. Only the two named columns are read. Prefixes are counted by a job
+    of its own when the plan is made.
     """
     anchor = min(ANCHOR, window)
-    if not 1 <= window <= 15 + anchor or window > 3 * anchor:
-        raise ValueError("window must be at most 23 words, or 24 with anchors of 8")
+    spark = df.sparkSession
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     src = src.select("id", F.coalesce("id", F.lit(_LEAST)).alias("d"), F.xxhash64("text").alias("th"), "text")
-    marks = _marks(_leaves(src.select("d", "th", "text"), window, anchor))
+    texts = src.select("d", "th", "text")
+    # at most SLOTS rows, whatever the data
+    counts = {r.slot: r.n for r in prefix_counts(texts, window, anchor).filter((F.col("slot") < 0) | (F.col("n") > HOT_COUNT)).collect()}
+    n_words = counts.pop(-1, 0)
+    hot = None
+    if counts:
+        bits = np.zeros(SLOTS, bool)
+        bits[list(counts)] = True
+        hot = spark.sparkContext.broadcast(np.packbits(bits).tobytes())
+    # a suffix travels with about four words of seven bytes
+    n_groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_words * 28 // GROUP_BYTES))
+    marks = _marks(_stretches(texts, window, anchor, hot, n_groups), window, n_groups)
     marks = marks.groupBy("d", "th").agg(F.collect_list(F.struct("pos", "mask")).alias("marks"))
     rows = _packed(src).join(marks, ["d", "th"], "left").select("id", "packed", "marks")
     kind = df.select(id_col).schema[0].dataType.simpleString()
 
     def make():
+        import zstandard
+
+        open_ = zstandard.ZstdDecompressor()
+
         def f(id, packed, marks):
-            text = [p and zlib.decompress(p).decode("utf-8", "surrogatepass") for p in packed]
+            text = [p and open_.decompress(p).decode("utf-8", "surrogatepass") for p in packed]
             out = {id_col: id, "n_words": [], "n_removed": [], "kept_sha256": [], "repeats": []} | ({"kept_text": []} if keep_text else {})
             for t, m in zip(text, marks, strict=True):
                 words = split_words(t or "")
