@@ -106,3 +106,31 @@ def test_short_items_in_tables(spark):
     got = [(r.doc_id, r.item_id, r.first_word, r.n_words, r.n_equal) for r in dec.contaminated(df, bench).orderBy("doc_id").collect()]
     assert got == [(1, 1, 1, 3, 3), (3, 2, 0, 7, 6)]
     assert sorted(r.doc_id for r in dec.drop_contaminated(df, bench).collect()) == [2, 4, 5]
+
+
+def test_extent_is_the_longest_similar_stretch():
+    item = [f"w{k}" for k in range(100)]
+    f = lambda words: dec.SeedIndex([(1, " ".join(item))]).matches([" ".join(words)])
+    far = [w if k < 14 or k >= 88 else f"x{k}" for k, w in enumerate(item)]
+    assert f(["a", "b", *far]) == [(0, 0, 2, 14, 14)]
+    near = [w if k % 20 < 17 else "x" for k, w in enumerate(item)]
+    assert f(near) == [(0, 0, 0, 97, 85)]
+    assert f([*item[:13], "y", *item[40:70]]) == [(0, 0, 14, 30, 30)]
+
+
+def test_stem_shared_by_many_items():
+    # seconds follow the pairs compared, in slices of bounded size
+    import time
+
+    r = random.Random(2)
+    stem = "which of the following statements about the passage is"
+    items = [(i, f"{stem} {' '.join(f'u{r.randrange(10**6)}' for _ in range(20))}") for i in range(4000)]
+    index = dec.SeedIndex(items)
+    took = []
+    for repeats in (5, 20):
+        start = time.process_time()
+        assert index.matches([" ".join([stem, "z"] * repeats)] * 4) == []
+        took.append(time.process_time() - start)
+    assert took[1] < 10 * took[0] + 1
+    rest = items[7][1]
+    assert index.matches([f"{stem} z {rest} {stem}"]) == [(0, 7, 10, 29, 29)]

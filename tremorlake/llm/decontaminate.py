@@ -8,14 +8,15 @@ hit's diagonal.
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremorlake.llm.common import arrow_keep
+from tremorlake.llm.common import arrow_keep, checkpointed
 
 # The masks; 1 reads a word, 0 ignores it.
 MASKS = ("1101011", "11001011", "1011001001", "100110010001")
@@ -34,6 +35,8 @@ MIN_WORDS = 13
 SIMILARITY = 0.8
 #: Benchmark words held in a block; each block is broadcast by itself and meets all texts.
 BLOCK_WORDS = 2_000_000
+#: Hits of seeds compared at once in a task.
+HITS = 1 << 18
 
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
@@ -90,63 +93,97 @@ class SeedIndex:
         return out
 
     def matches(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
-        """(text, item, first word, number of words, equal words) of the longest overlap of each pair that passes."""
+        """(text, item, first word, number of words, equal words) of the overlap with the most equal words of
+        each pair that passes. Hits are expanded and compared about ``HITS`` at a time, however many
+        items share a seed."""
         get = self.vocab.get
         ids = [np.fromiter((get(w, -1) for w in words_of(t)), np.int64) for t in texts]
         size = np.array([len(x) for x in ids], np.int64)
         begin = np.r_[0, np.cumsum(size)]
         flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-        hits = []
         out: dict[tuple[int, int], tuple[int, int, int]] = {}
+        held: list[np.ndarray] = []
+        # a diagonal as one number: text, item, and where the item's first word would stand in the text
+        before = int(np.diff(self.begin).max(initial=0))
+        span = before + int(size.max(initial=0)) + 1
         for mask, whole, keys, places in zip(self.masks, self.whole, self.keys, self.places, strict=True):
             if not len(keys):
                 continue
             at, key = _seed_keys(flat, mask)
             doc = np.searchsorted(begin, at, "right") - 1
             inside = at + len(mask) <= begin[doc + 1]
-            at, key = at[inside], key[inside]
+            at, key, doc = at[inside], key[inside], doc[inside]
             low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-            n = high - low
-            if n.any():
-                where = np.repeat(at, n)
-                place = places[np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
+            hit = np.flatnonzero(high > low)
+            for part in _slices(hit, (high - low)[hit], HITS):
+                n = high[part] - low[part]
+                d, where = np.repeat(doc[part], n), np.repeat(at[part], n)
+                place = places[np.repeat(low[part] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
                 item = np.searchsorted(self.begin, place, "right") - 1
-                doc = np.searchsorted(begin, where, "right") - 1
                 if whole:  # the seed is the item: equal words are the overlap, the first one counts
                     k = np.arange(len(mask))
                     same = (flat[where[:, None] + k] == self.flat[place[:, None] + k]).all(axis=1)
-                    for d, i, w in np.c_[doc, item, where - begin[doc]][same].tolist():
+                    for d, i, w in np.c_[d, item, where - begin[d]][same].tolist():
                         out.setdefault((d, i), (w, len(mask), len(mask)))
                     continue
-                # the diagonal is where the item's first word would stand in the text
-                hits.append(np.unique(np.c_[doc, item, where - begin[doc] - (place - self.begin[item])], axis=0))
-        for doc, item, shift in np.unique(np.concatenate(hits), axis=0).tolist() if hits else []:
-            if (got := self._overlap(ids[doc], self.flat[self.begin[item] : self.begin[item + 1]], shift)) and got[1] > out.get((doc, item), (0, 0, 0))[1]:
-                out[doc, item] = got
+                shift = where - begin[d] - (place - self.begin[item])
+                held.append(np.unique((d * len(self.item_ids) + item) * span + shift + before))
+                if sum(map(len, held)) > HITS:
+                    self._compare(held, span, before, flat, begin, out)
+                    held = []
+        if held:
+            self._compare(held, span, before, flat, begin, out)
         return [(d, i, *v) for (d, i), v in sorted(out.items())]
 
-    def _overlap(self, text: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int] | None:
-        a, b = max(0, -shift), min(len(item), len(text) - shift)
-        equal = text[a + shift : b + shift] == item[a:b]
-        n = len(equal)
-        least = min(self.min_words, len(item))
-        if n < least:
-            return None
-        total = np.r_[0, np.cumsum(equal)]
-        need = math.ceil(self.similarity * least - 1e-9)
-        good = np.flatnonzero(total[least:] - total[:-least] >= need)
-        if len(good):
-            first, last = int(good[0]), int(good[-1]) + least
-        elif total[-1] >= self.similarity * len(item):
-            first, last = 0, n
-        else:
-            return None
-        return a + shift + first, last - first, int(total[last] - total[first])
-
-
-def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list:
-    """The benchmark's seed indexes, each broadcast, in blocks of about ``BLOCK_WORDS`` words by hash of the id;
-    sizes are counted before any block comes to the driver."""
+    def _compare(self, held, span, before, flat, begin, out) -> None:
+        """Compares texts and items along diagonals and puts the overlaps that pass into ``out``."""
+        code = np.unique(np.concatenate(held))
+        pair, shift = code // span, code % span - before
+        doc, item = pair // len(self.item_ids), pair % len(self.item_ids)
+        length = self.begin[item + 1] - self.begin[item]
+        a = np.maximum(0, -shift)
+        n = np.minimum(length, begin[doc + 1] - begin[doc] - shift) - a
+        least = np.minimum(self.min_words, length)
+        need = np.ceil(self.similarity * least - 1e-9)
+        for part in _slices(np.flatnonzero(n >= least), n[n >= least], 4 * HITS):
+            m = n[part]
+            start = np.cumsum(m) - m
+            k = np.arange(m.sum()) - np.repeat(start, m)
+            equal = flat[np.repeat(begin[doc[part]] + shift[part] + a[part], m) + k] == self.flat[np.repeat(self.begin[item[part]] + a[part], m) + k]
+            total = np.r_[0, np.cumsum(equal)]
+            window = np.flatnonzero(k + np.repeat(least[part], m) <= np.repeat(m, m))  # where a window of the least length fits
+            good = np.zeros(len(k), bool)
+            good[window] = total[window + np.repeat(least[part], m)[window]] - total[window] >= np.repeat(need[part], m)[window]
+            sums = total[start + m] - total[start]
+            passed = np.flatnonzero(np.logical_or.reduceat(good, start) | (sums >= self.similarity * length[part])) if len(part) else part
+            for x in passed[np.argsort(-sums[passed], kind="stable")].tolist():
+                y = part[x]
+                key = int(doc[y]), int(item[y])
+                if sums[x] > out.get(key, (0, 0, 0))[2]:  # an overlap has no more equal words than its diagonal
+                    first, last = _longest(equal[start[x] : start[x] + m[x]], self.similarity)
+                    same = int(total[start[x] + last] - total[start[x] + first])
+                    if same > out.get(key, (0, 0, 0))[2]:
+                        out[key] = int(a[y] + shift[y] + first), last - first, same
+
+
+def _slices(rows: np.ndarray, sizes: np.ndarray, most: int) -> list[np.ndarray]:
+    """``rows`` cut so that the sizes of each part add up to about ``most``."""
+    return np.split(rows, np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1) if len(rows) else []
+
+
+def _longest(equal: np.ndarray, similarity: float) -> tuple[int, int]:
+    """The longest stretch of which a share of ``similarity`` is equal, from its first to its last equal word."""
+    over = np.r_[0, np.cumsum(equal)] - similarity * np.arange(len(equal) + 1)
+    reach = np.maximum.accumulate(over[::-1])[::-1]  # falls from left to right
+    last = np.searchsorted(-reach, -(over - 1e-9), "right") - 1
+    first = int(np.argmax(last - np.arange(len(over))))
+    same = np.flatnonzero(equal[first : last[first]])
+    return first + int(same[0]), first + int(same[-1]) + 1
+
+
+def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[Broadcast, bool]]:
+    """The benchmark's seed indexes, each broadcast, in blocks of about ``BLOCK_WORDS`` words by hash of the id, and
+    whether there are several; sizes are counted before any block comes to the driver, which holds one at a time."""
     items = benchmark.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).filter("id IS NOT NULL")
     sized = items.withColumn("h", F.xxhash64("id", "text")).withColumn("n", F.octet_length("text"))
     n_blocks = 1
@@ -155,16 +192,26 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list:
         if not worst or worst <= 12 * BLOCK_WORDS:
             break
         n_blocks *= 2
-    sc = benchmark.sparkSession.sparkContext
-    return [sc.broadcast(vars(SeedIndex([(r.id, r.text) for r in sized.filter(F.pmod("h", F.lit(n_blocks)) == b).select("id", "text").distinct().orderBy("id", "text").collect()]))) for b in range(n_blocks)]
+    for b in range(n_blocks):
+        part = sized.filter(F.pmod("h", F.lit(n_blocks)) == b).select("id", "text").distinct().orderBy("id", "text").collect()
+        yield benchmark.sparkSession.sparkContext.broadcast(vars(SeedIndex([(r.id, r.text) for r in part]))), n_blocks > 1
+
+
+def _done(df: DataFrame, block: Broadcast, several: bool) -> DataFrame:
+    """``df``; of several blocks, each one's result is written before the block is dropped and the next one comes."""
+    if several:
+        df = checkpointed(df)
+        block.destroy()
+    return df
 
 
 def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row for each document and benchmark item that overlap: ids, the overlap's first word and number of
     words in the document, its equal words and their share.
 
-    An overlap has at least 13 words (or the whole of a shorter item) along one diagonal, of which
-    0.8 or more are equal, or 0.8 of the whole item. Items of fewer than seven words
+    Pairs overlap where of 13 words side by side (or of a whole shorter item) 0.8 or more are equal, or of
+    the whole item. Told is the longest stretch with that share of equal words, from its first to
+    its last equal word; of several, the one with the most equal words, then the first. Items of fewer than seven words
     match where all their words stand side by side; items without words match nothing. The masks hit
     every overlap so defined, whatever its length (``tests/llm`` counts it out). Null texts and null item ids match nothing; repeated rows
     give repeated rows; an empty table on either side gives none. Only the named columns are read.
@@ -174,7 +221,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     names = [id_col, item_col, "first_word", "n_words", "n_equal", "similarity"]
     schema = f"`{id_col}` {kind}, `{item_col}` {item_kind}, first_word long, n_words long, n_equal long, similarity double"
     out = None
-    for block in blocks(benchmark, item_col, item_text):
+    for block, several in blocks(benchmark, item_col, item_text):
 
         def run(batches, block=block):
             index = SeedIndex.of(block.value)
@@ -187,14 +234,15 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                     types = [part.schema.field(0).type, pa.int64() if item_kind == "bigint" else None, pa.int64(), pa.int64(), pa.int64(), pa.float64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
-        part = src.mapInArrow(run, schema)
+        part = _done(src.mapInArrow(run, schema), block, several)
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``df`` that overlap no benchmark item, with all their columns; one pass a block, no shuffle."""
-    for block in blocks(benchmark, item_col, item_text):
+    """The rows of ``df`` that overlap no benchmark item, with all their columns; one pass a block, no shuffle.
+    Null and empty texts stay, and so do all rows where the benchmark is empty; repeated rows share their fate."""
+    for block, several in blocks(benchmark, item_col, item_text):
 
         def make(block=block):
             index = SeedIndex.of(block.value)
@@ -205,5 +253,5 @@ def drop_contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text
 
             return f
 
-        df = arrow_keep(df, [text_col], make)
+        df = _done(arrow_keep(df, [text_col], make), block, several)
     return df
