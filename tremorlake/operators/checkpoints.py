@@ -1,13 +1,47 @@
-"""Lineage cuts for iterative operators."""
+"""Lineage cuts and tables in the folder that driver and executors share."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import atexit
+import re
+import shutil
+import tempfile
+from uuid import uuid4
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: that of ``setCheckpointDir``, else ``spark.checkpoint.dir``; only a
+    local session may go without, and gets a folder of its own that goes when it ends."""
+    sc = spark.sparkContext
+    given = sc._jsc.sc().getCheckpointDir()
+    if given.isDefined():
+        return given.get()
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if named is None:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="shared-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    sc.setCheckpointDir(named)
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder of ``spark.checkpoint.dir``; a folder is set here only where the session names none."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", "/tmp/checkpoints"))
+    """``df`` cut from its lineage by files in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table of compressed columns in the shared folder, where checkpoints go, read again."""
+    path = f"{shared_dir(df.sparkSession)}/{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system, whatever its kind."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tremorlake.operators.checkpoints import shared_dir
 from tremorlake.plans.registry import query
 from tremorlake.sources.tables import table
 from tremorlake.streaming import feeds
 
 
-def _base(spark) -> str:
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir", "/tmp/checkpoints")
+_base = shared_dir
 
 
 def _events(spark, d):
