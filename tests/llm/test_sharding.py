@@ -31,3 +31,21 @@ def test_written_shards(spark, tmp_path):
     sharding.write_shards(df, str(tmp_path / "out"), 4)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 100 and back.select("shard").distinct().count() == 4
+
+
+def test_query_and_its_sql(spark, tmp_path):
+    import zlib
+
+    import duckdb
+
+    from tremorlake.llm import queries
+
+    r = __import__("random").Random(6)
+    docs = [(i * 5, None if i % 17 == 0 else "é𝄞 text " * r.randrange(40), None if i % 9 == 0 else f"s{i % 4}") for i in range(300)]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(3).write.parquet(path)
+    got = queries.QUERIES["op9_interleaved_shards"](spark, str(tmp_path)).collect()
+    sizes = {i: (len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t, _ in docs}
+    assert {x.doc_id: (x.size, x.text_crc32) for x in got} == sizes and len(got) == 300
+    sql = duckdb.sql(queries.ORACLES["op9_interleaved_shards"].replace("FROM documents", f"FROM '{path}/*.parquet'"))
+    assert sorted(map(tuple, sql.fetchall())) == sorted(map(tuple, got)) and sql.columns == list(got[0].asDict())

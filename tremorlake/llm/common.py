@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from tremorlake.operators.checkpoints import checkpointed, drop_folder, shared_dir, written
+
+__all__ = ["CHUNK", "arrow_keep", "arrow_map", "checkpointed", "drop_folder", "shared_dir", "split_words", "written"]
+
 #: Rows handed to a worker function at once.
 CHUNK = 512
 
@@ -52,13 +55,3 @@ def arrow_keep(df: DataFrame, cols: list[str | None], make: Callable[[], Callabl
                 yield part.filter(pa.array(f(*given), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` cut from its lineage by files in ``spark.checkpoint.dir``; a folder is set here only
-    where the session names none, as in local tests."""
-    spark = SparkSession.getActiveSession() or df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", "/tmp/checkpoints"))
-    return df.checkpoint()

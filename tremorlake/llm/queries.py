@@ -18,6 +18,9 @@ def vocab_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Vocabularies of the fertility rules: sentencepiece with byte fallback, and byte-level BPE of many languages.
+FERTILITY = ("piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken")
+
 QUERIES = {}
 ORACLES: dict[str, str] = {}
 
@@ -37,6 +40,26 @@ def op8_bpe(spark, d):
     return bpe.encode(table(spark, d, "documents"), vocab_path("word_bpe_49k.json"), keep_ids=False)
 
 
+def _crc_table() -> list[int]:
+    """What each byte does to a CRC-32, from its polynomial."""
+    out = list(range(256))
+    for _ in range(8):
+        out = [n >> 1 ^ (0xEDB88320 if n & 1 else 0) for n in out]
+    return out
+
+
+ORACLES["op9_interleaved_shards"] = f"""
+WITH crc AS (SELECT {_crc_table()} AS change),
+texts AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+bytes AS (SELECT doc_id, octet_length(encode(text)) + 8 AS size, list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST('0x' || x AS BIGINT))) AS b FROM texts),
+sums AS (SELECT doc_id, size, xor(list_reduce(b, lambda a, x: xor(a >> 8, change[xor(a & 255, x) + 1])), 4294967295) AS text_crc32 FROM bytes, crc),
+drawn AS (SELECT doc_id, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS s, CAST('0x' || substr(md5('42|' || doc_id), 1, 15) AS BIGINT) AS h FROM texts),
+ranked AS (SELECT *, (CAST(row_number() OVER (PARTITION BY s ORDER BY h, doc_id) - 1 AS DOUBLE) + CAST(0.5 AS DOUBLE)) / count(*) OVER (PARTITION BY s) AS frac FROM drawn),
+placed AS (SELECT doc_id, row_number() OVER (ORDER BY frac, s, h, doc_id) - 1 AS place, count(*) OVER () AS n FROM ranked)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(place * 24 // n AS INT) AS shard, place - ((place * 24 // n) * n + 23) // 24 AS slot, CAST(NULL AS INT) AS grown_shard FROM placed JOIN sums USING (doc_id)
+"""
+
+
 @query
 def op9_interleaved_shards(spark, d):
     docs = table(spark, d, "documents")
@@ -48,7 +71,7 @@ def op9_interleaved_shards(spark, d):
 
 @query
 def op1_fertility_rules(spark, d):
-    return fertility.measure(table(spark, d, "documents"), vocab_path("piece_bpe_32k.model"))
+    return fertility.measure(table(spark, d, "documents"), [vocab_path(v) for v in FERTILITY])
 
 
 @query

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 #: Slices of the hash range and of the unit interval; a rank is an offset of its slice plus a row
 #: number within the slice, so that no source and no order is sorted in one task.
 SLICE_BITS = 13
+HASH_BITS = 60
 
 
 def _sliced_rank(df: DataFrame, keys: list[str], slice_col: str, order: list[Column], rank: str, total: str) -> DataFrame:
@@ -32,15 +33,17 @@ def interleaved(df: DataFrame, n_shards: int, id_col: str = "doc_id", stratum_co
     all strata are sorted together and cut into shards whose row counts are at most one apart, so
     each shard holds each stratum in the whole table's proportion, to within a row or two.
 
-    Nulls: a null stratum is a stratum of its own, null ids are hashed like any other. Ties and
+    The shuffle is by MD5 of seed and id, which SQL engines have too. Nulls: a null stratum is a
+    stratum of its own, and null ids are hashed as empty. Ties and
     repeated rows take neighbouring ranks in any order. An empty table gives no rows. Other
     columns are carried along; the names ``shard`` and ``slot`` and names that begin with
     ``_ps_`` are the operator's own and replace columns of those names.
     """
     cols = [c for c in df.columns if c not in ("shard", "slot")]
-    stratum = F.concat(F.when(F.col(stratum_col).isNull(), "null").otherwise("="), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")))
-    row = df.select(*cols, F.xxhash64(stratum).alias("_ps_s"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("_ps_h"))
-    row = row.withColumn("_ps_slice", F.shiftrightunsigned("_ps_h", 64 - SLICE_BITS))
+    stratum = F.concat(F.when(F.col(stratum_col).isNull(), "").otherwise("="), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")))
+    drawn = F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, HASH_BITS // 4)
+    row = df.select(*cols, stratum.alias("_ps_s"), F.conv(drawn, 16, 10).cast("long").alias("_ps_h"))
+    row = row.withColumn("_ps_slice", F.shiftrightunsigned("_ps_h", HASH_BITS - SLICE_BITS))
     row = _sliced_rank(row, ["_ps_s"], "_ps_slice", [F.col("_ps_h"), F.col(id_col)], "_ps_rank", "_ps_size")
     row = row.withColumn("_ps_frac", (F.col("_ps_rank") + 0.5) / F.col("_ps_size")).drop("_ps_slice", "_ps_rank", "_ps_size")
     row = row.withColumn("_ps_slice", F.floor(F.col("_ps_frac") * (1 << SLICE_BITS))).withColumn("_ps_all", F.lit(0))
