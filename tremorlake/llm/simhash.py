@@ -6,6 +6,9 @@ pair in some group of equal keys. Groups of more than ``HOT_GROUP`` fingerprints
 same way once more by the four bytes of the other two blocks; what is left of them has at most
 2^16 different fingerprints, whatever the data. Within a group fingerprints are sorted by
 Gray rank and indexed by a tree whose nodes hold the bits that all below share.
+
+``keep_one`` links by a wider rule, for five-word shingles of similarity 0.8: fingerprints of 256 bits
+in the same index, with candidates by bits of a second fingerprint.
 """
 
 from __future__ import annotations
@@ -14,10 +17,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tremorlake.llm.common import arrow_map, checkpointed
+from tremorlake.llm.common import arrow_map, checkpointed, written
+from tremorlake.llm.substrings import rolling
 
 MAX_BITS = 2
 SHINGLE = 3
@@ -25,6 +29,8 @@ SHINGLE = 3
 HOT_GROUP = 4096
 #: Children of a node of the index.
 FANOUT = 8
+#: Members of a large group that are compared with all others first.
+PIVOTS = 32
 #: Search entries handled at once in a task.
 FRONTIER = 1 << 20
 
@@ -84,12 +90,13 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """Index over fingerprints in groups: ``group`` numbers the groups from 0 and is sorted, and within
-    a group ``fp`` is sorted by Gray rank. Level 0 is the fingerprints; a node of a level stands for up
+    """Index over fingerprints in groups, each of one or more 64-bit words: ``group`` numbers the groups from 0 and
+    is sorted, and within a group ``fp`` (rows of words) is sorted by Gray rank. Level 0 is the fingerprints; a node of a level stands for up
     to ``FANOUT`` neighbours of the level below in one group, until each group has one root. A node
     keeps the pattern of the bits that all below share and its parent does not have, under a mask."""
 
     def __init__(self, group: np.ndarray, fp: np.ndarray):
+        fp = fp.reshape(len(fp), -1)
         both, any_, owner = fp, fp, group
         level = [(both, any_, np.arange(len(fp)))]
         self.first: list[np.ndarray] = []  # of each node, its first child in the level below
@@ -99,7 +106,7 @@ class GrayIndex:
             size = np.diff(np.r_[begin, len(owner)])
             inside = np.arange(len(owner)) - np.repeat(begin, size)
             cut = np.flatnonzero(inside % FANOUT == 0)
-            both, any_ = np.bitwise_and.reduceat(both, cut), np.bitwise_or.reduceat(any_, cut)
+            both, any_ = np.bitwise_and.reduceat(both, cut, axis=0), np.bitwise_or.reduceat(any_, cut, axis=0)
             owner = owner[cut]
             level.append((both, any_, cut))
             self.first.append(np.r_[cut, len(owners[-1])])
@@ -107,29 +114,40 @@ class GrayIndex:
         self.fp, self.group = fp, group
         # top down: the mask of a node's own bits leaves out those that its parent has settled
         self.pattern, self.mask = [None] * len(level), [None] * len(level)
-        above = np.zeros(len(level[-1][0]), np.uint64)
+        above = np.zeros(level[-1][0].shape, np.uint64)
         for k in range(len(level) - 1, -1, -1):
             both, any_, _ = level[k]
             shared = ~(both ^ any_)
             if k < len(level) - 1:
-                above = np.repeat(above_mask, np.diff(self.first[k]))
+                above = np.repeat(above_mask, np.diff(self.first[k]), axis=0)
             self.pattern[k], self.mask[k] = both, shared & ~above
             above_mask = shared
 
-    def pairs(self, limit: int = MAX_BITS):
-        """Yield arrays (i, j), i < j, of fingerprints of one group at up to ``limit`` differing bits."""
+    def pairs(self, limit: int = MAX_BITS, joined: np.ndarray | None = None):
+        """Yield arrays (i, j), i < j, of fingerprints of one group at up to ``limit`` differing bits. With
+        ``joined``, numbers of classes that are known, pairs within a class are left out and nodes of one class
+        are not entered for its own members."""
         top = len(self.pattern) - 1
         if not top:
             return
+        self.least, self.most = [joined], [joined]
+        for cut in self.first if joined is not None else ():
+            self.least.append(np.minimum.reduceat(self.least[-1], cut[:-1]))
+            self.most.append(np.maximum.reduceat(self.most[-1], cut[:-1]))
         root = np.searchsorted(self.group, self.group)  # numbers of groups ascend, so roots do too
         root = np.unique(root, return_inverse=True)[1]
-        step = max(1, FRONTIER // (FANOUT * 16))
+        self.frontier = max(FANOUT, FRONTIER // self.fp.shape[1])
+        step = max(1, self.frontier // (FANOUT * 16))
         for at in range(0, len(self.fp), step):
             query = np.arange(at, min(at + step, len(self.fp)))
-            yield from self._search(query, root[query], np.zeros(len(query), np.uint8), top, limit)
+            yield from self._search(query, root[query], np.zeros(len(query), np.uint16), top, limit)
 
     def _search(self, query, node, spent, k, limit):
-        spent = spent + np.bitwise_count((self.fp[query] ^ self.pattern[k][node]) & self.mask[k][node])
+        if self.least[0] is not None:
+            own = self.least[0][query]
+            open_ = (self.least[k][node] != own) | (self.most[k][node] != own)
+            query, node, spent = query[open_], node[open_], spent[open_]
+        spent = spent + np.bitwise_count((self.fp[query] ^ self.pattern[k][node]) & self.mask[k][node]).sum(axis=1, dtype=np.uint16)
         ok = spent <= limit
         query, node, spent = query[ok], node[ok], spent[ok]
         if k == 0:
@@ -137,29 +155,48 @@ class GrayIndex:
             if ok.any():
                 yield query[ok], node[ok]
             return
-        for at in range(0, len(query), FRONTIER // FANOUT):
-            q, n, s = (x[at : at + FRONTIER // FANOUT] for x in (query, node, spent))
+        part = self.frontier // FANOUT
+        for at in range(0, len(query), part):
+            q, n, s = (x[at : at + part] for x in (query, node, spent))
             begin, size = self.first[k - 1][n], self.first[k - 1][n + 1] - self.first[k - 1][n]
             child = np.repeat(begin - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
             yield from self._search(np.repeat(q, size), child, np.repeat(s, size), k - 1, limit)
 
 
-def group_links(group: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join what the index joins in each group: each fingerprint that has a link, with the
-    smallest of its class in the group; a class of n gives n - 1 links."""
-    order = np.lexsort((gray_rank(fp), group))
+def group_links(group: np.ndarray, fp: np.ndarray, limit: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join what the index joins in each group, as places: each fingerprint that has a link, with the
+    first of its class in the group; a class of n gives n - 1 links. ``fp`` has a row of words for each.
+
+    In large groups some members are first compared with all others, so that one large class is known
+    before the index is searched, and its inner pairs are not."""
+    order = np.lexsort((*fp[:, :0:-1].T, gray_rank(fp[:, 0]), group))
     group, fp = group[order], fp[order]
     parent = np.arange(len(fp))
-    for i, j in GrayIndex(group, fp).pairs():
-        # joins roots until every link lies within a tree
-        while len(i):
-            a, b = _roots(parent, i), _roots(parent, j)
-            open_ = a != b
-            i, j, a, b = i[open_], j[open_], a[open_], b[open_]
-            np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+    begin = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    for a, b in zip(begin.tolist(), np.r_[begin[1:], len(fp)].tolist(), strict=True):
+        for _ in range(PIVOTS if b - a > 4 * PIVOTS else 0):
+            alone = np.flatnonzero(parent[a:b] == np.arange(a, b))
+            alone = alone[alone > 0] if parent[a] == a and (parent[a:b] == a).sum() > 1 else alone
+            if not len(alone):
+                break
+            pivot = a + int(alone[len(alone) // 2])
+            near = a + np.flatnonzero(np.bitwise_count(fp[a:b] ^ fp[pivot]).sum(axis=1) <= limit)
+            _join(parent, np.full(len(near), pivot), near)
+    joined = _roots(parent, np.arange(len(fp)))
+    for i, j in GrayIndex(group, fp).pairs(limit, joined):
+        _join(parent, i, j)
     root = _roots(parent, np.arange(len(fp)))
     moved = root != np.arange(len(fp))
-    return fp[moved], fp[root[moved]]
+    return order[moved], order[root[moved]]
+
+
+def _join(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Joins roots until every link (i, j) lies within a tree."""
+    while len(i):
+        a, b = _roots(parent, i), _roots(parent, j)
+        open_ = a != b
+        i, j, a, b = i[open_], j[open_], a[open_], b[open_]
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
 
 
 def _roots(parent: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -190,25 +227,35 @@ def links(fps: DataFrame) -> DataFrame:
     cuts = F.array(*(F.struct(F.lit(i).cast("int").alias("u"), F.expr(_key("inner", p, 8)).alias("v")) for i, p in enumerate(_PAIRS)))
     whole = F.array(F.struct(F.lit(-1).cast("int").alias("u"), F.lit(0).cast("long").alias("v")))
     shared = shared.withColumn("inner", inner).withColumn("y", F.explode(F.when(F.col("n") > HOT_GROUP, cuts).otherwise(whole))).select("fp", "t", "k", "y.u", "y.v")
+    return _dealt_links(shared, ["t", "k", "u", "v"], ["fp"], MAX_BITS)
+
+
+def _dealt_links(rows: DataFrame, keys: list[str], words: list[str], limit: int, node: str | None = None) -> DataFrame:
+    """Links (a, b) of rows of equal ``keys`` whose fingerprints ``words`` differ in up to ``limit`` bits; ends are told by
+    ``node``, else by the fingerprint."""
+    node = node or words[0]
     # a task's rows of one group lie together; several groups share a task and one index
-    dealt = shared.repartition("t", "k", "u", "v").sortWithinPartitions("t", "k", "u", "v")
+    dealt = rows.select(node, *(w for w in words if w != node), *keys).repartition(*keys).sortWithinPartitions(*keys)
+    names = dealt.columns
+    key_at, word_at = [names.index(k) for k in keys], [names.index(w) for w in words]
 
     def run(batches):
         def flush(part):
             t = pa.Table.from_batches(part)
-            cols = [t.column(c).to_numpy() for c in ("t", "k", "u", "v")]
+            cols = [t.column(c).to_numpy() for c in key_at]
             new = np.zeros(len(t), bool)
             for c in cols:
                 new[1:] |= c[1:] != c[:-1]
-            a, b = group_links(np.cumsum(new), t.column("fp").to_numpy().view(np.uint64))
-            return pa.RecordBatch.from_pydict({"a": a.view(np.int64), "b": b.view(np.int64)})
+            a, b = group_links(np.cumsum(new), np.stack([t.column(c).to_numpy().view(np.uint64) for c in word_at], axis=1), limit)
+            ends = t.column(0).to_numpy()
+            return pa.RecordBatch.from_pydict({"a": ends[a], "b": ends[b]})
 
         held, n = [], 0
         for batch in batches:
             if n >= 4 * FRONTIER and held:
                 # all up to the last group's first row can go
-                cols = [np.asarray(batch.column(i)) for i in range(1, 5)]
-                last = [held[-1].column(i)[-1].as_py() for i in range(1, 5)]
+                cols = [np.asarray(batch.column(i)) for i in key_at]
+                last = [held[-1].column(i)[-1].as_py() for i in key_at]
                 same = np.logical_and.reduce([c == x for c, x in zip(cols, last, strict=True)])
                 k = int(np.argmin(same)) if not same.all() else len(same)
                 if k < len(same):
@@ -268,8 +315,122 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return fps.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Words of a shingle and 64-bit words of a fingerprint of ``keep_one``, and the bits that linked ones differ in at most.
+#: Of two texts of five-word similarity 0.8, 39 bits differ on average; 46 and fewer differ in 90 of 100 such pairs.
+NEAR_SHINGLE, NEAR_WORDS, NEAR_BITS = 5, 4, 46
+#: Candidates agree in one of several drawn sets of bits of a second fingerprint, of two-word shingles. Sets are as
+#: wide as the number of fingerprints needs, and as many as find a pair that differs in every tenth bit with this chance.
+KEY_SHINGLE, KEY_BITS, KEY_RECALL = 2, (16, 32), 0.95
+#: Bits of the parts of the first fingerprint by which hot groups are split.
+PART_BITS = 12
+#: Rows to drop are broadcast up to this many.
+BROADCAST_ROWS = 2_000_000
+
+
+def wide_fingerprints(texts: list[str | None], shingle: int, words: int, distinct: bool = False) -> np.ndarray:
+    """For each text ``words`` words of bits that are set in over half of the hashes of its shingles, or of its ``distinct``
+    ones; zero without words."""
+    split = [(t or "").encode("utf-8", "surrogatepass").translate(_LOWER).split() for t in texts]
+    out = np.zeros((len(texts), words), np.uint64)
+    size = np.array([len(w) for w in split], np.int64)
+    from xxhash import xxh64_intdigest
+
+    known: dict[bytes, int] = {}
+    hashes = np.fromiter((known.get(w) or known.setdefault(w, xxh64_intdigest(w, 42)) for x in split for w in x), np.uint64, int(size.sum()))
+    grams, start = [], []
+    at = filled = 0
+    some = np.flatnonzero(size)
+    for n in size[some].tolist():
+        some_grams = rolling(hashes[at : at + n], min(n, shingle))
+        grams.append(np.unique(some_grams) if distinct else some_grams)
+        start.append(filled)
+        at, filled = at + n, filled + len(grams[-1])
+    if not len(some):
+        return out
+    gram, start = np.concatenate(grams), np.array(start)
+    n = np.diff(np.r_[start, len(gram)])
+    for k in range(words):
+        h = gram * np.uint64(0x9E3779B97F4A7C15 + 2 * k) ^ np.uint64(k)
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+        for a in range(0, len(some), 64):
+            lo, hi = start[a], start[a + 64] if a + 64 < len(start) else len(gram)
+            bits = np.unpackbits(h[lo:hi].view(np.uint8).reshape(-1, 8), axis=1)
+            counts = np.add.reduceat(bits, start[a : a + 64] - lo, axis=0, dtype=np.int32)
+            out[some[a : a + 64], k] = np.packbits(2 * counts > n[a : a + 64, None], axis=1).view(np.uint64).ravel()
+    return out
+
+
+def _key_sets(n_nodes: int) -> list[list[int]]:
+    """The sets of bits that candidates agree in, drawn by a fixed seed."""
+    width = int(np.clip(np.ceil(np.log2(max(n_nodes, 2))) - 2, *KEY_BITS))
+    n = int(np.ceil(np.log(1 - KEY_RECALL) / np.log(1 - 0.9**width)))
+    r = np.random.default_rng(17)
+    return [sorted(r.choice(64 * NEAR_WORDS, width, replace=False).tolist()) for _ in range(n)]
+
+
+def _picked(words: list[str], bits: list[int]) -> Column:
+    """Some bits of a fingerprint as one number."""
+    out = F.lit(0).cast("long")
+    for k, b in enumerate(bits):
+        out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(words[b // 64], b % 64).bitwiseAND(F.lit(1).cast("long")), k))
+    return out
+
+
+def near_links(nodes: DataFrame) -> DataFrame:
+    """Links (a, b) among ``nodes``: (node, f0.., g0..), a fingerprint by its number, its words, and the words of the
+    fingerprint that candidates are searched by. A group of n candidates gives at most n - 1 links, and a hot one is
+    split by parts of the fingerprint itself."""
+    f, g = [f"f{k}" for k in range(NEAR_WORDS)], [f"g{k}" for k in range(NEAR_WORDS)]
+    sets = _key_sets(nodes.count())
+    keys = F.array(*(F.struct(F.lit(t).cast("int").alias("t"), _picked(g, bits).alias("k")) for t, bits in enumerate(sets)))
+    keyed = nodes.select("node", *f, F.explode(keys).alias("x")).select("node", *f, "x.t", "x.k")
+    sizes = keyed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = keyed.join(sizes, ["t", "k"])
+    parts = F.array(*(F.struct(F.lit(i).cast("int").alias("u"), _picked(f, list(range(b, b + PART_BITS))).alias("v")) for i, b in enumerate(range(0, 64 * NEAR_WORDS - PART_BITS + 1, PART_BITS))))
+    whole = F.array(F.struct(F.lit(-1).cast("int").alias("u"), F.lit(0).cast("long").alias("v")))
+    shared = shared.withColumn("y", F.explode(F.when(F.col("n") > HOT_GROUP, parts).otherwise(whole))).select("node", *f, "t", "k", "y.u", "y.v")
+    return _dealt_links(shared, ["t", "k", "u", "v"], f, NEAR_BITS, "node")
+
+
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` whose id is the smallest of its component, with all their columns; rows with a null id stay."""
-    found = near_duplicates(df, id_col, text_col)
-    gone = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return df.join(gone, df[id_col] == gone["_gone"], "left_anti")
+    """One row of each group of near copies, with all its columns: that of the smallest id (rows without an id come
+    last), of one id that of the smaller text hash. Texts that link with no other stay.
+
+    Two texts link where their fingerprints of ``NEAR_WORDS`` words, of five-word shingles, differ in at most
+    ``NEAR_BITS`` bits, which stands for a similarity of 0.8 or more. Null and blank texts are copies of one
+    another. Of repeated rows one stays; rows of one id with different texts are judged by themselves;
+    an empty table gives none. Names that begin with ``_near_`` are the operator's own and left out. Texts are not
+    shuffled: the rows that go are found by id and text hash, and only repeated rows that stay are dealt out.
+    """
+    cols = [c for c in df.columns if not c.startswith("_near_")]
+    df = df.select(*cols)
+    kind = df.select(id_col).schema[0].dataType.simpleString()
+    f, g = [f"f{k}" for k in range(NEAR_WORDS)], [f"g{k}" for k in range(NEAR_WORDS)]
+    src = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+
+    def make():
+        def run(id, th, text):
+            near, key = wide_fingerprints(text, NEAR_SHINGLE, NEAR_WORDS, True).view(np.int64), wide_fingerprints(text, KEY_SHINGLE, NEAR_WORDS).view(np.int64)
+            return {"id": id, "th": th} | {f"f{k}": near[:, k] for k in range(NEAR_WORDS)} | {f"g{k}": key[:, k] for k in range(NEAR_WORDS)}
+
+        return run
+
+    fps = arrow_map(src, f"id {kind}, th long" + "".join(f", {c} long" for c in f + g), make)
+    fps = written(fps.withColumn("node", F.xxhash64(*f)))
+    nodes = fps.groupBy("node").agg(*(F.min(c).alias(c) for c in f + g))
+    roots = components(near_links(nodes)).withColumnRenamed("v", "node")
+    # rows of one id and text are one candidate to stay
+    rows = fps.groupBy("node", "id", "th").agg(F.count(F.lit(1)).alias("n")).join(roots, "node", "left")
+    rows = rows.withColumn("root", F.coalesce("root", "node")).withColumn("rank", F.struct(F.col("id").isNull().alias("none"), "id", "th"))
+    best = rows.groupBy("root").agg(F.min("rank").alias("best"))
+    rows = rows.join(best, "root").select("id", "th", "n", (F.col("rank") == F.col("best")).alias("stays"))
+    rows = checkpointed(rows.filter("NOT stays OR n > 1").select(F.col("id").alias("_near_id"), F.col("th").alias("_near_th"), "stays"))
+    by = {r.stays: r["count"] for r in rows.groupBy("stays").count().collect()}
+    keyed = df.withColumn("_near_h", F.xxhash64(text_col))
+    listed = F.broadcast(rows) if sum(by.values()) <= BROADCAST_ROWS else rows
+    same = F.col(id_col).eqNullSafe(F.col("_near_id")) & (F.col("_near_h") == F.col("_near_th"))
+    out = keyed.join(listed, same, "left_anti")
+    if by.get(True):  # repeated rows
+        out = out.unionByName(keyed.join(listed.filter("stays"), same, "left_semi").dropDuplicates([id_col, "_near_h"]))
+    return out.select(*cols)
