@@ -1,9 +1,9 @@
 """Repeated passages by prefix-partitioned suffix trees, cut at the depth of a window.
 
 A suffix is a word's place in a text with the words that follow. Its prefix, of variable length, ends
-with the smallest hash of eight words that begins within the window, so equal windows have equal
+with the smallest hash of four words that begins within the window, so equal windows have equal
 prefixes, whatever surrounds them, and neighbouring suffixes mostly share that last part, the anchor,
-and travel together as one stretch of words. Eight words that very many places have are counted first
+and travel together as one stretch of words. Four words that very many places have are counted first
 and are no anchors: a prefix then goes on to rarer words, and where a window has none it is the prefix
 itself. Prefixes are dealt to groups of a size that fits in memory.
 
@@ -32,14 +32,14 @@ from pyspark.sql import functions as F
 from tremorlake.llm.common import arrow_map, split_words
 
 WINDOW = 20
-ANCHOR = 8
+ANCHOR = 4
 #: Words of a chunk whose tree is built at once in a task.
 CHUNK_WORDS = 700_000
 #: Bytes of words of a group; a group that is larger all the same is worked off in parts.
 GROUP_BYTES = 24 << 20
 #: Most partitions; beyond it a partition has several groups, one after the other.
 MOST_PARTITIONS = 50_000
-#: Counters of eight words by hash, the least count in a task that is sent on, and the count beyond which eight words are no anchor.
+#: Counters of an anchor's words by hash, the least count in a task that is sent on, and the count beyond which they are no anchor.
 SLOTS = 1 << 22
 LEAST_COUNT = 16
 HOT_COUNT = 200_000
@@ -402,8 +402,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         bits = np.zeros(SLOTS, bool)
         bits[list(counts)] = True
         hot = spark.sparkContext.broadcast(np.packbits(bits).tobytes())
-    # a suffix travels with about four words of seven bytes
-    n_groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_words * 28 // GROUP_BYTES))
+    # a suffix travels with about three words of seven bytes
+    n_groups = max(2 * spark.sparkContext.defaultParallelism, -(-n_words * 21 // GROUP_BYTES))
     marks = _marks(_stretches(texts, window, anchor, hot, n_groups), window, n_groups)
     marks = marks.groupBy("d", "th").agg(F.collect_list(F.struct("pos", "mask")).alias("marks"))
     rows = _packed(src).join(marks, ["d", "th"], "left").select("id", "packed", "marks")
