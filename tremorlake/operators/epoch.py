@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremorlake.functions.exprs import portable_draw
+from tremorlake.functions.exprs import portable_draws
 
 
 def epoch_join(events: DataFrame, signal: DataFrame, window: int, day: str = "d", keys: list[str] | None = None) -> DataFrame:
@@ -25,23 +25,37 @@ def shifted(events: DataFrame, iters: int, seed: int, first_day, last_day, ident
     """The events of each permutation: moved by 365 to 729 days either way, and put within the first or last 30
     days of the signal where they would leave it. Draws are hashes of seed, permutation and event."""
     e = events.withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(iters - 1))))
-    u, v, w = (portable_draw(seed, "iter", ident, F.lit(k)) for k in range(3))
+    u, v, w = portable_draws(3, seed, "iter", ident)
     move = (u % 365 + 365) * F.when(v % 2 == 0, 1).otherwise(-1)
     e = e.withColumn("_d", F.date_add(day, move.cast("int"))).withColumn("_r", (w % 30).cast("int"))
     a, b = F.lit(first_day).cast("date") if isinstance(first_day, str) else first_day, F.lit(last_day).cast("date") if isinstance(last_day, str) else last_day
     return e.withColumn(day, F.when(F.col("_d") < a, F.date_add(a, F.col("_r"))).when(F.col("_d") > b, F.date_sub(b, F.col("_r"))).otherwise(F.col("_d"))).drop("_d", "_r")
 
 
-def permuted_epoch(events: DataFrame, signal: DataFrame, metrics: list[str], window: int, iters: int, seed: int, first_day, last_day, day: str = "d", ident: str = "event_id") -> DataFrame:
-    """Means by permutation, metric and relative day.
+def permuted_sums(events: DataFrame, signal: DataFrame, metrics: list[str], window: int, iters: int, seed: int, first_day, last_day, day: str = "d", ident: str = "event_id", by: list[str] | None = None) -> DataFrame:
+    """Sums and numbers of values by permutation, metric and relative day: (by, iter, rel_day, metric, s, n).
 
-    Permuted events are summed to counts by permutation and day before they meet the signal, and all
-    metrics share one join; sums and counts are added up before the metrics are unpivoted."""
-    moved = shifted(events.select(ident, day), iters, seed, first_day, last_day, ident, day).groupBy("iter", day).agg(F.count(F.lit(1)).alias("_k"))
-    j = epoch_join(moved, signal.select(day, *metrics), window, day)
-    sums = j.groupBy("iter", "rel_day").agg(*(F.sum(F.col(m) * F.col("_k")).alias(f"s_{m}") for m in metrics), *(F.sum(F.when(F.col(m).isNotNull(), F.col("_k"))).alias(f"n_{m}") for m in metrics))
-    wide = sums.select("iter", "rel_day", *(F.try_divide(f"s_{m}", f"n_{m}").alias(m) for m in metrics))
-    return wide.unpivot(["iter", "rel_day"], metrics, "metric", "perm_mean")
+    Permuted events are summed to counts by permutation and day. Each day has the sums and counts of the
+    signal on all days around it in one row, so that the two meet once, whatever the window, and are
+    added up by permutation without a row for each relative day."""
+    by = by or []
+    moved = shifted(events.select(ident, day, *by), iters, seed, first_day, last_day, ident, day).groupBy(*by, "iter", day).agg(F.count(F.lit(1)).alias("_k"))
+    days = range(-window, window + 1)
+    name = lambda kind, i, r: f"_{kind}{i}_{r + window}"
+    around = signal.select(*by, day, *(F.col(m).cast("double").alias(f"_m{i}") for i, m in enumerate(metrics))).withColumn("_r", F.explode(F.sequence(F.lit(-window), F.lit(window))))
+    around = around.select(*by, F.date_sub(day, F.col("_r")).alias(day), "_r", *(f"_m{i}" for i in range(len(metrics))))
+    at = [(i, r, F.when(F.col("_r") == r, F.col(f"_m{i}"))) for i in range(len(metrics)) for r in days]
+    wide = around.groupBy(*by, day).agg(*(F.sum(x).alias(name("s", i, r)) for i, r, x in at), *(F.count(x).alias(name("n", i, r)) for i, r, x in at))
+    k = F.col("_k")
+    sums = moved.join(wide, [*by, day]).groupBy(*by, "iter").agg(*(F.sum(k * F.col(name("s", i, r))).alias(name("s", i, r)) for i, r, _ in at), *(F.sum(k * F.col(name("n", i, r))).alias(name("n", i, r)) for i, r, _ in at))
+    rows = F.array(*(F.struct(F.lit(r).alias("rel_day"), F.lit(metrics[i]).alias("metric"), F.col(name("s", i, r)).alias("s"), F.col(name("n", i, r)).alias("n")) for i, r, _ in at))
+    return sums.select(*by, "iter", F.explode(rows).alias("x")).filter("x.n > 0").select(*by, "iter", "x.rel_day", "x.metric", "x.s", "x.n")
+
+
+def permuted_epoch(events: DataFrame, signal: DataFrame, metrics: list[str], window: int, iters: int, seed: int, first_day, last_day, day: str = "d", ident: str = "event_id", by: list[str] | None = None) -> DataFrame:
+    """Means by permutation, metric and relative day, as of ``permuted_sums``."""
+    sums = permuted_sums(events, signal, metrics, window, iters, seed, first_day, last_day, day, ident, by)
+    return sums.select(*(by or []), "iter", "metric", "rel_day", (F.col("s") / F.col("n")).alias("perm_mean"))
 
 
 def epoch_z(observed: DataFrame, null: DataFrame, keys: list[str]) -> DataFrame:
@@ -56,3 +70,58 @@ def window_summary(profile: DataFrame, days: list[int], value: str, keys: list[s
     k = F.explode(F.array(*map(F.lit, days))).alias("k")
     p = profile.select("*", k).filter((F.col("rel_day") <= -1) & (F.col("rel_day") >= -F.least(F.col("k"), F.lit(window))))
     return p.groupBy(*keys, "k").agg(F.avg(value).alias("mean_value"))
+
+
+def hazard_signal(reports: DataFrame, hazards: DataFrame, hazard: str = "hazard", day: str = "d") -> DataFrame:
+    """Daily signal of each hazard from the reports of it and those of ``multiple``: (hazard, day, n, zscore), the last
+    against the mean and deviation over the hazard's own days. ``hazards`` has the few hazards that there are."""
+    known = hazards.select(hazard).distinct()
+    own = reports.filter(F.col(hazard) != "multiple").join(F.broadcast(known), hazard, "left_semi")
+    shared = reports.filter(F.col(hazard) == "multiple").drop(hazard).crossJoin(F.broadcast(known))
+    daily = own.select(hazard, day).unionByName(shared.select(hazard, day)).groupBy(hazard, day).agg(F.count(F.lit(1)).alias("n"))
+    stats = daily.groupBy(hazard).agg(F.avg("n").alias("_m"), F.stddev_samp("n").alias("_s"))
+    return daily.join(F.broadcast(stats), hazard).select(hazard, day, "n", F.try_divide(F.col("n") - F.col("_m"), F.col("_s")).alias("zscore"))
+
+
+def stratified_epoch(events: DataFrame, signal: DataFrame, metrics: list[str], window: int, iters: int, seed: int, first_day, last_day, hazard: str = "hazard", min_mag: float | None = None, without_source: str | None = None, least_events: int = 50, least_days: int = 30, alpha: float = 0.05, families: int = 5, mag: str = "mag", source: str = "source", day: str = "d", ident: str = "event_id") -> DataFrame:
+    """Superposed epochs of all hazards at once against their permutations: (hazard, metric, rel_day, n_events, means,
+    zscore, p_value, bonferroni).
+
+    Events count with no magnitude or at least ``min_mag``, and from sources that do not hold ``without_source``.
+    Hazards of fewer than ``least_events`` events or ``least_days`` days of signal are left out.
+    ``bonferroni`` tells a p value under ``alpha`` / ``families``."""
+    if min_mag is not None:
+        events = events.filter(F.col(mag).isNull() | (F.col(mag) >= min_mag))
+    if without_source is not None:
+        events = events.filter(~F.contains(F.col(source), F.lit(without_source)))
+    counts = events.groupBy(hazard).agg(F.count(F.lit(1)).alias("n_events")).filter(F.col("n_events") >= least_events)
+    counts = counts.join(signal.groupBy(hazard).agg(F.count(F.lit(1)).alias("_d")).filter(F.col("_d") >= least_days), hazard).select(hazard, "n_events")
+    events = events.join(F.broadcast(counts.select(hazard)), hazard, "left_semi")
+    seen = epoch_join(events.select(hazard, ident, day), signal.select(hazard, day, *metrics), window, day, [hazard]).unpivot([hazard, "rel_day"], metrics, "metric", "value")
+    seen = seen.groupBy(hazard, "metric", "rel_day").agg(F.avg("value").alias("obs_mean"), F.count("value").alias("n_obs"))
+    null = permuted_epoch(events, signal, metrics, window, iters, seed, first_day, last_day, day, ident, [hazard])
+    out = epoch_z(seen, null, [hazard, "metric", "rel_day"]).withColumn("bonferroni", F.col("p_value") < alpha / families)
+    return out.join(F.broadcast(counts), hazard)
+
+
+def pre_post_contrast(events: DataFrame, signal: DataFrame, feature: str, weight: str, source: str, window: int, iters: int, seed: int, first_day, last_day, day: str = "d", ident: str = "event_id") -> DataFrame:
+    """Weighted mean of a feature in the days before the events less that of the days after, and the same under
+    permutation: one row (observed, perm_mean, perm_sd, zscore, p_two_tailed, p_one_tailed).
+
+    The feature is standardised within its source; sources without deviation have no say."""
+    stats = signal.groupBy(source).agg(F.avg(feature).alias("_m"), F.stddev_samp(feature).alias("_s"))
+    z = signal.join(F.broadcast(stats), source).withColumn("_z", F.when(F.col("_s") > 0, (F.col(feature) - F.col("_m")) / F.col("_s"))).filter("_z IS NOT NULL")
+    daily = z.groupBy(day).agg(F.sum(F.col("_z") * F.col(weight)).alias("_wz"), F.sum(weight).cast("double").alias("_w"))
+
+    def contrast(sums: DataFrame, by: list[str]) -> DataFrame:
+        part = lambda m, side: F.sum(F.when((F.col("metric") == m) & side, F.col("s")))
+        before, after = F.col("rel_day") < 0, F.col("rel_day") > 0
+        return sums.groupBy(*by).agg((part("_wz", before) / part("_w", before) - part("_wz", after) / part("_w", after)).alias("c"))
+
+    seen = epoch_join(events.select(ident, day), daily, window, day).groupBy("rel_day").agg(F.sum("_wz").alias("_wz"), F.sum("_w").alias("_w")).unpivot(["rel_day"], ["_wz", "_w"], "metric", "s")
+    obs = contrast(seen, []).select(F.col("c").alias("observed"))
+    null = contrast(permuted_sums(events, daily, ["_wz", "_w"], window, iters, seed, first_day, last_day, day, ident), ["iter"]).filter("c IS NOT NULL")
+    out = null.crossJoin(F.broadcast(obs)).groupBy("observed").agg(
+        F.avg("c").alias("perm_mean"), F.stddev_pop("c").alias("perm_sd"), F.avg((F.abs("c") >= F.abs("observed")).cast("int")).alias("p_two_tailed"), F.avg((F.col("c") >= F.col("observed")).cast("int")).alias("p_one_tailed")
+    )
+    return out.withColumn("zscore", F.when(F.col("perm_sd") > 0, (F.col("observed") - F.col("perm_mean")) / F.col("perm_sd")))

@@ -12,6 +12,8 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tremorlake.operators.checkpoints import checkpointed
+
 
 def fit_boosted(train: DataFrame, features: list[str], label: str, rounds: int = 200, depth: int = 4, rate: float = 0.05, seed: int = 42, impute: str = "median"):
     """A pipeline of imputation and scaling by the training rows and boosted trees with balanced class weights."""
@@ -29,7 +31,8 @@ def fit_boosted(train: DataFrame, features: list[str], label: str, rounds: int =
 def walk_forward(df: DataFrame, features: list[str], label: str, day: str, ids: list[str], folds: list[tuple[str, str]], rounds: int = 200, least_positives: int = 3) -> DataFrame:
     """Scores of each fold's test rows: (ids, fold, y, p). A fold (cut, until) trains on days up to ``cut`` and tests on those
     after it up to ``until``; folds of too few positives or of one test class are left out."""
-    df = df.select(*ids, F.col(day), F.col(label).cast("double").alias("y"), *(F.col(c).cast("double").alias(c) for c in features)).filter("y IS NOT NULL").persist()
+    df = df.select(*ids, F.col(day), F.col(label).cast("double").alias("y"), *(F.col(c).cast("double").alias(c) for c in features)).filter("y IS NOT NULL")
+    df = checkpointed(df)  # each fold reads it several times
     out = []
     for k, (cut, until) in enumerate(folds, 1):
         train, test = df.filter(F.col(day) <= F.lit(cut).cast("date")), df.filter((F.col(day) > F.lit(cut).cast("date")) & (F.col(day) <= F.lit(until).cast("date")))

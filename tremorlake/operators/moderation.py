@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tremorlake.functions.exprs import portable_draw
 from tremorlake.operators.epoch import epoch_join
 from tremorlake.operators.spatial import nearest_event
+from tremorlake.operators.windows import sliced_rank
 
 
 def moderation_test(events: DataFrame, signal: DataFrame, bin_col: str, metric: str, days: tuple[int, int], iters: int, seed: int, ident: str = "event_id", least: int = 5) -> DataFrame:
@@ -17,12 +18,13 @@ def moderation_test(events: DataFrame, signal: DataFrame, bin_col: str, metric:
 
     Each event has one value, its mean over the days; a shuffle gives the values a portable random
     order and deals them to the bins in turn, so bins keep their sizes. Bins of fewer than ``least``
-    events are left out of the observed variance. Only a shuffle's own events are ordered in a task."""
+    events are left out of the observed variance. Ranks come from counts by slices of the draws, so
+    no task orders a whole shuffle."""
     pre = epoch_join(events, signal, max(map(abs, days))).filter(F.col("rel_day").between(*days)).groupBy(ident, bin_col).agg(F.avg(metric).alias("_m"))
     sizes = pre.groupBy(bin_col).agg(F.count(F.lit(1)).alias("_n"))
     sizes = sizes.select(F.struct(F.sum("_n").over(W.orderBy(bin_col)).alias("to"), F.col(bin_col).alias("bin")).alias("_s")).agg(F.array_sort(F.collect_list("_s")).alias("_to"))  # one row a bin
     again = pre.withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(iters - 1))))
-    again = again.withColumn("_r", F.row_number().over(W.partitionBy("iter").orderBy(portable_draw(seed, "iter", ident), ident))).select("iter", "_r", "_m")
+    again = sliced_rank(again.withColumn("_d", portable_draw(seed, "iter", ident)), ["iter"], F.shiftright("_d", 22), ["_d", ident], "_r").select("iter", "_r", "_m")
     dealt = again.crossJoin(F.broadcast(sizes)).withColumn(bin_col, F.filter("_to", lambda s: s["to"] >= F.col("_r"))[0]["bin"])
     means = dealt.groupBy("iter", bin_col).agg(F.avg("_m").alias("a"))
     null = means.groupBy("iter").agg(F.var_pop("a").alias("v"))

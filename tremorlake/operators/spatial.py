@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremorlake.functions.exprs import haversine_km
+from tremorlake.functions.exprs import EARTH_KM, haversine_km
 
 CELL = 10
+#: Degrees of the cells in which the nearest event is looked for first; they divide the circle.
+NEAR_CELL = 15
 
 
 def _cells(low, high, size: float):
@@ -29,22 +33,48 @@ def bbox_or_global(points: DataFrame, boxes: DataFrame, zone: str = "fault_id",
     return inside.unionByName(points.withColumn(zone, F.lit("global")))
 
 
+def _lon_cell(lon, size: float):
+    """The number of a longitude's cell of ``size`` degrees, which divide the circle."""
+    return F.floor(F.pmod(lon + 180, F.lit(360.0)) / size)
+
+
 def nearest_event(points: DataFrame, events: DataFrame, min_days: int, max_days: int, keys: list[str], point_id: str, day: str = "d", event_id: str = "event_id", lat: str = "lat", lon: str = "lon") -> DataFrame:
     """For each point the nearest event of equal keys that is ``min_days`` to ``max_days`` after it, with its distance;
-    ties go to the smaller event id. Days are dealt to buckets as wide as the range, so each point meets two."""
+    ties go to the smaller event id. Days are dealt to buckets as wide as the range, so each point meets two.
+
+    Points first meet the events of their cell of ``NEAR_CELL`` degrees and the eight around it. What is
+    found there is the nearest if it is no farther than all beyond; only the points without such an
+    event, as in empty regions and at the poles, meet all events of their days."""
     width = max_days - min_days + 1
     p = points.select(*keys, F.col(point_id).alias("_p"), F.col(lat).alias("_plat"), F.col(lon).alias("_plon"), F.datediff(day, F.lit("1970-01-01")).alias("_pd"))
     p = p.withColumn("_b", F.explode(F.sequence(F.floor((F.col("_pd") + min_days) / width), F.floor((F.col("_pd") + max_days) / width))))
     e = events.select(*keys, F.col(event_id).alias("_e"), F.col(lat).alias("_elat"), F.col(lon).alias("_elon"), F.datediff(day, F.lit("1970-01-01")).alias("_ed")).withColumn("_b", F.floor(F.col("_ed") / width))
-    near = p.join(e, [*keys, "_b"]).filter((F.col("_ed") - F.col("_pd")).between(min_days, max_days)).withColumn("km", haversine_km("_plat", "_plon", "_elat", "_elon"))
-    best = near.groupBy(F.col("_p").alias(point_id)).agg(F.min(F.struct("km", F.col("_e").alias(event_id))).alias("b"))
-    return best.select(point_id, f"b.{event_id}", "b.km")
+
+    def best(p: DataFrame, e: DataFrame, on: list[str]) -> DataFrame:
+        near = p.join(e, on).filter((F.col("_ed") - F.col("_pd")).between(min_days, max_days)).withColumn("km", haversine_km("_plat", "_plon", "_elat", "_elon"))
+        return near.groupBy("_p").agg(F.min(F.struct("km", F.col("_e").alias(event_id))).alias("b"), F.first("_plat").alias("_plat"))
+
+    n = int(360 / NEAR_CELL)
+    around = F.explode(F.array(*(F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y in (-1, 0, 1) for x in (-1, 0, 1))))
+    cells = p.withColumn("_o", around).withColumn("_cy", F.floor(F.col("_plat") / NEAR_CELL) + F.col("_o.y")).withColumn("_cx", F.pmod(_lon_cell(F.col("_plon"), NEAR_CELL) + F.col("_o.x"), F.lit(n))).drop("_o")
+    placed = e.withColumn("_cy", F.floor(F.col("_elat") / NEAR_CELL)).withColumn("_cx", _lon_cell(F.col("_elon"), NEAR_CELL))
+    # nothing beyond the nine cells is nearer than a meridian as many degrees away
+    safe = EARTH_KM * F.asin(F.sin(F.lit(math.radians(NEAR_CELL))) * F.cos(F.radians("_plat")))
+    close = best(cells, placed, [*keys, "_b", "_cy", "_cx"]).filter(F.col("b.km") <= safe).select("_p", "b")
+    rest = p.join(close.select("_p"), "_p", "left_anti")
+    out = close.unionByName(best(rest, e, [*keys, "_b"]).select("_p", "b"))
+    return out.select(F.col("_p").alias(point_id), f"b.{event_id}", "b.km")
 
 
 def tolerance_join(a: DataFrame, b: DataFrame, eps: float, id_col: str, day: str = "d", lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """Rows of ``a`` with a row of ``b`` on the same day within ``eps`` degrees both ways, each once."""
+    """Rows of ``a`` with a row of ``b`` on the same day within ``eps`` degrees both ways, each once; none where ``eps``
+    is not positive. Rows of ``b`` are dealt to the cells of ``eps`` degrees around them."""
+    if eps <= 0:
+        return a.limit(0)
+    step = F.array(*map(F.lit, (-1, 0, 1)))
     r = b.select(F.col(day).alias("_d"), F.col(lat).alias("_lat"), F.col(lon).alias("_lon"))
-    on = (a[day] == r["_d"]) & (F.abs(a[lat] - r["_lat"]) < eps) & (F.abs(a[lon] - r["_lon"]) < eps)
+    r = r.withColumn("_y", F.explode(step)).withColumn("_x", F.explode(step)).withColumns({"_y": F.floor(F.col("_lat") / eps) + F.col("_y"), "_x": F.floor(F.col("_lon") / eps) + F.col("_x")})
+    on = (a[day] == r["_d"]) & (F.floor(a[lat] / eps) == r["_y"]) & (F.floor(a[lon] / eps) == r["_x"]) & (F.abs(a[lat] - r["_lat"]) < eps) & (F.abs(a[lon] - r["_lon"]) < eps)
     return a.join(r, on, "left_semi").dropDuplicates([id_col])
 
 
@@ -58,17 +88,26 @@ def window_days(mag):
 
 def window_edges(events: DataFrame, day: str = "d", ident: str = "event_id") -> DataFrame:
     """Edges from each event to the later ones in its space-time window: (src, dst). Events are dealt by
-    magnitude class to time buckets as long and latitude bands as wide as the class's largest window."""
-    e = events.select(F.col(ident).alias("id"), F.datediff(day, F.lit("1970-01-01")).alias("t"), "lat", "lon", F.col("magnitude").alias("m"))
-    e = e.withColumn("km", window_km(F.col("m"))).withColumn("days", window_days(F.col("m"))).withColumn("c", F.ceil("m"))
-    long_, wide = F.ceil(window_days(F.col("c").cast("double"))) + 1, window_km(F.col("c").cast("double")) / 110.0
+    magnitude class to time buckets as long and to cells of latitude and longitude as wide as the class's largest
+    window; an event is a target once for each class that there is."""
+    e = events.select(F.col(ident).alias("id"), F.datediff(day, F.lit("1970-01-01")).alias("t"), "lat", F.pmod(F.col("lon"), F.lit(360.0)).alias("lon"), F.col("magnitude").alias("m")).filter("lat IS NOT NULL AND lon IS NOT NULL AND m IS NOT NULL")
+    e = e.withColumn("km", window_km(F.col("m"))).withColumn("days", window_days(F.col("m"))).withColumn("c", F.greatest(F.ceil("m"), F.lit(0)))
+    top = F.col("c").cast("double")
+    long_, wide = F.ceil(window_days(top)) + 1, window_km(top) / 110.0
+    around = F.greatest(F.floor(F.lit(360.0) / wide), F.lit(1))  # cells of longitude, which divide the circle
+    xb = lambda x: F.floor(x / (F.lit(360.0) / around))
     src = e.withColumn("tb", F.explode(F.sequence(F.floor(F.col("t") / long_), F.floor((F.col("t") + F.col("days")) / long_))))
     src = src.withColumn("yb", F.explode(F.sequence(F.floor((F.col("lat") - F.col("km") / 110.0) / wide), F.floor((F.col("lat") + F.col("km") / 110.0) / wide))))
-    classes = F.explode(F.sequence(F.lit(0), F.lit(10)).cast("array<bigint>"))
-    dst = e.select("id", "t", "lat", "lon", classes.alias("c")).withColumn("tb", F.floor(F.col("t") / long_)).withColumn("yb", F.floor(F.col("lat") / wide))
+    # how many degrees of longitude a window spans; all of them where it holds a pole
+    share = F.sin(F.col("km") / EARTH_KM) / F.greatest(F.cos(F.radians("lat")), F.lit(1e-9))
+    half = F.when(share < 1, F.degrees(F.asin(F.least(share, F.lit(1.0)))) + 1e-6).otherwise(180.0)
+    first = xb(F.col("lon") - half)
+    src = src.withColumn("xb", F.explode(F.sequence(first, F.least(xb(F.col("lon") + half), first + around - 1)))).withColumn("xb", F.pmod("xb", around))
+    kinds = e.select(F.col("c").alias("kind")).distinct().agg(F.collect_list("kind").alias("kinds"))  # one row, a dozen classes
+    dst = e.select("id", "t", "lat", "lon").crossJoin(F.broadcast(kinds)).withColumn("c", F.explode("kinds")).withColumn("tb", F.floor(F.col("t") / long_)).withColumn("yb", F.floor(F.col("lat") / wide)).withColumn("xb", F.least(xb(F.col("lon")), around - 1))
     s, d = src.alias("s"), dst.alias("d")
     later = (F.col("d.t") > F.col("s.t")) | ((F.col("d.t") == F.col("s.t")) & (F.col("d.id") > F.col("s.id")))
-    on = (F.col("s.c") == F.col("d.c")) & (F.col("s.tb") == F.col("d.tb")) & (F.col("s.yb") == F.col("d.yb"))
+    on = (F.col("s.c") == F.col("d.c")) & (F.col("s.tb") == F.col("d.tb")) & (F.col("s.yb") == F.col("d.yb")) & (F.col("s.xb") == F.col("d.xb"))
     close = (F.col("d.t") - F.col("s.t") <= F.col("s.days")) & (haversine_km("s.lat", "s.lon", "d.lat", "d.lon") <= F.col("s.km"))
     return s.join(d, on).filter(later & close).select(F.col("s.id").alias("src"), F.col("d.id").alias("dst")).distinct()
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tremorlake.functions.exprs import portable_draw
+from tremorlake.functions.exprs import portable_draw, portable_draws
 
 
 def binned_counts(df: DataFrame, col: str, n: int, by: list[str] | None = None) -> DataFrame:
@@ -47,22 +47,32 @@ def chi2_sf(x: Column, df: Column) -> Column:
     return F.greatest(F.lit(0.0), F.when(df % 2 == 0, even).otherwise(odd))
 
 
-def uniform_null(spark, n: int, bins: int, iters: int, seed: int) -> DataFrame:
-    """Chi-square statistics of ``iters`` draws of n equal chances: (iter, chi2)."""
-    draws = spark.range(iters).withColumnRenamed("id", "iter").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    c = draws.groupBy("iter", (portable_draw(seed, "iter", "i") % bins).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    e = n / bins
-    # empty bins add e each: (0 - e)^2 / e
-    return c.groupBy("iter").agg((F.sum(F.pow(F.col("n") - e, 2) / e) + (bins - F.count(F.lit(1))) * e).alias("chi2"))
+def uniform_null_p(df: DataFrame, bin_col: str, bins: int, iters: int, seed: int, ident: str, by: list[str]) -> DataFrame:
+    """Chi-square of binned counts against equal counts and its share among draws of as many equal chances: (by, n, chi2,
+    null_mean, p). Each row draws its bin anew in each of ``iters`` permutations, which are counted at once."""
+    e = F.col("n") / F.lit(float(bins))
+
+    def chi2(c: DataFrame, keys: list[str]) -> DataFrame:
+        # empty bins add e each: (0 - e)^2 / e
+        t = c.withColumn("n", F.sum("k").over(W.partitionBy(*keys)))
+        return t.groupBy(*keys, "n").agg((F.sum(F.pow(F.col("k") - e, 2) / e) + (bins - F.count(F.lit(1))) * e).alias("chi2"))
+
+    count = F.count(F.lit(1)).alias("k")
+    obs = chi2(df.groupBy(*by, bin_col).agg(count), by)
+    drawn = df.select(*by, ident).withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(iters - 1))))
+    null = chi2(drawn.groupBy(*by, "iter", (portable_draw(seed, "iter", ident) % bins).alias("_b")).agg(count), [*by, "iter"])
+    j = null.select(*by, F.col("chi2").alias("_c")).join(F.broadcast(obs), by)
+    # equal counts may differ in the last place of their sums
+    return j.groupBy(*by, "n", "chi2").agg(F.avg("_c").alias("null_mean"), F.avg((F.col("_c") >= F.col("chi2") - 1e-9).cast("int")).alias("p"))
 
 
 def bh_fdr(df: DataFrame, p: str, alpha: float = 0.05, step_up: bool = False, by: list[str] | None = None) -> DataFrame:
     """Adds ``rank``, ``critical`` = rank * alpha / n and ``rejected``: each p by its own critical value, or all up to
     the largest rank that passes if ``step_up``. Ties take the order of their rank."""
     by = by or []
-    # ranks come from counts by p value, so that no window sees more rows than there are values
-    t = df.groupBy(*by, F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_k"))
-    t = t.withColumn("_before", F.sum("_k").over(W.partitionBy(*by).orderBy("_p").rowsBetween(W.unboundedPreceding, 0)) - F.col("_k")).withColumn("_n", F.sum("_k").over(W.partitionBy(*by)))
+    # ranks come from counts by p value, added up by slices of the values, so that no window sees all of them
+    t = running_counts(df.groupBy(*by, F.col(p).alias("score")).agg(F.count(F.lit(1)).alias("n"), F.lit(0).alias("pos")), by)
+    t = t.select(*by, F.col("score").alias("_p"), F.col("n").alias("_k"), F.col("n_below").alias("_before"), F.col("n_all").alias("_n"))
     out = df.withColumn("_p", F.col(p)).join(t, [*by, "_p"])
     out = out.withColumn("rank", F.col("_before") + F.row_number().over(W.partitionBy(*by, "_p").orderBy(*df.columns))).withColumn("critical", F.col("rank") * alpha / F.col("_n"))
     if step_up:
@@ -123,67 +133,108 @@ def binary_metrics(df: DataFrame, y: str, p: str, by: list[str] | None = None) -
     )
 
 
-def poisson_quantile(u: np.ndarray, mean: np.ndarray) -> np.ndarray:
-    """Poisson counts at the probabilities ``u``: exact up to a mean of 50, by a second-order normal expansion beyond."""
-    out = np.zeros(len(u))
-    small = mean <= 50
-    m, v = mean[small], u[small]
-    p = np.exp(-m)
-    total, k = p.copy(), np.zeros(len(m))
-    for i in range(1, 200):
-        more = v > total
-        if not more.any():
-            break
-        k[more] = i
-        p = p * m / i
-        total = total + p
-    out[small] = k
-    z = _normal_quantile(u[~small])
-    out[~small] = np.maximum(0, np.round(mean[~small] + np.sqrt(mean[~small]) * z + (z * z - 1) / 6))
-    return out
-
-
-def _normal_quantile(u: np.ndarray) -> np.ndarray:
-    from statistics import NormalDist
-
-    return np.array([NormalDist().inv_cdf(x) for x in np.clip(u, 1e-12, 1 - 1e-12)])
+def poisson_count(mean: Column, u: Column, v: Column) -> Column:
+    """A Poisson count from two uniforms: by inverting the distribution up to a mean of 30, beyond it a rounded normal of
+    the same mean and variance."""
+    state = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("t"), F.lit(0.0).alias("k"))
+    step = lambda s, i: F.struct((s["p"] * mean / i).alias("p"), (s["t"] + s["p"] * mean / i).alias("t"), (s["k"] + F.when(s["t"] < u, 1.0).otherwise(0.0)).alias("k"))
+    exact = F.aggregate(F.sequence(F.lit(1.0).cast("int"), F.lit(100)), state, step, lambda s: s["k"])
+    z = F.sqrt(-2 * F.ln(u)) * F.cos(2 * F.lit(math.pi) * v)
+    return F.when(mean <= 30, exact).otherwise(F.greatest(F.lit(0.0), F.floor(mean + F.sqrt(mean) * z + 0.5).cast("double")))
 
 
-def bootstrap_auroc(df: DataFrame, y: str, p: str, iters: int, seed: int, least: int = 100) -> DataFrame:
+def bootstrap_auroc(df: DataFrame, y: str, p: str, iters: int, seed: int, least: int = 100, steps: int = 4096) -> DataFrame:
     """AUROC of bootstrap replicates and their 2.5 and 97.5 percentiles: one row (ci_low, ci_high, replicates).
 
-    A row counts Poisson(1) times in a replicate, the usual form of resampling that needs no count of the
+    Scores are cut to ``steps`` equal steps of their range, so replicates grow with the steps and not with the
+    rows. A row counts Poisson(1) times in a replicate, the usual form of resampling that needs no count of the
     whole, so the rows of one score and class count Poisson(k) times: a replicate draws once for
-    each distinct score and class, never for each row. Draws are portable. One-class replicates are
-    skipped; with fewer than ``least`` left the bounds are null."""
-    t = score_table(df, y, p, []).select("score", F.col("pos").cast("double").alias("pos"), (F.col("n") - F.col("pos")).cast("double").alias("neg"))
+    each. Draws are portable. One-class replicates are skipped; with fewer than ``least`` left the
+    bounds are null."""
+    t = score_table(df, y, p, [])
+    span = t.agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
+    step = F.coalesce(F.least(F.floor(F.try_divide(F.col("score") - F.col("_lo"), F.col("_hi") - F.col("_lo")) * steps), F.lit(steps - 1)), F.lit(0))
+    t = t.crossJoin(F.broadcast(span)).groupBy(step.alias("step")).agg(F.sum("pos").cast("double").alias("pos"), F.sum(F.col("n") - F.col("pos")).cast("double").alias("neg"))
     t = t.withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(iters - 1))))
-    t = t.withColumns({f"u_{k}": (portable_draw(seed, "iter", "score", F.lit(k)) + 0.5) / 4294967296.0 for k in ("pos", "neg")})
-
-    def draw(batches):
-        for b in batches:
-            yield pd.DataFrame({"iter": b["iter"], "score": b["score"], "pos": poisson_quantile(b["u_pos"].to_numpy(), b["pos"].to_numpy()), "neg": poisson_quantile(b["u_neg"].to_numpy(), b["neg"].to_numpy())})
-
-    t = t.mapInPandas(draw, "iter int, score double, pos double, neg double")
-    up = W.partitionBy("iter").orderBy("score").rowsBetween(W.unboundedPreceding, -1)
-    t = t.withColumn("below", F.coalesce(F.sum("neg").over(up), F.lit(0.0)))
+    for i, draw in enumerate(portable_draws(4, seed, "iter", "step")):
+        t = t.withColumn(f"_u{i}", (draw + 0.5) / 4294967296.0)
+    t = t.select("iter", "step", *(poisson_count(F.col(c), F.col(f"_u{i}"), F.col(f"_u{i + 1}")).alias(c) for c, i in (("pos", 0), ("neg", 2))))
+    up = W.partitionBy("iter").orderBy("step").rowsBetween(W.unboundedPreceding, -1)
+    t = t.withColumn("below", F.coalesce(F.sum("neg").over(up), F.lit(0.0)))  # at most ``steps`` rows a replicate
     a = t.groupBy("iter").agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("k"), F.sum("neg").alias("m"))
     a = a.filter("k > 0 AND m > 0").select((F.col("u") / (F.col("k") * F.col("m"))).alias("auroc"))
     q = F.percentile("auroc", F.array(F.lit(0.025), F.lit(0.975)))
     return a.agg(q.alias("q"), F.count(F.lit(1)).alias("replicates")).select(F.when(F.col("replicates") >= least, F.col("q")[0]).alias("ci_low"), F.when(F.col("replicates") >= least, F.col("q")[1]).alias("ci_high"), "replicates")
 
 
-def verdict(df: DataFrame, positives: str, auroc: str, fold_std: str, threshold: float = 0.55, least: int = 5, unstable: float = 0.15) -> DataFrame:
-    """Adds ``verdict``: too few positives or no score, no skill, skill, or skill that differs much between folds."""
-    v = F.when((F.col(positives) < least) | F.col(auroc).isNull(), "INSUFFICIENT_DATA").when(F.col(auroc) < threshold, "NULL").when(F.col(fold_std) > unstable, "CONFIRMED_UNSTABLE").otherwise("CONFIRMED")
+def verdict(df: DataFrame, positives: str, auroc: str, fold_std: str, threshold: float = 0.55, least: int = 5, unstable: float = 0.15, base_auroc: str | None = None, delta: float = 0.03) -> DataFrame:
+    """Adds ``verdict``: too few positives or no score, no skill, skill, or skill that differs much between folds. With
+    ``base_auroc``, skill is also ``delta`` more than that of the base model."""
+    skill = F.col(auroc) >= threshold
+    unknown = (F.col(positives) < least) | F.col(auroc).isNull()
+    if base_auroc:
+        skill, unknown = skill & (F.col(auroc) - F.col(base_auroc) >= delta), unknown | F.col(base_auroc).isNull()
+    v = F.when(unknown, "INSUFFICIENT_DATA").when(~skill, "NULL").when(F.coalesce(F.col(fold_std), F.lit(0.0)) > unstable, "CONFIRMED_UNSTABLE").otherwise("CONFIRMED")
     return df.withColumn("verdict", v)
 
 
-def centroid(profile: DataFrame, z: str, by: list[str]) -> DataFrame:
-    """The day centroid of positive z, and its class."""
-    pos = profile.filter(F.col(z) > 0).groupBy(*by).agg((F.sum(F.col(z) * F.col("rel_day")) / F.sum(z)).alias("centroid"))
-    return pos.withColumn("window_class", window_class(F.col("centroid")))
+def verdict_of_systems(df: DataFrame, least: int, verdict_col: str = "verdict") -> DataFrame:
+    """The verdict over systems: confirmed where at least ``least`` of them are, stably or not. One row."""
+    n = F.count_if(F.startswith(F.col(verdict_col), F.lit("CONFIRMED")))
+    return df.agg(n.alias("confirmed"), F.count_if(F.col(verdict_col) == "INSUFFICIENT_DATA").alias("insufficient"), F.count(F.lit(1)).alias("systems")).withColumn("verdict", F.when(F.col("confirmed") >= least, "CONFIRMED").otherwise("NULL"))
+
+
+def majority_of_folds(df: DataFrame, auroc: str, by: list[str], threshold: float = 0.5) -> DataFrame:
+    """Whether more than half of the folds with a score pass: (by, passed, folds, majority)."""
+    out = df.groupBy(*by).agg(F.count_if(F.col(auroc) > threshold).alias("passed"), F.count(auroc).alias("folds"))
+    return out.withColumn("majority", 2 * F.col("passed") > F.col("folds"))
+
+
+def fold_spread(df: DataFrame, auroc: str, by: list[str]) -> DataFrame:
+    """Mean and population deviation of the folds' scores."""
+    return df.groupBy(*by).agg(F.avg(auroc).alias("fold_mean"), F.stddev_pop(auroc).alias("fold_std"))
+
+
+def baselines(train: DataFrame, test: DataFrame, label: str, zone: str, recent: str, ident: str, seed: int) -> DataFrame:
+    """``test`` with the chances of four baselines: the zone's rate in training (all zones' where it has none), the recent
+    count over the greatest one in training, all zones' rate, and a portable uniform draw."""
+    rates = train.groupBy(zone).agg(F.avg(label).alias("climatology"))
+    whole = train.agg(F.avg(label).alias("global_mean"), F.greatest(F.max(recent), F.lit(1)).alias("_most"))
+    out = test.join(rates, zone, "left").crossJoin(F.broadcast(whole)).withColumn("climatology", F.coalesce("climatology", "global_mean"))
+    clipped = F.least(F.greatest(F.col(recent) / F.col("_most"), F.lit(0.0)), F.lit(1.0))
+    return out.withColumn("persistence", clipped).withColumn("uniform", portable_draw(seed, ident) / F.lit(4294967296.0)).drop("_most")
+
+
+def centroid(profile: DataFrame, z: str, by: list[str], iters: int = 0, seed: int = 42, days: tuple[int, int] = (-7, -1)) -> DataFrame:
+    """The centroid of the days with positive z, its class, and with ``iters`` the 2.5 and 97.5 percentiles of resampled days.
+
+    A replicate draws as many days as there are, with replacement and portable draws; a profile has a few days, so one
+    row holds them."""
+    pos = profile.filter((F.col(z) > 0) & F.col("rel_day").between(*days)).groupBy(*by)
+    pos = pos.agg((F.sum(F.col(z) * F.col("rel_day")) / F.sum(z)).alias("centroid"), F.array_sort(F.collect_list(F.struct(F.col("rel_day").alias("d"), F.col(z).alias("z")))).alias("_days"))
+    out = pos.withColumn("window_class", window_class(F.col("centroid")))
+    if not iters:
+        return out.drop("_days")
+    one = pos.withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(iters - 1)))).withColumn("slot", F.explode(F.sequence(F.lit(0), F.size("_days") - 1)))
+    one = one.withColumn("_x", F.get("_days", (portable_draw(seed, *by, "iter", "slot") % F.size("_days")).cast("int")))
+    means = one.groupBy(*by, "iter").agg((F.sum(F.col("_x.z") * F.col("_x.d")) / F.sum("_x.z")).alias("c"))
+    bounds = means.groupBy(*by).agg(F.percentile("c", F.array(F.lit(0.025), F.lit(0.975))).alias("q")).select(*by, F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"))
+    return out.drop("_days").join(bounds, by)
 
 
 def window_class(c: Column) -> Column:
     return F.when((c >= -3) & (c <= -1), "IONOSPHERIC").when((c >= -5) & (c < -3), "ATMOSPHERIC").when((c >= -14) & (c < -5), "THERMAL").otherwise("outside")
+
+
+def day_label(day: Column) -> Column:
+    """The window that a single day before the event counts to; day -5 goes to the later one."""
+    return F.when(day.between(-5, -1), "IONOSPHERIC").when(day.between(-10, -6), "ATMOSPHERIC").otherwise("")
+
+
+def intensification(profile: DataFrame, z: str, primary: list[str], late: int = -1, early: int = -5) -> DataFrame:
+    """Whether z of the late day is above that of the early day, by metric, and whether it is for all ``primary`` metrics:
+    (metric, z_late, z_early, rises, all_primary). A day without a value leaves ``rises`` null and the verdict false."""
+    at = lambda k: F.avg(F.when(F.col("rel_day") == k, F.col(z)))
+    t = profile.groupBy("metric").agg(at(late).alias("z_late"), at(early).alias("z_early")).withColumn("rises", F.col("z_late") > F.col("z_early"))
+    whole = t.agg((F.count_if(F.col("metric").isin(*primary) & F.col("rises")) == len(primary)).alias("all_primary"))
+    return t.crossJoin(F.broadcast(whole))

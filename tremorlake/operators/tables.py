@@ -83,3 +83,21 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 
 def set_union(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b).distinct()
+
+
+def write_sink(df: DataFrame, path: str, append: bool = False, kind: str = "parquet", partition_by: list[str] | None = None, rows_a_file: int = 0) -> None:
+    """Loads ``df`` into a folder of Parquet, CSV (with a header) or JSON files: all anew, or after what is there; in
+    files of at most ``rows_a_file`` rows where a chunk size is asked for."""
+    out = df.write.mode("append" if append else "overwrite").format(kind)
+    if kind == "csv":
+        out = out.option("header", True)
+    if rows_a_file:
+        out = out.option("maxRecordsPerFile", rows_a_file)
+    (out.partitionBy(*partition_by) if partition_by else out).save(path)
+
+
+def run_log(status: DataFrame, path: str, at: Column, feed: str = "feed", ok: str = "ok") -> None:
+    """Appends one row on a run: its time, how many feeds passed and failed, and the feeds that failed, in order."""
+    failed = F.array_sort(F.collect_list(F.when(~F.col(ok), F.col(feed))))  # one name a feed
+    row = status.agg(F.count_if(ok).alias("passed"), F.count_if(~F.col(ok)).alias("failed"), failed.alias("f")).select(at.alias("run_at"), "passed", "failed", F.array_join("f", ",").alias("note"))
+    write_sink(row.coalesce(1), path, append=True)

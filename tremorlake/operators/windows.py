@@ -79,3 +79,14 @@ def interpolate(df: DataFrame, keys, order: str, col: str, limit: int = 3) -> Da
     step = F.col("_n") - F.col("_na")
     line = F.when(F.col("_b").isNull(), F.col("_a")).otherwise(F.col("_a") + (F.col("_b") - F.col("_a")) * step / (F.col("_nb") - F.col("_na")))
     return x.withColumn("filled", F.coalesce(F.col(col), F.when(step <= limit, line))).drop("_n", "_a", "_na", "_b", "_nb")
+
+
+def sliced_rank(df: DataFrame, keys: list[str], part: Column, order: list[str], rank: str) -> DataFrame:
+    """Adds ``rank`` (from 1, by ``order`` within ``keys``) where ``part`` rises with the order: a slice starts at the
+    count of those before it and is ordered by itself, so no task orders all rows of a key."""
+    t = df.withColumn("_part", part)
+    counts = t.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.select(*keys, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(W.partitionBy(*keys, "_part").orderBy(*order))
+    return t.withColumn("_own", own).join(counts, [*keys, "_part"]).withColumn(rank, F.col("_before") + F.col("_own")).drop("_part", "_own", "_before")

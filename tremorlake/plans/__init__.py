@@ -1,3 +1,3 @@
 """Registered queries by theme; importing the package registers all of them."""
 
-from tremorlake.plans import aggregates, joins, panels, registry, rolling, scalar, sources, statistics, streams, tables  # noqa: F401
+from tremorlake.plans import aggregates, evaluation, joins, panels, registry, rolling, scalar, sources, statistics, streams, tables  # noqa: F401

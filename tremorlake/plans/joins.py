@@ -100,7 +100,15 @@ def c19(spark, d):
     return e.filter("event_type = lo").join(b, "h", "left").select(F.unix_timestamp("ts").alias("t"), "value", "bz")
 
 
-@query("c20_gazetteer_match")
+@query(
+    "c20_gazetteer_match",
+    """WITH s AS (SELECT c_custkey, lower(CASE WHEN c_custkey % 3 = 0 THEN n_name ELSE substr(n_name, 1, 3) || substr(n_name, 5, 40) END) AS s FROM customer JOIN nation ON c_nationkey = n_nationkey),
+    p AS (SELECT n_name AS place, 'country' AS kind FROM nation UNION ALL SELECT r_name, 'region' FROM region),
+    ex AS (SELECT c_custkey, place, kind, CASE kind WHEN 'country' THEN 0.90 ELSE 0.93 END AS confidence FROM s JOIN p ON s = lower(place)),
+    nr AS (SELECT c_custkey, place, kind, CASE levenshtein(s, lower(place)) WHEN 1 THEN 0.88 ELSE 0.86 END AS confidence FROM s JOIN p ON s[1] = lower(place)[1] AND levenshtein(s, lower(place)) BETWEEN 1 AND 2 WHERE c_custkey NOT IN (SELECT c_custkey FROM ex)),
+    al AS (SELECT * FROM ex UNION ALL SELECT * FROM nr)
+    SELECT c_custkey, place, kind, CAST(confidence AS DOUBLE) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY confidence DESC, place, kind) AS r FROM al) WHERE r = 1""",
+)
 def c20(spark, d):
     """Nation names with a letter lost or changed, matched to the gazetteer of nations and regions."""
     names = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))

@@ -36,9 +36,9 @@ def a02(spark, d):
     return J.severe_only(J.cap_geojson_alerts(pay), None).select("id", "event", "severity")
 
 
-@query("a04_cap_xml", "SELECT 'E' || CAST(event_id AS VARCHAR) AS identifier, event_type AS event, CASE WHEN event_id % 2 = 0 THEN CAST(event_id % 90 AS DOUBLE) END AS lat FROM events WHERE event_id % 10 = 0")
+@query("a04_cap_xml", "SELECT 'E' || CAST(event_id AS VARCHAR) AS identifier, event_type AS event, CASE WHEN event_id % 2 = 0 THEN CAST(event_id % 90 AS DOUBLE) END AS lat FROM events")
 def a04(spark, d):
-    e = table(spark, d, "events").filter("event_id % 10 = 0")
+    e = table(spark, d, "events")
     poly = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("<cap:polygon>"), (F.col("event_id") % 90).cast("string"), F.lit(",10 1,2 3,4</cap:polygon>"))).otherwise("")
     entry = F.concat(F.lit('<entry><title>t</title><content type="text/xml"><cap:alert xmlns:cap="urn:x"><cap:identifier>E'), F.col("event_id").cast("string"), F.lit("</cap:identifier><cap:event>"), F.col("event_type"), F.lit("</cap:event>"), poly, F.lit("</cap:alert></content></entry>"))
     pay = e.groupBy("user_id").agg(F.concat(F.lit("<feed>"), F.array_join(F.collect_list(entry), ""), F.lit("</feed>")).alias("value"))
@@ -117,9 +117,9 @@ def a21(spark, d):
     return u.select("event_id", "hazard", F.to_date("start_ts").alias("start_day"), "mag")
 
 
-@query("a05_first_vertex", ctes("ev") + " SELECT event_id, lat, lon FROM ev WHERE event_id % 3 = 0")
+@query("a05_first_vertex", ctes("ev") + " SELECT event_id, lat, lon FROM ev")
 def a05(spark, d):
-    e = events(spark, d).filter("event_id % 3 = 0")
+    e = events(spark, d)
     v = X.first_polygon_vertex(F.concat(F.lit(" "), F.col("lat").cast("string"), F.lit(","), F.col("lon").cast("string"), F.lit("  1,2 3,4")))
     return e.select("event_id", F.get(v, F.lit(0)).alias("lat"), F.get(v, F.lit(1)).alias("lon"))
 
@@ -142,11 +142,11 @@ def a09(spark, d):
     return J.gauge_status(g).select("gauge", "stage")
 
 
-@query("a13_hourly_dst", ctes("env") + " SELECT d, CAST(least(dst_min, -5) AS INT) AS dst_min, round((dst_min + 22 * -5) / 23, 6) AS dst_mean FROM env WHERE year(d) = 1997 AND month(d) = 3 AND abs(dst_min) < 500")
+@query("a13_hourly_dst", ctes("env") + " SELECT d, CAST(least(dst_min, -5) AS INT) AS dst_min, round((dst_min + 22 * -5) / 23, 6) AS dst_mean FROM env WHERE abs(dst_min) < 500")
 def a13(spark, d):
-    e = env(spark, d).filter("year(d) = 1997 AND month(d) = 3")
+    e = env(spark, d)
     line = F.concat(F.lpad(F.dayofmonth("d").cast("string"), 3, " "), F.lit("  "), F.col("dst_min").cast("int").cast("string"), F.repeat(F.lit(" -5"), 22), F.lit(" 9999"))
-    return T.hourly_dst(e.select(line.alias("value")), 1997, 3).select("d", "dst_min", F.round("dst_mean", 6).alias("dst_mean"))
+    return T.hourly_dst(e.select(line.alias("value"), F.year("d").alias("year"), F.month("d").alias("month")), F.col("year"), F.col("month")).select("d", "dst_min", F.round("dst_mean", 6).alias("dst_mean"))
 
 
 @query("a15_sectioned_report", ctes("env") + " SELECT d, CASE WHEN dst_min > 0 THEN dst_min END AS x FROM env")

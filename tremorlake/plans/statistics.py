@@ -11,17 +11,17 @@ from tremorlake.plans.joins import KM
 from tremorlake.plans.registry import query
 
 SEED = 42
-DRAW = "CAST('0x' || substr(md5({}), 1, 8) AS BIGINT)"
+DRAW = "CAST('0x' || substr(md5({}), {}, 8) AS BIGINT)"
 
 
-def draw(*keys: str) -> str:
-    """SQL of the portable draw."""
-    return DRAW.format(" || '|' || ".join([f"'{SEED}'", *(f"CAST({k} AS VARCHAR)" for k in keys)]))
+def draw(*keys: str, part: int = 0) -> str:
+    """SQL of the portable draw, or of a later one of several from one MD5."""
+    return DRAW.format(" || '|' || ".join([f"'{SEED}'", *(f"CAST({k} AS VARCHAR)" for k in keys)]), 1 + 8 * part)
 
 
 EPOCH = "sig AS (SELECT d, x, CAST(n_obs AS DOUBLE) AS w FROM sensor WHERE zone = 'R'), big AS (SELECT event_id, d FROM ev WHERE magnitude >= 6.9), k AS (SELECT CAST(unnest(generate_series(-7, 7)) AS INT) AS rel_day)"
 OBS = "obs AS (SELECT rel_day, avg(x) AS x, avg(w) AS w, count(x) AS n FROM big, k JOIN sig ON sig.d = big.d + rel_day GROUP BY 1)"
-SHIFT = f"""it AS (SELECT CAST(unnest(generate_series(0, 49)) AS INT) AS iter), raw AS (SELECT iter, event_id, CAST(d + CAST((365 + {draw("iter", "event_id", "0")} % 365) * CASE WHEN {draw("iter", "event_id", "1")} % 2 = 0 THEN 1 ELSE -1 END AS INT) AS DATE) AS d2, CAST({draw("iter", "event_id", "2")} % 30 AS INT) AS r FROM big, it),
+SHIFT = f"""it AS (SELECT CAST(unnest(generate_series(0, 49)) AS INT) AS iter), raw AS (SELECT iter, event_id, CAST(d + CAST((365 + {draw("iter", "event_id")} % 365) * CASE WHEN {draw("iter", "event_id", part=1)} % 2 = 0 THEN 1 ELSE -1 END AS INT) AS DATE) AS d2, CAST({draw("iter", "event_id", part=2)} % 30 AS INT) AS r FROM big, it),
 moved AS (SELECT iter, event_id, CASE WHEN d2 < DATE '1995-01-01' THEN CAST(DATE '1995-01-01' + r AS DATE) WHEN d2 > DATE '2001-08-01' THEN CAST(DATE '2001-08-01' - r AS DATE) ELSE d2 END AS d FROM raw),
 nul AS (SELECT iter, rel_day, avg(x) AS x, avg(w) AS w FROM moved, k JOIN sig ON sig.d = moved.d + rel_day GROUP BY 1, 2)"""
 
@@ -64,16 +64,6 @@ def h04(spark, d):
     return epoch.window_summary(epoch.superposed_epoch(big, sig, ["x"], 7), [3, 5, 7, 14, 30], "obs_mean", [], 7).select("k", F.round("mean_value", 4).alias("mean_value"))
 
 
-@query("h05_stratified_epoch", ctes("ev", "sensor") + ", big AS (SELECT zone, d FROM ev WHERE magnitude >= 6.5), k AS (SELECT CAST(unnest(generate_series(-7, 7)) AS INT) AS rel_day), s AS (SELECT avg(x) AS m, stddev_samp(x) AS sd FROM sensor WHERE zone = 'A'), j AS (SELECT b.zone, rel_day, (x - m) / sd AS z FROM big b, k JOIN sensor ON sensor.zone = 'A' AND sensor.d = b.d + rel_day, s) SELECT zone, rel_day, round(avg(z), 6) AS mean_z, count(*) AS n FROM j GROUP BY 1, 2 HAVING count(*) >= 30")
-def h05(spark, d):
-    sig = sensor(spark, d).filter("zone = 'A'").select("d", "x")
-    s = sig.agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("sd"))
-    z = sig.crossJoin(F.broadcast(s)).select("d", ((F.col("x") - F.col("m")) / F.col("sd")).alias("z"))
-    e = events(spark, d).filter("magnitude >= 6.5").select("zone", "event_id", "d")
-    got = epoch.superposed_epoch(e, z, ["z"], 7, by=["zone"]).filter("n_obs >= 30")
-    return got.select("zone", "rel_day", F.round("obs_mean", 6).alias("mean_z"), F.col("n_obs").alias("n"))
-
-
 @query("h06_bh_fdr", "WITH p AS (SELECT o_custkey, round(CAST(sum(o_orderkey) % 1000 AS DOUBLE) / 100000, 6) AS p FROM orders GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY p, o_custkey) AS rank, count(*) OVER () AS n FROM p) SELECT o_custkey, p, p <= rank * 0.05 / n AS rejected FROM r")
 def h06(spark, d):
     from tremorlake.sources.tables import table
@@ -91,12 +81,6 @@ def h07(spark, d):
     return S.chi2_uniform(S.binned_counts(e, "bin", 8, ["zone"]), ["zone"]).select("zone", F.round("chi2", 6).alias("chi2"))
 
 
-@query("h08_uniform_null", f"WITH it AS (SELECT unnest(generate_series(0, 199)) AS iter), i AS (SELECT CAST(unnest(generate_series(0, 95)) AS INT) AS i), c AS (SELECT iter, {draw('iter', 'i')} % 8 AS bin, count(*) AS n FROM it, i GROUP BY 1, 2), x AS (SELECT iter, sum(pow(n - 12, 2) / 12.0) + (8 - count(*)) * 12 AS chi2 FROM c GROUP BY 1) SELECT round(avg(CAST(chi2 >= 1.8333 AS INT)), 6) AS p, round(avg(chi2), 6) AS mean_chi2 FROM x")
-def h08(spark, d):
-    n = S.uniform_null(spark, 96, 8, 200, SEED)
-    return n.agg(F.round(F.avg((F.col("chi2") >= 1.8333).cast("int")), 6).alias("p"), F.round(F.avg("chi2"), 6).alias("mean_chi2"))
-
-
 @query(
     "h09_moderation",
     ctes("ev", "sensor")
@@ -115,30 +99,6 @@ def h09(spark, d):
     return t.select(F.round("observed", 2).alias("observed"), F.round("null_mean", 2).alias("null_mean"), F.round("p", 6).alias("p"))
 
 
-@query("h11_centroid", ctes("ev", "sensor") + f", {EPOCH}, {OBS}, z AS (SELECT rel_day, (x - (SELECT avg(x) FROM obs)) / (SELECT stddev_samp(x) FROM obs) AS z FROM obs), c AS (SELECT sum(z * rel_day) / sum(z) AS c FROM z WHERE z > 0 AND rel_day < 0) SELECT round(c, 6) AS centroid, CASE WHEN c BETWEEN -3 AND -1 THEN 'IONOSPHERIC' WHEN c >= -5 AND c < -3 THEN 'ATMOSPHERIC' WHEN c >= -14 AND c < -5 THEN 'THERMAL' ELSE 'outside' END AS window_class FROM c")
-def h11(spark, d):
-    big, sig = _parts(spark, d)
-    o = epoch.superposed_epoch(big, sig, ["x"], 7)
-    s = o.agg(F.avg("obs_mean").alias("m"), F.stddev_samp("obs_mean").alias("sd"))
-    prof = o.crossJoin(F.broadcast(s)).select("metric", "rel_day", ((F.col("obs_mean") - F.col("m")) / F.col("sd")).alias("z")).filter("rel_day < 0")
-    return S.centroid(prof, "z", ["metric"]).select(F.round("centroid", 6).alias("centroid"), "window_class")
-
-
-@query("h12_intensification", ctes("ev", "sensor") + f", {EPOCH}, {OBS} SELECT metric, max(v) FILTER (rel_day = -1) > max(v) FILTER (rel_day = -5) AS rises FROM (SELECT 'x' AS metric, rel_day, x AS v FROM obs UNION ALL SELECT 'w', rel_day, w FROM obs) GROUP BY 1")
-def h12(spark, d):
-    big, sig = _parts(spark, d)
-    o = epoch.superposed_epoch(big, sig, ["x", "w"], 7)
-    at = lambda k: F.max(F.when(F.col("rel_day") == k, F.col("obs_mean")))
-    return o.groupBy("metric").agg((at(-1) > at(-5)).alias("rises"))
-
-
-@query("h13_decluster")
-def h13(spark, d):
-    from tremorlake.operators.checkpoints import checkpointed
-
-    return spatial.decluster(events(spark, d).filter("magnitude >= 5"), checkpoint=checkpointed).select("event_id", "magnitude", "is_mainshock")
-
-
 @query("h13_window_edges", ctes("ev") + f", e AS (SELECT *, pow(10.0, 0.1238 * magnitude + 0.983) AS km_max, CASE WHEN magnitude >= 6.5 THEN pow(10.0, 0.032 * magnitude + 2.7389) ELSE pow(10.0, 0.5409 * magnitude - 0.547) END AS days_max FROM ev WHERE magnitude >= 5) SELECT a.event_id AS src, b.event_id AS dst FROM e a JOIN e b ON (b.d > a.d OR (b.d = a.d AND b.event_id > a.event_id)) AND b.d - a.d <= a.days_max AND {KM.format(a='a.', b='b.')} <= a.km_max")
 def h13_edges(spark, d):
     return spatial.window_edges(events(spark, d).filter("magnitude >= 5"))
@@ -162,24 +122,6 @@ def h16(spark, d):
     return m.select("zone", "n", *(F.round(c, 6).alias(c) for c in ("auroc", "avg_precision", "brier")))
 
 
-@query("h17_bootstrap_auroc")
-def h17(spark, d):
-    return S.bootstrap_auroc(scored(spark, d), "y", "p", 1000, SEED)
-
-
-@query("h18_verdict", ctes("scored") + ", y AS (SELECT year(d) AS fold, CAST(sum(y) AS BIGINT) AS positives, avg(p) AS auroc FROM scored GROUP BY 1) SELECT fold, positives, CASE WHEN positives < 5 THEN 'INSUFFICIENT_DATA' WHEN auroc < 0.5 THEN 'NULL' ELSE 'CONFIRMED' END AS verdict FROM y")
-def h18(spark, d):
-    y = scored(spark, d).groupBy(F.year("d").cast("long").alias("fold")).agg(F.sum("y").alias("positives"), F.avg("p").alias("auroc"), F.lit(0.0).alias("fold_std"))
-    return S.verdict(y, "positives", "auroc", "fold_std", threshold=0.5).select("fold", "positives", "verdict")
-
-
-@query("h19_baselines", ctes("ev") + ", t AS (SELECT zone, avg(CAST(magnitude >= 6 AS INT)) AS rate, count(*) AS n FROM ev WHERE d < DATE '1999-01-01' GROUP BY 1), p AS (SELECT zone, least(1.0, count(*) FILTER (d >= DATE '1998-12-02') / 30.0) AS persistence FROM ev WHERE d < DATE '1999-01-01' AND magnitude >= 6 GROUP BY 1) SELECT zone, round(rate, 6) AS climatology, round(coalesce(persistence, 0), 6) AS persistence FROM t LEFT JOIN p USING (zone)")
-def h19(spark, d):
-    e = events(spark, d).filter("d < DATE '1999-01-01'").withColumn("y", (F.col("magnitude") >= 6).cast("int"))
-    recent = F.count_if((F.col("y") == 1) & (F.col("d") >= F.lit("1998-12-02").cast("date")))
-    return e.groupBy("zone").agg(F.round(F.avg("y"), 6).alias("climatology"), F.round(F.least(F.lit(1.0), recent / 30.0), 6).alias("persistence"))
-
-
 @query(
     "h25_correspondence",
     ctes("reports", "ev")
@@ -196,14 +138,6 @@ def h25(spark, d):
     return r.select(F.round("observed", 3).alias("observed"), F.round("null_mean", 3).alias("null_mean"), F.round("p", 6).alias("p"))
 
 
-@query("h26_pre_post_contrast", ctes("ev", "sensor") + f", {EPOCH}, {OBS} SELECT round(avg(x) FILTER (rel_day < 0) - avg(x) FILTER (rel_day > 0), 4) AS contrast FROM obs")
-def h26(spark, d):
-    big, sig = _parts(spark, d)
-    o = epoch.superposed_epoch(big, sig, ["x"], 7)
-    mean = lambda c: F.avg(F.when(c, F.col("obs_mean")))
-    return o.agg(F.round(mean(F.col("rel_day") < 0) - mean(F.col("rel_day") > 0), 4).alias("contrast"))
-
-
 @query("h27_catalog_check", ctes("ev") + " SELECT year(d) AS y, count(*) AS n, count(*) FILTER (magnitude >= 4) AS m4, count(*) FILTER (magnitude >= 6) AS m6, count(*) - count(DISTINCT event_id) AS duplicates FROM ev GROUP BY 1")
 def h27(spark, d):
     return events(spark, d).groupBy(F.year("d").cast("long").alias("y")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("magnitude") >= 4).alias("m4"), F.count_if(F.col("magnitude") >= 6).alias("m6"), (F.count(F.lit(1)) - F.countDistinct("event_id")).alias("duplicates"))
@@ -219,39 +153,6 @@ def h22(spark, d):
     return r.groupBy("station_id").agg(F.count(F.lit(1)).alias("n"), *(F.round(F.stddev_samp(f"{c}_resid"), 4).alias(f"{c}_std") for c in ("east", "north", "up")))
 
 
-@query("h24_strain")
-def h24(spark, d):
-    """Daily strain of triangles of stations laid out by supplier."""
-    from tremorlake.operators.stations import strain, triangulate
-    from tremorlake.plans.bindings import stations
-    from tremorlake.sources.tables import table
-
-    k = F.col("s_suppkey")
-    net = table(spark, d, "supplier").select(k.alias("station_id"), (k % 3).cast("string").alias("zone"), (35 + (k * 37 % 200) / 100).cast("double").alias("lat"), (139 + (k * 53 % 200) / 100).cast("double").alias("lon"))
-    tri = triangulate(net, "zone")
-    s = strain(tri, stations(spark, d), "station_id")
-    return s.select("zone", "d", F.round("dilatation", 6).alias("dilatation"), F.round("max_shear", 6).alias("max_shear"), "n_triangles")
-
-
-@query("h14_walk_forward")
-def h14(spark, d):
-    """Walk-forward folds over the daily panel: one boosted model a fold, pooled exact metrics by fold."""
-    from tremorlake.operators.models import walk_forward
-    from tremorlake.plans.panels import seismic_panel
-
-    panel = seismic_panel(spark, d).filter("d < DATE '2001-07-25'").withColumn("row_id", F.xxhash64("zone", "d"))
-    scores = walk_forward(panel, ["n", "n5", "n_7d", "n_30d", "max_30d", "mean_90d", "std_30d"], "label_7d", "d", ["row_id"], [("1998-12-31", "1999-12-31"), ("1999-12-31", "2001-12-31")], rounds=8)
-    return S.binary_metrics(scores, "y", "p", ["fold"]).select("fold", "n", "positives", F.round("auroc", 4).alias("auroc"), F.round("brier", 4).alias("brier"))
-
-
-@query("d23_sequence_survivors", ctes("ev", "boxes") + " SELECT fault_id, count(*) AS n, count(*) FILTER (magnitude >= 6) AS strong FROM ev JOIN boxes ON lat BETWEEN lat_min AND lat_max AND lon BETWEEN lon_min AND lon_max WHERE d BETWEEN DATE '1997-01-01' AND DATE '1999-12-31' GROUP BY 1")
-def d23(spark, d):
-    from tremorlake.plans.bindings import boxes
-
-    e = spatial.bbox_join(events(spark, d).filter("d BETWEEN DATE '1997-01-01' AND DATE '1999-12-31'"), boxes(spark, d))
-    return e.groupBy("fault_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("magnitude") >= 6).alias("strong"))
-
-
 @query("h10_bin_moderation", ctes("ev", "sensor") + ", big AS (SELECT event_id, d, CAST(event_id % 4 AS INT) AS bin FROM ev WHERE magnitude >= 6.5), c AS (SELECT bin, count(*) AS n FROM big GROUP BY 1), x AS (SELECT round(sum(pow(n - e, 2) / e), 6) AS chi2 FROM c, (SELECT sum(n) / 4.0 AS e FROM c)), r AS (SELECT bin, round(avg(s.x) FILTER (s.d = big.d - 1), 4) AS before_1, round(avg(s.x) FILTER (s.d = big.d - 5), 4) AS before_5 FROM big JOIN sensor s ON s.zone = 'R' AND s.d BETWEEN big.d - 5 AND big.d - 1 GROUP BY 1) SELECT bin, n, chi2, before_1, before_5 FROM c JOIN r USING (bin), x")
 def h10(spark, d):
     big = events(spark, d).filter("magnitude >= 6.5").select("event_id", "d", (F.col("event_id") % 4).cast("int").alias("bin"))
@@ -283,14 +184,3 @@ def h21(spark, d):
     sets = {"counts": ["n", "n_7d", "n_30d"], "all": ["n", "n_7d", "n_30d", "max_30d", "mean_90d"]}
     got = ablation(p.filter("split = 'train'"), p.filter("split = 'test'"), sets, "label_7d", "d", ["row_id"], rounds=3)
     return S.binary_metrics(got, "y", "p", ["model"]).select("model", "n", F.round("auroc", 4).alias("auroc"))
-
-
-@query("h23_triangulate")
-def h23(spark, d):
-    """Triangles of stations laid out by supplier, by zone."""
-    from tremorlake.operators.stations import triangulate
-    from tremorlake.sources.tables import table
-
-    k = F.col("s_suppkey")
-    net = table(spark, d, "supplier").select(k.alias("station_id"), (k % 3).cast("string").alias("zone"), (35 + (k * 37 % 200) / 100).cast("double").alias("lat"), (139 + (k * 53 % 200) / 100).cast("double").alias("lon"))
-    return triangulate(net, "zone").groupBy("zone").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("area"), 2).alias("area"))

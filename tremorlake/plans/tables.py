@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from tremorlake.operators import tables as T
+from tremorlake.operators.checkpoints import checkpointed, drop_folder, shared_dir
 from tremorlake.plans.bindings import ctes, env, events
 from tremorlake.plans.registry import query
 from tremorlake.sources.tables import table
@@ -65,3 +68,45 @@ def a30(spark, d):
 @query("a33_high_water_mark", "SELECT max(CAST(ts AS DATE)) AS mark, CAST(max(CAST(ts AS DATE)) + 1 AS DATE) AS next_day FROM events WHERE value < 50")
 def a33(spark, d):
     return T.high_water_mark(table(spark, d, "events"), "ts", F.col("value") < 50, "2020-01-01")
+
+
+@query("a29_sinks", ctes("ev") + " SELECT zone, 3 * count(*) AS n, 3 * max(event_id) AS top FROM ev WHERE magnitude >= 6 GROUP BY 1")
+def a29(spark, d):
+    """The strong events loaded anew over all events, then after themselves as CSV and JSON, and read again."""
+    base = f"{shared_dir(spark)}/sinks-{uuid4().hex}"
+    all_, e = (x.select("zone", "event_id") for x in (events(spark, d), events(spark, d).filter("magnitude >= 6")))
+    T.write_sink(all_, f"{base}/p", partition_by=["zone"])
+    T.write_sink(e, f"{base}/p", partition_by=["zone"], rows_a_file=1000)
+    T.write_sink(e, f"{base}/csv", kind="csv")
+    T.write_sink(e, f"{base}/json", append=True, kind="json")
+    read = spark.read.schema("zone string, event_id long")
+    back = read.parquet(f"{base}/p").unionByName(read.option("header", True).csv(f"{base}/csv")).unionByName(read.json(f"{base}/json"))
+    out = checkpointed(back.groupBy("zone").agg(F.count(F.lit(1)).alias("n"), (F.max("event_id") * 3).alias("top")))
+    drop_folder(spark, base)
+    return out
+
+
+@query("a32_run_log", "WITH s AS (SELECT event_type AS feed, sum(value) > 0 AND min(event_id) % 2 = 0 AS ok FROM events GROUP BY 1) SELECT run, count(*) FILTER (ok = (run = 1)) AS passed, count(*) FILTER (ok <> (run = 1)) AS failed, coalesce(string_agg(feed, ',' ORDER BY feed) FILTER (ok <> (run = 1)), '') AS note FROM s, (SELECT unnest([1, 2]) AS run) GROUP BY 1")
+def a32(spark, d):
+    """Two runs over the feeds, the second with passes and failures changed, appended to one log."""
+    path = f"{shared_dir(spark)}/log-{uuid4().hex}"
+    s = table(spark, d, "events").groupBy(F.col("event_type").alias("feed")).agg(((F.sum("value") > 0) & (F.min("event_id") % 2 == 0)).alias("ok"))
+    T.run_log(s, path, F.lit("2020-01-01").cast("date"))
+    T.run_log(s.withColumn("ok", ~F.col("ok")), path, F.lit("2020-01-02").cast("date"))
+    out = checkpointed(spark.read.parquet(path).select(F.dayofmonth("run_at").alias("run"), "passed", "failed", "note"))
+    drop_folder(spark, path)
+    return out
+
+
+@query("f04_limit", "SELECT '{\"event_id\":' || CAST(event_id AS VARCHAR) || ',\"event_type\":\"' || event_type || '\"}' AS value FROM (SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 25)")
+def f04(spark, d):
+    """The newest messages, as many as a publisher is allowed."""
+    newest = table(spark, d, "events").orderBy(F.desc("ts"), F.desc("event_id")).select("event_id", "event_type")
+    return T.publish_json(newest, 25)
+
+
+@query("g02_concat", ctes("ev") + " SELECT zone, d, event_id, CAST(NULL AS DOUBLE) AS tec FROM ev WHERE magnitude < 4 UNION ALL SELECT zone, d, event_id, magnitude FROM ev WHERE magnitude >= 6")
+def g02(spark, d):
+    """Frames with and without a column, one after the other."""
+    e = events(spark, d)
+    return T.union_all([e.filter("magnitude >= 6").select("zone", "d", "event_id", F.col("magnitude").alias("tec")), e.filter("magnitude < 4").select("zone", "d", "event_id")])

@@ -34,12 +34,13 @@ def kp_table(df: DataFrame) -> DataFrame:
     return out.filter("d IS NOT NULL")
 
 
-def hourly_dst(df: DataFrame, year: int, month: int) -> DataFrame:
-    """Lines of a day and 24 values: least and mean of those under 500 in size."""
+def hourly_dst(df: DataFrame, year: int | Column, month: int | Column) -> DataFrame:
+    """Lines of a day and 24 values: least and mean of those under 500 in size. Year and month are those of one file, or
+    columns where the lines are of several."""
     v = F.transform(F.regexp_extract_all(F.regexp_extract("value", r"^\s*\d{1,2}\s+(.*)$", 1), F.lit(r"(-?\d+)"), F.lit(1)), lambda x: x.try_cast("int"))
     ok = F.filter("v", lambda x: F.abs(x) < 500)
-    d = df.select(F.regexp_extract("value", r"^\s*(\d{1,2})\s", 1).try_cast("int").alias("day"), v.alias("v")).filter("day BETWEEN 1 AND 31 AND size(v) >= 24").select("day", ok.alias("v"))
-    return d.select(F.make_date(F.lit(year), F.lit(month), "day").alias("d"), F.array_min("v").alias("dst_min"), F.try_divide(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), F.size("v")).alias("dst_mean")).filter("dst_min IS NOT NULL")
+    d = df.select(F.lit(year).alias("y"), F.lit(month).alias("m"), F.regexp_extract("value", r"^\s*(\d{1,2})\s", 1).try_cast("int").alias("day"), v.alias("v")).filter("day BETWEEN 1 AND 31 AND size(v) >= 24").select("y", "m", "day", ok.alias("v"))
+    return d.select(F.make_date("y", "m", "day").alias("d"), F.array_min("v").alias("dst_min"), F.try_divide(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), F.size("v")).alias("dst_mean")).filter("dst_min IS NOT NULL")
 
 
 def omni_hourly(df: DataFrame, value: str, fill: float, scale: float = 1.0) -> DataFrame:
