@@ -159,7 +159,7 @@ def _auroc(score: str, keys: str, name: str) -> str:
 VERDICTS = f"""WITH two AS (SELECT 's' || CAST(l_partkey % 6 AS VARCHAR) AS system, CAST(year(CAST(l_shipdate AS DATE)) AS BIGINT) AS fold, CAST(l_returnflag = 'R' AS INT) AS y, l_discount + l_quantity / 1000 AS p, l_tax AS base FROM lineitem WHERE CAST(l_shipdate AS DATE) < DATE '2001-01-01'),
     {_auroc("p", "system", "pooled")}, {_auroc("base", "system", "plain")}, {_auroc("p", "system, fold", "folds")},
     spread AS (SELECT system, stddev_pop(auroc) AS fold_std, count(*) FILTER (auroc > 0.5) AS passed, count(auroc) AS folds FROM folds GROUP BY 1),
-    v AS (SELECT system, pooled.positives, pooled.auroc, plain.auroc AS base_auroc, fold_std, 2 * passed > folds AS majority, CASE WHEN pooled.positives < 5 OR pooled.auroc IS NULL OR plain.auroc IS NULL THEN 'INSUFFICIENT_DATA' WHEN pooled.auroc < 0.5 OR pooled.auroc - plain.auroc < 0.001 THEN 'NULL' WHEN fold_std > 0.02 THEN 'CONFIRMED_UNSTABLE' ELSE 'CONFIRMED' END AS verdict FROM pooled JOIN plain USING (system) JOIN spread USING (system))"""
+    v AS (SELECT system, pooled.positives, pooled.auroc, plain.auroc AS base_auroc, fold_std, 2 * passed > folds AS majority, CASE WHEN pooled.positives < 5 OR pooled.auroc IS NULL OR plain.auroc IS NULL THEN 'INSUFFICIENT_DATA' WHEN pooled.auroc < 0.5 OR pooled.auroc - plain.auroc < 0.001 THEN 'NULL' WHEN fold_std > 0.012 THEN 'CONFIRMED_UNSTABLE' ELSE 'CONFIRMED' END AS verdict FROM pooled JOIN plain USING (system) JOIN spread USING (system))"""
 
 
 def _verdicts(spark, d):
@@ -169,7 +169,7 @@ def _verdicts(spark, d):
     plain = S.binary_metrics(li, "y", "base", ["system"]).select("system", F.col("auroc").alias("base_auroc"))
     folds = S.binary_metrics(li, "y", "p", ["system", "fold"])
     all_ = pooled.join(plain, "system").join(S.fold_spread(folds, "auroc", ["system"]), "system").join(S.majority_of_folds(folds, "auroc", ["system"]), "system")
-    return S.verdict(all_, "positives", "auroc", "fold_std", threshold=0.5, unstable=0.02, base_auroc="base_auroc", delta=0.001)
+    return S.verdict(all_, "positives", "auroc", "fold_std", threshold=0.5, unstable=0.012, base_auroc="base_auroc", delta=0.001)
 
 
 @query("h18_verdict", VERDICTS + " SELECT system, positives, round(auroc, 6) AS auroc, round(base_auroc, 6) AS base_auroc, round(fold_std, 6) AS fold_std, majority, verdict FROM v")
