@@ -30,6 +30,8 @@ MAX_REPEAT_PERCENT = 20
 #: Words whose tokens a worker keeps; the cache starts anew beyond it.
 CACHE_WORDS = 200_000
 
+#: Bands that are broadcast at most.
+BROADCAST_BANDS = 10_000
 #: Texts that a language or script needs for a band of its own.
 MIN_TEXTS = 100
 #: How far a band reaches beyond the median, in distances of the quartiles.
@@ -215,6 +217,12 @@ def _entropy_share(k: int) -> Column:
     return F.col(f"_m_token_entropy_{k}") / F.log2(F.least(F.greatest(F.col(f"_m_n_tokens_{k}"), F.lit(2)), F.lit(4096)))
 
 
+def _small(bands: DataFrame) -> DataFrame:
+    """Bands as a broadcast table where they are ``BROADCAST_BANDS`` at most, as languages and scripts are; else as they are."""
+    got = bands.limit(BROADCAST_BANDS + 1).collect()
+    return F.broadcast(bands.sparkSession.createDataFrame(got, bands.schema)) if len(got) <= BROADCAST_BANDS else bands
+
+
 def _judged(rows: DataFrame, n_vocabs: int, lang: Column, bands: dict | None) -> DataFrame:
     """``rows`` with ``_m_reasons``, from bands by language, else by script, else from the fixed table."""
     rows = rows.withColumn("_m_lang", lang.cast("string"))
@@ -223,7 +231,9 @@ def _judged(rows: DataFrame, n_vocabs: int, lang: Column, bands: dict | None) ->
     if bands is None:
         # exact quartiles over all rows; values of three digits keep their counts small
         stats = lambda by: rows.filter(~F.col("_m_base_failed") & F.col(by).isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias("n"), *(F.percentile(F.round(c, 3), F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias(f"{n}{k}") for (n, k), c in measure.items())).filter(F.col("n") >= MIN_TEXTS).select(by, F.struct(*(f"{n}{k}" for n, k in measure)).alias(f"{by}_band"))
-        rows = rows.join(stats("_m_lang"), "_m_lang", "left").join(stats("_m_script"), "_m_script", "left").withColumn("_m_band", F.coalesce("_m_lang_band", "_m_script_band"))
+        for by in ("_m_lang", "_m_script"):
+            rows = rows.join(_small(stats(by)), by, "left")
+        rows = rows.withColumn("_m_band", F.coalesce("_m_lang_band", "_m_script_band"))
     fixed = F.create_map(*chain.from_iterable((F.lit(k), F.array(*map(F.lit, map(float, v)))) for k, v in (bands or BANDS).items()))
     at = lambda i: F.coalesce(F.try_element_at(fixed, F.col("_m_lang"))[i], F.try_element_at(fixed, F.col("_m_script"))[i])
     root = F.sqrt(F.greatest(F.col("_m_n_words"), F.lit(1)))
