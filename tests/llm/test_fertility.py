@@ -44,7 +44,7 @@ def test_bands(spark):
     assert [got[i].kept for i in (1, 2, 3, 4, 5)] == [True, False, False, False, True]
     assert got[4].byte_share_0 > 0.5 and "byte_fallback" in got[4].reasons
     kept = fertility.keep_good(df, vocab_path("piece_bpe_32k.model")).collect()
-    assert [(r.doc_id, r.text) for r in kept] == [(1, clean), (5, clean), (5, clean)]
+    assert sorted((r.doc_id, r.text) for r in kept) == [(1, clean), (5, clean), (5, clean)]
 
 
 def test_scripts():
