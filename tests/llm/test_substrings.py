@@ -103,7 +103,7 @@ def test_phrase_between_unique_words_is_no_anchor(spark, monkeypatch):
 
     np = substrings.np
     tries = ([*b"all of these words are always here".split(), b"%d" % k] for k in range(10**6))
-    phrase, gram = next((b" ".join(w).decode(), g) for w in tries if (g := substrings.rolling(substrings._word_hashes(w), 8)[0]) < np.uint64(1 << 56))
+    phrase, gram = next((b" ".join(w).decode(), g) for w in tries if (g := substrings.rolling(substrings.WordHasher()(b" ".join(w))[0], 8)[0]) < np.uint64(1 << 56))
     rows = [(i, " ".join(f"{phrase} " + " ".join(f"u{i}x{j}x{k}" for k in range(12)) for j in range(8))) for i in range(400)]
     df = spark.createDataFrame(rows, "d long, text string").selectExpr("d", "d AS th", "text").repartition(4)
     slots = [r.slot for r in substrings.prefix_counts(df, 20, 8).filter("slot >= 0 AND n > 500").collect()]
@@ -118,3 +118,12 @@ def test_phrase_between_unique_words_is_no_anchor(spark, monkeypatch):
     monkeypatch.setattr(substrings, "HOT_COUNT", 500)
     got = substrings.remove_repeats(spark.createDataFrame([*rows, (900, rows[7][1])], "doc_id long, text string").repartition(4)).collect()
     assert {r.doc_id for r in got if r.n_removed} == {900} and max(r.n_removed for r in got) == 160
+
+
+def test_word_hashes(monkeypatch):
+    monkeypatch.setattr(substrings, "HASH_BYTES", 64)
+    r = random.Random(3)
+    words = [bytes(r.choice(b"abc\xc3") for _ in range(r.choice([1, 2, 3, 70, 300]))) for _ in range(900)]
+    hashes, byte = substrings.WordHasher()(b" ".join(words))
+    assert len(hashes) == len(words) == len(byte) - 1 and len(set(hashes.tolist())) == len(set(words))
+    assert len({(w, int(h)) for w, h in zip(words, hashes)}) == len(set(words))

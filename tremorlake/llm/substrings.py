@@ -21,10 +21,10 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +43,8 @@ MOST_PARTITIONS = 50_000
 SLOTS = 1 << 22
 LEAST_COUNT = 16
 HOT_COUNT = 200_000
+#: Bytes of words that are hashed at once.
+HASH_BYTES = 1 << 20
 #: Suffixes of equal hashes that are sorted by their words at once.
 SORT_ROWS = 200_000
 #: Places of a stretch, and of a mask of marked places.
@@ -82,19 +84,41 @@ def _least(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(v[: len(v) - (width - k)], v[width - k :]) if width > k else v
 
 
-def _coded(flat: bytes) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """Words set apart by one space, as numbers: the numbers, the words, and the place of each word's first byte."""
-    values = pc.split_pattern(pa.array([flat], pa.large_binary()), pattern=" ").values
-    coded = values.dictionary_encode()
-    length = pc.binary_length(values).to_numpy(zero_copy_only=False).astype(np.int64)
-    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist(), np.cumsum(length + 1) - length - 1
-
-
-def later_leaves(codes: np.ndarray, start: np.ndarray, label: np.ndarray, window: int, rank) -> np.ndarray:
+class WordHasher:
+    """Hashes of words set apart by one space, from sums of their bytes times powers, many words at once."""
+
+    def __init__(self):
+        with np.errstate(over="ignore"):
+            self.up = np.cumprod(np.r_[np.uint64(1), np.full(HASH_BYTES, _M2)])
+            self.down = np.cumprod(np.r_[np.uint64(1), np.full(HASH_BYTES, np.uint64(pow(int(_M2), -1, 1 << 64)))])
+
+    def __call__(self, flat: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes, and the place of each word's first byte with one place more: the end and a space."""
+        from xxhash import xxh64_intdigest
+
+        raw = np.frombuffer(flat, np.uint8)
+        byte = np.r_[0, np.flatnonzero(raw == 32) + 1, len(raw) + 1]
+        out = np.empty(len(byte) - 1, np.uint64)
+        a = 0
+        while a < len(out):
+            b = int(np.searchsorted(byte, byte[a] + HASH_BYTES, "right")) - 1
+            if b <= a:  # a word longer than all that is hashed at once
+                out[a] = xxh64_intdigest(flat[byte[a] : byte[a + 1] - 1])
+                a += 1
+                continue
+            at = byte[a : b + 1] - byte[a]
+            part = raw[byte[a] : byte[b] - 1].astype(np.uint64) + np.uint64(1)
+            total = np.r_[np.uint64(0), np.cumsum(part * self.up[: len(part)])]
+            out[a:b] = (total[at[1:] - 1] - total[at[:-1]]) * self.down[at[:-1]]
+            a = b
+        return _mix(out ^ _M3), byte
+
+
+def later_leaves(flat: bytes, byte: np.ndarray, start: np.ndarray, label: np.ndarray, window: int, rank) -> np.ndarray:
     """Which suffixes stand under a node at least ``window`` words deep and are not its first leaf.
 
-    ``codes`` are the words in a row, ``start`` the places of the suffixes, ``label`` their windows' hashes;
-    ``rank`` gives numbers of some suffixes that order them (equal ones are one leaf)."""
+    ``byte`` has the places of the words of ``flat``, ``start`` the words at which the suffixes begin, ``label`` their
+    windows' hashes; ``rank`` gives numbers of some suffixes that order them (equal ones are one leaf)."""
     again = np.zeros(len(start), bool)
     order = np.argsort(label, kind="stable")
     same = label[order[1:]] == label[order[:-1]]
@@ -104,15 +128,16 @@ def later_leaves(codes: np.ndarray, start: np.ndarray, label: np.ndarray, window
     turn = np.flatnonzero(np.r_[True, label[order[1:]] != label[order[:-1]]])
     cut = turn[np.flatnonzero(np.diff(turn // SORT_ROWS)) + 1]
     for some in np.split(order, cut):
-        rows = codes[start[some][:, None] + np.arange(window)].astype(">u4")
-        by_words = np.argsort(rows.view(f"S{4 * window}").ravel(), kind="stable")
-        some, rows = some[by_words], rows[by_words]
-        # the common prefix of neighbours in suffix order is the depth of the node that joins them
-        common = np.logical_and.accumulate(rows[1:] == rows[:-1], axis=1).sum(axis=1)
-        node = np.cumsum(np.r_[True, common < window]) - 1
+        first, past = byte[start[some]].tolist(), (byte[start[some] + window] - 1).tolist()
+        suffix = [flat[a:b] for a, b in zip(first, past, strict=True)]  # as deep as a window
+        by_words = np.array(sorted(range(len(suffix)), key=suffix.__getitem__), np.int64)
+        # neighbours in suffix order that are equal to this depth share a node as deep or deeper
+        deep = np.fromiter((suffix[a] == suffix[b] for a, b in pairwise(by_words.tolist())), bool, len(some) - 1)
+        some = some[by_words]
+        node = np.cumsum(np.r_[True, ~deep]) - 1
         number = rank(some)
-        first = np.minimum.reduceat(number, np.flatnonzero(np.r_[True, common < window]))
-        again[some] = number > first[node]
+        least = np.minimum.reduceat(number, np.flatnonzero(np.r_[True, ~deep]))
+        again[some] = number > least[node]
     return again
 
 
@@ -182,43 +207,35 @@ def _chunks(batches, window: int):
         yield chunk.taken()
 
 
-def _word_hashes(words: list[bytes]) -> np.ndarray:
-    from xxhash import xxh64_intdigest
-
-    return np.fromiter((xxh64_intdigest(w, 7) for w in words), np.uint64, len(words))
-
-
 def prefix_counts(texts: DataFrame, window: int, anchor: int) -> DataFrame:
     """Counts of ``anchor`` words by hash: (slot, n) of those that a task has ``LEAST_COUNT`` times or more, and the
     number of all words under slot -1."""
 
     def run(batches):
-        seen, total = np.zeros(SLOTS, np.int64), 0
+        seen, total, hashed = np.zeros(SLOTS, np.int64), 0, WordHasher()
         for _, sizes, flat in _chunks(batches, window):
-            codes, words, _ = _coded(flat)
             total += int(sizes.sum())
-            seen += np.bincount((rolling(_word_hashes(words)[codes], anchor) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+            seen += np.bincount((rolling(hashed(flat)[0], anchor) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
         slot = np.flatnonzero(seen >= LEAST_COUNT)
         yield pa.RecordBatch.from_pydict({"slot": pa.array(np.r_[-1, slot], pa.int32()), "n": pa.array(np.r_[total, seen[slot]], pa.int64())})
 
     return texts.mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
 
 
-def chunk_stretches(keys, sizes, flat: bytes, window: int, anchor: int, hot: np.ndarray | None, n_groups: int, press):
+def chunk_stretches(keys, sizes, flat: bytes, window: int, anchor: int, hot: np.ndarray | None, n_groups: int, press, hashed: WordHasher):
     """The stretches of one chunk as (group, bytes): neighbouring suffixes of one text and one anchor, without
     those that an earlier suffix of the chunk repeats, and the marks of these."""
-    codes, words, byte = _coded(flat)
+    hashes, byte = hashed(flat)
     ends = np.cumsum(sizes)
     doc = np.repeat(np.arange(len(keys)), sizes)
-    hashes = _word_hashes(words)[codes]
     grams = rolling(hashes, anchor)
     if hot is not None:
         grams[hot[(grams % np.uint64(SLOTS)).astype(np.int64)]] = _TOP
-    start = np.flatnonzero(np.arange(len(codes)) + window <= ends[doc])
+    start = np.flatnonzero(np.arange(len(hashes)) + window <= ends[doc])
     label = rolling(hashes, window)[start]
     prefix = _least(grams, window - anchor + 1)[start]
     prefix = np.where(prefix == _TOP, label, prefix)
-    again = later_leaves(codes, start, label, window, lambda some: some)
+    again = later_leaves(flat, byte, start, label, window, lambda some: some)
     doc = doc[start]
     d, th, base = (np.array(x, np.int64) for x in zip(*keys, strict=True))
     pos = start - (ends - sizes)[doc] + base[doc]
@@ -240,7 +257,6 @@ def chunk_stretches(keys, sizes, flat: bytes, window: int, anchor: int, hot: np.
     none = tuple(m[:0] for m in marks)
     if len(marks[0]):
         yield int(marks[1][0] % n_groups), _pack(press, [], [], [], [], b"", marks)
-    byte = np.r_[byte, len(flat) + 1]
     first, past = byte[start[low]], byte[start[high] + window] - 1
     for some in np.split(order, np.flatnonzero(np.diff(group[order])) + 1) if len(order) else []:
         text = b" ".join([flat[a:b] for a, b in zip(first[some].tolist(), past[some].tolist(), strict=True)])
@@ -252,10 +268,10 @@ def _stretches(texts: DataFrame, window: int, anchor: int, hot: Broadcast | None
     def run(batches):
         import zstandard
 
-        press = zstandard.ZstdCompressor(level=1)
+        press, hashed = zstandard.ZstdCompressor(level=1), WordHasher()
         known = None if hot is None else np.unpackbits(np.frombuffer(hot.value, np.uint8), count=SLOTS).astype(bool)
         for keys, sizes, flat in _chunks(batches, window):
-            rows = list(chunk_stretches(keys, sizes, flat, window, anchor, known, n_groups, press))
+            rows = list(chunk_stretches(keys, sizes, flat, window, anchor, known, n_groups, press, hashed))
             for a in range(0, len(rows), 256):
                 part = rows[a : a + 256]
                 yield pa.RecordBatch.from_pydict({"g": pa.array([g for g, _ in part], pa.int32()), "packed": pa.array([x for _, x in part], pa.binary())})
@@ -269,6 +285,7 @@ class Subtree:
 
     def __init__(self, window: int):
         self.window, self.cols, self.texts, self.bytes, self.limit = window, [], [], 0, GROUP_BYTES
+        self.hashed = WordHasher()
 
     def add(self, raw: bytes):
         cols, text, marks = _unpack(raw)
@@ -289,13 +306,13 @@ class Subtree:
         d, th, pos, bits = (np.concatenate([c[k] for c in self.cols]).astype(np.int64) for k in range(4))
         flat = b" ".join(self.texts)
         self.cols, self.texts, self.bytes = [], [], 0
-        codes, _, byte = _coded(flat)
+        hashes, byte = self.hashed(flat)
         last = np.floor(np.log2(bits)).astype(np.int64)
         size = last + self.window
         begin = np.cumsum(size) - size
         of, nth = np.nonzero(bits[:, None] >> np.arange(STRETCH) & 1)
         start = begin[of] + nth
-        label = rolling(_mix(codes.astype(np.uint64) + _M1), self.window)[start]
+        label = rolling(hashes, self.window)[start]
 
         def rank(some):
             key = (pos[of[some]] + nth[some], th[of[some]], d[of[some]])
@@ -305,7 +322,7 @@ class Subtree:
             out[order] = np.cumsum(new)
             return out
 
-        again = later_leaves(codes, start, label, self.window, rank)
+        again = later_leaves(flat, byte, start, label, self.window, rank)
         doc = np.unique(np.c_[d, th], axis=0, return_inverse=True)
         who, place, mask = _masks(doc[1].ravel()[of[again]], pos[of[again]] + nth[again])
         if go_on:
@@ -314,7 +331,6 @@ class Subtree:
             # of rows of one text, one stretch is enough
             _, once = np.unique(np.c_[d, th, pos, left], axis=0, return_index=True)
             once = once[left[once] > 0]
-            byte = np.r_[byte, len(flat) + 1]
             past = begin[once] + np.floor(np.log2(left[once])).astype(np.int64) + self.window
             self.texts = [flat[a:b] for a, b in zip(byte[begin[once]].tolist(), (byte[past] - 1).tolist(), strict=True)]
             self.cols = [[d[once], th[once], pos[once], left[once]]] if len(once) else []
