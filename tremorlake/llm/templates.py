@@ -325,7 +325,7 @@ def classes(tokens: DataFrame) -> DataFrame:
 def templates(pages: DataFrame) -> DataFrame:
     """The template of each host with valid classes: its tags with their characters a page and whether their slot is one
     of links, and the blocks and words that belong to it."""
-    t = classes(occurrences(pages))
+    t = classes(checkpointed(occurrences(pages)))  # few rows, which both sides of a join need
     fixed = F.col("up_class") == F.col("class")  # it stands wherever its container does
     slot = F.struct(F.col("token").alias("path"), (F.col("chars") / F.col("n")).alias("chars"), (F.col("links") > LINK_SHARE * F.col("chars")).alias("closed"))
     of = lambda kind, what: F.collect_list(F.when(what, F.col("token") if kind else slot))
