@@ -12,6 +12,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tremorlake.functions.exprs import portable_draw
 from tremorlake.operators.checkpoints import checkpointed
 
 
@@ -47,9 +48,9 @@ def walk_forward(df: DataFrame, features: list[str], label: str, day: str, ids:
     return reduce(DataFrame.unionByName, out)
 
 
-def isotonic_calibrate(train: DataFrame, test: DataFrame, y: str, p: str, ident: str, folds: int = 3) -> DataFrame:
-    """``test`` with ``calibrated``: the mean of isotonic fits on all but one hash fold of the training rows each."""
-    t = train.select(F.col(y).cast("double").alias("label"), F.col(p).alias("_f"), F.pmod(F.xxhash64(ident), F.lit(folds)).alias("_k"))
+def isotonic_calibrate(train: DataFrame, test: DataFrame, y: str, p: str, ident: str, folds: int = 3, seed: int = 42) -> DataFrame:
+    """``test`` with ``calibrated``: the mean of isotonic fits on all but one fold of the training rows each; folds are portable draws."""
+    t = train.select(F.col(y).cast("double").alias("label"), F.col(p).alias("_f"), (portable_draw(seed, ident) % folds).alias("_k"))
     out = test.withColumn("_f", F.col(p))
     for k in range(folds):
         model = IsotonicRegression(featuresCol="_f", labelCol="label", predictionCol=f"_c{k}").fit(t.filter(F.col("_k") != k))

@@ -100,9 +100,9 @@ def h12(spark, d):
 
 WINDOWS = "e AS (SELECT *, pow(10.0, 0.1238 * magnitude + 0.983) AS km_max, CASE WHEN magnitude >= 6.5 THEN pow(10.0, 0.032 * magnitude + 2.7389) ELSE pow(10.0, 0.5409 * magnitude - 0.547) END AS days_max FROM ev WHERE magnitude >= 5)"
 #: Walking in time with the list of main events so far: an event is one if no main event before it has it in its window.
-WALK = f"""{WINDOWS}, n AS (SELECT *, row_number() OVER (ORDER BY d, event_id) AS i FROM e),
-    pre AS (SELECT b.i, list(a.event_id) AS by_ FROM n a JOIN n b ON b.i > a.i AND b.d - a.d <= a.days_max AND {KM.format(a='a.', b='b.')} <= a.km_max GROUP BY 1),
-    steps AS (SELECT n.i, n.event_id, coalesce(by_, []) AS by_ FROM n LEFT JOIN pre USING (i)),
+WALK = f"""{WINDOWS}, n AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY d, event_id) AS i FROM e),
+    pre AS MATERIALIZED (SELECT b.i, list(a.event_id) AS by_ FROM n a JOIN n b ON b.i > a.i AND b.d - a.d <= a.days_max AND {KM.format(a='a.', b='b.')} <= a.km_max GROUP BY 1),
+    steps AS MATERIALIZED (SELECT n.i, n.event_id, coalesce(by_, []) AS by_ FROM n LEFT JOIN pre USING (i)),
     walk AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS main UNION ALL SELECT s.i, CASE WHEN list_has_any(w.main, s.by_) THEN w.main ELSE list_append(w.main, s.event_id) END FROM walk w JOIN steps s ON s.i = w.i + 1),
     final AS (SELECT unnest(main) AS event_id FROM walk WHERE i = (SELECT max(i) FROM walk))"""
 
@@ -235,12 +235,26 @@ def h14(spark, d):
 
 
 def _network(spark, d):
-    """Suppliers as stations: each 200 in a row are a zone of two degrees, at places of their own."""
+    """Suppliers as stations: each 200 in a row are a zone of two degrees, at places of their own and no regular ones."""
     k = F.col("s_suppkey")
-    return table(spark, d, "supplier").select(k.alias("station_id"), F.floor(k / 200).cast("string").alias("zone"), (35 + (k * 37 % 200) / 100).cast("double").alias("lat"), (139 + (k * 53 % 200) / 100).cast("double").alias("lon"))
+    return table(spark, d, "supplier").select(k.alias("station_id"), F.floor(k / 200).cast("string").alias("zone"), (35 + (k * k * 37 + k % 7) % 9973 / 5000.0).cast("double").alias("lat"), (139 + (k * k * k % 9967 + k % 11) / 5000.0).cast("double").alias("lon"))
 
 
-@query("h23_triangulate")
+#: Triangles whose circle through the corners holds no other station, the definition of the triangulation.
+TRIANGLES = """net AS (SELECT s_suppkey AS id, CAST(s_suppkey // 200 AS VARCHAR) AS zone, 35 + ((s_suppkey * s_suppkey * 37 + s_suppkey % 7) % 9973) / 5000.0::DOUBLE AS lat, 139 + (s_suppkey * s_suppkey * s_suppkey % 9967 + s_suppkey % 11) / 5000.0::DOUBLE AS lon FROM supplier),
+    mid AS (SELECT zone, avg(lat) AS la, avg(lon) AS lo FROM net GROUP BY 1), xy AS (SELECT id, zone, radians(lon - lo) * 6371 * cos(radians(la)) AS x, radians(lat - la) * 6371 AS y FROM net JOIN mid USING (zone)),
+    c3 AS (SELECT a.zone, a.id AS a, b.id AS b, c.id AS c, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, c.x AS cx, c.y AS cy, (b.x - a.x) * (c.y - a.y) - (c.x - a.x) * (b.y - a.y) AS turn FROM xy a JOIN xy b ON a.zone = b.zone AND a.id < b.id JOIN xy c ON b.zone = c.zone AND b.id < c.id),
+    c4 AS (SELECT *, ((ax - cx) * (ax - cx) + (ay - cy) * (ay - cy)) AS la2, ((bx - cx) * (bx - cx) + (by_ - cy) * (by_ - cy)) AS lb2 FROM c3 WHERE turn <> 0),
+    c5 AS (SELECT *, cx + ((by_ - cy) * la2 - (ay - cy) * lb2) / (2 * turn) AS ox, cy + ((ax - cx) * lb2 - (bx - cx) * la2) / (2 * turn) AS oy FROM c4),
+    c6 AS (SELECT *, (ax - ox) * (ax - ox) + (ay - oy) * (ay - oy) AS r2 FROM c5),
+    tri AS (SELECT *, abs(turn) / 2 AS area FROM c6 WHERE NOT EXISTS (SELECT 1 FROM xy WHERE xy.zone = c6.zone AND xy.id NOT IN (a, b, c) AND (xy.x - ox) * (xy.x - ox) + (xy.y - oy) * (xy.y - oy) < r2)
+      AND abs(turn) / 2 >= 1 AND greatest(hypot_(ax - bx, ay - by_), hypot_(bx - cx, by_ - cy), hypot_(cx - ax, cy - ay)) <= 300)"""
+for _args in ("ax - bx, ay - by_", "bx - cx, by_ - cy", "cx - ax, cy - ay"):
+    _p, _q = _args.split(", ")
+    TRIANGLES = TRIANGLES.replace(f"hypot_({_args})", f"sqrt(({_p}) * ({_p}) + ({_q}) * ({_q}))")
+
+
+@query("h23_triangulate", f"WITH {TRIANGLES} SELECT zone, count(*) AS n, round(sum(area), 2) AS area FROM tri GROUP BY 1")
 def h23(spark, d):
     """Triangles of the stations by zone: their number and area."""
     from tremorlake.operators.stations import triangulate
@@ -248,10 +262,16 @@ def h23(spark, d):
     return triangulate(_network(spark, d), "zone").groupBy("zone").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("area"), 2).alias("area"))
 
 
-@query("h24_strain")
+@query(
+    "h24_strain",
+    ctes("stations")
+    + f""", {TRIANGLES}, m AS (SELECT zone, s.d, area, turn, ((vb - va) * (cx - ax) - (vc - va) * (bx - ax)) / -turn AS eyy, ((ub - ua) * (cy - ay) - (uc - ua) * (by_ - ay)) / turn AS exx, ((uc - ua) * (bx - ax) - (ub - ua) * (cx - ax)) / turn AS uy, ((vb - va) * (cy - ay) - (vc - va) * (by_ - ay)) / turn AS vx
+    FROM (SELECT tri.*, p.d, p.east AS ua, p.north AS va, q.east AS ub, q.north AS vb, r.east AS uc, r.north AS vc FROM tri JOIN stations p ON p.station_id = a JOIN stations q ON q.station_id = b AND q.d = p.d JOIN stations r ON r.station_id = c AND r.d = p.d) s)
+    SELECT zone, d, round(sum((exx + eyy) * area) / sum(area), 4) AS dilatation, round(max(sqrt(pow((exx - eyy) / 2, 2) + pow((uy + vx) / 2, 2))), 4) AS max_shear, count(*) AS n_triangles FROM m GROUP BY 1, 2 HAVING count(*) >= 3""",
+)
 def h24(spark, d):
     """Daily strain of the zones' triangles."""
     from tremorlake.operators.stations import strain, triangulate
 
     s = strain(triangulate(_network(spark, d), "zone"), stations(spark, d), "station_id")
-    return s.select("zone", "d", F.round("dilatation", 6).alias("dilatation"), F.round("max_shear", 6).alias("max_shear"), "n_triangles")
+    return s.select("zone", "d", F.round("dilatation", 4).alias("dilatation"), F.round("max_shear", 4).alias("max_shear"), "n_triangles")

@@ -143,7 +143,24 @@ def h27(spark, d):
     return events(spark, d).groupBy(F.year("d").cast("long").alias("y")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("magnitude") >= 4).alias("m4"), F.count_if(F.col("magnitude") >= 6).alias("m6"), (F.count(F.lit(1)) - F.countDistinct("event_id")).alias("duplicates"))
 
 
-@query("h22_seasonal_residuals")
+TERMS = ("1.0::DOUBLE", "t", "cos(2 * pi() * t)", "sin(2 * pi() * t)", "cos(4 * pi() * t)", "sin(4 * pi() * t)")
+SERIES = ("east", "north", "up")
+
+
+def least_squares() -> str:
+    """SQL of the coefficients of ``SERIES`` on ``TERMS`` by station: the normal equations, then one elimination a term."""
+    k, ys = range(len(TERMS)), range(len(SERIES))
+    sums = ", ".join([f"sum(x{i} * x{j}) AS m{i}_{j}" for i in k for j in k] + [f"sum(x{i} * {SERIES[c]}) AS m{i}_y{c}" for i in k for c in ys])
+    out = [f"x AS (SELECT *, {', '.join(f'{e} AS x{i}' for i, e in enumerate(TERMS))} FROM (SELECT *, (d - DATE '2000-01-01') / 365.25::DOUBLE AS t FROM stations))", f"e0 AS (SELECT station_id, {sums} FROM x GROUP BY 1 HAVING count(*) > {len(TERMS)})"]
+    right = [*k, *(f"y{c}" for c in ys)]
+    for p in k:
+        row = lambda i, j, p=p: f"m{p}_{j} / m{p}_{p}" if i == p else f"m{i}_{j} - m{i}_{p} * m{p}_{j} / m{p}_{p}"
+        out.append(f"e{p + 1} AS (SELECT station_id, {', '.join(f'{row(i, j)} AS m{i}_{j}' for i in k for j in right)} FROM e{p})")
+    fit = lambda c: " + ".join(f"m{i}_y{c} * x{i}" for i in k)
+    return ", ".join(out) + f", r AS (SELECT station_id, {', '.join(f'{SERIES[c]} - ({fit(c)}) AS r{c}' for c in ys)} FROM x JOIN e{len(TERMS)} USING (station_id))"
+
+
+@query("h22_seasonal_residuals", ctes("stations") + f", {least_squares()} SELECT s.station_id, s.n, {', '.join(f'round(stddev_samp(r{c}), 4) AS {y}_std' for c, y in enumerate(SERIES))} FROM (SELECT station_id, count(*) AS n FROM stations GROUP BY 1) s LEFT JOIN r USING (station_id) GROUP BY 1, 2")
 def h22(spark, d):
     """Station series without trend and seasons: number of days and deviation of the residuals by station."""
     from tremorlake.operators.stations import secular_seasonal_resid
@@ -164,7 +181,14 @@ def h10(spark, d):
     return counts.select("bin", "n").join(read, "bin").crossJoin(F.broadcast(chi))
 
 
-@query("h20_isotonic")
+@query(
+    "h20_isotonic",
+    ctes("scored")
+    + f""", tr AS (SELECT p, y, {draw("row_id")} % 3 AS k FROM scored WHERE d < DATE '1999-01-01'), f AS (SELECT CAST(unnest([0, 1, 2]) AS BIGINT) AS fold), t AS (SELECT fold, p, CAST(sum(y) AS DOUBLE) AS y, count(*) AS n FROM tr, f WHERE k <> fold GROUP BY 1, 2),
+    means AS (SELECT a.fold, a.p AS lo, b.p AS hi, (SELECT sum(y) / sum(n) FROM t WHERE t.fold = a.fold AND t.p BETWEEN a.p AND b.p) AS m FROM t a JOIN t b ON a.fold = b.fold AND a.p <= b.p),
+    low AS (SELECT x.fold, x.p, lo, min(m) AS m FROM t x JOIN means ON means.fold = x.fold AND lo <= x.p AND hi >= x.p GROUP BY 1, 2, 3), fit AS (SELECT fold, p, max(m) AS c FROM low GROUP BY 1, 2), calib AS (SELECT p, avg(c) AS c FROM fit GROUP BY 1)
+    SELECT s.p, count(*) AS n, round(any_value(c), 4) AS calibrated FROM scored s JOIN calib USING (p) WHERE d >= DATE '1999-01-01' GROUP BY 1""",
+)
 def h20(spark, d):
     """Calibrated rates by score of later rows, fitted on earlier ones."""
     from tremorlake.operators.models import isotonic_calibrate
