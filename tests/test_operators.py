@@ -144,3 +144,69 @@ def test_walk_forward_and_calibration(spark):
     assert [x.fold for x in m] == [2] and m[0].auroc > 0.65
     cal = models.isotonic_calibrate(got, got, "y", "p", "id").first()
     assert 0 <= cal.calibrated <= 1
+
+
+def test_nearest_event_against_all_pairs(spark):
+    # across the date line, at the poles and in empty regions
+    r = random.Random(6)
+    place = lambda: (r.choice([r.uniform(-90, 90), 89.9, -89.5, 12.0]), r.choice([r.uniform(-180, 180), 179.9, -179.9]))
+    pts = [(i, date(2000, 1, 1) + timedelta(days=r.randrange(30)), *place()) for i in range(120)]
+    evs = [(i, date(2000, 1, 1) + timedelta(days=r.randrange(40)), *place()) for i in range(150)]
+    want = {}
+    for p in pts:
+        near = [(km(p, e), e[0]) for e in evs if 0 <= (e[1] - p[1]).days <= 5]
+        if near:
+            want[p[0]] = min(near)
+    p, e = spark.createDataFrame(pts, "pid long, d date, lat double, lon double"), spark.createDataFrame(evs, "event_id long, d date, lat double, lon double")
+    got = {x.pid: (x.km, x.event_id) for x in spatial.nearest_event(p, e, 0, 5, [], "pid").collect()}
+    assert got.keys() == want.keys() and all(abs(got[i][0] - want[i][0]) < 1e-6 for i in want)
+
+
+def test_tolerance_join_and_edges_against_all_pairs(spark):
+    r = random.Random(7)
+    rows = [(i, date(2000, 1, 1) + timedelta(days=r.randrange(6)), r.choice([r.uniform(-90, 90), 89.99, -5.0, 5.0]), r.choice([r.uniform(-180, 180), 179.99, -180.0]), round(r.uniform(-2, 8), 2)) for i in range(200)]
+    df = spark.createDataFrame(rows, "event_id long, d date, lat double, lon double, magnitude double")
+    a, b = [x for x in rows if x[0] % 2], [x for x in rows if not x[0] % 2]
+    want = {x[0] for x in a if any(x[1] == y[1] and abs(x[2] - y[2]) < 1.5 and abs(x[3] - y[3]) < 1.5 for y in b)}
+    got = [x.event_id for x in spatial.tolerance_join(df.filter("event_id % 2 = 1"), df.filter("event_id % 2 = 0"), 1.5, "event_id").collect()]
+    assert set(got) == want and len(got) == len(want) and spatial.tolerance_join(df, df, 0, "event_id").count() == 0
+    far = lambda m: 10 ** (0.1238 * m + 0.983)
+    long_ = lambda m: 10 ** (0.032 * m + 2.7389) if m >= 6.5 else 10 ** (0.5409 * m - 0.547)
+    edges = {(x[0], y[0]) for x in rows for y in rows if (y[1], y[0]) > (x[1], x[0]) and (y[1] - x[1]).days <= long_(x[4]) and km(x, y) <= far(x[4])}
+    assert {(e.src, e.dst) for e in spatial.window_edges(df).collect()} == edges and edges
+
+
+def test_verdicts(spark):
+    df = spark.createDataFrame([("a", 9, 0.6, 0.55, 0.1), ("b", 9, 0.6, 0.58, 0.1), ("c", 4, 0.9, 0.1, 0.1), ("d", 9, 0.7, 0.5, 0.2), ("e", 9, None, 0.5, None), ("f", 9, 0.6, 0.5, None)], "s string, k int, a double, b double, sd double")
+    v = statistics.verdict(df, "k", "a", "sd", base_auroc="b")
+    assert [r.verdict for r in v.orderBy("s").collect()] == ["CONFIRMED", "NULL", "INSUFFICIENT_DATA", "CONFIRMED_UNSTABLE", "INSUFFICIENT_DATA", "CONFIRMED"]
+    assert [statistics.verdict_of_systems(v, k).first().verdict for k in (3, 4)] == ["CONFIRMED", "NULL"]
+    folds = spark.createDataFrame([("a", 0.6), ("a", 0.4), ("a", None), ("b", 0.6), ("b", 0.7), ("b", 0.2)], "s string, x double")
+    assert [(r.passed, r.folds, r.majority) for r in statistics.majority_of_folds(folds, "x", ["s"]).orderBy("s").collect()] == [(1, 2, False), (2, 3, True)]
+
+
+def test_baselines_and_centroid(spark):
+    train = spark.createDataFrame([("a", 1, 4), ("a", 0, 2), ("b", 0, 0)], "z string, y int, recent int")
+    test = spark.createDataFrame([(1, "a", 8), (2, "c", 1)], "id int, z string, recent int")
+    got = statistics.baselines(train, test, "y", "z", "recent", "id", 42).orderBy("id").collect()
+    assert [(r.climatology, round(r.global_mean, 4), r.persistence) for r in got] == [(0.5, 0.3333, 1.0), (1 / 3, 0.3333, 0.25)] and all(0 <= r.uniform < 1 for r in got)
+    flat = spark.createDataFrame([("x", -k, -1.0) for k in range(1, 6)] + [("y", -2, 3.0), ("y", -9, 9.0)], "metric string, rel_day int, z double")
+    got = statistics.centroid(flat, "z", ["metric"], 50).collect()
+    assert [(r.metric, r.centroid, r.ci_low, r.ci_high, r.window_class) for r in got] == [("y", -2.0, -2.0, -2.0, "IONOSPHERIC")]
+    up = statistics.intensification(flat, "z", ["x", "y"]).orderBy("metric").collect()
+    assert [(r.rises, r.all_primary) for r in up] == [(False, False), (None, False)]
+
+
+def test_sinks_and_run_log(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"v{i % 3}") for i in range(10)], "k long, v string")
+    for kind in ("parquet", "csv", "json"):
+        path = str(tmp_path / kind)
+        tables.write_sink(df, path, kind=kind, rows_a_file=2)
+        tables.write_sink(df.filter("k < 4"), path, kind=kind)
+        tables.write_sink(df.filter("k > 7"), path, append=True, kind=kind)
+        back = spark.read.schema("k long, v string").format(kind).option("header", True).load(path)
+        assert sorted(map(tuple, back.collect())) == [(i, f"v{i % 3}") for i in (0, 1, 2, 3, 8, 9)]
+    status = spark.createDataFrame([("b", False), ("a", False), ("c", True)], "feed string, ok boolean")
+    for s in (status, status.filter("ok"), status.limit(0)):
+        tables.run_log(s, str(tmp_path / "log"), F.lit("2020-01-01").cast("date"))
+    assert sorted((r.passed, r.failed, r.note) for r in spark.read.parquet(str(tmp_path / "log")).collect()) == [(0, 0, ""), (1, 0, ""), (1, 2, "a,b")]

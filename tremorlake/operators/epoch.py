@@ -24,6 +24,8 @@ def superposed_epoch(events: DataFrame, signal: DataFrame, metrics: list[str], w
 def shifted(events: DataFrame, iters: int, seed: int, first_day, last_day, ident: str = "event_id", day: str = "d") -> DataFrame:
     """The events of each permutation: moved by 365 to 729 days either way, and put within the first or last 30
     days of the signal where they would leave it. Draws are hashes of seed, permutation and event."""
+    # a short table may lie in one partition; its many copies must not
+    events = events.repartition(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), ident)
     e = events.withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(iters - 1))))
     u, v, w = portable_draws(3, seed, "iter", ident)
     move = (u % 365 + 365) * F.when(v % 2 == 0, 1).otherwise(-1)
@@ -35,19 +37,18 @@ def shifted(events: DataFrame, iters: int, seed: int, first_day, last_day, ident
 def permuted_sums(events: DataFrame, signal: DataFrame, metrics: list[str], window: int, iters: int, seed: int, first_day, last_day, day: str = "d", ident: str = "event_id", by: list[str] | None = None) -> DataFrame:
     """Sums and numbers of values by permutation, metric and relative day: (by, iter, rel_day, metric, s, n).
 
-    Permuted events are summed to counts by permutation and day. Each day has the sums and counts of the
-    signal on all days around it in one row, so that the two meet once, whatever the window, and are
-    added up by permutation without a row for each relative day."""
+    Each day has the sums and counts of the signal on all days around it in one row, so a permuted event
+    meets it once, whatever the window. All is added up by permutation where the events are: what is
+    shuffled has a row a permutation and task, with a column for each metric and relative day."""
     by = by or []
-    moved = shifted(events.select(ident, day, *by), iters, seed, first_day, last_day, ident, day).groupBy(*by, "iter", day).agg(F.count(F.lit(1)).alias("_k"))
+    moved = shifted(events.select(ident, day, *by), iters, seed, first_day, last_day, ident, day)
     days = range(-window, window + 1)
     name = lambda kind, i, r: f"_{kind}{i}_{r + window}"
     around = signal.select(*by, day, *(F.col(m).cast("double").alias(f"_m{i}") for i, m in enumerate(metrics))).withColumn("_r", F.explode(F.sequence(F.lit(-window), F.lit(window))))
     around = around.select(*by, F.date_sub(day, F.col("_r")).alias(day), "_r", *(f"_m{i}" for i in range(len(metrics))))
     at = [(i, r, F.when(F.col("_r") == r, F.col(f"_m{i}"))) for i in range(len(metrics)) for r in days]
     wide = around.groupBy(*by, day).agg(*(F.sum(x).alias(name("s", i, r)) for i, r, x in at), *(F.count(x).alias(name("n", i, r)) for i, r, x in at))
-    k = F.col("_k")
-    sums = moved.join(wide, [*by, day]).groupBy(*by, "iter").agg(*(F.sum(k * F.col(name("s", i, r))).alias(name("s", i, r)) for i, r, _ in at), *(F.sum(k * F.col(name("n", i, r))).alias(name("n", i, r)) for i, r, _ in at))
+    sums = moved.join(wide, [*by, day]).groupBy(*by, "iter").agg(*(F.sum(name(c, i, r)).alias(name(c, i, r)) for c in ("s", "n") for i, r, _ in at))
     rows = F.array(*(F.struct(F.lit(r).alias("rel_day"), F.lit(metrics[i]).alias("metric"), F.col(name("s", i, r)).alias("s"), F.col(name("n", i, r)).alias("n")) for i, r, _ in at))
     return sums.select(*by, "iter", F.explode(rows).alias("x")).filter("x.n > 0").select(*by, "iter", "x.rel_day", "x.metric", "x.s", "x.n")
 
