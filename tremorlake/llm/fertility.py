@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tremorlake.llm.common import CHUNK, written
+from tremorlake.llm.common import written
 from tremorlake.llm.substrings import rolling
 
 SYMBOLS = "#*$%&|<>"
@@ -27,8 +27,10 @@ SEPARATORS = " \t\n\v\f\r"
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
+#: Texts measured at once in a task.
+TEXTS = 128
 #: Words whose tokens a worker keeps; the cache starts anew beyond it.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 50_000
 
 #: Bands that are broadcast at most.
 BROADCAST_BANDS = 10_000
@@ -203,8 +205,8 @@ def _measured(df: DataFrame, paths: list[str], text_col: str) -> DataFrame:
         f = None
         for batch in batches:
             f = f or Fertility(vocabs.value)
-            for a in range(0, batch.num_rows, CHUNK):
-                part = batch.slice(a, CHUNK)
+            for a in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(a, TEXTS)
                 got = f.columns(part.column(at).to_pylist())
                 cols = [got[n.name[3:]] for n in arrow]
                 yield pa.RecordBatch.from_arrays([*part.columns, *(c if isinstance(c, pa.Array) else pa.array(c, n.type) for c, n in zip(cols, arrow, strict=True))], names=[*part.schema.names, *arrow.names])

@@ -323,6 +323,8 @@ NEAR_SHINGLE, NEAR_WORDS, NEAR_BITS = 5, 4, 46
 KEY_SHINGLE, KEY_BITS, KEY_RECALL = 2, (16, 32), 0.95
 #: Bits of the parts of the first fingerprint by which hot groups are split.
 PART_BITS = 12
+#: Texts whose bits are added up at once.
+TEXTS = 16
 #: Rows to drop are broadcast up to this many.
 BROADCAST_ROWS = 2_000_000
 
@@ -353,11 +355,11 @@ def wide_fingerprints(texts: list[str | None], shingle: int, words: int, distinc
         h = gram * np.uint64(0x9E3779B97F4A7C15 + 2 * k) ^ np.uint64(k)
         h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(32)
-        for a in range(0, len(some), 64):
-            lo, hi = start[a], start[a + 64] if a + 64 < len(start) else len(gram)
+        for a in range(0, len(some), TEXTS):
+            lo, hi = start[a], start[a + TEXTS] if a + TEXTS < len(start) else len(gram)
             bits = np.unpackbits(h[lo:hi].view(np.uint8).reshape(-1, 8), axis=1)
-            counts = np.add.reduceat(bits, start[a : a + 64] - lo, axis=0, dtype=np.int32)
-            out[some[a : a + 64], k] = np.packbits(2 * counts > n[a : a + 64, None], axis=1).view(np.uint64).ravel()
+            counts = np.add.reduceat(bits, start[a : a + TEXTS] - lo, axis=0, dtype=np.int32)
+            out[some[a : a + TEXTS], k] = np.packbits(2 * counts > n[a : a + TEXTS, None], axis=1).view(np.uint64).ravel()
     return out
 
 
