@@ -103,8 +103,8 @@ def window_edges(events: DataFrame, day: str = "d", ident: str = "event_id") ->
     half = F.when(share < 1, F.degrees(F.asin(F.least(share, F.lit(1.0)))) + 1e-6).otherwise(180.0)
     first = xb(F.col("lon") - half)
     src = src.withColumn("xb", F.explode(F.sequence(first, F.least(xb(F.col("lon") + half), first + around - 1)))).withColumn("xb", F.pmod("xb", around))
-    kinds = e.select(F.col("c").alias("kind")).distinct().agg(F.collect_list("kind").alias("kinds"))  # one row, a dozen classes
-    dst = e.select("id", "t", "lat", "lon").crossJoin(F.broadcast(kinds)).withColumn("c", F.explode("kinds")).withColumn("tb", F.floor(F.col("t") / long_)).withColumn("yb", F.floor(F.col("lat") / wide)).withColumn("xb", F.least(xb(F.col("lon")), around - 1))
+    kinds = [r.c for r in e.select("c").distinct().collect()]  # whole magnitudes, a dozen at most
+    dst = e.select("id", "t", "lat", "lon", F.explode(F.array(*map(F.lit, kinds)).cast("array<bigint>")).alias("c")).withColumn("tb", F.floor(F.col("t") / long_)).withColumn("yb", F.floor(F.col("lat") / wide)).withColumn("xb", F.least(xb(F.col("lon")), around - 1))
     s, d = src.alias("s"), dst.alias("d")
     later = (F.col("d.t") > F.col("s.t")) | ((F.col("d.t") == F.col("s.t")) & (F.col("d.id") > F.col("s.id")))
     on = (F.col("s.c") == F.col("d.c")) & (F.col("s.tb") == F.col("d.tb")) & (F.col("s.yb") == F.col("d.yb")) & (F.col("s.xb") == F.col("d.xb"))
