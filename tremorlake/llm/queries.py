@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from tremorlake.llm import bpe, decontaminate, fertility, licenses, pairwise, pii, sharding, simhash, substrings, templates
+from tremorlake.llm import bpe, conversations, decontaminate, fertility, licenses, pairwise, pii, sharding, simhash, substrings, templates
 from tremorlake.sources.tables import table
 
 #: Folder of the public vocabulary files; an environment variable or the installed package gives it.
@@ -113,3 +113,33 @@ def op2_bradley_terry(spark, d):
 @query
 def op7_templates(spark, d):
     return templates.extract(table(spark, d, "pages"))
+
+
+ORACLES["op13_conversation_repair"] = rf"""
+WITH RECURSIVE crc AS (SELECT {_crc_table()} AS change), ins(p, q, c, a) AS (VALUES (0, 0, 0, ''), (1, 1, 0, ''), (2, 2, 0, ''), (3, 3, 0, ''), (0, 2, 2, 'I'), (0, 3, 4, 'II'), (1, 2, 2, 'I'), (1, 3, 4, 'II'), (2, 3, 2, 'I'), (3, 2, 2, 'I')),
+steps(x, p, q) AS (VALUES ('s', 0, 1), ('u', 0, 2), ('u', 1, 2), ('u', 3, 2), ('a', 2, 3)),
+keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, list_prepend(4294967295, list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT))) AS b FROM conversations),
+kinds AS (SELECT conv_id, turn, role, text, xor(list_reduce(b, lambda a, x: xor(a >> 8, change[xor(a & 255, x) + 1])), 4294967295) % 20 AS k FROM keyed, crc),
+bad AS (SELECT conv_id, turn, CASE k WHEN 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE k WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM kinds WHERE k <> 0),
+placed AS (SELECT conv_id, turn, role, text, left(role, 1) AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS tail FROM bad),
+faulty AS (SELECT *, CASE WHEN tail = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN right(tail, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lag(x) OVER (PARTITION BY conv_id ORDER BY i) AS x0 FROM placed),
+t AS MATERIALIZED (SELECT * FROM faulty),
+edits AS MATERIALIZED (SELECT conv_id, i, p, p AS q, 3 AS c, 'D' AS a FROM t, (SELECT unnest([0, 1, 2, 3]) AS p) UNION ALL
+  SELECT conv_id, i, p, q, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END + CASE WHEN t.x = steps.x THEN 0 ELSE 2 END, CASE WHEN t.x = steps.x THEN 'K' ELSE 'R' END FROM t JOIN steps ON t.x = steps.x OR steps.x <> 's' WHERE fault NOT IN ('blank', 'duplicate')),
+walk AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, 0 AS q, {{'c': 0, 'a': ''}} AS v FROM t UNION ALL
+  SELECT w.conv_id, e.i, e.q, min({{'c': w.v.c + ins.c + e.c, 'a': w.v.a || ins.a || e.a}}) FROM walk w JOIN ins ON ins.p = w.q JOIN edits e ON e.conv_id IS NOT DISTINCT FROM w.conv_id AND e.i = w.i + 1 AND e.p = ins.q GROUP BY 1, 2, 3),
+ends AS (SELECT conv_id, max(i) AS n, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (x0 || x NOT IN ('su', 'ua', 'au')) AS illegal FROM t GROUP BY 1),
+won AS (SELECT w.conv_id, min({{'c': w.v.c + ins.c, 'a': w.v.a || ins.a}}) AS v FROM walk w JOIN ends e ON e.conv_id IS NOT DISTINCT FROM w.conv_id AND e.n = w.i JOIN ins ON ins.p = w.q AND ins.q IN (0, 3) GROUP BY 1),
+letters AS (SELECT conv_id, unnest(string_split(v.a, '')) AS e, generate_subscripts(string_split(v.a, ''), 1) AS j FROM won WHERE v.a <> ''),
+counted AS (SELECT *, sum(CASE WHEN e <> 'I' THEN 1 ELSE 0 END) OVER w AS i, sum(CASE WHEN e <> 'D' THEN 1 ELSE 0 END) OVER w AS o FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY j)),
+turns AS (SELECT c.*, t.role, t.text, t.x, max(CASE WHEN o = 1 AND e = 'K' AND t.x = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY c.conv_id) AS s FROM counted c LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM c.conv_id AND t.i = c.i AND c.e <> 'I' WHERE e <> 'D'),
+texts AS (SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN (o - s) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END, chr(10) ORDER BY j) AS text FROM turns GROUP BY 1)
+SELECT d.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(v.c, 0) AS BIGINT) AS cost, coalesce(v.a, '') AS audit, sha256(coalesce(x.text, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN ends ON ends.conv_id IS NOT DISTINCT FROM d.conv_id LEFT JOIN won ON won.conv_id IS NOT DISTINCT FROM d.conv_id LEFT JOIN texts x ON x.conv_id IS NOT DISTINCT FROM d.conv_id
+"""
+
+
+@query
+def op13_conversation_repair(spark, d):
+    rows = table(spark, d, "conversations")
+    return conversations.with_all_ids(conversations.repair(conversations.damage(rows)), rows)
