@@ -99,7 +99,7 @@ def test_conversations_in_blocks(spark, monkeypatch, block, chars):
     # blocks of a few rows, so that conversations are joined from many
     monkeypatch.setattr(C, "BLOCK_ROWS", block)
     monkeypatch.setattr(C, "BLOCK_CHARS", chars)
-    convs = {i: some(1000 + i, 14) for i in range(60)} | {None: some(5, 9), 77: some(3, 20) * 3, 78: [(k, "ua"[k % 2] * 3, f"t{k}.") for k in range(300)]}
+    convs = {i: some(1000 + i, 14) for i in range(60)} | {None: some(5, 9), 77: some(3, 20) * 3, 78: [(k, "ua"[k % 2] * 3, f"t{k}.") for k in range(24)]}
     data = [(c, t, r, x, 1, "p") for c, rows in convs.items() for t, r, x in rows]
     random.Random(1).shuffle(data)
     df = spark.createDataFrame(data, SCHEMA).repartition(7)
