@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from tremorlake.llm import bpe, conversations, decontaminate, fertility, licenses, pairwise, pii, sharding, simhash, substrings, templates
+from tremorlake.llm import alignment, bpe, conversations, decontaminate, fertility, langid, licenses, pairwise, pii, sharding, simhash, substrings, templates
 from tremorlake.sources.tables import table
 
 #: Folder of the public vocabulary files; an environment variable or the installed package gives it.
@@ -143,3 +143,13 @@ FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN ends ON ends.conv_
 def op13_conversation_repair(spark, d):
     rows = table(spark, d, "conversations")
     return conversations.with_all_ids(conversations.repair(conversations.damage(rows)), rows)
+
+
+@query
+def op11_word_first_language(spark, d):
+    return langid.learn_and_identify(table(spark, d, "documents"))
+
+
+@query
+def op12_tokenizer_alignment(spark, d):
+    return alignment.align(table(spark, d, "documents"), vocab_path("byte_bpe_50k.json"), vocab_path("piece_bpe_32k.model"))
