@@ -3,6 +3,7 @@ longest character n-grams that are known."""
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from uuid import uuid4
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 from tremorlake.llm.common import arrow_map, drop_folder, shared_dir
 
 #: Most (language, word) and (language, n-gram) counts of a model; each language has an equal share, its most frequent ones.
-MAX_WORDS = 400_000
-MAX_GRAMS = 400_000
+MAX_WORDS = 200_000
+MAX_GRAMS = 200_000
 #: Most languages of a model; of more, those of most documents.
 MAX_LANGS = 1000
 ORDERS = (5, 4, 3, 2, 1)
@@ -27,11 +28,20 @@ HELD = 200_000
 CACHE_CELLS = 2_000_000
 
 
+#: Letters below U+0300, where no marks are: all of \\w but digits and other numbers.
+_PLAIN = re.compile(r"[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+")
+
+
 def words_of(text: str | None) -> list[str]:
     """Runs of letters, with the marks on them, in lower case."""
+    if not text:
+        return []
+    text = text.lower()
+    if max(text) < "\u0300":
+        return _PLAIN.findall(text)
     import regex
 
-    return regex.findall(r"\p{L}[\p{L}\p{M}]*", text.lower()) if text else []
+    return regex.findall(r"\p{L}[\p{L}\p{M}]*", text)
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -103,8 +113,8 @@ def _kept(counts: DataFrame, key: str, most: int) -> tuple[list, dict]:
     if not least:
         return [], {}
     low = F.create_map(*(x for lang, k in least.items() for x in (F.lit(lang), F.lit(k))))
-    got = t.filter(F.col("class") >= F.element_at(low, F.col("lang"))).select("lang", key, "n")
-    return [(r.lang, r[key], r.n) for r in got.collect()], dict(total)  # at most ``most`` rows
+    got = t.filter(F.col("class") >= F.element_at(low, F.col("lang"))).select("lang", key, "n").toArrow()  # at most ``most`` rows
+    return list(zip(*(c.to_pylist() for c in got.columns), strict=True)), dict(total)
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS, max_langs: int = MAX_LANGS) -> dict:
@@ -125,6 +135,26 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     return {"langs": sorted(docs), "docs": docs, "words": sorted(known), "word_sums": word_sums, "grams": sorted(parts), "gram_sums": gram_sums}
 
 
+class Table:
+    """Counts by key and language: the numbers of keys, and for each key its languages with what their counts add to the log
+    frequency of an unseen one."""
+
+    def __init__(self, rows: list, at: dict):
+        self.place: dict[str, int] = {}
+        keys = np.array([self.place.setdefault(key, len(self.place)) for _, key, _ in rows], np.int64)
+        order = np.argsort(keys, kind="stable")
+        self.lang = np.array([at[lang] for lang, _, _ in rows], np.int64)[order]
+        self.more = np.log((np.array([n for *_, n in rows], float) + SMOOTH) / SMOOTH)[order]
+        self.stop = np.cumsum(np.bincount(keys, minlength=len(self.place)))
+
+    def sums(self, keys: np.ndarray, row: np.ndarray, n: int, langs: int) -> np.ndarray:
+        """For each of ``n`` rows and each language the sum of what the row's keys add."""
+        start = np.r_[0, self.stop][keys]
+        size = self.stop[keys] - start
+        at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        return np.bincount(np.repeat(row, size) * langs + self.lang[at], self.more[at], n * langs).reshape(n, langs).astype(float)
+
+
 class Scorer:
     """Scores of words by language, from the plain values that a broadcast carries."""
 
@@ -134,57 +164,63 @@ class Scorer:
         k = len(self.langs)
         total = sum(model["docs"].values())
         self.prior = np.log([model["docs"][x] / total for x in self.langs]) if k else np.zeros(0)
-        self.words = self._table(model["words"], at)
-        self.grams = self._table(model["grams"], at)
-        size = Counter(len(g) for g in self.grams)
-        self.floors = {0: np.array([model["word_sums"].get((x, 0), 0) for x in self.langs]) + SMOOTH * max(1, len(self.words))}
-        self.floors |= {n: np.array([model["gram_sums"].get((x, n), 0) for x in self.langs]) + SMOOTH * max(1, size[n]) for n in ORDERS}
+        self.words, self.grams = Table(model["words"], at), Table(model["grams"], at)
+        size = Counter(map(len, self.grams.place))
+        floors = {0: np.array([model["word_sums"].get((x, 0), 0) for x in self.langs]) + SMOOTH * max(1, len(self.words.place))}
+        floors |= {n: np.array([model["gram_sums"].get((x, n), 0) for x in self.langs]) + SMOOTH * max(1, size[n]) for n in ORDERS}
+        #: The log frequency of an unseen word, and of an unseen n-gram by its length.
+        self.floors = {n: np.log(SMOOTH / x) for n, x in floors.items()}
         self.most = max(1000, CACHE_CELLS // max(1, k))
         self._fresh()
 
-    @staticmethod
-    def _table(rows: list, at: dict) -> dict:
-        out: dict[str, list] = {}
-        for lang, key, n in rows:
-            out.setdefault(key, []).append((at[lang], n))
-        return out
-
     def _fresh(self) -> None:
         self.place: dict[str, int] = {}
-        self.scores = np.zeros((1024, len(self.langs)))
-
-    def _row(self, counts: list, order: int) -> np.ndarray:
-        x = np.full(len(self.langs), SMOOTH)
-        for i, n in counts:
-            x[i] += n
-        return np.log(x / self.floors[order])
-
-    def word(self, w: str) -> np.ndarray:
-        """Log frequencies of a known word; else the mean ones of its known n-grams of the greatest length that has any; else zeros."""
-        if (known := self.words.get(w)) is not None:
-            return self._row(known, 0)
-        for n in ORDERS:
-            if found := [self._row(c, n) for g in grams(w, n) if (c := self.grams.get(g)) is not None]:
-                return np.sum(found, axis=0) / len(found)
-        return np.zeros(len(self.langs))
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text)
-        if not words or not self.langs:
-            return "und", 0.0
+        self.scores = np.zeros((0, len(self.langs)))
+
+    def _add(self, new: list[str]) -> None:
+        """Scores of words: log frequencies of a known one; else the mean ones of its known n-grams of the greatest length that has
+        any; else zeros."""
+        k, know, look = len(self.langs), self.words.place, self.grams.place
+        known, word, parts, part_of = [], [], [], []
+        order, times = np.zeros(len(new), np.int64), np.ones(len(new))
+        for i, w in enumerate(new):
+            if (key := know.get(w)) is not None:
+                known.append(key)
+                word.append(i)
+                continue
+            order[i] = -1
+            for n in ORDERS:
+                if found := [g for x in grams(w, n) if (g := look.get(x)) is not None]:
+                    parts += found
+                    part_of += [i] * len(found)
+                    order[i], times[i] = n, len(found)
+                    break
+        out = self.words.sums(np.array(known, np.int64), np.array(word, np.int64), len(new), k)
+        out += self.grams.sums(np.array(parts, np.int64), np.array(part_of, np.int64), len(new), k) / times[:, None]
+        for n, x in self.floors.items():
+            out[order == n] += x
+        self.place.update(zip(new, range(len(self.scores), len(self.scores) + len(new)), strict=True))
+        self.scores = np.r_[self.scores, out]
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        found = [words_of(t) for t in texts]
+        if not self.langs:
+            return [("und", 0.0)] * len(texts)
         if len(self.place) > self.most:
             self._fresh()
-        for w in dict.fromkeys(words):
-            if w not in self.place:
-                if len(self.place) == len(self.scores):
-                    self.scores = np.r_[self.scores, np.zeros_like(self.scores)]
-                self.scores[len(self.place)] = self.word(w)
-                self.place[w] = len(self.place)
-        got = self.scores[np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))].sum(axis=0)
-        got = got / np.sqrt(len(words)) + self.prior / len(words)  # neighbouring words are no independent evidence
-        e = np.exp(got - got.max())
-        best = int(np.argmax(got))
-        return self.langs[best], float(e[best] / e.sum())
+        if new := [w for w in set().union(*found) if w not in self.place]:
+            self._add(new)
+        out = []
+        for words in found:
+            if not words:
+                out.append(("und", 0.0))
+                continue
+            got = self.scores[np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))].sum(axis=0)
+            got = got / np.sqrt(len(words)) + self.prior / len(words)  # neighbouring words are no independent evidence
+            e = np.exp(got - got.max())
+            best = int(np.argmax(got))
+            out.append((self.langs[best], float(e[best] / e.sum())))
+        return out
 
 
 def identify(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,7 +237,7 @@ def identify(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
         scorer = Scorer(kept.value)
 
         def f(id, held, text):
-            got = [scorer.predict(t) for t in text]
+            got = scorer.predict(text)
             return {id_col: id, "held_out": held, "lang_pred": [g[0] for g in got], "score": [g[1] for g in got]}
 
         return f
