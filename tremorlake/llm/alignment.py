@@ -13,6 +13,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from itertools import chain
 from uuid import uuid4
 
 import numpy as np
@@ -26,11 +27,12 @@ from tremorlake.llm.common import drop_folder, shared_dir
 #: Distinct pairs of a shard, on average, and of the shards that are broadcast at once.
 SHARD_KEYS = 1 << 15
 BLOCK_KEYS = 1 << 22
-#: Segments of text that a task keeps aligned, and those longer than this it never keeps.
-CACHE_SEGMENTS = 200_000
-CACHE_CHARS = 64
+#: Segments of text that a task keeps aligned; beyond it half of them go, but the first ones, which are the frequent ones, stay.
+CACHE_SEGMENTS = 250_000
 #: Characters of texts that a task works on at once.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 500_000
+#: Segments that are encoded in one call.
+JOINED = 1000
 #: Pairs of documents that a task holds before it counts them.
 HELD_PAIRS = 1 << 20
 #: Links of a group beyond which equal ids of a side are counted first.
@@ -43,6 +45,9 @@ FAN_IN = 16
 # Both tokenizers end a token before a space that follows a non-space and precedes a word, so texts are cut there.
 CUT = re.compile(r"(?<=[^ ]) (?=\S)")
 
+# Fixed value: the pattern of the first vocabulary's words.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 
 def mix(x: np.ndarray, seed: int) -> np.ndarray:
     """A 64-bit mix of keys (unsigned), another one for each seed."""
@@ -110,43 +115,89 @@ class Aligner:
 
     def __init__(self, a_file: bytes, b_file: bytes):
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_buffer(a_file)
-        self.a.encode_special_tokens = True
+        self.a_file, self.a = a_file, None
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_file)
         byte = {c: i for i, c in enumerate(byte_letters())}
         spec = json.loads(a_file)
-        names = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
+        vocab = spec["model"]["vocab"]
+        names = vocab | {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.a_bytes = [b""] * (max(names.values()) + 1)
         for t, i in names.items():
             self.a_bytes[i] = bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.a_len, self.b_len = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
-
-    def encode(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
-        """Ids of both, and whether their bytes are those of a space and the segment."""
-        a = [e.ids for e in self.a.encode_batch_fast([" " + s for s in segments], add_special_tokens=False)]
-        b = self.b.encode(segments, num_threads=1)
+        # where ids follow the order of merges, a rank encoder gives the same ids, and faster
+        merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
+        self.fast = None
+        if all(vocab[x + y] == 256 + i for i, (x, y) in enumerate(merges)) and all(vocab[c] < 256 for c in byte):
+            import tiktoken
+
+            self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks={self.a_bytes[i]: i for i in vocab.values() if i < 256 + len(merges)}, special_tokens={}).encode_ordinary
+
+    def _by_library(self, segments: list[str]) -> list[list[int]]:
+        if self.a is None:
+            from tokenizers import Tokenizer
+
+            self.a = Tokenizer.from_buffer(self.a_file)
+            self.a.encode_special_tokens = True
+        return [e.ids for e in self.a.encode_batch_fast([" " + s for s in segments], add_special_tokens=False)]
+
+    def _joined(self, segments: list[str]) -> tuple | None:
+        """Ids of both and their numbers by segment, from one call over all segments; None if they do not give the bytes back or
+        do not end with the segments."""
+        text = " ".join(segments)
+        raw = (" " + text).encode()
+        stop = np.cumsum([1 + (len(s) if s.isascii() else len(s.encode())) for s in segments])
+        out = []
+        for ids, table, length in ((self.fast(" " + text), self.a_bytes, self.a_len), (self.b.encode(text), self.b_bytes, self.b_len)):
+            if b"".join(map(table.__getitem__, ids)) != raw:
+                return None
+            ids = np.array(ids, np.int64)
+            ends = np.cumsum(length[ids])
+            at = np.searchsorted(ends, stop)
+            if not np.array_equal(ends[at], stop):
+                return None
+            out += [ids, np.diff(np.r_[-1, at])]
+        return tuple(out)
+
+    def encode(self, segments: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The segments in another order, ids of both with their numbers by segment, and whether their bytes are those of a space
+        and the segment; of others there are no ids."""
+        # Latin letters have one class in every version of Unicode; other segments go by the vocabulary's own library
+        plain, rest = [], []
+        for s in segments:
+            (plain if self.fast and s and not s[0].isspace() and s[-1] != " " and max(s) < "\u0250" else rest).append(s)
+        done, parts = [], []
+        for at in range(0, len(plain), JOINED):
+            if (got := self._joined(own := plain[at : at + JOINED])) is None:
+                rest += own
+            else:
+                done += own
+                parts.append(got)
         ok = np.ones(len(segments), bool)
-        want = [b" " + s.encode() for s in segments]
-        whole = b"".join(want)
-        look = lambda table, ids: b"".join(map(table.__getitem__, ids))
-        for ids, table in ((a, self.a_bytes), (b, self.b_bytes)):
-            # one comparison of all, and one of each if that fails
-            if [sum(map(len, map(table.__getitem__, x))) for x in ids] != [len(w) for w in want] or b"".join(look(table, x) for x in ids) != whole:
-                ok &= [look(table, x) == w for x, w in zip(ids, want, strict=True)]
-        return a, b, ok
+        if rest:
+            a, b = self._by_library(rest), self.b.encode(rest, num_threads=1)
+            for i, s in enumerate(rest):
+                raw = (" " + s).encode()
+                if any(b"".join(map(table.__getitem__, ids)) != raw for ids, table in ((a[i], self.a_bytes), (b[i], self.b_bytes))):
+                    ok[len(done) + i], a[i], b[i] = False, [], []
+            parts.append(tuple(x for ids in (a, b) for x in (np.fromiter(chain.from_iterable(ids), np.int64), np.array([len(y) for y in ids], np.int64))))
+        return done + rest, *(np.concatenate(x) for x in zip(*parts, strict=True)), ok
+
+
+def _unique(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
 
 
 class Aligned:
     """Segments with their figures in columns, and their links in one flat array of pairs."""
 
-    def __init__(self, a: list[list[int]], b: list[list[int]], aligner: Aligner, texts: bool):
-        n = len(a)
-        self.n_a, self.n_b = (np.array([len(x) for x in ids], np.int64) for ids in (a, b))
-        fa, fb = (np.fromiter((i for x in ids for i in x), np.int64, int(k.sum())) for ids, k in ((a, self.n_a), (b, self.n_b)))
+    def __init__(self, fa: np.ndarray, n_a: np.ndarray, fb: np.ndarray, n_b: np.ndarray, aligner: Aligner, texts: bool):
+        n = len(n_a)
+        self.n_a, self.n_b = n_a, n_b
         end_a, end_b = np.cumsum(aligner.a_len[fa]), np.cumsum(aligner.b_len[fb])
         both = end_a[np.isin(end_a, end_b, assume_unique=True)]
         ga, gb = np.searchsorted(both, end_a), np.searchsorted(both, end_b)
@@ -196,16 +247,23 @@ class Corpus:
 
     def _fresh(self) -> None:
         self.place: dict[str, int] = {}
+        self.room = 0
         self.ok = np.zeros(0, bool)
         self.figures = np.zeros((0, len(self.FIGURES)), np.int64)
         self.text: list[str] = []
         self.pairs, self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def _forget(self, keep: int) -> None:
+        for s in list(self.place)[keep:]:
+            del self.place[s]
+        self.ok, self.figures, self.text = self.ok[:keep], self.figures[:keep], self.text[:keep]
+        self.start, self.size = self.start[:keep], self.size[:keep]
+        self.pairs = self.pairs[: int(self.start[-1] + self.size[-1])] if len(self.start) else self.pairs[:0]
+
     def _add(self, new: list[str]) -> None:
-        a, b, ok = self.aligner.encode(new)
-        for i in np.flatnonzero(~ok):
-            a[i], b[i] = [], []
-        got = Aligned(a, b, self.aligner, self.texts)
+        new, *ids, ok = self.aligner.encode(new)
+        got = Aligned(*ids, self.aligner, self.texts)
+        self.room += sum(len(s) for s in new if len(s) > 40) + 8 * int(got.links[got.links > 60].sum())
         stop = np.cumsum(got.links)
         best = sums = np.zeros(len(new), np.int64)
         if self.find:
@@ -224,10 +282,10 @@ class Corpus:
     def documents(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """For each text the numbers of its segments; None where it has no tokens by the rule."""
         if len(self.place) > CACHE_SEGMENTS:
-            self._fresh()
+            self._forget(CACHE_SEGMENTS // 2)
         cut = [CUT.split(t) if t else None for t in texts]
         for again in (False, True):
-            if new := [s for s in dict.fromkeys(s for c in cut if c for s in c) if s not in self.place]:
+            if new := [s for s in set().union(*(c for c in cut if c)) if s not in self.place]:
                 self._add(new)
             out = [np.fromiter(map(self.place.__getitem__, c), np.int64, len(c)) if c else None for c in cut]
             bad = [i for i, x in enumerate(out) if x is not None and not self.ok[x].all()]
@@ -239,16 +297,16 @@ class Corpus:
             out[i] = None
         return out
 
-    def forget_long(self) -> None:
-        """Long segments are looked up once; they stay in the columns until the next fresh start."""
-        if sum(map(len, self.text)) > 50 * BATCH_CHARS or len(self.pairs) > 20 * HELD_PAIRS:
+    def trim(self) -> None:
+        """A fresh start where few segments are so long that they take much room."""
+        if self.room > 60 * BATCH_CHARS:
             self._fresh()
 
     def distinct_pairs(self, segments: np.ndarray) -> np.ndarray:
-        u = np.unique(segments)
+        u = _unique(segments)
         size = self.size[u]
         at = np.repeat(self.start[u] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        return np.unique(self.pairs[at])
+        return _unique(self.pairs[at])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
@@ -291,7 +349,7 @@ def _pair_counts(src: DataFrame, files) -> DataFrame:
                 if x is not None:
                     held.append(corpus.distinct_pairs(x))
                     size += len(held[-1])
-            corpus.forget_long()
+            corpus.trim()
             if size > HELD_PAIRS:
                 counts, held, size = merged(False), [], 0
                 if len(counts[0]) > HELD_PAIRS:
@@ -407,7 +465,7 @@ def _looked_up(src: DataFrame, files, kind: str, shards: int, rows: list[dict],
                 if x is not None:
                     figures[i] = corpus.figures[x].sum(axis=0)
                     sha[i] = hashlib.sha256("".join(map(corpus.text.__getitem__, x.tolist()))[:-1].encode()).hexdigest()
-            corpus.forget_long()
+            corpus.trim()
             out = {"id": pa.array(ids, b_type)} | {c: pa.array(figures[:, k]) for k, c in enumerate(Corpus.FIGURES)} | {"groups_sha256": sha, "h": [hashlib.md5(t.encode()).hexdigest() if t is not None else None for t in texts] if several else [None] * len(texts)}
             yield pa.RecordBatch.from_pydict(out, schema=arrow)
 
