@@ -2,50 +2,67 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tremorlake.functions.exprs import portable_draw
-from tremorlake.operators.checkpoints import checkpointed
-
-
-def fit_boosted(train: DataFrame, features: list[str], label: str, rounds: int = 200, depth: int = 4, rate: float = 0.05, seed: int = 42, impute: str = "median"):
-    """A pipeline of imputation and scaling by the training rows and boosted trees with balanced class weights."""
-    p = train.agg(F.avg(label)).first()[0] or 0.0
-    weighted = train.withColumn("_w", F.when(F.col(label) == 1, (1 - p) / p if p else 1.0).otherwise(1.0))
-    stages = [
-        Imputer(inputCols=features, outputCols=[f"_i_{c}" for c in features], strategy=impute),
-        VectorAssembler(inputCols=[f"_i_{c}" for c in features], outputCol="_v"),
-        StandardScaler(inputCol="_v", outputCol="_x", withMean=True),
-        GBTClassifier(featuresCol="_x", labelCol=label, weightCol="_w", maxDepth=depth, stepSize=rate, maxIter=rounds, subsamplingRate=0.8, seed=seed),
-    ]
-    return Pipeline(stages=stages).fit(weighted)
-
-
-def walk_forward(df: DataFrame, features: list[str], label: str, day: str, ids: list[str], folds: list[tuple[str, str]], rounds: int = 200, least_positives: int = 3) -> DataFrame:
-    """Scores of each fold's test rows: (ids, fold, y, p). A fold (cut, until) trains on days up to ``cut`` and tests on those
-    after it up to ``until``; folds of too few positives or of one test class are left out."""
-    df = df.select(*ids, F.col(day), F.col(label).cast("double").alias("y"), *(F.col(c).cast("double").alias(c) for c in features)).filter("y IS NOT NULL")
-    df = checkpointed(df)  # each fold reads it several times
-    out = []
-    for k, (cut, until) in enumerate(folds, 1):
-        train, test = df.filter(F.col(day) <= F.lit(cut).cast("date")), df.filter((F.col(day) > F.lit(cut).cast("date")) & (F.col(day) <= F.lit(until).cast("date")))
-        have = train.agg(F.coalesce(F.sum("y"), F.lit(0.0))).first()[0]
-        classes = test.agg(F.min("y"), F.max("y")).first()
-        if have < least_positives or classes[0] == classes[1]:
-            continue
-        model = fit_boosted(train, features, "y", rounds)
-        out.append(model.transform(test).select(*ids, F.lit(k).alias("fold"), F.col("y").cast("int").alias("y"), vector_to_array("probability")[1].alias("p")))
-    if not out:
-        return df.select(*ids, F.lit(0).alias("fold"), F.col("y").cast("int").alias("y"), F.lit(None).cast("double").alias("p")).limit(0)
-    return reduce(DataFrame.unionByName, out)
+from tremorlake.operators import boosting
+
+
+def fold_rows(df: DataFrame, label: str, day: str, folds: list[tuple[str, str]]) -> DataFrame:
+    """``df`` once for each fold that has the row, with ``fold`` and ``role``: a fold (cut, until) trains on days up to ``cut`` and tests on
+    those after it up to ``until``. Rows without a label are left out."""
+    spans = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(cut).cast("date").alias("cut"), F.lit(until).cast("date").alias("until")) for k, (cut, until) in enumerate(folds, 1)))
+    x = df.filter(F.col(label).isNotNull()).withColumn("_f", F.explode(F.filter(spans, lambda f: F.col(day) <= f["until"])))
+    return x.withColumns({"fold": F.col("_f.k"), "role": F.when(F.col(day) <= F.col("_f.cut"), "train").otherwise("test")}).drop("_f")
+
+
+def fold_table(x: DataFrame, label: str, by: list[str], least_positives: int = 3) -> DataFrame:
+    """(by, fold, n_train, n_test, pos_train, pos_test, status) of ``fold_rows``: a fold is skipped for too few training positives or
+    a test of one class."""
+    of = lambda role: F.col("role") == role
+    y = F.col(label).cast("long")
+    t = x.groupBy(*by, "fold").agg(F.count_if(of("train")).alias("n_train"), F.count_if(of("test")).alias("n_test"), *(F.coalesce(F.sum(F.when(of(r), y)), F.lit(0)).alias(f"pos_{r}") for r in ("train", "test")))
+    one = (F.col("pos_test") == 0) | (F.col("pos_test") == F.col("n_test"))
+    return t.withColumn("status", F.when(F.col("pos_train") < least_positives, "SKIP_INSUFFICIENT_TRAIN").when(one, "SKIP_NO_TEST_POSITIVES").otherwise("OK"))
+
+
+def walk_forward(df: DataFrame, by: list[str], features: list[str], label: str, day: str, ident: str, folds: list[tuple[str, str]], params: boosting.Boosting | None = None, least_positives: int = 3, local_rows: int = boosting.LOCAL_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Scores (by, fold, ident, y, p) of the test rows of each group's folds, and the models (by, fold, importance): one boosted model a
+    group and fold, all fitted together. Folds that ``fold_table`` skips have none."""
+    x = fold_rows(df.select(*by, day, ident, F.col(label).cast("int").alias("_label"), *features), "_label", day, folds)
+    key = [*by, "fold"]
+    okay = fold_table(x, "_label", by, least_positives).filter("status = 'OK'").select(*key)
+    x = boosting._same(x, okay, key)
+    models = boosting.fit_boosted(x.filter("role = 'train'"), key, features, "_label", ident, params, local_rows=local_rows)
+    return boosting.score(x.filter("role = 'test'"), models, key, features, [ident], "_label"), models
+
+
+def ablation(train: DataFrame, test: DataFrame, sets: dict[str, list[str]], label: str, ident: str, params: boosting.Boosting | None = None, by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Test scores (by, set, ident, y, p) of one model for each feature set, and the models. All are fitted together: rows are
+    taken once for each set, and a model sees the features of its set."""
+    features = list(dict.fromkeys(c for own in sets.values() for c in own))
+    key = [*(by or []), "set"]
+    each = lambda df: df.withColumn("set", F.explode(F.array(*map(F.lit, sets))))
+    models = boosting.fit_boosted(each(train), key, features, label, ident, params, sets=sets)
+    return boosting.score(each(test), models, key, features, [ident], label), models
+
+
+def permutation_importance(test: DataFrame, models: DataFrame, by: list[str], features: list[str], label: str, ident: str, seed: int = 42) -> DataFrame:
+    """(by, feature, auroc, drop): how much a model's AUROC falls when a feature's values are dealt anew among the test rows. One
+    pass scores the rows as they are and once for each feature; a model without a feature has a drop of 0 for it."""
+    from tremorlake.operators.statistics import binary_metrics
+
+    names = [c for c in by if c not in test.columns]
+    x = boosting.shuffled(test, features, ident, seed)
+    if names:  # each model of a group scores all its rows
+        x = x.join(models.select(*by).distinct(), [c for c in by if c in test.columns]) if len(names) < len(by) else x.crossJoin(F.broadcast(models.select(*by)))  # one row a model
+    scores = boosting.score(x, models, by, features, [ident, "permuted"], label)
+    m = binary_metrics(scores, "y", "p", [*by, "permuted"]).select(*by, "permuted", "auroc")
+    base = m.filter("permuted IS NULL").select(*by, F.col("auroc").alias("auroc"))
+    got = m.filter("permuted IS NOT NULL").select(*by, F.col("permuted").alias("feature"), F.col("auroc").alias("_a"))
+    return boosting._same(got, base, by).withColumn("drop", F.col("auroc") - F.col("_a")).drop("_a")
 
 
 def isotonic_calibrate(train: DataFrame, test: DataFrame, y: str, p: str, ident: str, folds: int = 3, seed: int = 42) -> DataFrame:
@@ -56,13 +73,3 @@ def isotonic_calibrate(train: DataFrame, test: DataFrame, y: str, p: str, ident:
         model = IsotonicRegression(featuresCol="_f", labelCol="label", predictionCol=f"_c{k}").fit(t.filter(F.col("_k") != k))
         out = model.transform(out)
     return out.withColumn("calibrated", sum((F.col(f"_c{k}") for k in range(folds)), F.lit(0.0)) / folds).drop("_f", *(f"_c{k}" for k in range(folds)))
-
-
-def ablation(train: DataFrame, test: DataFrame, sets: dict[str, list[str]], label: str, day: str, ids: list[str], rounds: int = 50) -> DataFrame:
-    """Test scores of one model a feature set: (ids, model, y, p)."""
-    out = []
-    for name, features in sets.items():
-        cast = lambda df: df.select(*ids, F.col(label).cast("double").alias("y"), *(F.col(c).cast("double").alias(c) for c in features))  # noqa: E731, B023
-        model = fit_boosted(cast(train), features, "y", rounds)
-        out.append(model.transform(cast(test)).select(*ids, F.lit(name).alias("model"), F.col("y").cast("int").alias("y"), vector_to_array("probability")[1].alias("p")))
-    return reduce(DataFrame.unionByName, out)

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tremorlake.functions.exprs import portable_draw, portable_draws
+from tremorlake.operators.checkpoints import written
 
 
 def binned_counts(df: DataFrame, col: str, n: int, by: list[str] | None = None) -> DataFrame:
@@ -66,23 +67,37 @@ def uniform_null_p(df: DataFrame, bin_col: str, bins: int, iters: int, seed: int
     return j.groupBy(*by, "n", "chi2").agg(F.avg("_c").alias("null_mean"), F.avg((F.col("_c") >= F.col("chi2") - 1e-9).cast("int")).alias("p"))
 
 
+def ranked(df: DataFrame, *order: str, by: list[str] | None = None) -> DataFrame:
+    """Adds ``rank``, from 1, in the order of the columns ``order`` within groups ``by``.
+
+    A sort of all rows by sampled ranges puts each run of ranks in a part; a row's rank is its place in the part and what the parts before
+    hold of its group. So neither a large group nor a value that many rows share meets in one task, unless whole rows are equal."""
+    by = by or []
+    key = [*by, *order]
+    x = written(df.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("_at", F.monotonically_increasing_id()))
+    x = x.withColumn("_part", F.shiftright("_at", 33))  # the upper bits are the part's number
+    parts = x.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_c"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_c").over(W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(*(F.col(c).alias(f"_k_{c}") for c in [*by, "_part"]), "_first", before.alias("_before"))
+    out = x.join(parts, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in [*by, "_part"]])
+    return out.select(*df.columns, (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias("rank"))
+
+
 def bh_fdr(df: DataFrame, p: str, alpha: float = 0.05, step_up: bool = False, by: list[str] | None = None) -> DataFrame:
     """Adds ``rank``, ``critical`` = rank * alpha / n and ``rejected``: each p by its own critical value, or all up to
-    the largest rank that passes if ``step_up``. Ties take the order of their rank."""
+    the largest rank that passes if ``step_up``. Ties take the order of their columns; a null p has neither rank nor verdict."""
     by = by or []
-    # ranks come from counts by p value, added up by slices of the values, so that no window sees all of them
-    t = running_counts(df.groupBy(*by, F.col(p).alias("score")).agg(F.count(F.lit(1)).alias("n"), F.lit(0).alias("pos")), by)
-    t = t.select(*by, F.col("score").alias("_p"), F.col("n").alias("_k"), F.col("n_below").alias("_before"), F.col("n_all").alias("_n"))
-    out = df.withColumn("_p", F.col(p)).join(t, [*by, "_p"])
-    out = out.withColumn("rank", F.col("_before") + F.row_number().over(W.partitionBy(*by, "_p").orderBy(*df.columns))).withColumn("critical", F.col("rank") * alpha / F.col("_n"))
+    same = lambda t: [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in by]  # noqa: E731, ARG005
+    n = df.filter(F.col(p).isNotNull()).groupBy(*(F.col(c).alias(f"_g_{c}") for c in by)).agg(F.count(F.lit(1)).alias("_n"))
+    with_one = lambda x, t: x.join(t, same(t), "left") if by else x.crossJoin(F.broadcast(t))  # noqa: E731  one row without groups
+    out = with_one(ranked(df.filter(F.col(p).isNotNull()), p, *(c for c in df.columns if c != p and c not in by), by=by), n)
+    out = out.withColumn("critical", F.col("rank") * alpha / F.col("_n")).drop("_n", *(f"_g_{c}" for c in by))
     if step_up:
-        # equal p values pass together by the last of their ranks
-        last = t.filter(F.col("_p") <= (F.col("_before") + F.col("_k")) * alpha / F.col("_n")).groupBy(*by).agg(F.max("_p").alias("_cut"))
-        out = out.join(last, by, "left") if by else out.crossJoin(F.broadcast(last))
-        out = out.withColumn("rejected", F.coalesce(F.col(p) <= F.col("_cut"), F.lit(False))).drop("_cut")
+        last = out.filter(F.col(p) <= F.col("critical")).groupBy(*(F.col(c).alias(f"_g_{c}") for c in by)).agg(F.max(p).alias("_cut"))
+        out = with_one(out, last).withColumn("rejected", F.coalesce(F.col(p) <= F.col("_cut"), F.lit(False))).drop("_cut", *(f"_g_{c}" for c in by))
     else:
         out = out.withColumn("rejected", F.col(p) <= F.col("critical"))
-    return out.drop("_p", "_k", "_before", "_n")
+    return out.unionByName(df.filter(F.col(p).isNull()), allowMissingColumns=True)
 
 
 def score_table(df: DataFrame, y: str, p: str, by: list[str]) -> DataFrame:
@@ -90,13 +105,21 @@ def score_table(df: DataFrame, y: str, p: str, by: list[str]) -> DataFrame:
     return df.groupBy(*by, F.col(p).alias("score")).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"), F.sum(F.pow(F.col(p) - F.col(y), 2)).alias("sq"))
 
 
-def running_counts(t: DataFrame, by: list[str], slices: int = 4096) -> DataFrame:
+def slices_of(df: DataFrame, col: str, bits: int = 10) -> DataFrame:
+    """``df`` with ``_slice``, from 0 to 2^bits - 1: slices of about equally many rows, in the order of ``col``. Edges come from a
+    mergeable quantile sketch over all rows, so a far value does not push the others into one slice."""
+    n = 1 << bits
+    edges = df.agg(F.percentile_approx(col, F.array(*(F.lit(k / n) for k in range(1, n))), 40 * n).alias("_edges"))
+    # a binary search: the number of edges below the value
+    halves = F.array(*(F.lit(1 << k) for k in reversed(range(bits))))
+    found = F.aggregate(halves, F.lit(0), lambda at, step: F.when(F.get("_edges", at + step - 1) < F.col(col), at + step).otherwise(at))
+    return df.crossJoin(F.broadcast(edges)).withColumn("_slice", F.coalesce(found, F.lit(0))).drop("_edges")
+
+
+def running_counts(t: DataFrame, by: list[str]) -> DataFrame:
     """Adds to a score table the positives and rows of lower scores (``pos_below``, ``n_below``) and of all (``pos_all``,
-    ``n_all``). Scores are cut into slices of equal width: a slice starts at the sums of those before it and is
-    ordered by itself, so that no task orders all scores."""
-    span = t.agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
-    part = F.coalesce(F.floor(F.try_divide(F.col("score") - F.col("_lo"), F.col("_hi") - F.col("_lo")) * slices), F.lit(0))
-    t = t.crossJoin(F.broadcast(span)).withColumn("_slice", part).drop("_lo", "_hi")
+    ``n_all``). A slice of scores starts at the sums of those before it and is ordered by itself, so that no task orders all scores."""
+    t = slices_of(t, "score")
     sums = t.groupBy(*by, "_slice").agg(F.sum("pos").alias("_p"), F.sum("n").alias("_n"))
     whole, before = W.partitionBy(*by), W.partitionBy(*by).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select(*(F.col(c).alias(f"_k_{c}") for c in [*by, "_slice"]), *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in ("_p", "_n")), F.sum("_p").over(whole).alias("pos_all"), F.sum("_n").over(whole).alias("n_all"))

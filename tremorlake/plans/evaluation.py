@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tremorlake.operators import epoch, spatial
+from tremorlake.operators import epoch, panel, spatial
 from tremorlake.operators import statistics as S
 from tremorlake.operators.checkpoints import checkpointed
-from tremorlake.plans.bindings import boxes, ctes, events, reports, scored, sensor, stations
+from tremorlake.plans.bindings import EV, boxes, ctes, env, events, reports, scored, sensor, stations
 from tremorlake.plans.joins import KM
-from tremorlake.plans.registry import query
+from tremorlake.plans.panels import seismic_panel
+from tremorlake.plans.registry import ORACLES, query
 from tremorlake.plans.statistics import EPOCH, OBS, SEED, _parts, draw
 from tremorlake.sources.tables import table
 
@@ -220,18 +222,103 @@ def h26(spark, d):
     return got.select(*(F.round(c, 6).alias(c) for c in ("observed", "perm_mean", "perm_sd", "p_two_tailed", "p_one_tailed")), F.round("zscore", 4).alias("zscore"))
 
 
+FEATURES = ["n", "n5", "n_7d", "n_30d", "max_30d", "mean_90d", "std_30d"]
+CUTS = ["1995-12-31", *(f"{1996 + k // 2}-{'06-30' if k % 2 == 0 else '12-31'}" for k in range(11))]
+FOLDS = list(zip(CUTS[1:], CUTS[2:], strict=False))[:10]
+
+
+#: Strongest events of a zone that count; so the labels are as frequent in tables of any size.
+STRONGEST = 200
+
+
+def _labelled_panel(spark, d):
+    """The daily panel, with ``y``: whether one of the zone's strongest events comes within seven days."""
+    top = W.partitionBy("zone").orderBy(F.desc("magnitude"), "event_id")
+    strong = events(spark, d).withColumn("r", F.row_number().over(top)).filter(F.col("r") <= STRONGEST)
+    p = panel.forward_label(seismic_panel(spark, d).select("zone", "d", "split", *FEATURES), strong, 1, 7, "y", where=F.lit(True))
+    # as the seven days after the last ones are not known
+    return p.filter("d < DATE '2001-07-25'").withColumnRenamed("label_y", "y").withColumn("row_id", F.concat_ws("|", "zone", F.col("d").cast("string")))
+
+
+def _walk_forward(spark, d):
+    from tremorlake.operators.models import walk_forward
+
+    return walk_forward(_labelled_panel(spark, d), ["zone"], FEATURES, "y", "d", "row_id", FOLDS)
+
+
+FOLD_SQL = "folds(fold, cut, until) AS (VALUES " + ", ".join(f"({k}, DATE '{a}', DATE '{b}')" for k, (a, b) in enumerate(FOLDS, 1)) + ")"
+
+
+@query(
+    "h14_fold_table",
+    f"""WITH panel AS (SELECT zone, d FROM ({ORACLES['seismic_panel']})), {FOLD_SQL}, strong AS (SELECT zone, d FROM (SELECT *, row_number() OVER (PARTITION BY zone ORDER BY magnitude DESC, event_id) AS r FROM ({EV})) WHERE r <= {STRONGEST}), y AS (SELECT zone, d, CAST(EXISTS (SELECT 1 FROM strong s WHERE s.zone = panel.zone AND s.d BETWEEN panel.d + 1 AND panel.d + 7) AS INT) AS y FROM panel),
+    t AS (SELECT zone, fold, count(*) FILTER (d <= cut) AS n_train, count(*) FILTER (d > cut) AS n_test, CAST(coalesce(sum(y) FILTER (d <= cut), 0) AS BIGINT) AS pos_train, CAST(coalesce(sum(y) FILTER (d > cut), 0) AS BIGINT) AS pos_test FROM y JOIN folds ON d <= until WHERE d < DATE '2001-07-25' GROUP BY 1, 2) SELECT *, CASE WHEN pos_train < 3 THEN 'SKIP_INSUFFICIENT_TRAIN' WHEN pos_test = 0 OR pos_test = n_test THEN 'SKIP_NO_TEST_POSITIVES' ELSE 'OK' END AS status FROM t""",
+)
+def h14_folds(spark, d):
+    """Rows, positives and status of the ten folds by zone."""
+    from tremorlake.operators.models import fold_rows, fold_table
+
+    return fold_table(fold_rows(_labelled_panel(spark, d), "y", "d", FOLDS), "y", ["zone"])
+
+
 @query("h14_walk_forward")
 def h14(spark, d):
-    """Ten expanding half-year folds over the daily panel: one boosted model a fold, exact metrics by fold. Trees are
-    few here, as each is a job of its own; the operator takes any number."""
-    from tremorlake.operators.models import walk_forward
-    from tremorlake.plans.panels import seismic_panel
+    """Ten expanding half-year folds by zone, 200 trees each, and their exact metrics; fold 0 has all folds of a zone together."""
+    scores, _ = _walk_forward(spark, d)
+    both = scores.withColumn("fold", F.explode(F.array(F.col("fold"), F.lit(0))))
+    return S.binary_metrics(both, "y", "p", ["zone", "fold"]).select("zone", "fold", "n", "positives", *(F.round(c, 4).alias(c) for c in ("auroc", "avg_precision", "brier")))
+
+
+@query("h15_fit_boosted")
+def h15(spark, d):
+    """One boosted model a zone on the training years: each feature's share of the gains."""
+    from tremorlake.operators import boosting
+
+    models = boosting.fit_boosted(_labelled_panel(spark, d).filter("split = 'train'"), ["zone"], FEATURES, "y", "row_id")
+    return boosting.importances(models, ["zone"]).select("zone", "feature", F.round("share", 6).alias("share"))
+
+
+ENV_FEATURES, TEC_FEATURES = ["kp_max", "sw_speed", "dst_min"], ["x", "x_30d"]
+SETS = {"env": ENV_FEATURES, "tec": TEC_FEATURES, "seismic": FEATURES, "env+tec": ENV_FEATURES + TEC_FEATURES, "combined": ENV_FEATURES + TEC_FEATURES + FEATURES}
+
+
+def _streams(spark, d):
+    """The labelled panel with the daily environment and field streams beside it."""
+    from tremorlake.operators.windows import rolling
+
+    field = rolling(sensor(spark, d).filter("zone = 'R'").select("zone", "d", "x"), "zone", "d", {"x_30d": ("x", "avg", 30)}).drop("zone")
+    e = env(spark, d).select("d", *ENV_FEATURES)
+    return _labelled_panel(spark, d).join(e, "d", "left").join(field, "d", "left")
+
+
+def _ablation(spark, d):
+    from tremorlake.operators.models import ablation
+
+    p = _streams(spark, d)
+    scores, models = ablation(p.filter("split = 'train'"), p.filter("split = 'validate'"), SETS, "y", "row_id")
+    return p, scores, models
+
+
+@query("h21_ablation")
+def h21(spark, d):
+    """AUROC of environment, field, seismic and combined features, and what each set gains over the seismic one."""
+    _, scores, _ = _ablation(spark, d)
+    m = S.binary_metrics(scores, "y", "p", ["set"])
+    base = m.filter("set = 'seismic'").select(F.col("auroc").alias("_base"))
+    return m.crossJoin(F.broadcast(base)).select("set", "n", "positives", F.round("auroc", 4).alias("auroc"), F.round(F.col("auroc") - F.col("_base"), 4).alias("delta"), F.round("brier", 4).alias("brier"))
+
+
+@query("h21_importances")
+def h21_importances(spark, d):
+    """Features of each set: their share of the trees' gains, and the loss of AUROC when their values are dealt anew."""
+    from tremorlake.operators import boosting
+    from tremorlake.operators.models import permutation_importance
 
-    panel = seismic_panel(spark, d).filter("d < DATE '2001-07-25'").withColumn("row_id", F.xxhash64("zone", "d"))
-    cuts = ["1995-12-31", *(f"{1996 + k // 2}-{'06-30' if k % 2 == 0 else '12-31'}" for k in range(11))]
-    folds = list(zip(cuts[1:], cuts[2:], strict=False))[:10]
-    scores = walk_forward(panel, ["n", "n5", "n_7d", "n_30d", "max_30d", "mean_90d", "std_30d"], "label_7d", "d", ["row_id"], folds, rounds=8)
-    return S.binary_metrics(scores, "y", "p", ["fold"]).select("fold", "n", "positives", F.round("auroc", 4).alias("auroc"), F.round("brier", 4).alias("brier"))
+    p, _, models = _ablation(spark, d)
+    drops = permutation_importance(p.filter("split = 'validate'"), models, ["set"], SETS["combined"], "y", "row_id")
+    got = boosting.importances(models, ["set"]).join(drops, ["set", "feature"])
+    own = F.concat_ws(",", *(F.when(F.col("set") == s, F.lit("," + ",".join(c) + ",")) for s, c in SETS.items()))
+    return got.filter(F.contains(own, F.concat(F.lit(","), "feature", F.lit(",")))).select("set", "feature", F.round("share", 6).alias("share"), F.round("drop", 6).alias("drop"))
 
 
 def _network(spark, d):

@@ -196,15 +196,3 @@ def h20(spark, d):
     s = scored(spark, d)
     c = isotonic_calibrate(s.filter("d < DATE '1999-01-01'"), s.filter("d >= DATE '1999-01-01'"), "y", "p", "row_id")
     return c.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("calibrated"), 4).alias("calibrated"))
-
-
-@query("h21_ablation")
-def h21(spark, d):
-    """AUROC with and without the strength features."""
-    from tremorlake.operators.models import ablation
-    from tremorlake.plans.panels import seismic_panel
-
-    p = seismic_panel(spark, d).filter("d < DATE '2001-07-25'").withColumn("row_id", F.xxhash64("zone", "d"))
-    sets = {"counts": ["n", "n_7d", "n_30d"], "all": ["n", "n_7d", "n_30d", "max_30d", "mean_90d"]}
-    got = ablation(p.filter("split = 'train'"), p.filter("split = 'test'"), sets, "label_7d", "d", ["row_id"], rounds=3)
-    return S.binary_metrics(got, "y", "p", ["model"]).select("model", "n", F.round("auroc", 4).alias("auroc"))
