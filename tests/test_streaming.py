@@ -13,16 +13,56 @@ def land(path, name, rows):
     (path / name).write_text("\n".join(json.dumps(dict(zip(("id", "ts", "v"), r, strict=True))) for r in rows))
 
 
-def test_overlapping_polls_and_versions(spark, tmp_path):
-    src, out = tmp_path / "in", str(tmp_path / "t")
-    land(src, "1.json", [("a", "2025-01-01T00:00:00", 1.0), ("b", "2025-01-01T01:00:00", 2.0)])
-    q = lambda: feeds.upsert_stream(feeds.feed_stream(spark, str(src), SCHEMA), out, ["id"], "ts", str(tmp_path / "cp"))
-    q().awaitTermination()
-    land(src, "2.json", [("a", "2025-01-02T00:00:00", 9.0), ("c", "2025-01-01T00:00:00", 3.0)])
-    q().awaitTermination()
-    t = feeds.VersionedTable(spark, out)
-    assert sorted((r.id, r.v) for r in t.read().collect()) == [("a", 9.0), ("b", 2.0), ("c", 3.0)]
-    assert t.has_batch(1) and not t.has_batch(2)
+def test_upserts_rewrite_touched_buckets_only(spark, tmp_path):
+    src, out = tmp_path / "in", tmp_path / "t"
+    land(src, "1.json", [(f"k{i}", "2025-01-01T00:00:00", float(i)) for i in range(200)] + [(None, "2025-01-01T00:00:00", -1.0)])
+    stream = feeds.feed_stream(spark, str(src), SCHEMA)
+    run = lambda: feeds.upsert_stream(stream, str(out), ["id"], "ts", str(tmp_path / "cp"), 16).awaitTermination()
+    run()
+    files = lambda: {str(p) for p in out.rglob("part-*.parquet")}
+    first = files()
+    land(src, "2.json", [("k3", "2025-01-02T00:00:00", 999.0), ("new", "2025-01-01T00:00:00", 3.0), ("k4", "2024-01-02T00:00:00", 0.5)])
+    run()
+    table = feeds.BucketTable(spark, str(out), stream.schema, ["id"], 16)
+    got = {r.id: r.v for r in table.read().collect()}
+    assert len(got) == 202 and got["k3"] == 999.0 and got["k4"] == 4.0 and got["new"] == 3.0 and got[None] == -1.0
+    assert 0 < len(first - files()) <= 3 and len(files()) <= 17  # old files of at most three buckets are gone
+    # a batch that is run again changes nothing, nor does one that failed between its two writes
+    before = sorted(map(tuple, table.read().drop("ts").collect()), key=str)
+    table.upsert(spark.createDataFrame([("k5", None, 77.0)], SCHEMA), "ts", 1)
+    assert sorted(map(tuple, table.read().drop("ts").collect()), key=str) == before
+
+
+def test_log_of_more_batches_than_spark_keeps(spark, tmp_path):
+    src = tmp_path / "in"
+    for i in range(120):
+        land(src, f"{i:03}.json", [(f"k{i}", "2025-01-01T00:00:00", 1.0)] * (1 + i % 3))
+    with feeds.RunLog(spark, str(tmp_path / "log")) as log:
+        q = feeds.feed_stream(spark, str(src), SCHEMA, files_per_trigger=1).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        assert log.wait(q)
+    rows = log.read().filter(F.col("run") == str(q.runId)).collect()
+    assert sorted(r.batch for r in rows) == list(range(120)) and sum(r.rows for r in rows) == 240
+
+
+def test_silent_feeds_beat(spark, tmp_path):
+    import time
+
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    land(src, "1.json", [("a", "2025-01-01T00:00:00", 1.0), ("a", "2025-01-01T00:00:00", 1.0), ("b", "2025-01-01T00:00:00", 1.0)])
+    known = spark.createDataFrame([("a",), ("never",)], "id string")
+    q = feeds.start_heartbeats(feeds.feed_stream(spark, str(src), SCHEMA), "id", 1, out, str(tmp_path / "cp"), known)
+    read = lambda: spark.read.schema("feed string, kind string, n bigint").parquet(out).collect()
+    try:
+        end = time.time() + 90
+        while time.time() < end and (q.lastProgress is None or min(sum(r.feed == f and r.kind == "beat" for r in read()) for f in ("a", "b", "never")) < 2):
+            time.sleep(1)
+    finally:
+        q.stop()
+    rows = read()
+    assert {f: sum(r.n for r in rows if r.feed == f) for f in ("a", "b", "never")} == {"a": 2, "b": 1, "never": 0}
+    assert all(sum(r.feed == f and r.kind == "beat" for r in rows) >= 2 for f in ("a", "b", "never"))
+    assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
 
 
 def test_once_by_id(spark, tmp_path):

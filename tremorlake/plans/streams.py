@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from tremorlake.operators.checkpoints import shared_dir
@@ -45,12 +48,10 @@ def i09(spark, d):
 
 @query("i03_stream_upsert", "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
 def i03(spark, d):
-    """The newest event of each user in a versioned table."""
-    from uuid import uuid4
-
-    base = f"{_base(spark).rstrip('/')}/upsert-{uuid4().hex}"
-    feeds.upsert_stream(_events(spark, d), f"{base}/table", ["user_id"], "event_id", f"{base}/cp").awaitTermination()
-    return feeds.VersionedTable(spark, f"{base}/table").read().select("user_id", "event_id", "value")
+    """The newest event of each user in a table of hashed buckets."""
+    base, s = f"{_base(spark).rstrip('/')}/upsert-{uuid4().hex}", _events(spark, d)
+    feeds.upsert_stream(s, f"{base}/table", ["user_id"], "event_id", f"{base}/cp").awaitTermination()
+    return feeds.BucketTable(spark, f"{base}/table", s.schema, ["user_id"]).read().select("user_id", "event_id", "value")
 
 
 @query("i06_stream_match", "WITH a AS (SELECT event_id, date_trunc('minute', ts) AS m, ts FROM events WHERE event_id % 2 = 0), b AS (SELECT event_id AS other, date_trunc('minute', ts) AS m FROM events WHERE event_id % 2 = 1) SELECT a.event_id, b.other FROM a JOIN b ON a.m = b.m")
@@ -64,8 +65,33 @@ def i06(spark, d):
 
 @query("i08_stream_publish", "SELECT '{\"event_id\":' || CAST(event_id AS VARCHAR) || ',\"event_type\":\"' || event_type || '\"}' AS value FROM events WHERE value >= 200")
 def i08(spark, d):
-    from uuid import uuid4
-
     base = f"{_base(spark).rstrip('/')}/publish-{uuid4().hex}"
     feeds.publish_stream(_events(spark, d).filter("value >= 200").select("event_id", "event_type"), f"{base}/out", f"{base}/cp").awaitTermination()
     return spark.read.text(f"{base}/out")
+
+
+@query("i07_stream_heartbeat", "SELECT event_type AS feed, count(*) AS n, TRUE AS beats FROM events GROUP BY 1 UNION ALL SELECT 'silent', 0, TRUE")
+def i07(spark, d):
+    """Rows of each feed, and whether it beats once no more files land; one feed has never sent any."""
+    base = f"{_base(spark).rstrip('/')}/beats-{uuid4().hex}"
+    known = table(spark, d, "events").select("event_type").distinct().unionByName(spark.range(1).select(F.lit("silent").alias("event_type")))
+    q = feeds.start_heartbeats(_events(spark, d), "event_type", 2, f"{base}/out", f"{base}/cp", known)
+    out = spark.read.schema("feed string, kind string, n bigint")
+    n, end = known.count(), time.time() + 120
+    try:
+        while time.time() < end and (q.lastProgress is None or out.parquet(f"{base}/out").filter("kind = 'beat'").select("feed").distinct().count() < n):
+            time.sleep(1)
+    finally:
+        q.stop()
+    return out.parquet(f"{base}/out").groupBy("feed").agg(F.sum("n").alias("n"), (F.count_if(F.col("kind") == "beat") > 0).alias("beats"))
+
+
+@query("a32_stream_log", "SELECT count(*) AS n, TRUE AS whole FROM events")
+def a32_stream(spark, d):
+    """A stream's log: rows over all its batches, and whether each batch is there once."""
+    base = f"{_base(spark).rstrip('/')}/log-{uuid4().hex}"
+    with feeds.RunLog(spark, f"{base}/log") as log:
+        q = _events(spark, d).writeStream.format("noop").option("checkpointLocation", f"{base}/cp").trigger(availableNow=True).start()
+        q.awaitTermination()
+        log.wait(q)
+    return log.read().filter(F.col("run") == str(q.runId)).agg(F.sum("rows").alias("n"), (F.count_distinct("batch") == F.max("batch") + 1).alias("whole"))

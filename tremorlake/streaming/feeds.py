@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import threading
+import time
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery, StreamingQueryListener
 
+from tremorlake.operators.checkpoints import drop_folder
 from tremorlake.operators.tables import keep_latest
 
 
@@ -40,45 +43,47 @@ def match_feeds(left: DataFrame, right: DataFrame, ts: str, right_ts: str, unit:
     return a.join(b, (F.date_trunc(unit, ts) == F.date_trunc(unit, right_ts)) & near, "left_outer")
 
 
-class VersionedTable:
-    """A table of whole versions in numbered folders with a pointer to the newest: readers see one version or the
-    next, never a part. The pointer is itself a small folder written by Spark, so any store will do."""
+class BucketTable:
+    """A table whose keys are hashed to buckets, each a partition folder. An upsert reads and rewrites the buckets of its rows only, by
+    dynamic partition overwrite, so what it writes follows the batch. Readers that run at the same time may meet a bucket
+    before or after its overwrite."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _pointers(self) -> DataFrame | None:
-        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/pointer")
-        fs = fs_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return self.spark.read.schema("batch bigint, folder string").parquet(f"{self.path}/pointer") if fs.exists(fs_path) else None
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, key: list[str], buckets: int = 64):
+        self.spark, self.path, self.schema, self.key, self.buckets = spark, path.rstrip("/"), schema, key, buckets
 
-    def read(self) -> DataFrame | None:
-        p = self._pointers()
-        top = p.agg(F.max_by("folder", "batch")).first()[0] if p is not None else None
-        return self.spark.read.parquet(f"{self.path}/{top}") if top else None
+    def _exists(self, path: str) -> bool:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
 
-    def has_batch(self, batch: int) -> bool:
-        p = self._pointers()
-        return p is not None and not p.filter(F.col("batch") >= batch).isEmpty()
+    def _read(self, path: str) -> DataFrame:
+        return self.spark.read.schema(T.StructType([*self.schema, T.StructField("_bucket", T.IntegerType())])).parquet(path)
 
-    def write(self, df: DataFrame, batch: int) -> None:
-        folder = f"v{batch}-{uuid4().hex}"
-        df.write.parquet(f"{self.path}/{folder}")
-        self.spark.createDataFrame([(batch, folder)], "batch bigint, folder string").coalesce(1).write.mode("append").parquet(f"{self.path}/pointer")
+    def _with_bucket(self, df: DataFrame) -> DataFrame:
+        return df.select(*self.schema.names, F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int").alias("_bucket"))
 
+    def read(self) -> DataFrame:
+        """The newest rows; none before the first upsert."""
+        return self._read(self.path).drop("_bucket") if self._exists(self.path) else self.spark.createDataFrame([], self.schema)
 
-def upsert_stream(stream: DataFrame, path: str, key: list[str], order: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the newest row of each key in a versioned table; a batch that is run again changes nothing."""
+    def upsert(self, df: DataFrame, order: str, batch: int) -> None:
+        """Keeps the row of greatest ``order`` of each key, nulls last. The merged buckets are written aside first: a batch that is run again
+        after a failure puts them in place again, and one that was done changes nothing."""
+        aside = f"{self.path}-pending/{batch}"
+        if not self._exists(f"{aside}/_SUCCESS"):
+            new = self._with_bucket(df)
+            if self._exists(self.path):
+                touched = [r[0] for r in new.select("_bucket").distinct().collect()]  # at most the number of buckets
+                new = new.unionByName(self._read(self.path).filter(F.col("_bucket").isin(touched)))
+            keep_latest(new, self.key, [F.desc_nulls_last(order)]).repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(aside)
+        rows = self._read(aside).select(*self.schema.names, "_bucket")
+        rows.repartition("_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(self.path)
+        drop_folder(self.spark, f"{self.path}-pending/{batch - 1}")  # that batch is over, as this one came
 
-    def merge(batch: DataFrame, number: int) -> None:
-        table = VersionedTable(batch.sparkSession, path)
-        if table.has_batch(number):
-            return
-        old = table.read()
-        both = batch if old is None else old.unionByName(batch)
-        table.write(keep_latest(both, key, [F.desc_nulls_last(order)]), number)
 
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def upsert_stream(stream: DataFrame, path: str, key: list[str], order: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Keeps the newest row of each key in a ``BucketTable``."""
+    table = BucketTable(stream.sparkSession, path, stream.schema, key, buckets)
+    return stream.writeStream.foreachBatch(lambda batch, n: table.upsert(batch, order, n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def append_or_heartbeat(stream: DataFrame, path: str, beat: dict, checkpoint: str) -> StreamingQuery:
@@ -97,11 +102,94 @@ def publish_stream(stream: DataFrame, path: str, checkpoint: str) -> StreamingQu
     return value.writeStream.format("text").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def run_log(query: StreamingQuery, path: str) -> None:
-    """Appends the progress of a run, one row a batch."""
-    spark = query.sparkSession if hasattr(query, "sparkSession") else SparkSession.getActiveSession()
-    rows = [(p["batchId"], p["timestamp"], p["numInputRows"]) for p in query.recentProgress]
-    spark.createDataFrame(rows, "batch bigint, at string, rows bigint").coalesce(1).write.mode("append").parquet(path)
+class RunLog(StreamingQueryListener):
+    """Writes a row for each batch of a session's streams as it ends: (query, run, name, batch, at, rows, millis)."""
+
+    SCHEMA = "query string, run string, name string, batch bigint, at string, rows bigint, millis bigint"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.ended = spark, path, {}
+
+    def onQueryStarted(self, event) -> None:
+        self.ended[str(event.runId)] = threading.Event()
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        row = (str(p.id), str(p.runId), p.name, p.batchId, p.timestamp, p.numInputRows, int(p.durationMs.get("triggerExecution", 0)))
+        self.spark.createDataFrame([row], self.SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended[str(event.runId)].set()
+
+    def wait(self, query: StreamingQuery, seconds: float = 60) -> bool:
+        """Until all of an ended query's batches are written, as its events come after it."""
+        end = time.time() + seconds
+        while str(query.runId) not in self.ended and time.time() < end:
+            time.sleep(0.05)
+        return str(query.runId) in self.ended and self.ended[str(query.runId)].wait(max(0, end - time.time()))
+
+    def __enter__(self) -> RunLog:
+        self.spark.streams.addListener(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.spark.streams.removeListener(self)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.SCHEMA).parquet(self.path)
+
+
+class Silence(StatefulProcessor):
+    """Counts rows of each feed, and beats when a feed has been silent for ``millis`` of processing time, and again after each such
+    time. A timer of the feed's state does it, so it beats in batches to which no file came."""
+
+    def __init__(self, millis: int):
+        self.millis = millis
+
+    def init(self, handle) -> None:
+        self.handle = handle
+
+    def _wind(self, timers) -> None:
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.millis)
+
+    def handleInputRows(self, key, rows, timerValues):
+        self._wind(timerValues)
+        yield Row(feed=key[0], kind="data", n=sum(1 for _ in rows))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.millis)
+        yield Row(feed=key[0], kind="beat", n=0)
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.millis)
+
+    def close(self) -> None:
+        pass
+
+
+def heartbeats(stream: DataFrame, feed: str, seconds: float, known: DataFrame | None = None) -> DataFrame:
+    """A stream of (feed, kind, n): rows that came of each feed, kind ``data``, and a ``beat`` of each feed that was silent for
+    ``seconds``. ``known``, a batch table with the same column, names feeds that may never have sent anything; without it a feed is
+    known from its first row on. It needs the RocksDB state store: start it by ``start_heartbeats`` or set the provider."""
+    first = known.select(F.col(feed).cast("string").alias("feed")).distinct().groupBy("feed") if known is not None else None
+    by = stream.select(F.col(feed).cast("string").alias("feed")).groupBy("feed")
+    return by.transformWithState(Silence(int(seconds * 1000)), "feed string, kind string, n bigint", "Append", "ProcessingTime", first)
+
+
+def start_heartbeats(stream: DataFrame, feed: str, seconds: float, path: str, checkpoint: str, known: DataFrame | None = None, every: str = "1 second") -> StreamingQuery:
+    """Appends ``heartbeats`` to Parquet files, with a batch ``every`` so often, whether a file has landed or not."""
+    conf, name = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name)
+    conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:  # the query keeps the setting of its start
+        return heartbeats(stream, feed, seconds, known).writeStream.format("parquet").option("path", path).outputMode("append").option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+    finally:
+        conf.set(name, before)
 
 
 def run_to_table(stream: DataFrame, mode: str, base: str) -> DataFrame:
