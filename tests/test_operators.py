@@ -5,7 +5,7 @@ from datetime import date, timedelta
 import numpy as np
 from pyspark.sql import functions as F
 
-from tremorlake.operators import epoch, models, spatial, stations, statistics, tables, windows
+from tremorlake.operators import epoch, resampling, spatial, stations, statistics, tables, windows
 from tremorlake.operators.checkpoints import checkpointed
 from tremorlake.operators.matching import gazetteer_match
 
@@ -52,22 +52,13 @@ def test_auroc_with_ties(spark):
     assert abs(m.auroc - want) < 1e-12 and abs(m.brier - np.mean([(p - y) ** 2 for _, y, p in rows])) < 1e-12
     same = statistics.binary_metrics(df.withColumn("p", F.pow("p", 3) * 7), "y", "p").first()
     assert abs(same.auroc - want) < 1e-12
-    ci = statistics.bootstrap_auroc(df, "y", "p", 100, 1).first()
+    ci = resampling.bootstrap_auroc(df, "y", "p", 100, 1).first()
     assert ci.ci_low < want < ci.ci_high and ci.replicates == 100
     both = statistics.binary_metrics(df.withColumn("g", F.when(F.col("id") % 2 == 0, "a")), "y", "p", ["g"]).collect()
     assert sorted(str(x.g) for x in both) == ["None", "a"] and sum(x.n for x in both) == len(rows)
     assert statistics.binary_metrics(df.filter("y = 1"), "y", "p").first().auroc is None
 
 
-def test_poisson_counts(spark):
-    n = 20000
-    for mean in (0.3, 1.0, 20.0, 80.0, 5000.0):
-        u = (F.col("id") + 0.5) / n
-        v = (F.pmod(F.col("id") * 7919, F.lit(n)) + 0.5) / n
-        k = spark.range(n).select(statistics.poisson_count(F.lit(mean), u, v).alias("k")).agg(F.avg("k").alias("m"), F.var_pop("k").alias("v")).first()
-        assert abs(k.m - mean) < 0.02 * mean + 0.01 and abs(k.v - mean) < 0.06 * mean
-
-
 def test_chi2_tails(spark):
     counts = spark.createDataFrame([(i, n) for i, n in enumerate([11, 11, 9, 13, 12, 15, 12, 13])], "bin int, n long").withColumn("expected", F.lit(12.0))
     got = statistics.chi2_uniform(counts).first()
@@ -132,20 +123,6 @@ def test_gazetteer(spark):
     assert sorted(map(tuple, gazetteer_match(spans, places, "t").collect())) == [(1, "Kyoto", "city", 0.95), (2, "Kyoto", "city", 0.88), (4, "France", "country", 0.90)]
 
 
-def test_walk_forward_and_calibration(spark):
-    r = random.Random(5)
-    rows = []
-    for i in range(900):
-        x = r.random()
-        rows.append((i, date(2000, 1, 1) + timedelta(days=i), x, None if i % 9 == 0 else r.random(), int(r.random() < x)))
-    df = spark.createDataFrame(rows, "id long, d date, a double, b double, y int")
-    got = models.walk_forward(df, ["a", "b"], "y", "d", ["id"], [("1999-12-31", "2000-02-01"), ("2001-03-01", "2001-09-01")], rounds=4)
-    m = statistics.binary_metrics(got, "y", "p", ["fold"]).collect()
-    assert [x.fold for x in m] == [2] and m[0].auroc > 0.65
-    cal = models.isotonic_calibrate(got, got, "y", "p", "id").first()
-    assert 0 <= cal.calibrated <= 1
-
-
 def test_nearest_event_against_all_pairs(spark):
     # across the date line, at the poles and in empty regions
     r = random.Random(6)

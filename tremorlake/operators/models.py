@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremorlake.functions.exprs import portable_draw
 from tremorlake.operators import boosting
 
 
@@ -63,13 +61,3 @@ def permutation_importance(test: DataFrame, models: DataFrame, by: list[str], fe
     base = m.filter("permuted IS NULL").select(*by, F.col("auroc").alias("auroc"))
     got = m.filter("permuted IS NOT NULL").select(*by, F.col("permuted").alias("feature"), F.col("auroc").alias("_a"))
     return boosting._same(got, base, by).withColumn("drop", F.col("auroc") - F.col("_a")).drop("_a")
-
-
-def isotonic_calibrate(train: DataFrame, test: DataFrame, y: str, p: str, ident: str, folds: int = 3, seed: int = 42) -> DataFrame:
-    """``test`` with ``calibrated``: the mean of isotonic fits on all but one fold of the training rows each; folds are portable draws."""
-    t = train.select(F.col(y).cast("double").alias("label"), F.col(p).alias("_f"), (portable_draw(seed, ident) % folds).alias("_k"))
-    out = test.withColumn("_f", F.col(p))
-    for k in range(folds):
-        model = IsotonicRegression(featuresCol="_f", labelCol="label", predictionCol=f"_c{k}").fit(t.filter(F.col("_k") != k))
-        out = model.transform(out)
-    return out.withColumn("calibrated", sum((F.col(f"_c{k}") for k in range(folds)), F.lit(0.0)) / folds).drop("_f", *(f"_c{k}" for k in range(folds)))

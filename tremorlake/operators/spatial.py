@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-import math
+from functools import reduce
+from itertools import product
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tremorlake.functions.exprs import EARTH_KM, haversine_km
+from tremorlake.operators.checkpoints import written
 
 CELL = 10
-#: Degrees of the cells in which the nearest event is looked for first; they divide the circle.
-NEAR_CELL = 15
+#: Widths of the cells in which the nearest event is looked for, in radii of the earth.
+NEAR_SIDES = (1 / 32, 1 / 8, 1 / 2)
 
 
 def _cells(low, high, size: float):
@@ -33,37 +36,63 @@ def bbox_or_global(points: DataFrame, boxes: DataFrame, zone: str = "fault_id",
     return inside.unionByName(points.withColumn(zone, F.lit("global")))
 
 
-def _lon_cell(lon, size: float):
-    """The number of a longitude's cell of ``size`` degrees, which divide the circle."""
-    return F.floor(F.pmod(lon + 180, F.lit(360.0)) / size)
+def _on_sphere(df: DataFrame, lat: str, lon: str) -> DataFrame:
+    """Adds the place on the unit sphere: cells of space are as wide at the poles as elsewhere, and nothing wraps around."""
+    la, lo = F.radians(lat), F.radians(lon)
+    return df.withColumns({"_x": F.cos(la) * F.cos(lo), "_y": F.cos(la) * F.sin(lo), "_z": F.sin(la)})
 
 
-def nearest_event(points: DataFrame, events: DataFrame, min_days: int, max_days: int, keys: list[str], point_id: str, day: str = "d", event_id: str = "event_id", lat: str = "lat", lon: str = "lon") -> DataFrame:
+def _cube(side, *xyz) -> F.Column:
+    """The cell of a place in space: three whole numbers."""
+    return F.struct(*(F.floor(F.col(c) / side).cast("int").alias(n) for c, n in zip(xyz, "xyz", strict=True)))
+
+
+def _moved(cell: F.Column):
+    return lambda o: F.struct(*((cell[n] + o[n]).alias(n) for n in "xyz"))
+
+
+def nearest_event(points: DataFrame, events: DataFrame, min_days: int, max_days: int, keys: list[str], point_id: str, day: str = "d", event_id: str = "event_id", lat: str = "lat", lon: str = "lon", sides: tuple[float, ...] = NEAR_SIDES) -> DataFrame:
     """For each point the nearest event of equal keys that is ``min_days`` to ``max_days`` after it, with its distance;
-    ties go to the smaller event id. Days are dealt to buckets as wide as the range, so each point meets two.
+    ties go to the smaller event id. Points and events without a place or day are left out, as are points without an event.
 
-    Points first meet the events of their cell of ``NEAR_CELL`` degrees and the eight around it. What is
-    found there is the nearest if it is no farther than all beyond; only the points without such an
-    event, as in empty regions and at the poles, meet all events of their days."""
+    Rings grow: a point looks in its cell and the 26 around it, first in narrow cells, then in wider ones, at last in all eight octants.
+    There it meets one event for each day and each part of a cell, a fourth as wide, so dense regions cost no more than sparse ones.
+    The nearest of these bounds the distance, once it is no farther than the ring reaches; then the point meets
+    the events of those parts that are within the bound. Every join is on a cell."""
     width = max_days - min_days + 1
-    p = points.select(*keys, F.col(point_id).alias("_p"), F.col(lat).alias("_plat"), F.col(lon).alias("_plon"), F.datediff(day, F.lit("1970-01-01")).alias("_pd"))
-    p = p.withColumn("_b", F.explode(F.sequence(F.floor((F.col("_pd") + min_days) / width), F.floor((F.col("_pd") + max_days) / width))))
-    e = events.select(*keys, F.col(event_id).alias("_e"), F.col(lat).alias("_elat"), F.col(lon).alias("_elon"), F.datediff(day, F.lit("1970-01-01")).alias("_ed")).withColumn("_b", F.floor(F.col("_ed") / width))
-
-    def best(p: DataFrame, e: DataFrame, on: list[str]) -> DataFrame:
-        near = p.join(e, on).filter((F.col("_ed") - F.col("_pd")).between(min_days, max_days)).withColumn("km", haversine_km("_plat", "_plon", "_elat", "_elon"))
-        return near.groupBy("_p").agg(F.min(F.struct("km", F.col("_e").alias(event_id))).alias("b"), F.first("_plat").alias("_plat"))
-
-    n = int(360 / NEAR_CELL)
-    around = F.explode(F.array(*(F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y in (-1, 0, 1) for x in (-1, 0, 1))))
-    cells = p.withColumn("_o", around).withColumn("_cy", F.floor(F.col("_plat") / NEAR_CELL) + F.col("_o.y")).withColumn("_cx", F.pmod(_lon_cell(F.col("_plon"), NEAR_CELL) + F.col("_o.x"), F.lit(n))).drop("_o")
-    placed = e.withColumn("_cy", F.floor(F.col("_elat") / NEAR_CELL)).withColumn("_cx", _lon_cell(F.col("_elon"), NEAR_CELL))
-    # nothing beyond the nine cells is nearer than a meridian as many degrees away
-    safe = EARTH_KM * F.asin(F.sin(F.lit(math.radians(NEAR_CELL))) * F.cos(F.radians("_plat")))
-    close = best(cells, placed, [*keys, "_b", "_cy", "_cx"]).filter(F.col("b.km") <= safe).select("_p", "b")
-    rest = p.join(close.select("_p"), "_p", "left_anti")
-    out = close.unionByName(best(rest, e, [*keys, "_b"]).select("_p", "b"))
-    return out.select(F.col("_p").alias(point_id), f"b.{event_id}", "b.km")
+    since = lambda c: F.datediff(c, F.lit("1970-01-01"))
+    p = _on_sphere(points.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()), lat, lon).select(*keys, F.col(point_id).alias("_p"), F.col(lat).alias("_plat"), F.col(lon).alias("_plon"), since(day).alias("_pd"), *(F.col(f"_{c}").alias(f"_p{c}") for c in "xyz"))
+    e = _on_sphere(events.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()), lat, lon).select(*keys, F.col(event_id).alias("_e"), F.col(lat).alias("_elat"), F.col(lon).alias("_elon"), since(day).alias("_ed"), "_x", "_y", "_z").withColumn("_b", F.floor(F.col("_ed") / width))
+    rest = written(p)
+    around = F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip(o, "xyz", strict=True))) for o in product((-1, 0, 1), repeat=3)))
+    octants = F.array(*(F.struct(*(F.lit(v).cast("int").alias(n) for v, n in zip(o, "xyz", strict=True))) for o in product((-1, 0, 1), repeat=3)))
+    found = []
+    for level, side in enumerate([*sides, 1.0]):
+        last, part = level == len(sides), side / 4
+        one = e.groupBy(*keys, "_b", "_ed", _cube(side, "_x", "_y", "_z").alias("_c"), _cube(part, "_x", "_y", "_z").alias("_s")).agg(F.min(F.struct("_e", "_x", "_y", "_z")).alias("_r"))
+        own = _cube(side, "_px", "_py", "_pz")
+        ring = octants if last else F.transform(around, _moved(own))
+        near = rest.withColumn("_b", F.explode(F.sequence(F.floor((F.col("_pd") + min_days) / width), F.floor((F.col("_pd") + max_days) / width)))).withColumn("_c", F.explode(ring))
+        near = near.join(one, [*keys, "_b", "_c"]).filter((F.col("_ed") - F.col("_pd")).between(min_days, max_days))
+        chord = F.sqrt(sum((F.pow(F.col(f"_p{c}") - F.col(f"_r._{c}"), 2) for c in "xyz"), F.lit(0.0)))
+        near = near.withColumn("_u", F.min(chord).over(W.partitionBy("_p")))
+        if not last:
+            near = near.filter(F.col("_u") <= side)
+        # how far the part of the cell is at least
+        gap = lambda c, part=part: F.greatest(F.lit(0.0), F.col(f"_s.{c}") * part - F.col(f"_p{c}"), F.col(f"_p{c}") - (F.col(f"_s.{c}") + 1) * part)
+        low = F.sqrt(sum((F.pow(gap(c), 2) for c in "xyz"), F.lit(0.0)))
+        near = written(near.filter(low <= F.col("_u") * (1 + 1e-9) + 1e-12).select(*keys, "_p", "_plat", "_plon", "_ed", F.lit(level).alias("_l"), "_s"))
+        found.append(near)
+        if last:
+            break
+        rest = written(rest.join(near.select("_p").distinct(), "_p", "left_anti"))
+        if rest.isEmpty():
+            break
+    parts = F.explode(F.array(*(F.struct(F.lit(i).alias("l"), _cube(side / 4, "_x", "_y", "_z").alias("s")) for i, side in enumerate([*sides, 1.0][: len(found)]))))
+    placed = e.select(*keys, "_e", "_elat", "_elon", "_ed", parts.alias("_q")).select(*keys, "_e", "_elat", "_elon", "_ed", F.col("_q.l").alias("_l"), F.col("_q.s").alias("_s"))
+    j = reduce(DataFrame.unionByName, found).join(placed, [*keys, "_l", "_ed", "_s"])
+    best = j.groupBy("_p").agg(F.min(F.struct(haversine_km("_plat", "_plon", "_elat", "_elon").alias("km"), F.col("_e").alias(event_id))).alias("b"))
+    return best.select(F.col("_p").alias(point_id), f"b.{event_id}", "b.km")
 
 
 def tolerance_join(a: DataFrame, b: DataFrame, eps: float, id_col: str, day: str = "d", lat: str = "lat", lon: str = "lon") -> DataFrame:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tremorlake.functions.exprs import portable_draw, portable_draws
+from tremorlake.functions.exprs import portable_draw
 from tremorlake.operators.checkpoints import written
 
 
@@ -105,21 +103,24 @@ def score_table(df: DataFrame, y: str, p: str, by: list[str]) -> DataFrame:
     return df.groupBy(*by, F.col(p).alias("score")).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"), F.sum(F.pow(F.col(p) - F.col(y), 2)).alias("sq"))
 
 
-def slices_of(df: DataFrame, col: str, bits: int = 10) -> DataFrame:
-    """``df`` with ``_slice``, from 0 to 2^bits - 1: slices of about equally many rows, in the order of ``col``. Edges come from a
-    mergeable quantile sketch over all rows, so a far value does not push the others into one slice."""
+def edges_of(df: DataFrame, col: str, bits: int = 10) -> DataFrame:
+    """One row with the 2^bits - 1 edges of slices of about equally many rows. They come from a mergeable quantile sketch over
+    all rows, so a far value does not push the others into one slice."""
     n = 1 << bits
-    edges = df.agg(F.percentile_approx(col, F.array(*(F.lit(k / n) for k in range(1, n))), 40 * n).alias("_edges"))
-    # a binary search: the number of edges below the value
+    return df.agg(F.percentile_approx(col, F.array(*(F.lit(k / n) for k in range(1, n))), 40 * n).alias("_edges"))
+
+
+def with_slice(df: DataFrame, col: str, edges: DataFrame, bits: int = 10) -> DataFrame:
+    """``df`` with ``_slice``, from 0 to 2^bits - 1, in the order of ``col``: the number of edges below it, by binary search."""
     halves = F.array(*(F.lit(1 << k) for k in reversed(range(bits))))
     found = F.aggregate(halves, F.lit(0), lambda at, step: F.when(F.get("_edges", at + step - 1) < F.col(col), at + step).otherwise(at))
-    return df.crossJoin(F.broadcast(edges)).withColumn("_slice", F.coalesce(found, F.lit(0))).drop("_edges")
+    return df.crossJoin(F.broadcast(edges)).withColumn("_slice", F.coalesce(found, F.lit(0))).drop("_edges")  # one row
 
 
 def running_counts(t: DataFrame, by: list[str]) -> DataFrame:
     """Adds to a score table the positives and rows of lower scores (``pos_below``, ``n_below``) and of all (``pos_all``,
     ``n_all``). A slice of scores starts at the sums of those before it and is ordered by itself, so that no task orders all scores."""
-    t = slices_of(t, "score")
+    t = with_slice(t, "score", edges_of(t, "score"))
     sums = t.groupBy(*by, "_slice").agg(F.sum("pos").alias("_p"), F.sum("n").alias("_n"))
     whole, before = W.partitionBy(*by), W.partitionBy(*by).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select(*(F.col(c).alias(f"_k_{c}") for c in [*by, "_slice"]), *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in ("_p", "_n")), F.sum("_p").over(whole).alias("pos_all"), F.sum("_n").over(whole).alias("n_all"))
@@ -156,40 +157,6 @@ def binary_metrics(df: DataFrame, y: str, p: str, by: list[str] | None = None) -
     )
 
 
-def poisson_count(mean: Column, u: Column, v: Column) -> Column:
-    """A Poisson count from two uniforms: by inverting the distribution up to a mean of 30, beyond it a rounded normal of
-    the same mean and variance."""
-    state = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("t"), F.lit(0.0).alias("k"))
-    step = lambda s, i: F.struct((s["p"] * mean / i).alias("p"), (s["t"] + s["p"] * mean / i).alias("t"), (s["k"] + F.when(s["t"] < u, 1.0).otherwise(0.0)).alias("k"))
-    exact = F.aggregate(F.sequence(F.lit(1.0).cast("int"), F.lit(100)), state, step, lambda s: s["k"])
-    z = F.sqrt(-2 * F.ln(u)) * F.cos(2 * F.lit(math.pi) * v)
-    return F.when(mean <= 30, exact).otherwise(F.greatest(F.lit(0.0), F.floor(mean + F.sqrt(mean) * z + 0.5).cast("double")))
-
-
-def bootstrap_auroc(df: DataFrame, y: str, p: str, iters: int, seed: int, least: int = 100, steps: int = 4096) -> DataFrame:
-    """AUROC of bootstrap replicates and their 2.5 and 97.5 percentiles: one row (ci_low, ci_high, replicates).
-
-    Scores are cut to ``steps`` equal steps of their range, so replicates grow with the steps and not with the
-    rows. A row counts Poisson(1) times in a replicate, the usual form of resampling that needs no count of the
-    whole, so the rows of one score and class count Poisson(k) times: a replicate draws once for
-    each. Draws are portable. One-class replicates are skipped; with fewer than ``least`` left the
-    bounds are null."""
-    t = score_table(df, y, p, [])
-    span = t.agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
-    step = F.coalesce(F.least(F.floor(F.try_divide(F.col("score") - F.col("_lo"), F.col("_hi") - F.col("_lo")) * steps), F.lit(steps - 1)), F.lit(0))
-    t = t.crossJoin(F.broadcast(span)).groupBy(step.alias("step")).agg(F.sum("pos").cast("double").alias("pos"), F.sum(F.col("n") - F.col("pos")).cast("double").alias("neg"))
-    t = t.withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(iters - 1))))
-    for i, draw in enumerate(portable_draws(4, seed, "iter", "step")):
-        t = t.withColumn(f"_u{i}", (draw + 0.5) / 4294967296.0)
-    t = t.select("iter", "step", *(poisson_count(F.col(c), F.col(f"_u{i}"), F.col(f"_u{i + 1}")).alias(c) for c, i in (("pos", 0), ("neg", 2))))
-    up = W.partitionBy("iter").orderBy("step").rowsBetween(W.unboundedPreceding, -1)
-    t = t.withColumn("below", F.coalesce(F.sum("neg").over(up), F.lit(0.0)))  # at most ``steps`` rows a replicate
-    a = t.groupBy("iter").agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("k"), F.sum("neg").alias("m"))
-    a = a.filter("k > 0 AND m > 0").select((F.col("u") / (F.col("k") * F.col("m"))).alias("auroc"))
-    q = F.percentile("auroc", F.array(F.lit(0.025), F.lit(0.975)))
-    return a.agg(q.alias("q"), F.count(F.lit(1)).alias("replicates")).select(F.when(F.col("replicates") >= least, F.col("q")[0]).alias("ci_low"), F.when(F.col("replicates") >= least, F.col("q")[1]).alias("ci_high"), "replicates")
-
-
 def verdict(df: DataFrame, positives: str, auroc: str, fold_std: str, threshold: float = 0.55, least: int = 5, unstable: float = 0.15, base_auroc: str | None = None, delta: float = 0.03) -> DataFrame:
     """Adds ``verdict``: too few positives or no score, no skill, skill, or skill that differs much between folds. With
     ``base_auroc``, skill is also ``delta`` more than that of the base model."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tremorlake.operators import epoch, panel, spatial
 from tremorlake.operators import statistics as S
 from tremorlake.operators.checkpoints import checkpointed
+from tremorlake.operators.resampling import bootstrap_auroc, mixed_sql
 from tremorlake.plans.bindings import EV, boxes, ctes, env, events, reports, scored, sensor, stations
 from tremorlake.plans.joins import KM
 from tremorlake.plans.panels import seismic_panel
@@ -126,29 +127,28 @@ def d23(spark, d):
     return held.groupBy("fault_id").agg(F.count(F.lit(1)).alias("was"), F.count_if("is_mainshock").alias("remaining"), F.count_if(F.col("is_mainshock") & (F.col("magnitude") >= 6)).alias("strong"))
 
 
-U = [f"(CAST('0x' || substr(md5('{SEED}|' || iter || '|' || step), {1 + 8 * i}, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296" for i in range(4)]
-
-
-def _poisson(m: str, u: str, v: str) -> str:
-    """SQL of a Poisson count, as ``poisson_count``."""
-    state = "{'p': exp(-%s), 't': exp(-%s), 'k': 0.0::DOUBLE}" % (m, m)
-    step = "lambda s, i: {'p': s.p * %s / i.k, 't': s.t + s.p * %s / i.k, 'k': s.k + CASE WHEN s.t < %s THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END}" % (m, m, u)
-    ones = "list_transform(generate_series(1, 100), lambda i: {'p': 0.0::DOUBLE, 't': 0.0::DOUBLE, 'k': i::DOUBLE})"
-    return f"CASE WHEN {m} <= 30 THEN (list_reduce(list_prepend({state}, {ones}), {step})).k ELSE greatest(0, floor({m} + sqrt({m}) * sqrt(-2 * ln({u})) * cos(2 * pi() * {v}) + 0.5)) END"
+def _counts(k: str, side: int) -> str:
+    """SQL of the replicates' Poisson counts of mean ``k``: (iter, n_below, c), by inverting the distribution's running sums."""
+    key = mixed_sql(f"n_below * 2 + {side} + ({SEED}::UBIGINT << 40)")
+    u = f"(({mixed_sql('(z::UHUGEINT + iter) % 18446744073709551616::UHUGEINT')} >> 11)::DOUBLE + 0.5) / 9007199254740992"
+    return f"""d{side} AS (SELECT n_below, {k} AS k, {key} AS z FROM t WHERE {k} > 0), u{side} AS (SELECT n_below, k, iter, {u} AS u FROM d{side}, it),
+    ks{side} AS (SELECT DISTINCT k, greatest(0, floor(k - 12 * sqrt(k) - 24))::BIGINT AS lo, ceil(k + 12 * sqrt(k) + 24)::BIGINT AS hi FROM d{side}),
+    pj{side} AS (SELECT k, j, exp(-k + j * ln(k) - lgamma(j + 1)) AS p FROM (SELECT k, unnest(generate_series(lo, hi)) AS j FROM ks{side})), cj{side} AS MATERIALIZED (SELECT k, j, sum(p) OVER (PARTITION BY k ORDER BY j) AS cdf FROM pj{side}),
+    c{side} AS (SELECT n_below, iter, j::DOUBLE AS c FROM u{side} ASOF JOIN cj{side} ON u{side}.k = cj{side}.k AND u{side}.u <= cj{side}.cdf)"""
 
 
 @query(
     "h17_bootstrap_auroc",
     ctes("scored")
-    + f""", s AS (SELECT min(p) AS lo, max(p) AS hi FROM scored), t AS (SELECT CAST(least(floor((p - lo) / (hi - lo) * 4096), 4095) AS BIGINT) AS step, CAST(sum(y) AS DOUBLE) AS pos, CAST(count(*) - sum(y) AS DOUBLE) AS neg FROM scored, s GROUP BY 1),
-    r AS (SELECT *, {", ".join(f"{u} AS u{i}" for i, u in enumerate(U))} FROM t, (SELECT CAST(unnest(generate_series(0, 999)) AS INT) AS iter)),
-    w AS (SELECT iter, step, {_poisson("pos", "u0", "u1")} AS pos, {_poisson("neg", "u2", "u3")} AS neg FROM r),
-    c AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY iter ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM w),
+    + f""", g AS (SELECT p, CAST(sum(y) AS BIGINT) AS pos, CAST(count(*) - sum(y) AS BIGINT) AS neg FROM scored GROUP BY 1), t AS MATERIALIZED (SELECT pos, neg, CAST(coalesce(sum(pos + neg) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS n_below FROM g),
+    it AS (SELECT CAST(unnest(generate_series(0, 999)) AS BIGINT) AS iter), {_counts("pos", 0)}, {_counts("neg", 1)},
+    w AS (SELECT iter, n_below, coalesce(c0.c, 0) AS pos, coalesce(c1.c, 0) AS neg FROM (SELECT n_below, iter FROM t, it) LEFT JOIN c0 USING (n_below, iter) LEFT JOIN c1 USING (n_below, iter)),
+    c AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY iter ORDER BY n_below ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM w),
     a AS (SELECT iter, sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)) AS auroc FROM c GROUP BY 1 HAVING sum(pos) > 0 AND sum(neg) > 0)
     SELECT round(quantile_cont(auroc, 0.025), 6) AS ci_low, round(quantile_cont(auroc, 0.975), 6) AS ci_high, count(*) AS replicates FROM a""",
 )
 def h17(spark, d):
-    got = S.bootstrap_auroc(scored(spark, d), "y", "p", 1000, SEED)
+    got = bootstrap_auroc(scored(spark, d), "y", "p", 1000, SEED)
     return got.select(F.round("ci_low", 6).alias("ci_low"), F.round("ci_high", 6).alias("ci_high"), "replicates")
 
 

@@ -191,7 +191,7 @@ def h10(spark, d):
 )
 def h20(spark, d):
     """Calibrated rates by score of later rows, fitted on earlier ones."""
-    from tremorlake.operators.models import isotonic_calibrate
+    from tremorlake.operators.resampling import isotonic_calibrate
 
     s = scored(spark, d)
     c = isotonic_calibrate(s.filter("d < DATE '1999-01-01'"), s.filter("d >= DATE '1999-01-01'"), "y", "p", "row_id")
