@@ -77,11 +77,13 @@ def hazard_signal(reports: DataFrame, hazards: DataFrame, hazard: str = "hazard"
     """Daily signal of each hazard from the reports of it and those of ``multiple``: (hazard, day, n, zscore), the last
     against the mean and deviation over the hazard's own days. ``hazards`` has the few hazards that there are."""
     known = hazards.select(hazard).distinct()
-    own = reports.filter(F.col(hazard) != "multiple").join(F.broadcast(known), hazard, "left_semi")
-    shared = reports.filter(F.col(hazard) == "multiple").drop(hazard).crossJoin(F.broadcast(known))
+    own = reports.filter(F.col(hazard) != "multiple").join(known, hazard, "left_semi")
+    # one row with the names of all hazards
+    names = known.agg(F.collect_list(hazard).alias("_all"))
+    shared = reports.filter(F.col(hazard) == "multiple").select(day).crossJoin(F.broadcast(names)).select(day, F.explode("_all").alias(hazard))
     daily = own.select(hazard, day).unionByName(shared.select(hazard, day)).groupBy(hazard, day).agg(F.count(F.lit(1)).alias("n"))
     stats = daily.groupBy(hazard).agg(F.avg("n").alias("_m"), F.stddev_samp("n").alias("_s"))
-    return daily.join(F.broadcast(stats), hazard).select(hazard, day, "n", F.try_divide(F.col("n") - F.col("_m"), F.col("_s")).alias("zscore"))
+    return daily.join(stats, hazard).select(hazard, day, "n", F.try_divide(F.col("n") - F.col("_m"), F.col("_s")).alias("zscore"))
 
 
 def stratified_epoch(events: DataFrame, signal: DataFrame, metrics: list[str], window: int, iters: int, seed: int, first_day, last_day, hazard: str = "hazard", min_mag: float | None = None, without_source: str | None = None, least_events: int = 50, least_days: int = 30, alpha: float = 0.05, families: int = 5, mag: str = "mag", source: str = "source", day: str = "d", ident: str = "event_id") -> DataFrame:
@@ -97,12 +99,12 @@ def stratified_epoch(events: DataFrame, signal: DataFrame, metrics: list[str], w
         events = events.filter(~F.contains(F.col(source), F.lit(without_source)))
     counts = events.groupBy(hazard).agg(F.count(F.lit(1)).alias("n_events")).filter(F.col("n_events") >= least_events)
     counts = counts.join(signal.groupBy(hazard).agg(F.count(F.lit(1)).alias("_d")).filter(F.col("_d") >= least_days), hazard).select(hazard, "n_events")
-    events = events.join(F.broadcast(counts.select(hazard)), hazard, "left_semi")
+    events = events.join(counts.select(hazard), hazard, "left_semi")
     seen = epoch_join(events.select(hazard, ident, day), signal.select(hazard, day, *metrics), window, day, [hazard]).unpivot([hazard, "rel_day"], metrics, "metric", "value")
     seen = seen.groupBy(hazard, "metric", "rel_day").agg(F.avg("value").alias("obs_mean"), F.count("value").alias("n_obs"))
     null = permuted_epoch(events, signal, metrics, window, iters, seed, first_day, last_day, day, ident, [hazard])
     out = epoch_z(seen, null, [hazard, "metric", "rel_day"]).withColumn("bonferroni", F.col("p_value") < alpha / families)
-    return out.join(F.broadcast(counts), hazard)
+    return out.join(counts, hazard)
 
 
 def pre_post_contrast(events: DataFrame, signal: DataFrame, feature: str, weight: str, source: str, window: int, iters: int, seed: int, first_day, last_day, day: str = "d", ident: str = "event_id") -> DataFrame:
@@ -111,7 +113,7 @@ def pre_post_contrast(events: DataFrame, signal: DataFrame, feature: str, weight
 
     The feature is standardised within its source; sources without deviation have no say."""
     stats = signal.groupBy(source).agg(F.avg(feature).alias("_m"), F.stddev_samp(feature).alias("_s"))
-    z = signal.join(F.broadcast(stats), source).withColumn("_z", F.when(F.col("_s") > 0, (F.col(feature) - F.col("_m")) / F.col("_s"))).filter("_z IS NOT NULL")
+    z = signal.join(stats, source).withColumn("_z", F.when(F.col("_s") > 0, (F.col(feature) - F.col("_m")) / F.col("_s"))).filter("_z IS NOT NULL")
     daily = z.groupBy(day).agg(F.sum(F.col("_z") * F.col(weight)).alias("_wz"), F.sum(weight).cast("double").alias("_w"))
 
     def contrast(sums: DataFrame, by: list[str]) -> DataFrame:

@@ -34,10 +34,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def mixed_sql(x: str) -> str:
     """SQL of ``mixed`` by 128-bit numbers."""
     times = lambda z, k: f"(({z})::UHUGEINT * {k}::UHUGEINT % 18446744073709551616::UHUGEINT)"
-    z = times(x, GAMMA)
-    z = times(f"list_transform([{z}], lambda w_: xor(w_, w_ >> 30))[1]", MIX_1)
-    z = times(f"list_transform([{z}], lambda w_: xor(w_, w_ >> 27))[1]", MIX_2)
-    return f"list_transform([{z}], lambda w_: xor(w_, w_ >> 31))[1]"
+    folded = lambda z, k: f"xor({z}, {z} >> {k})"
+    return folded(times(folded(times(folded(times(x, GAMMA), 30), MIX_1), 27), MIX_2), 31)
 
 
 class Poisson:

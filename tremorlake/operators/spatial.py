@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from itertools import product
 
@@ -13,8 +14,8 @@ from tremorlake.functions.exprs import EARTH_KM, haversine_km
 from tremorlake.operators.checkpoints import written
 
 CELL = 10
-#: Widths of the cells in which the nearest event is looked for, in radii of the earth.
-NEAR_SIDES = (1 / 32, 1 / 8, 1 / 2)
+#: Narrowest and widest cells in which the nearest event is looked for first, in radii of the earth.
+NEAR_SIDES = (1 / 512, 1 / 2)
 
 
 def _cells(low, high, size: float):
@@ -51,7 +52,7 @@ def _moved(cell: F.Column):
     return lambda o: F.struct(*((cell[n] + o[n]).alias(n) for n in "xyz"))
 
 
-def nearest_event(points: DataFrame, events: DataFrame, min_days: int, max_days: int, keys: list[str], point_id: str, day: str = "d", event_id: str = "event_id", lat: str = "lat", lon: str = "lon", sides: tuple[float, ...] = NEAR_SIDES) -> DataFrame:
+def nearest_event(points: DataFrame, events: DataFrame, min_days: int, max_days: int, keys: list[str], point_id: str, day: str = "d", event_id: str = "event_id", lat: str = "lat", lon: str = "lon", sides: tuple[float, ...] | None = None) -> DataFrame:
     """For each point the nearest event of equal keys that is ``min_days`` to ``max_days`` after it, with its distance;
     ties go to the smaller event id. Points and events without a place or day are left out, as are points without an event.
 
@@ -63,6 +64,10 @@ def nearest_event(points: DataFrame, events: DataFrame, min_days: int, max_days:
     since = lambda c: F.datediff(c, F.lit("1970-01-01"))
     p = _on_sphere(points.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()), lat, lon).select(*keys, F.col(point_id).alias("_p"), F.col(lat).alias("_plat"), F.col(lon).alias("_plon"), since(day).alias("_pd"), *(F.col(f"_{c}").alias(f"_p{c}") for c in "xyz"))
     e = _on_sphere(events.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()), lat, lon).select(*keys, F.col(event_id).alias("_e"), F.col(lat).alias("_elat"), F.col(lon).alias("_elon"), since(day).alias("_ed"), "_x", "_y", "_z").withColumn("_b", F.floor(F.col("_ed") / width))
+    if sides is None:  # from about the distance between events of one bucket on, each ring four times as wide
+        n = e.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("n")).agg(F.avg("n")).first()[0] or 1.0
+        side = 2.0 ** round(math.log2(min(max(math.sqrt(4 * math.pi / n), NEAR_SIDES[0]), NEAR_SIDES[1])))
+        sides = tuple(side * 4**k for k in range(6) if side * 4**k < 1)
     rest = written(p)
     around = F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip(o, "xyz", strict=True))) for o in product((-1, 0, 1), repeat=3)))
     octants = F.array(*(F.struct(*(F.lit(v).cast("int").alias(n) for v, n in zip(o, "xyz", strict=True))) for o in product((-1, 0, 1), repeat=3)))

@@ -60,7 +60,7 @@ def uniform_null_p(df: DataFrame, bin_col: str, bins: int, iters: int, seed: int
     obs = chi2(df.groupBy(*by, bin_col).agg(count), by)
     drawn = df.select(*by, ident).withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(iters - 1))))
     null = chi2(drawn.groupBy(*by, "iter", (portable_draw(seed, "iter", ident) % bins).alias("_b")).agg(count), [*by, "iter"])
-    j = null.select(*by, F.col("chi2").alias("_c")).join(F.broadcast(obs), by)
+    j = null.select(*by, F.col("chi2").alias("_c")).join(obs, by)
     # equal counts may differ in the last place of their sums
     return j.groupBy(*by, "n", "chi2").agg(F.avg("_c").alias("null_mean"), F.avg((F.col("_c") >= F.col("chi2") - 1e-9).cast("int")).alias("p"))
 
@@ -157,6 +157,12 @@ def binary_metrics(df: DataFrame, y: str, p: str, by: list[str] | None = None) -
     )
 
 
+def set_deltas(scores: DataFrame, y: str, p: str, model: str, base: str) -> DataFrame:
+    """Metrics of each model's scores, with ``delta``: its AUROC less that of the model named ``base``."""
+    m = binary_metrics(scores, y, p, [model])
+    return m.crossJoin(F.broadcast(m.filter(F.col(model) == base).select(F.col("auroc").alias("_base")))).withColumn("delta", F.col("auroc") - F.col("_base")).drop("_base")  # one row
+
+
 def verdict(df: DataFrame, positives: str, auroc: str, fold_std: str, threshold: float = 0.55, least: int = 5, unstable: float = 0.15, base_auroc: str | None = None, delta: float = 0.03) -> DataFrame:
     """Adds ``verdict``: too few positives or no score, no skill, skill, or skill that differs much between folds. With
     ``base_auroc``, skill is also ``delta`` more than that of the base model."""

@@ -129,8 +129,8 @@ def d23(spark, d):
 
 def _counts(k: str, side: int) -> str:
     """SQL of the replicates' Poisson counts of mean ``k``: (iter, n_below, c), by inverting the distribution's running sums."""
-    key = mixed_sql(f"n_below * 2 + {side} + ({SEED}::UBIGINT << 40)")
-    u = f"(({mixed_sql('(z::UHUGEINT + iter) % 18446744073709551616::UHUGEINT')} >> 11)::DOUBLE + 0.5) / 9007199254740992"
+    key = mixed_sql(f"(n_below * 2 + {side})::UHUGEINT + ({SEED}::UHUGEINT << 40)")
+    u = f"(({mixed_sql('(z::UHUGEINT + iter::UHUGEINT) % 18446744073709551616::UHUGEINT')} >> 11)::DOUBLE + 0.5) / 9007199254740992"
     return f"""d{side} AS (SELECT n_below, {k} AS k, {key} AS z FROM t WHERE {k} > 0), u{side} AS (SELECT n_below, k, iter, {u} AS u FROM d{side}, it),
     ks{side} AS (SELECT DISTINCT k, greatest(0, floor(k - 12 * sqrt(k) - 24))::BIGINT AS lo, ceil(k + 12 * sqrt(k) + 24)::BIGINT AS hi FROM d{side}),
     pj{side} AS (SELECT k, j, exp(-k + j * ln(k) - lgamma(j + 1)) AS p FROM (SELECT k, unnest(generate_series(lo, hi)) AS j FROM ks{side})), cj{side} AS MATERIALIZED (SELECT k, j, sum(p) OVER (PARTITION BY k ORDER BY j) AS cdf FROM pj{side}),
@@ -302,10 +302,20 @@ def _ablation(spark, d):
 @query("h21_ablation")
 def h21(spark, d):
     """AUROC of environment, field, seismic and combined features, and what each set gains over the seismic one."""
-    _, scores, _ = _ablation(spark, d)
-    m = S.binary_metrics(scores, "y", "p", ["set"])
-    base = m.filter("set = 'seismic'").select(F.col("auroc").alias("_base"))
-    return m.crossJoin(F.broadcast(base)).select("set", "n", "positives", F.round("auroc", 4).alias("auroc"), F.round(F.col("auroc") - F.col("_base"), 4).alias("delta"), F.round("brier", 4).alias("brier"))
+    return S.set_deltas(_ablation(spark, d)[1], "y", "p", "set", "seismic").select("set", "n", "positives", *(F.round(c, 4).alias(c) for c in ("auroc", "delta", "brier")))
+
+
+@query(
+    "h21_deltas",
+    f"""WITH two AS (SELECT 'env' AS set_, CAST(l_returnflag = 'R' AS INT) AS y, l_tax AS p FROM lineitem UNION ALL SELECT 'tec', CAST(l_returnflag = 'R' AS INT), l_discount FROM lineitem UNION ALL SELECT 'seismic', CAST(l_returnflag = 'R' AS INT), l_quantity FROM lineitem UNION ALL SELECT 'combined', CAST(l_returnflag = 'R' AS INT), l_quantity + 10 * l_discount FROM lineitem),
+    {_auroc("p", "set_", "a")} SELECT set_ AS set, positives, round(auroc, 6) AS auroc, round(auroc - (SELECT auroc FROM a WHERE set_ = 'seismic'), 6) AS delta FROM a""",
+)
+def h21_deltas(spark, d):
+    """What feature sets gain over one of them, for scores that are columns of a table."""
+    li, y = table(spark, d, "lineitem"), (F.col("l_returnflag") == "R").cast("int").alias("y")
+    each = F.array(*(F.struct(F.lit(s).alias("set"), x.alias("p")) for s, x in (("env", F.col("l_tax")), ("tec", F.col("l_discount")), ("seismic", F.col("l_quantity").cast("double")), ("combined", F.col("l_quantity") + 10 * F.col("l_discount")))))
+    scores = li.select(y, F.explode(each).alias("x")).select("y", "x.set", "x.p")
+    return S.set_deltas(scores, "y", "p", "set", "seismic").select("set", "positives", F.round("auroc", 6).alias("auroc"), F.round("delta", 6).alias("delta"))
 
 
 @query("h21_importances")
