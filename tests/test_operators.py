@@ -35,6 +35,20 @@ def test_decluster_against_walking_in_time(spark):
     assert len(got) == len(rows) and {r.event_id for r in got if not r.is_mainshock} == removed and removed
 
 
+def test_a_long_chain_of_windows_takes_few_rounds(spark):
+    # at one place each event lies in the window of the one before it only, so every second one stays
+    rows = [(i, date(2000, 1, 1) + timedelta(days=9 * i), 10.0, 20.0, 3.0) for i in range(300)]
+    rows = [(i, d, la, lo, 3.1) for i, d, la, lo, _ in rows] + [(1000, date(2000, 1, 5), None, 20.0, 7.0)]
+    df = spark.createDataFrame(rows, "event_id long, d date, lat double, lon double, magnitude double")
+    days = 10 ** (0.5409 * 3.1 - 0.547)
+    assert 9 < days < 18
+    for block, most in ((20_000, 1), (50, 7)):
+        cuts = []
+        got = spatial.decluster(df, checkpoint=lambda x, cuts=cuts: cuts.append(1) or checkpointed(x), block_events=block).collect()
+        assert {r.event_id: r.is_mainshock for r in got} == {i: i % 2 == 0 for i in range(300)} | {1000: True}
+        assert (len(cuts) - 2) / 2 <= most  # rounds
+
+
 def test_boxes_hold_their_edges(spark):
     pts = spark.createDataFrame([(1, 10.0, 20.0), (2, 9.999, 20.0), (3, None, 1.0), (4, -90.0, -180.0)], "id int, lat double, lon double")
     boxes = spark.createDataFrame([("a", 10.0, 20.0, 20.0, 30.0), ("w", -90.0, 90.0, -180.0, 180.0)], "fault_id string, lat_min double, lat_max double, lon_min double, lon_max double")

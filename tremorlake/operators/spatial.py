@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 from itertools import product
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tremorlake.functions.exprs import EARTH_KM, haversine_km
 from tremorlake.operators.checkpoints import written
+from tremorlake.operators.statistics import ranked
 
 CELL = 10
+#: Events of a block of the declustering walk.
+BLOCK_EVENTS = 20_000
 #: Narrowest and widest cells in which the nearest event is looked for first, in radii of the earth.
 NEAR_SIDES = (1 / 512, 1 / 2)
 
@@ -146,20 +151,57 @@ def window_edges(events: DataFrame, day: str = "d", ident: str = "event_id") ->
     return s.join(d, on).filter(later & close).select(F.col("s.id").alias("src"), F.col("d.id").alias("dst")).distinct()
 
 
-def decluster(events: DataFrame, ident: str = "event_id", checkpoint=lambda df: df.checkpoint()) -> DataFrame:
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Decides events of each block in the order of time from the rows (block, t, dst, src, main): removed if a main event points to
+    it, main if all that point to it are removed, else open until another block is decided."""
+    known: dict = {}
+    block = last = None
+    hit = wait = False
+    out: list[tuple] = []
+
+    def end():
+        if last is not None and (hit or not wait):
+            known[last[0]] = not hit
+            out.append((last[0], not hit))
+
+    for b in batches:
+        for blk, _, dst, src, main in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if last is None or (blk, dst) != (block, last[0]):
+                end()
+                if blk != block:
+                    known, block = {}, blk
+                last, hit, wait = (dst,), False, False
+            main = known.get(src) if main is None else main
+            hit, wait = hit or main is True, wait or main is None
+        if len(out) > 10_000:
+            yield pa.RecordBatch.from_pydict({"id": [i for i, _ in out], "main": [m for _, m in out]})
+            out = []
+    end()
+    if out:
+        yield pa.RecordBatch.from_pydict({"id": [i for i, _ in out], "main": [m for _, m in out]})
+
+
+def decluster(events: DataFrame, ident: str = "event_id", day: str = "d", checkpoint=lambda df: df.checkpoint(), block_events: int = BLOCK_EVENTS) -> DataFrame:
     """``events`` with ``is_mainshock``: walking in time, an event that is still a mainshock removes the later ones in its window.
 
-    In rounds, events to which no open event points become mainshocks, those they point to are removed, and
-    the removed point to nothing; a round cuts its lineage by a checkpoint. Ties in time go by id."""
-    edges = checkpoint(window_edges(events, ident=ident))
-    state = checkpoint(events.select(F.col(ident).alias("id")).distinct().withColumn("main", F.lit(None).cast("boolean")))
-    while True:
-        free = state.filter("main IS NULL").join(edges.select(F.col("dst").alias("id")).distinct(), "id", "left_anti").select("id")
-        hit = edges.join(free.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
-        marks = free.withColumn("now", F.lit(True)).unionByName(hit.withColumn("now", F.lit(False)))
-        state = checkpoint(state.join(marks, "id", "left").select("id", F.coalesce("main", "now").alias("main")))
-        open_ = state.filter("main IS NULL").select("id")
-        # edges between open events are all that is left to decide
-        edges = checkpoint(edges.join(open_.select(F.col("id").alias("src")), "src", "left_semi").join(open_.select(F.col("id").alias("dst")), "dst", "left_semi"))
-        if open_.isEmpty():
-            return events.join(state.select(F.col("id").alias(ident), F.col("main").alias("is_mainshock")), ident)
+    Events go by cell and time into blocks of at most ``block_events``. A round walks all blocks at once, each in time, with what is known of
+    the events of other blocks; a chain of events within a block takes one round, however long it is, and only edges whose
+    ends wait for another block are met again. A round cuts its lineage by checkpoints. Ties in time go by id; events without
+    a place or magnitude are mainshocks and remove none."""
+    cell = F.concat_ws(",", F.floor(F.col("lat") / CELL), F.floor(F.col("lon") / CELL))
+    e = events.select(F.col(ident).alias("id"), F.datediff(day, F.lit("1970-01-01")).alias("t"), cell.alias("_cell")).dropDuplicates(["id"])
+    placed = ranked(e, "_cell", "t", "id").select(F.col("id").alias("dst"), "t", F.floor((F.col("rank") - 1) / block_events).alias("block"))
+    edges = checkpoint(window_edges(events, day, ident))
+    first = edges.select("src").distinct().join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_anti").withColumn("main", F.lit(True))
+    rows = checkpoint(edges.join(placed, "dst").join(first, "src", "left").select("block", "t", "dst", "src", "main"))
+    kind = edges.schema["dst"].dataType.simpleString()
+    done = []
+    while not rows.isEmpty():
+        decided = checkpoint(rows.repartition("block").sortWithinPartitions("block", "t", "dst").mapInArrow(_walk, f"id {kind}, main boolean"))
+        done.append(decided)
+        rows = rows.join(decided.select(F.col("id").alias("dst")), "dst", "left_anti").join(decided.select(F.col("id").alias("src"), F.col("main").alias("now")), "src", "left")
+        rows = checkpoint(rows.select("block", "t", "dst", "src", F.coalesce("main", "now").alias("main")))
+    if not done:
+        return events.withColumn("is_mainshock", F.lit(True))
+    state = reduce(DataFrame.unionByName, done).withColumnRenamed("id", "_id")
+    return events.join(state, F.col(ident) == F.col("_id"), "left").withColumn("is_mainshock", F.coalesce("main", F.lit(True))).drop("_id", "main")
