@@ -28,7 +28,7 @@ from tremorlake.llm.common import drop_folder, shared_dir
 SHARD_KEYS = 1 << 15
 BLOCK_KEYS = 1 << 22
 #: Segments of text that a task keeps aligned; beyond it half of them go, but the first ones, which are the frequent ones, stay.
-CACHE_SEGMENTS = 250_000
+CACHE_SEGMENTS = 600_000
 #: Characters of texts that a task works on at once.
 BATCH_CHARS = 500_000
 #: Segments that are encoded in one call.
