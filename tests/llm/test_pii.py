@@ -85,3 +85,9 @@ def test_many_spans(spark):
         assert pii.digest(one).first().n_email == n // 2
         took.append(time.time() - start)
     assert took[1] < 20 * took[0]
+
+
+def test_redaction_with_clashing_names(spark):
+    df = spark.createDataFrame([(1, "mail a@b.co now", "n", 5)], "doc_id long, text string, _pii_note string, spans int")
+    out = pii.redact(df)
+    assert out.columns == ["doc_id", "text", "spans"] and out.first().text == "mail [EMAIL] now"

@@ -49,3 +49,11 @@ def test_query_and_its_sql(spark, tmp_path):
     assert {x.doc_id: (x.size, x.text_crc32) for x in got} == sizes and len(got) == 300
     sql = duckdb.sql(queries.ORACLES["op9_interleaved_shards"].replace("FROM documents", f"FROM '{path}/*.parquet'"))
     assert sorted(map(tuple, sql.fetchall())) == sorted(map(tuple, got)) and sql.columns == list(got[0].asDict())
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(i, "ab"[i % 2], i, "r", 1, 2, 3, "s") for i in range(30)], "doc_id long, source string, _ps_s int, _rn string, _before int, _n int, shard int, _ps_rank string")
+    out = sharding.interleaved(df, 4)
+    assert out.columns == ["doc_id", "source", "_rn", "_before", "_n", "shard", "slot"]
+    rows = out.collect()
+    assert len(rows) == 30 and {r._rn for r in rows} == {"r"} and {r["shard"] for r in rows} == {0, 1, 2, 3}

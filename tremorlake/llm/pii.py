@@ -175,8 +175,8 @@ def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def redact(df: DataFrame, text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
     """``df`` with each stretch covered by spans replaced by its first kind in brackets; null texts stay null.
     Spans whose context lowers their score below ``min_score`` stay as they are, such as version numbers
-    that look like addresses. Columns keep their order; other columns are carried along; repeated rows give
-    repeated rows, an empty table none."""
+    that look like addresses. Columns keep their order; other columns are carried along, but for those that
+    begin with ``_pii_``; repeated rows give repeated rows, an empty table none."""
     row = with_spans(df, text_col, "_pii_all")
     text = F.col(text_col)
     spans = F.filter("_pii_all", lambda s: s["score"] >= min_score)
@@ -194,4 +194,4 @@ def redact(df: DataFrame, text_col: str = "text", min_score: float = MIN_SCORE)
     marked = F.zip_with("_pii_all", "_pii_ends", lambda s, at: F.when(s["start"] >= at, F.concat(stretch(at, s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(""))
     last = F.greatest(F.element_at("_pii_ends", -1), F.element_at("_pii_all", -1)["stop"])
     clean = F.concat(F.array_join(marked, ""), stretch(last, F.col("_pii_length")))
-    return row.select(*(F.when(F.size("_pii_all") > 0, clean).otherwise(text).alias(c) if c == text_col else F.col(c) for c in df.columns))
+    return row.select(*(F.when(F.size("_pii_all") > 0, clean).otherwise(text).alias(c) if c == text_col else F.col(c) for c in df.columns if not c.startswith("_pii_")))

@@ -14,16 +14,16 @@ HASH_BITS = 60
 
 def _sliced_rank(df: DataFrame, keys: list[str], slice_col: str, order: list[Column], rank: str, total: str) -> DataFrame:
     """Adds ``rank`` (from 0, by slice and then ``order``, within ``keys``) and ``total`` (rows of ``keys``)."""
-    counts = df.groupBy(*keys, slice_col).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.groupBy(*keys, slice_col).agg(F.count(F.lit(1)).alias("_ps_c"))
     over = W.partitionBy(*keys)
     counts = counts.select(
         *keys,
         slice_col,
-        (F.sum("_n").over(over.orderBy(slice_col).rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")).alias("_before"),
-        F.sum("_n").over(over).alias(total),
+        (F.sum("_ps_c").over(over.orderBy(slice_col).rowsBetween(W.unboundedPreceding, 0)) - F.col("_ps_c")).alias("_ps_before"),
+        F.sum("_ps_c").over(over).alias(total),
     )
-    numbered = df.withColumn("_rn", F.row_number().over(W.partitionBy(*keys, slice_col).orderBy(*order)))
-    return numbered.join(counts, [*keys, slice_col]).withColumn(rank, F.col("_before") + F.col("_rn") - 1).drop("_before", "_rn")
+    numbered = df.withColumn("_ps_rn", F.row_number().over(W.partitionBy(*keys, slice_col).orderBy(*order)))
+    return numbered.join(counts, [*keys, slice_col]).withColumn(rank, F.col("_ps_before") + F.col("_ps_rn") - 1).drop("_ps_before", "_ps_rn")
 
 
 def interleaved(df: DataFrame, n_shards: int, id_col: str = "doc_id", stratum_col: str = "source", seed: int = 42) -> DataFrame:
@@ -37,9 +37,9 @@ def interleaved(df: DataFrame, n_shards: int, id_col: str = "doc_id", stratum_co
     stratum of its own, and null ids are hashed as empty. Ties and
     repeated rows take neighbouring ranks in any order. An empty table gives no rows. Other
     columns are carried along; the names ``shard`` and ``slot`` and names that begin with
-    ``_ps_`` are the operator's own and replace columns of those names.
+    ``_ps_`` are the operator's own: columns of those names do not come through.
     """
-    cols = [c for c in df.columns if c not in ("shard", "slot")]
+    cols = [c for c in df.columns if c not in ("shard", "slot") and not c.startswith("_ps_")]
     stratum = F.concat(F.when(F.col(stratum_col).isNull(), "").otherwise("="), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")))
     drawn = F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, HASH_BITS // 4)
     row = df.select(*cols, stratum.alias("_ps_s"), F.conv(drawn, 16, 10).cast("long").alias("_ps_h"))
