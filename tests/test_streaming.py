@@ -34,15 +34,20 @@ def test_upserts_rewrite_touched_buckets_only(spark, tmp_path):
 
 
 def test_log_of_more_batches_than_spark_keeps(spark, tmp_path):
-    src = tmp_path / "in"
-    for i in range(120):
+    src, name = tmp_path / "in", "spark.sql.streaming.numRecentProgressUpdates"
+    for i in range(25):
         land(src, f"{i:03}.json", [(f"k{i}", "2025-01-01T00:00:00", 1.0)] * (1 + i % 3))
-    with feeds.RunLog(spark, str(tmp_path / "log")) as log:
-        q = feeds.feed_stream(spark, str(src), SCHEMA, files_per_trigger=1).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-        q.awaitTermination()
-        assert log.wait(q)
+    kept = spark.conf.get(name)
+    spark.conf.set(name, "10")
+    try:
+        with feeds.RunLog(spark, str(tmp_path / "log")) as log:
+            q = feeds.feed_stream(spark, str(src), SCHEMA, files_per_trigger=1).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+            q.awaitTermination()
+            assert log.wait(q) and len(q.recentProgress) <= 10
+    finally:
+        spark.conf.set(name, kept)
     rows = log.read().filter(F.col("run") == str(q.runId)).collect()
-    assert sorted(r.batch for r in rows) == list(range(120)) and sum(r.rows for r in rows) == 240
+    assert sorted(r.batch for r in rows) == list(range(25)) and sum(r.rows for r in rows) == 49
 
 
 def test_silent_feeds_beat(spark, tmp_path):
