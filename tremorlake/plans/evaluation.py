@@ -278,6 +278,31 @@ def h15(spark, d):
     return boosting.importances(models, ["zone"]).select("zone", "feature", F.round("share", 6).alias("share"))
 
 
+#: The first split of the first tree, by the definition: quantile classes, drawn rows, whole-number gradients, gains of all cuts.
+STUMP = f"""WITH panel AS ({ORACLES["seismic_panel"]}), strong AS (SELECT zone, d FROM (SELECT *, row_number() OVER (PARTITION BY zone ORDER BY magnitude DESC, event_id) AS r FROM ({EV})) WHERE r <= {STRONGEST}),
+    tr AS (SELECT *, zone || '|' || CAST(d AS VARCHAR) AS row_id, CAST(EXISTS (SELECT 1 FROM strong s WHERE s.zone = panel.zone AND s.d BETWEEN panel.d + 1 AND panel.d + 7) AS INT) AS y FROM panel WHERE split = 'train'),
+    wt AS (SELECT zone, (count(*) - sum(y))::DOUBLE / sum(y) AS w FROM tr GROUP BY 1),
+    gh AS (SELECT zone, row_id, floor(ww * (0.5::DOUBLE - y) * 1048576 + 0.5::DOUBLE) AS g, floor(ww * 0.25::DOUBLE * 1048576 + 0.5::DOUBLE) AS h FROM (SELECT tr.zone, row_id, y, CASE WHEN y = 1 THEN w ELSE 1.0::DOUBLE END * CASE WHEN ({draw("row_id")} % 2147483647 * 48271 % 2147483647) / 2147483647::DOUBLE < 0.8::DOUBLE THEN 1 ELSE 0 END AS ww FROM tr JOIN wt USING (zone))),
+    long AS ({" UNION ALL ".join(f"SELECT zone, row_id, {i} AS f, '{c}' AS feature, coalesce({c}, 0)::DOUBLE AS x FROM tr" for i, c in enumerate(FEATURES))}),
+    edge AS (SELECT zone, f, quantile_disc(x, {[k / 32 for k in range(1, 32)]}) AS e FROM long GROUP BY 1, 2), cls AS (SELECT long.*, len(list_filter(e, lambda q: q < x)) AS c FROM long JOIN edge USING (zone, f)),
+    hist AS (SELECT zone, f, feature, c, sum(g) AS g, sum(h) AS h FROM cls JOIN gh USING (zone, row_id) GROUP BY ALL), cum AS (SELECT *, sum(g) OVER o / 1048576 AS gl, sum(h) OVER o / 1048576 AS hl, sum(g) OVER a / 1048576 AS ga, sum(h) OVER a / 1048576 AS ha FROM hist WINDOW o AS (PARTITION BY zone, f ORDER BY c), a AS (PARTITION BY zone, f)),
+    gains AS (SELECT *, gl * gl / (hl + 1) + (ga - gl) * (ga - gl) / (ha - hl + 1) - ga * ga / (ha + 1) AS gain FROM cum WHERE c < 31 AND hl >= 5 AND ha - hl >= 5),
+    best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY zone ORDER BY gain DESC, f, c) AS r FROM gains) WHERE r = 1 AND gain > 0)
+    SELECT b.zone, b.feature, round(b.gain, 6) AS gain, round(1 / (1 + exp(CASE WHEN k.c <= b.c THEN gl / (hl + 1) ELSE (ga - gl) / (ha - hl + 1) END * 0.05::DOUBLE)), 9) AS p, count(*) AS n FROM best b JOIN cls k ON k.zone = b.zone AND k.f = b.f GROUP BY ALL"""
+
+
+@query("h15_first_split", STUMP)
+def h15_split(spark, d):
+    """One tree of one split for each zone: its feature and gain, and the chances of the rows on its two sides."""
+    from tremorlake.operators import boosting
+
+    train = _labelled_panel(spark, d).filter("split = 'train'")
+    models = boosting.fit_boosted(train, ["zone"], FEATURES, "y", "row_id", boosting.Boosting(rounds=1, depth=1, colsample=1.0))
+    sides = boosting.score(train, models, ["zone"], FEATURES, ["row_id"]).groupBy("zone", F.round("p", 9).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    split = boosting.importances(models, ["zone"]).filter("gain > 0").select("zone", "feature", F.round("gain", 6).alias("gain"))
+    return split.join(sides, "zone")
+
+
 ENV_FEATURES, TEC_FEATURES = ["kp_max", "sw_speed", "dst_min"], ["x", "x_30d"]
 SETS = {"env": ENV_FEATURES, "tec": TEC_FEATURES, "seismic": FEATURES, "env+tec": ENV_FEATURES + TEC_FEATURES, "combined": ENV_FEATURES + TEC_FEATURES + FEATURES}
 
