@@ -5,7 +5,7 @@ from datetime import date, timedelta
 import numpy as np
 from pyspark.sql import functions as F
 
-from tremorlake.operators import epoch, resampling, spatial, stations, statistics, tables, windows
+from tremorlake.operators import epoch, resampling, spatial, stations, statistics, tables, triangles, windows
 from tremorlake.operators.checkpoints import checkpointed
 from tremorlake.operators.matching import gazetteer_match
 
@@ -122,7 +122,7 @@ def test_stations(spark):
     r = random.Random(4)
     net = [("z", i, 35 + r.random(), 139 + r.random()) for i in range(12)]
     nd = spark.createDataFrame(net, "zone string, station_id int, lat double, lon double")
-    tri = stations.triangulate(nd, "zone")
+    tri = triangles.triangulate(nd, "zone")
     assert tri.count() >= 10
     lat0, lon0 = np.mean([x[2] for x in net]), np.mean([x[3] for x in net])
     xy = {i: (math.radians(lo - lon0) * 6371 * math.cos(math.radians(lat0)), math.radians(la - lat0) * 6371) for _, i, la, lo in net}

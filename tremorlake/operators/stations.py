@@ -1,4 +1,4 @@
-"""Station networks: residuals of a seasonal fit, triangles, strain."""
+"""Station networks: residuals of a seasonal fit, strain."""
 
 from __future__ import annotations
 
@@ -29,57 +29,6 @@ def secular_seasonal_resid(df: DataFrame, station: str, day: str, cols: list[str
     return df.select(station, day, *cols).groupBy(station).applyInPandas(fit, schema)
 
 
-def _delaunay(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int]]:
-    """Triangles of a small set of points, by adding them one by one and closing the hole of the triangles
-    whose circumcircle holds the new point."""
-    n = len(x)
-    span = max(np.ptp(x), np.ptp(y), 1.0) * 1e3
-    px, py = np.r_[x, x.mean() - span, x.mean() + span, x.mean()], np.r_[y, y.mean() - span, y.mean() - span, y.mean() + span]
-    found = {(n, n + 1, n + 2)}
-    for i in range(n):
-        bad = [t for t in found if _in_circle(px, py, t, i)]
-        edges: dict[tuple[int, int], int] = {}
-        for t in bad:
-            for a, b in ((t[0], t[1]), (t[1], t[2]), (t[2], t[0])):
-                key = (min(a, b), max(a, b))
-                edges[key] = edges.get(key, 0) + 1
-        found -= set(bad)
-        found |= {(a, b, i) for (a, b), k in edges.items() if k == 1}
-    return [tuple(sorted(t)) for t in found if max(t) < n]
-
-
-def _in_circle(px, py, t, i) -> bool:
-    ax, ay, bx, by, cx, cy = px[t[0]] - px[i], py[t[0]] - py[i], px[t[1]] - px[i], py[t[1]] - py[i], px[t[2]] - px[i], py[t[2]] - py[i]
-    det = (ax * ax + ay * ay) * (bx * cy - cx * by) - (bx * bx + by * by) * (ax * cy - cx * ay) + (cx * cx + cy * cy) * (ax * by - bx * ay)
-    turn = (bx - ax) * (cy - ay) - (cx - ax) * (by - ay)
-    return det * np.sign(turn) > 0
-
-
-def triangulate(net: DataFrame, zone: str, station: str = "station_id", max_edge_km: float = 300.0, min_area_km2: float = 1.0) -> DataFrame:
-    """Triangles of each zone's stations with corners in local kilometres and their area; long and flat ones are left
-    out. One group is one zone's stations, a few hundred; stations at one place count once."""
-    kinds = dict(net.dtypes)
-    schema = f"{zone} {kinds[zone]}, tri int, a {kinds[station]}, b {kinds[station]}, c {kinds[station]}, ax double, ay double, bx double, by double, cx double, cy double, area double"
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=["lat", "lon"]).sort_values(station).drop_duplicates(["lat", "lon"])
-        rows = []
-        if len(pdf) >= 3:
-            lat0, lon0 = pdf.lat.mean(), pdf.lon.mean()
-            x = np.radians(pdf.lon.to_numpy() - lon0) * 6371 * np.cos(np.radians(lat0))
-            y = np.radians(pdf.lat.to_numpy() - lat0) * 6371
-            for t in sorted(_delaunay(x, y)):
-                i, j, k = t
-                area = abs((x[j] - x[i]) * (y[k] - y[i]) - (x[k] - x[i]) * (y[j] - y[i])) / 2
-                edge = max(np.hypot(x[p] - x[q], y[p] - y[q]) for p, q in ((i, j), (j, k), (k, i)))
-                if edge <= max_edge_km and area >= min_area_km2:
-                    s = pdf[station].to_numpy()
-                    rows.append((pdf[zone].iloc[0], len(rows), s[i], s[j], s[k], x[i], y[i], x[j], y[j], x[k], y[k], area))
-        return pd.DataFrame(rows, columns=[zone, "tri", "a", "b", "c", "ax", "ay", "bx", "by", "cx", "cy", "area"])
-
-    return net.select(zone, station, "lat", "lon").groupBy(zone).applyInPandas(fit, schema)
-
-
 def strain(tri: DataFrame, motion: DataFrame, station: str, day: str = "d", east: str = "east", north: str = "north", zone: str = "zone", least: int = 3) -> DataFrame:
     """Area-weighted daily dilatation and shear by zone from the motion gradient of each triangle whose three stations
     reported; days with fewer than ``least`` triangles are left out."""

@@ -379,7 +379,7 @@ for _args in ("ax - bx, ay - by_", "bx - cx, by_ - cy", "cx - ax, cy - ay"):
 @query("h23_triangulate", f"WITH {TRIANGLES} SELECT zone, count(*) AS n, round(sum(area), 2) AS area FROM tri GROUP BY 1")
 def h23(spark, d):
     """Triangles of the stations by zone: their number and area."""
-    from tremorlake.operators.stations import triangulate
+    from tremorlake.operators.triangles import triangulate
 
     return triangulate(_network(spark, d), "zone").groupBy("zone").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("area"), 2).alias("area"))
 
@@ -393,7 +393,8 @@ def h23(spark, d):
 )
 def h24(spark, d):
     """Daily strain of the zones' triangles."""
-    from tremorlake.operators.stations import strain, triangulate
+    from tremorlake.operators.stations import strain
+    from tremorlake.operators.triangles import triangulate
 
     s = strain(triangulate(_network(spark, d), "zone"), stations(spark, d), "station_id")
     return s.select("zone", "d", F.round("dilatation", 4).alias("dilatation"), F.round("max_shear", 4).alias("max_shear"), "n_triangles")
