@@ -1,3 +1,4 @@
+import random
 import re
 
 from tremorlake.llm import licenses
@@ -70,6 +71,51 @@ def test_expressions_in_prose():
         assert (r["labels"], r["expressions"]) == (labels, found), text
 
 
+def test_identifiers_match_whole():
+    f = licenses.scanner()
+    for text, labels, free in [
+        ("SPDX-License-Identifier: CC-BY-NC-4.0", "cc-by,cc-by-nc", False),
+        ("SPDX-License-Identifier: CC-BY-ND-4.0 OR CC-BY-NC-SA-4.0", "cc-by,cc-by-nc-sa,cc-by-nd", False),
+        ("SPDX-License-Identifier: CC-BY-SA-4.0", "cc-by,cc-by-sa", False),
+        ("SPDX-License-Identifier: CC-BY-3.0-DE", "cc-by", True),
+        ("License: Mitigation plan", "", None),
+        ("license: mitral valve", "", None),
+        ("license: apachean people", "", None),
+        ("License: BSD-3-Clause-No-Nuclear-License", "bsd-3-clause-no-nuclear-license", None),
+        ("# SPDX-License-Identifier: GPL-2.0+ OR\n# MIT", "gpl,mit", True),
+        ("SPDX-License-Identifier: (GPL-3.0-only\n * AND\n * ISC)\nMIT", "gpl,isc", False),
+        ("License: MIT or\nsomething else", "mit", True),
+        ("License: MIT or well-known", "mit", True),
+        ('{"name": "x", "license": "MIT"}', "mit", True),
+        ("license = 'MIT OR Apache-2.0'", "apache,mit", True),
+        ('SPDX-License-Identifier = "LGPLv3+"', "lgpl", False),
+        ("License: BUSL-1.1", "busl", False),
+        ("license: Zlib", "zlib", True),
+    ]:
+        r = f(text)
+        assert r["labels"] == labels and (r["permissive"] == free or free is None and not r["permissive"]), (text, r)
+
+
+def plain_notices(text):
+    """Labels of the longest notice at each word, by slices."""
+    words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+    found = set()
+    for i in range(len(words)):
+        here = [p for p in licenses.NOTICE_PHRASES if words[i : i + p.count(" ") + 1] == p.split()]
+        found |= {licenses.NOTICE_PHRASES[max(here, key=len)]} if here else set()
+    return found - {""}
+
+
+def test_notices_against_a_plain_scanner():
+    r = random.Random(2)
+    f = licenses.scanner()
+    pieces = [*licenses.NOTICE_PHRASES, *licenses.BASE_PHRASES, "cc", "by", "the", "creative commons", "Noncommercial", "zlib"]
+    for _ in range(300):
+        text = r.choice([" ", "-", ", "]).join(r.choice(pieces) for _ in range(r.randrange(12)))
+        base = brute(text)[4]
+        assert f(text)["labels"] == ",".join(sorted(plain_notices(text) | set(filter(None, base.split(","))))), text
+
+
 def test_time_is_linear_in_hits():
     import time
 
