@@ -3,6 +3,8 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
+
 from tremorlake.llm import fertility
 from tremorlake.llm.queries import FERTILITY, vocab_path
 
@@ -111,3 +113,24 @@ def test_windows_of_equal_hashes(monkeypatch):
     codes = np.array([ord(w) for x in words for w in x], np.int64)
     got = fertility.repeated_words(codes, np.repeat(np.arange(50), [len(x) for x in words]), 50)
     assert got.tolist() == [brute(t)[4] for t in texts]
+
+
+def test_parts_are_cut_by_bytes(monkeypatch):
+    monkeypatch.setattr(fertility, "TEXTS", 3)
+    monkeypatch.setattr(fertility, "TEXT_BYTES", 10)
+    texts = ["aaaa", None, "", "bbbb", "é" * 6, "x", "y" * 40, "z" * 10, "", "w"]
+    got = fertility.parts(pa.array(texts))
+    assert got == [(0, 3), (3, 1), (4, 1), (5, 1), (6, 1), (7, 2), (9, 1)]
+    assert fertility.parts(pa.array([], pa.string())) == []
+
+
+def test_long_texts_measure_the_same_side_by_side_and_alone():
+    with open(vocab_path(FERTILITY[0]), "rb") as f:
+        vocabs = [(FERTILITY[0], f.read())]
+    texts = ["the slow fault creeps and the tremor follows " * 8_000, "word " * 3, None, "x" * 300_000]
+    together = fertility.Fertility(vocabs).columns(texts)
+    for i, t in enumerate(texts):
+        alone = fertility.Fertility(vocabs).columns([t])
+        for k in ("n_words", "word_chars", "n_repeat_words", "n_tokens_0", "byte_share_0"):
+            assert together[k][i] == alone[k][0], (i, k)
+        assert abs(together["token_entropy_0"][i] - alone["token_entropy_0"][0]) < 1e-9

@@ -27,8 +27,8 @@ SEPARATORS = " \t\n\v\f\r"
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-#: Texts measured at once in a task.
-TEXTS = 128
+#: Texts measured at once in a task, and their bytes together; a longer text is measured by itself.
+TEXTS, TEXT_BYTES = 128, 1 << 20
 #: Words whose tokens a worker keeps; the cache starts anew beyond it.
 CACHE_WORDS = 50_000
 
@@ -186,6 +186,18 @@ class Fertility:
         return len(lines) - len(set(lines))
 
 
+def parts(column: pa.Array) -> list[tuple[int, int]]:
+    """Runs of rows (first, number) of at most ``TEXTS`` texts and, but for runs of one, ``TEXT_BYTES`` bytes."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    out, start, held = [], 0, 0
+    for i, n in enumerate(sizes):
+        if i > start and (i - start == TEXTS or held + n > TEXT_BYTES):
+            out.append((start, i - start))
+            start, held = i, 0
+        held += n
+    return [*out, (start, len(sizes) - start)] if sizes else out
+
+
 def _schema(n_vocabs: int) -> str:
     return "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, script string" + "".join(f", n_tokens_{k} long, chars_per_token_{k} double, byte_share_{k} double, token_entropy_{k} double" for k in range(n_vocabs))
 
@@ -205,8 +217,8 @@ def _measured(df: DataFrame, paths: list[str], text_col: str) -> DataFrame:
         f = None
         for batch in batches:
             f = f or Fertility(vocabs.value)
-            for a in range(0, batch.num_rows, TEXTS):
-                part = batch.slice(a, TEXTS)
+            for a, n in parts(batch.column(at)):
+                part = batch.slice(a, n)
                 got = f.columns(part.column(at).to_pylist())
                 cols = [got[n.name[3:]] for n in arrow]
                 yield pa.RecordBatch.from_arrays([*part.columns, *(c if isinstance(c, pa.Array) else pa.array(c, n.type) for c, n in zip(cols, arrow, strict=True))], names=[*part.schema.names, *arrow.names])
