@@ -130,3 +130,65 @@ def test_near_copies_against_brute_force(spark, monkeypatch, hot_group, broadcas
     caught = [i for i in near if 1000 + i not in kept]
     assert len(near) > 150 and len(caught) >= 0.9 * len(near)
     assert all(similarity(texts[i], t) > 0.5 for i, t in pairs if 1000 + i not in kept)
+
+
+def shingles(text):
+    w = text.lower().split()
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def brute_kept(rows):
+    """Smallest ids of the components of the links at a similarity of 0.8 and more."""
+    sets = [(i, shingles(t)) for i, t in rows]
+    root = {i: i for i, _ in rows}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, (i, a) in enumerate(sets):
+        for j, b in sets[:k]:
+            both = len(a & b)
+            if a == b or 9 * both >= 4 * (len(a) + len(b)) and both:
+                x, y = top(i), top(j)
+                root[max(x, y)] = min(x, y)
+    return {i for i, _ in rows if top(i) == i}
+
+
+@pytest.mark.parametrize("hot_group", [4096, 6])
+def test_no_link_of_the_threshold_is_left_out(spark, monkeypatch, hot_group):
+    monkeypatch.setattr(simhash, "HOT_GROUP", hot_group)
+    r = random.Random(31)
+    word = lambda: f"w{r.randrange(4000)}"
+    text = lambda n: [word() for _ in range(n)]
+    texts = []
+    for n in (5, 8, 9, 24, 104, 204):  # pairs from 0.7 to 0.9 by words at the end, many at 0.8 itself
+        for k in range(40):
+            a = text(n)
+            cut = max(1, round((n - 4) * (0.2 if k % 2 else r.uniform(0.1, 0.3))))
+            texts += [a, a[:-cut] if k % 3 else a[: -cut // 2] + text(cut // 2)]
+    base = text(124)  # one large group, of which some are linked by others only
+    for _ in range(60):
+        a = list(base)
+        for _ in range(r.choice([1, 2, 3, 4, 5])):
+            a[r.randrange(len(a))] = word()
+        texts.append(a)
+    passage = text(60)  # long and common, but below the threshold
+    texts += [text(r.choice([5, 15, 30])) + passage + text(4) for _ in range(60)]
+    rows = list(enumerate(" ".join(t) for t in texts))
+    r.shuffle(rows)
+    kept = {x.doc_id for x in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    want = brute_kept(rows)
+    assert kept == want and len(rows) - len(want) > 150
+
+
+def test_candidate_keys_hold_a_shared_shingle():
+    r = np.random.default_rng(4)
+    often = r.choice(np.arange(1, 400, dtype=np.uint64), 90, replace=False)
+    by_hash = np.argsort(often)
+    for n in range(1, 120):
+        a = np.sort(r.choice(np.arange(400, dtype=np.uint64), n, replace=False))
+        b = a[r.permutation(n)[: -(-4 * n // 5)]]
+        keys = [set(simhash.candidate_keys(np.sort(x), often[by_hash], by_hash).tolist()) for x in (a, b)]
+        assert len(keys[0]) == n // 5 + 1 and keys[0] & keys[1]
