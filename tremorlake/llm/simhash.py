@@ -335,6 +335,8 @@ NEAR_WORDS, NEAR_BITS = 4, 102
 LISTED, OFTEN = 1 << 18, 16
 #: Candidate keys that a task gets, about, and rows of candidates that a task gathers at once.
 DEALT, HELD = 1 << 18, 1 << 17
+#: Texts that a task compares, about.
+COMPARED = 1 << 10
 #: Texts whose bits are added up at once.
 TEXTS = 16
 #: Rows to drop, or to compare, are broadcast up to this many.
@@ -415,11 +417,14 @@ def similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, keep) -> DataF
     ends = pairs.select(F.col("a").alias("node"), F.lit(True).alias("left")).union(pairs.select("b", F.lit(False)))
     ends = ends.groupBy("node").agg(F.max("left").alias("is_a"), F.min("left").alias("not_b"))
     ends = keep(ends.join(nodes.select("node", F.col("id").alias("nid"), F.col("th").alias("nth")), "node"))
-    listed = F.broadcast(ends) if ends.count() <= BROADCAST_ROWS else ends
+    n = ends.count()
+    parts = 1 + n // COMPARED  # whole texts are sorted and compared: small parts
+    listed = F.broadcast(ends) if n <= BROADCAST_ROWS else ends
     same = F.col("id").eqNullSafe(F.col("nid")) & (F.col("th") == F.col("nth"))
-    sides = keep(texts.join(listed, same).select("node", "text", "is_a", "not_b").dropDuplicates(["node"]))
-    both = pairs.join(sides.filter("is_a").select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
-    both = both.join(sides.filter("NOT not_b").select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+    sides = keep(texts.join(listed, same).select("node", "text", "is_a", "not_b").repartition(parts, "node").dropDuplicates(["node"]))
+    x, y = sides.filter("is_a").select(F.col("node").alias("a"), F.col("text").alias("x")), sides.filter("NOT not_b").select(F.col("node").alias("b"), F.col("text").alias("y"))
+    both = pairs.repartition(parts, "a").join(x.repartition(parts, "a"), "a")
+    both = both.repartition(parts, "b").join(y.repartition(parts, "b"), "b")
 
     def make():
         def run(a, b, x, y):
