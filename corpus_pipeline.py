@@ -2,7 +2,8 @@
 
 Quality rules drop rejected documents, SimHash keeps one document of each group of near copies, decontamination drops
 documents that overlap a benchmark item, personal data is replaced by its kind, and the last
-stage encodes what is left.
+stage encodes what is left. Two stages leave the session's Arrow batches at a few MB, as their Python runs when the caller
+writes them.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremorlake.llm import bpe, decontaminate, fertility, pii, simhash
-from tremorlake.llm.common import drop_folder, shared_dir
+from tremorlake.llm.common import drop_folder, hold_batches, shared_dir
 from tremorlake.llm.queries import FERTILITY, vocab_path
 from tremorlake.sources.tables import table
 
@@ -27,6 +28,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    hold_batches(spark)  # its Python runs when the caller writes
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -37,6 +39,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    hold_batches(spark)
     return bpe.encode(docs, vocab_path("word_bpe_49k.json"))
 
 

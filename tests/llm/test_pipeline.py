@@ -1,5 +1,6 @@
 import hashlib
 import random
+import uuid
 
 import corpus_pipeline
 from tests.llm.test_pii import brute as brute_spans
@@ -42,3 +43,33 @@ def test_stages_return_documents(spark):
     for _, stage in corpus_pipeline.STAGES[:2] + corpus_pipeline.STAGES[3:4]:
         assert stage(spark, df, "").columns == df.columns
         assert stage(spark, df.limit(0), "").count() == 0
+
+
+def test_python_gets_small_batches(spark, tmp_path, monkeypatch):
+    noted, real = tmp_path / "noted", type(spark.range(0)).mapInArrow
+    noted.mkdir()
+
+    def noting(self, func, schema, *more):
+        def run(batches, folder=str(noted)):
+            def passed():
+                for b in batches:
+                    with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                        f.write(str(b.nbytes))
+                    yield b
+
+            return func(passed())
+
+        return real(self, run, schema, *more)
+
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", noting)
+    spark.createDataFrame([(0, " ".join(f"item{k}" for k in range(20)))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(i, f"word{i} " * 1500, "en", "s", 1) for i in range(900)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    name, before = "spark.sql.execution.arrow.maxBytesPerBatch", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    try:
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            spark.conf.set(name, before)
+            stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+    finally:
+        spark.conf.set(name, before)
+    sizes = [int(p.read_text()) for p in noted.iterdir()]
+    assert len(sizes) > 8 and 2 << 20 < max(sizes) < 6 << 20

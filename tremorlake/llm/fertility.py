@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tremorlake.llm.common import written
+from tremorlake.llm.common import small_batches, written
 from tremorlake.llm.substrings import rolling
 
 SYMBOLS = "#*$%&|<>"
@@ -285,7 +285,8 @@ def measure(df: DataFrame, vocab_paths: str | list[str], id_col: str = "doc_id",
     """
     paths = _paths(vocab_paths)
     src = df.select(df[id_col].alias("id"), df[text_col].alias("text"), (df[lang_col] if lang_col else F.lit(None)).cast("string").alias("lang"))
-    rows = written(_measured(src, paths, "text").drop("text"))
+    with small_batches(df.sparkSession):
+        rows = written(_measured(src, paths, "text").drop("text"))
     rows = _judged(rows, len(paths), F.col("lang"), bands)
     base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     more = [f"{c}_{k}" for k in range(len(paths)) for c in ("n_tokens", "chars_per_token", "byte_share", "token_entropy")]
@@ -297,5 +298,7 @@ def keep_good(df: DataFrame, vocab_paths: str | list[str], text_col: str = "text
     written with their measures to the shared folder; columns that begin with ``_m_`` are left out."""
     paths = _paths(vocab_paths)
     df = df.select(*(c for c in df.columns if not c.startswith("_m_")))
-    rows = _judged(written(_measured(df, paths, text_col)), len(paths), F.col(lang_col) if lang_col else F.lit(None), bands)
+    with small_batches(df.sparkSession):
+        rows = written(_measured(df, paths, text_col))
+    rows = _judged(rows, len(paths), F.col(lang_col) if lang_col else F.lit(None), bands)
     return rows.filter(F.col("_m_reasons") == "").select(*df.columns)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tremorlake.llm.common import arrow_map, checkpointed, drop_folder, shared_dir, written
+from tremorlake.llm.common import arrow_map, checkpointed, drop_folder, shared_dir, small_batches, written
 from tremorlake.llm.substrings import rolling
 
 MAX_BITS = 2
@@ -504,7 +504,8 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     kind = df.select(id_col).schema[0].dataType.simpleString()
     f = [f"f{k}" for k in range(NEAR_WORDS)]
     src = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    often = frequent_shingles(src)
+    with small_batches(df.sparkSession):
+        often = frequent_shingles(src)
 
     def make():
         from xxhash import xxh64_intdigest
@@ -528,14 +529,15 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     # what is written on the way is deleted at the end
     base = f"{shared_dir(df.sparkSession)}/near-{uuid4().hex}"
     keep = partial(written, folder=base)
-    fps = keep(arrow_map(src, f"id {kind}, th long, node long, n int, keys array<long>" + "".join(f", {w} long" for w in f), make))
-    roots = components(near_links(fps, src, keep)).withColumnRenamed("v", "node")
-    # rows of one id and text are one candidate to stay
-    rows = fps.groupBy("node", "id", "th").agg(F.count(F.lit(1)).alias("n")).join(roots, "node", "left")
-    rows = rows.withColumn("root", F.coalesce("root", "node")).withColumn("rank", F.struct(F.col("id").isNull().alias("none"), "id", "th"))
-    best = rows.groupBy("root").agg(F.min("rank").alias("best"))
-    rows = rows.join(best, "root").select("id", "th", "n", (F.col("rank") == F.col("best")).alias("stays"))
-    rows = checkpointed(rows.filter("NOT stays OR n > 1").select(F.col("id").alias("_near_id"), F.col("th").alias("_near_th"), "stays"))
+    with small_batches(df.sparkSession):
+        fps = keep(arrow_map(src, f"id {kind}, th long, node long, n int, keys array<long>" + "".join(f", {w} long" for w in f), make))
+        roots = components(near_links(fps, src, keep)).withColumnRenamed("v", "node")
+        # rows of one id and text are one candidate to stay
+        rows = fps.groupBy("node", "id", "th").agg(F.count(F.lit(1)).alias("n")).join(roots, "node", "left")
+        rows = rows.withColumn("root", F.coalesce("root", "node")).withColumn("rank", F.struct(F.col("id").isNull().alias("none"), "id", "th"))
+        best = rows.groupBy("root").agg(F.min("rank").alias("best"))
+        rows = rows.join(best, "root").select("id", "th", "n", (F.col("rank") == F.col("best")).alias("stays"))
+        rows = checkpointed(rows.filter("NOT stays OR n > 1").select(F.col("id").alias("_near_id"), F.col("th").alias("_near_th"), "stays"))
     drop_folder(df.sparkSession, base)
     by = {r.stays: r["count"] for r in rows.groupBy("stays").count().collect()}
     keyed = df.withColumn("_near_h", F.xxhash64(text_col))
