@@ -192,3 +192,74 @@ def test_candidate_keys_hold_a_shared_shingle():
         b = a[r.permutation(n)[: -(-4 * n // 5)]]
         keys = [set(simhash.candidate_keys(np.sort(x), often[by_hash], by_hash).tolist()) for x in (a, b)]
         assert len(keys[0]) == n // 5 + 1 and keys[0] & keys[1]
+
+
+def test_parities_never_exceed_what_one_set_has_alone():
+    r = np.random.default_rng(7)
+    sets = [np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (0, 1, 5, 40, 300, 2000)]
+    sets += [np.unique(np.r_[s[len(s) // 9 :], r.integers(0, 1 << 63, len(s) // 9, dtype=np.uint64)]) for s in sets]
+    bits = simhash.parities(sets)
+    for a, x in zip(sets, bits, strict=True):
+        for b, y in zip(sets, bits, strict=True):
+            alone = len(np.setxor1d(a, b))
+            differ = int(np.bitwise_count(x ^ y).sum())
+            assert differ <= alone and differ % 2 == alone % 2
+    assert not bits[0].any() and np.bitwise_count(bits[1] ^ bits[0]).sum() == 1 and simhash.parities([]).shape == (0, simhash.NEAR_WORDS)
+
+
+def hot_texts(r, n, words=124):
+    """Near copies of one text, of which about half are at 0.8 or more from it and few of the others from any."""
+    base = [f"w{r.randrange(4000)}" for _ in range(words)]
+    out = [list(base)]
+    for _ in range(n - 1):
+        a = list(base)
+        for _ in range(r.choice([1, 2, 3, 4, 5, 6])):
+            a[r.randrange(words)] = f"own{r.randrange(10**6)}"
+        out.append(a)
+    return [" ".join(a) for a in out]
+
+
+def compared(monkeypatch):
+    """What the pairs that are compared by their shingles come to."""
+    seen, real = [], simhash.similar
+    monkeypatch.setattr(simhash, "similar", lambda pairs, *more: (seen.extend((x.a, x.b) for x in pairs.collect()), real(pairs, *more))[1])
+    return seen
+
+
+@pytest.mark.parametrize("hot_group", [4096, 150])
+def test_a_large_group_of_near_copies_is_not_compared_pair_by_pair(spark, monkeypatch, hot_group):
+    monkeypatch.setattr(simhash, "HOT_GROUP", hot_group)
+    r = random.Random(77)
+    rows = list(enumerate(hot_texts(r, 500)))
+    r.shuffle(rows)
+    seen = compared(monkeypatch)
+    kept = {x.doc_id for x in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    want = brute_kept(rows)
+    assert kept == want and 100 < len(want) < 400
+    assert len(seen) == len(set(seen)) < 12 * len(rows)
+
+
+@pytest.mark.parametrize("parity_shingles,rounds", [(60, 3), (24, 0), (0, 3), (10**6, 1)])
+def test_links_over_the_size_where_parities_end(spark, monkeypatch, parity_shingles, rounds):
+    monkeypatch.setattr(simhash, "PARITY_SHINGLES", parity_shingles)
+    monkeypatch.setattr(simhash, "ROUNDS", rounds)
+    monkeypatch.setattr(simhash, "PIVOTS", 1)
+    r = random.Random(5)
+    texts = []
+    for k in range(25):  # chains of texts, each four fifths of the next or a little less
+        n = r.choice([17, 20, 40, 48, 50, 60, 75])
+        a = [f"t{k}w{r.randrange(10**6)}" for _ in range(n + 4)]
+        texts.append(a)
+        for _ in range(3):
+            a = a[: 4 + -(-4 * (len(a) - 4) // 5) - (r.random() < 0.3)]
+            texts.append(a)
+    base = [f"w{r.randrange(4000)}" for _ in range(64)]
+    for k in range(40):
+        a = base + [f"tail{k}n{j}" for j in range(r.randrange(8))]
+        a[r.randrange(64)] = f"own{k}"
+        texts.append(a[r.randrange(3) :])
+    rows = list(enumerate(" ".join(t) for t in texts))
+    r.shuffle(rows)
+    kept = {x.doc_id for x in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    want = brute_kept(rows)
+    assert kept == want and len(rows) - len(want) > 60

@@ -8,8 +8,9 @@ same way once more by the four bytes of the other two blocks; what is left of th
 Gray rank and indexed by a tree whose nodes hold the bits that all below share.
 
 ``keep_one`` links by a wider rule, five-word shingles of similarity 0.8 or more: texts that share one of a
-fifth of their shingles are candidates, fingerprints of 256 bits in the same index leave out the far ones, and the
-shingles themselves decide.
+fifth of their shingles are candidates, 256 bits of parities (long texts: fingerprints) in the same index leave out the
+far ones, and the shingles themselves decide. In large groups texts that are near many others are compared first, so that
+what they join needs no pairs.
 """
 
 from __future__ import annotations
@@ -127,9 +128,9 @@ class GrayIndex:
             self.pattern[k], self.mask[k] = both, shared & ~above
             above_mask = shared
 
-    def pairs(self, limit: int = MAX_BITS, joined: np.ndarray | None = None):
-        """Yield arrays (i, j), i < j, of fingerprints of one group at up to ``limit`` differing bits. With
-        ``joined``, numbers of classes that are known, pairs within a class are left out and nodes of one class
+    def pairs(self, limit: int | np.ndarray = MAX_BITS, joined: np.ndarray | None = None):
+        """Yield arrays (i, j), i < j, of fingerprints of one group at up to ``limit`` differing bits, or up to
+        ``limit[i]``. With ``joined``, numbers of classes that are known, pairs within a class are left out and nodes of one class
         are not entered for its own members."""
         top = len(self.pattern) - 1
         if not top:
@@ -141,6 +142,7 @@ class GrayIndex:
         root = np.searchsorted(self.group, self.group)  # numbers of groups ascend, so roots do too
         root = np.unique(root, return_inverse=True)[1]
         self.frontier = max(FANOUT, FRONTIER // self.fp.shape[1])
+        limit = np.broadcast_to(limit, len(self.fp))
         step = max(1, self.frontier // (FANOUT * 16))
         for at in range(0, len(self.fp), step):
             query = np.arange(at, min(at + step, len(self.fp)))
@@ -152,7 +154,7 @@ class GrayIndex:
             open_ = (self.least[k][node] != own) | (self.most[k][node] != own)
             query, node, spent = query[open_], node[open_], spent[open_]
         spent = spent + np.bitwise_count((self.fp[query] ^ self.pattern[k][node]) & self.mask[k][node]).sum(axis=1, dtype=np.uint16)
-        ok = spent <= limit
+        ok = spent <= limit[query]
         query, node, spent = query[ok], node[ok], spent[ok]
         if k == 0:
             ok = query < node
@@ -331,6 +333,11 @@ NEAR_SHINGLE = 5
 #: differs with a chance of 0.15 at a similarity of 0.8, and of 3/16 at most, for four shingles and one more: 103 of
 #: 256 bits and more then have a chance of less than 10^-14.
 NEAR_WORDS, NEAR_BITS = 4, 102
+#: Texts of up to this many different shingles are held against one another by parities, texts of four fifths of it and more
+#: by fingerprints, so that each pair of like sizes meets in one of the two. Parities leave out more up to about this size.
+PARITY_SHINGLES = 450
+#: Members of a large group by which its pivots are chosen, and the most times that pivots are.
+SAMPLE, ROUNDS = 128, 3
 #: The most shingles that are ordered by their count, and the count from which they are.
 LISTED, OFTEN = 1 << 18, 16
 #: Candidate keys that a task gets, about, and rows of candidates that a task gathers at once.
@@ -376,6 +383,63 @@ def wide_fingerprints(sets: list[np.ndarray], words: int = NEAR_WORDS) -> np.nda
     return out
 
 
+def parities(sets: list[np.ndarray], words: int = NEAR_WORDS) -> np.ndarray:
+    """For each set of hashes ``words`` words of bits, each the parity of how many of the set fall to it. What two sets
+    share changes no differing bit, so these are never more than the hashes that one set has alone."""
+    n = 64 * words
+    place = np.concatenate([np.zeros(0, np.uint64), *sets]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    odd = np.bincount(row * n + (place % np.uint64(n)).astype(np.int64), minlength=len(sets) * n) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64).reshape(len(sets), words)
+
+
+def _near(x: dict, i, j) -> np.ndarray:
+    """Whether candidates at the places i and j of columns may have a similarity of 0.8: by size, and by the bits of parities
+    or fingerprints. Of sets of a and b hashes at 0.8 or more at most (a + b) / 9 are in one only."""
+    a, b = x["n"][i], x["n"][j]
+    bits = np.bitwise_count(x["fp"][i] ^ x["fp"][j]).sum(axis=-1, dtype=np.int64)
+    return (5 * np.minimum(a, b) >= 4 * np.maximum(a, b)) & np.where(x["kind"][i] == 0, 9 * bits <= a + b, bits <= NEAR_BITS)
+
+
+def _columns(cols: dict) -> dict:
+    return {"n": cols["n"], "kind": cols["kind"], "class": cols["class"], "fp": np.stack([cols[f"w{k}"].view(np.uint64) for k in range(NEAR_WORDS)], axis=1)}
+
+
+def pivot_pairs(group: np.ndarray, cols: dict):
+    """Yield arrays (i, j): in large groups up to ``PIVOTS`` members, each with those near it that are of another class and
+    have no pivot yet. A pivot is near more of a sample than others, of those that have none; a group of n gives at most n pairs."""
+    x = _columns(cols)
+    begin = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    for a, b in zip(begin.tolist(), np.r_[begin[1:], len(group)].tolist(), strict=True):
+        if b - a <= 4 * PIVOTS:
+            continue
+        all_ = np.arange(a, b)
+        other = lambda p, all_=all_: _near(x, all_, p) & (x["class"][all_] != x["class"][p])
+        sample = np.unique(np.linspace(a, b - 1, min(b - a, SAMPLE)).astype(np.int64))
+        near = np.stack([other(p) for p in sample.tolist()], axis=1)
+        open_ = np.ones(b - a, bool)
+        for _ in range(PIVOTS):
+            votes = near[:, open_[sample - a]].sum(axis=1)
+            p = int(np.argmax(votes))
+            if not votes[p]:
+                break
+            joins = np.flatnonzero(other(a + p) & open_)
+            open_[joins] = open_[p] = False
+            yield np.full(len(joins), a + p), a + joins
+
+
+def near_pairs(group: np.ndarray, cols: dict):
+    """Yield arrays (i, j) of all candidates of one group and different classes that may have a similarity of 0.8."""
+    x = _columns(cols)
+    order = np.lexsort((*x["fp"][:, :0:-1].T, gray_rank(x["fp"][:, 0]), group))
+    x = {k: v[order] for k, v in x.items()}
+    # of n hashes the other text has at most 5n/4, so that n/4 at most are in one only
+    limit = np.where(x["kind"] == 0, x["n"] // 4, NEAR_BITS)
+    for i, j in GrayIndex(group[order], x["fp"]).pairs(limit, x["class"]):
+        ok = _near(x, i, j)
+        yield order[i[ok]], order[j[ok]]
+
+
 def frequent_shingles(texts: DataFrame) -> np.ndarray:
     """Hashes of shingles that many of ``texts.text`` have, the most frequent last. Tasks name what three of ``CHUNK``
     texts have; the list only says which shingles are candidates' keys last, so no link depends on it."""
@@ -407,9 +471,9 @@ def candidate_keys(gram: np.ndarray, listed: np.ndarray, rank: np.ndarray) -> np
     return np.r_[first, gram[known][np.argsort(rank[at[known]])[: n - len(first)]]]
 
 
-def _bits(a: str, b: str) -> Column:
-    """The bits in which the fingerprints of two aliased rows differ."""
-    return sum((F.bit_count(F.col(f"{a}.f{k}").bitwiseXOR(F.col(f"{b}.f{k}"))) for k in range(NEAR_WORDS)), F.lit(0))
+def _bits(a: str, b: str, of: str) -> Column:
+    """The bits in which the fingerprints (f) or parities (p) of two aliased rows differ."""
+    return sum((F.bit_count(F.col(f"{a}.{of}{k}").bitwiseXOR(F.col(f"{b}.{of}{k}"))) for k in range(NEAR_WORDS)), F.lit(0))
 
 
 def similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, keep) -> DataFrame:
@@ -442,49 +506,63 @@ def similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, keep) -> DataF
 
 
 def near_links(rows: DataFrame, texts: DataFrame, keep=written) -> DataFrame:
-    """Links (a, b), enough to join all nodes of a similarity of 0.8 or more. Of ``rows`` (node, id, th, n, f0.., keys) each
-    stands for one of ``texts`` (id, th, text): a number of its shingles' set, how many they are, their fingerprint and
+    """Links (a, b), enough to join all nodes of a similarity of 0.8 or more. Of ``rows`` (node, id, th, n, f0.., p0.., keys) each
+    stands for one of ``texts`` (id, th, text): a number of its shingles' set, how many they are, their fingerprint, parities and
     candidate keys, which copies may lack where one has them. ``keep`` writes a table and reads it again.
 
-    Nodes of one key are a group. The first of each is compared with the others, which finds classes; then all pairs
-    of different classes are. A hot group is cut into slices, of which each two meet, but for two of the first's class."""
-    f = [f"f{k}" for k in range(NEAR_WORDS)]
+    Nodes of one key are a group. The first of each is compared with the others, which finds classes, and pivots of large
+    groups while they join some; then all pairs of different classes that are left are. A hot group is cut into slices, of
+    which each two meet, but for two of the first's class; for pivots the slices are dealt anew each time and do not meet."""
+    sketch = [f"{x}{k}" for x in "fp" for k in range(NEAR_WORDS)]
     nodes = keep(rows.drop("keys").dropDuplicates(["node"]))
-    marks = nodes.select("node", "n", *f)
+    marks = nodes.select("node", "n", *sketch)
     parts = 1 + (rows.agg(F.sum("n")).first()[0] or 0) // (5 * DEALT)
     keyed = rows.select("node", F.explode("keys").alias("key")).repartition(parts, "key")
     group = W.partitionBy("key")
-    keyed = keyed.select("key", "node", F.min("node").over(group).alias("first"), F.max("node").over(group).alias("last"))
-    shared = keep(keyed.filter("first != last").select("key", "node", "first").distinct())
+    keyed = keyed.select("key", "node", F.min("node").over(group).alias("first"), F.max("node").over(group).alias("last"), F.count("node").over(group).alias("size"))
+    shared = keep(keyed.filter("first != last").select("key", "node", "first", "size").distinct())
     stars = shared.filter("node != first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     ends = stars.join(marks.alias("x"), F.col("a") == F.col("x.node")).join(marks.alias("y"), F.col("b") == F.col("y.node"))
-    sized = 5 * F.least("x.n", "y.n") >= 4 * F.greatest("x.n", "y.n")
-    tried = keep(ends.filter(sized & (_bits("x", "y") <= NEAR_BITS)).select("a", "b"))
+    sized = (5 * F.least("x.n", "y.n") >= 4 * F.greatest("x.n", "y.n")) & (9 * _bits("x", "y", "p") <= F.col("x.n") + F.col("y.n"))
+    tried = keep(ends.filter(sized & (_bits("x", "y", "f") <= NEAR_BITS)).select("a", "b"))
     found = similar(tried, nodes, texts, keep)
 
-    classes = components(found).withColumnRenamed("v", "node")
-    members = shared.join(classes, "node", "left").withColumn("class", F.coalesce("root", "node"))
-    # how many are of the first's class, and how many are not; of two members the pair is done
-    main = members.groupBy("key").agg(F.min_by("class", "node").alias("main"), F.count(F.lit(1)).alias("m"), F.min("class").alias("low"), F.max("class").alias("high"))
-    members = members.join(main.filter("m > 2 AND low != high"), "key").withColumn("out", F.col("class") != F.col("main"))
+    def open_groups(shared):
+        """The members of groups of more than one class; of two members the pair is done."""
+        classes = components(found).withColumnRenamed("v", "node")
+        members = shared.join(classes, "node", "left").withColumn("class", F.coalesce("root", "node"))
+        main = members.groupBy("key").agg(F.min_by("class", "node").alias("main"), F.count(F.lit(1)).alias("m"), F.min("class").alias("low"), F.max("class").alias("high"))
+        return members.join(main.filter("m > 2 AND low != high"), "key")
+
+    def candidates(cells, search):
+        """Pairs of the members (key, cell, node, class) of one cell that ``search`` finds and were not compared."""
+        kinds = F.when(F.col("n") < -(-4 * PARITY_SHINGLES // 5), F.array(F.lit(0))).when(F.col("n") <= PARITY_SHINGLES, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
+        cells = cells.join(marks, "node").withColumn("kind", F.explode(kinds))
+        words = (F.when(F.col("kind") == 0, F.col(f"p{k}")).otherwise(F.col(f"f{k}")).alias(f"w{k}") for k in range(NEAR_WORDS))
+        cells = cells.select("key", "cell", "kind", "node", "class", F.col("n").cast("long").alias("n"), *words)
+        pairs = _dealt(cells, ["key", "cell", "kind"], "node", search, HELD).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return keep(pairs.join(tried, ["a", "b"], "left_anti"))
+
+    for k in range(ROUNDS):
+        # size may count a node several times
+        large = open_groups(shared.filter(F.col("size") > 4 * PIVOTS)).withColumn("cell", F.pmod(F.xxhash64("node", F.lit(k)), F.ceil(F.col("m") / HOT_GROUP)))
+        more = candidates(large.select("key", "cell", "node", "class"), pivot_pairs)
+        if more.isEmpty():
+            break
+        links = similar(more, nodes, texts, keep)
+        tried, found = tried.union(more), found.union(links)
+        if links.isEmpty():
+            break
+
+    # how many are of the first's class, and how many are not
+    members = open_groups(shared).withColumn("out", F.col("class") != F.col("main"))
     cuts = members.groupBy("key").agg(F.ceil(F.sum(F.col("out").cast("long")) / HOT_GROUP).alias("o"), F.ceil(F.sum((~F.col("out")).cast("long")) / HOT_GROUP).alias("d"))
     members = members.select("key", "node", "class", "out", "m").join(cuts, "key")
     # slices of the others come first, then those of the first's class; the latter meet the former only
     members = members.withColumn("slice", F.when(F.col("out"), F.pmod(F.xxhash64("node"), "o")).otherwise(F.col("o") + F.pmod(F.xxhash64("node"), "d")))
     meets = F.transform(F.sequence(F.lit(0).cast("long"), F.when(F.col("out"), F.col("o") + F.col("d")).otherwise(F.col("o")) - 1), lambda j: F.least(j, "slice") * (F.col("o") + F.col("d")) + F.greatest(j, "slice"))
     members = members.withColumn("cell", F.explode(F.when(F.col("m") > HOT_GROUP, meets).otherwise(F.array(F.lit(0).cast("long")))))
-    members = members.select("key", "cell", "node", "class").join(marks, "node").select("key", "cell", "node", "class", F.col("n").cast("long").alias("n"), *f)
-
-    def search(group, cols):
-        fp = np.stack([cols[w].view(np.uint64) for w in f], axis=1)
-        order = np.lexsort((*fp[:, :0:-1].T, gray_rank(fp[:, 0]), group))
-        n = cols["n"][order]
-        for i, j in GrayIndex(group[order], fp[order]).pairs(NEAR_BITS, cols["class"][order]):
-            sized = 5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j])
-            yield order[i[sized]], order[j[sized]]
-
-    pairs = _dealt(members, ["key", "cell"], "node", search, HELD).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = keep(pairs.join(tried, ["a", "b"], "left_anti"))
+    more = candidates(members.select("key", "cell", "node", "class"), near_pairs)
     return found if more.isEmpty() else found.union(similar(more, nodes, texts, keep))
 
 
@@ -502,7 +580,6 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     cols = [c for c in df.columns if not c.startswith("_near_")]
     df = df.select(*cols)
     kind = df.select(id_col).schema[0].dataType.simpleString()
-    f = [f"f{k}" for k in range(NEAR_WORDS)]
     src = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     with small_batches(df.sparkSession):
         often = frequent_shingles(src)
@@ -516,13 +593,13 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
         def run(id, th, text):
             sets = shingle_sets(text)
-            near = wide_fingerprints(sets).view(np.int64)
+            sketch = {f"{x}{k}": words[:, k].view(np.int64) for x, words in (("f", wide_fingerprints(sets)), ("p", parities(sets))) for k in range(NEAR_WORDS)}
             node = np.array([xxh64_intdigest(g.tobytes(), 42) for g in sets], np.uint64).view(np.int64)
             keys = []
             for g, k in zip(sets, node.tolist(), strict=True):
                 keys.append(candidate_keys(g[:0] if k in seen else g, listed, by_hash).view(np.int64))
                 seen.add(k)
-            return {"id": id, "th": th, "node": node, "n": [len(g) for g in sets], "keys": keys} | {w: near[:, k] for k, w in enumerate(f)}
+            return {"id": id, "th": th, "node": node, "n": [len(g) for g in sets], "keys": keys} | sketch
 
         return run
 
@@ -530,7 +607,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     base = f"{shared_dir(df.sparkSession)}/near-{uuid4().hex}"
     keep = partial(written, folder=base)
     with small_batches(df.sparkSession):
-        fps = keep(arrow_map(src, f"id {kind}, th long, node long, n int, keys array<long>" + "".join(f", {w} long" for w in f), make))
+        fps = keep(arrow_map(src, f"id {kind}, th long, node long, n int, keys array<long>" + "".join(f", {x}{k} long" for x in "fp" for k in range(NEAR_WORDS)), make))
         roots = components(near_links(fps, src, keep)).withColumnRenamed("v", "node")
         # rows of one id and text are one candidate to stay
         rows = fps.groupBy("node", "id", "th").agg(F.count(F.lit(1)).alias("n")).join(roots, "node", "left")
