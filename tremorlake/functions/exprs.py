@@ -63,6 +63,19 @@ def safe_divide(a, b) -> Column:
     return F.try_divide(_c(a), _c(b))
 
 
+def ieee_divide(a, b) -> Column:
+    """Division of floating numbers as SQL engines without an error for it do it: by zero it gives an infinity, and NaN for zero or NaN."""
+    a, b = _c(a), _c(b)
+    by_zero = F.when(a.isNull(), None).when(F.isnan(a) | (a == 0), float("nan")).when(a > 0, float("inf")).otherwise(float("-inf"))
+    return F.when(b == 0, by_zero).otherwise(F.try_divide(a, b))
+
+
+def pair_corr(x, y) -> Column:
+    """The correlation over rows that have both (an aggregate); NaN where one of them does not vary, null without rows."""
+    x, y = F.when(_c(y).isNotNull(), _c(x)), F.when(_c(x).isNotNull(), _c(y))
+    return ieee_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def z(x, mean, std) -> Column:
     """Standard score; null where the deviation is null or zero."""
     return F.when(_c(std) > 0, (_c(x) - _c(mean)) / _c(std))

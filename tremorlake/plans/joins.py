@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tremorlake.functions.exprs import ieee_divide
 from tremorlake.operators import spatial
 from tremorlake.operators.matching import gazetteer_match
 from tremorlake.plans.bindings import boxes, ctes, env, events, quakes, reports, scored, sensor
@@ -52,7 +53,7 @@ def c11(spark, d):
 @query("c13_scalar_stats", ctes("env") + " SELECT d, round((kp_max - m) / s, 6) AS z FROM env, (SELECT avg(kp_max) AS m, stddev_samp(kp_max) AS s FROM env)")
 def c13(spark, d):
     e = env(spark, d)
-    return e.crossJoin(F.broadcast(e.agg(F.avg("kp_max").alias("m"), F.stddev_samp("kp_max").alias("s")))).select("d", F.round((F.col("kp_max") - F.col("m")) / F.col("s"), 6).alias("z"))
+    return e.crossJoin(F.broadcast(e.agg(F.avg("kp_max").alias("m"), F.stddev_samp("kp_max").alias("s")))).select("d", F.round(ieee_divide(F.col("kp_max") - F.col("m"), "s"), 6).alias("z"))
 
 
 @query("c15_semi_anti", ctes("ev") + " SELECT event_id, TRUE AS strong_day FROM ev WHERE d IN (SELECT d FROM ev WHERE magnitude > 6.9) UNION ALL SELECT event_id, FALSE FROM ev WHERE d NOT IN (SELECT d FROM ev WHERE magnitude > 6.9)")
