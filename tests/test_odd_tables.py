@@ -45,3 +45,15 @@ def orders(n, days, customer):
 def test_standard_scores_of_a_constant_are_not_a_number(spark, tmp_path, days):
     got = check(spark, tmp_path, "c13_scalar_stats", orders=orders(60, days, lambda i: 9))
     assert len(got) == days and all(z is None if days == 1 else math.isnan(z) for _, z in got)
+
+
+def lineitem(n, days, price):
+    day = [datetime(1995, 1, 1) + timedelta(days=i % days) for i in range(n)]
+    return {"l_orderkey": list(range(n)), "l_linenumber": [1] * n, "l_returnflag": ["NR"[i % 2] for i in range(n)], "l_shipdate": day, "l_extendedprice": [price(i) for i in range(n)]}
+
+
+@pytest.mark.parametrize(("days", "customer", "price"), [(12, lambda i: 9, lambda i: i * 1.5), (13, lambda i: i * i % 61, lambda i: 7.0), (1, lambda i: 9, lambda i: 7.0), (13, lambda i: i * i % 61, lambda i: i * 1.5)])
+def test_correlations_with_a_constant_are_not_a_number(spark, tmp_path, days, customer, price):
+    got = check(spark, tmp_path, "d10_corr", orders=orders(60, days, customer), lineitem=lineitem(40, days, price))
+    varied = customer(1) != customer(2) and price(1) != price(2)
+    assert got and all(isinstance(r, float) and math.isnan(r) != varied for row in got for r in row if isinstance(r, float))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tremorlake.functions.exprs import pair_corr
 from tremorlake.operators import spatial, tables
 from tremorlake.plans.bindings import boxes, ctes, env, events, quakes, scored, sensor, stations
 from tremorlake.plans.registry import query
@@ -79,7 +80,7 @@ def d09(spark, d):
 @query("d10_corr", ctes("env", "sensor") + ", k AS (SELECT CAST(unnest([0, 1, 3, 7]) AS INT) AS lag) SELECT zone, lag, round(corr(e.kp_max, s.x), 4) AS r_kp, round(corr(e.dst_min, s.x), 4) AS r_dst, count(*) AS n FROM sensor s, k JOIN env e ON s.d = e.d + lag GROUP BY 1, 2")
 def d10(spark, d):
     e = env(spark, d).withColumn("lag", F.explode(F.array(*map(F.lit, (0, 1, 3, 7))))).withColumn("d", F.date_add("d", F.col("lag")))
-    return sensor(spark, d).join(e, "d").groupBy("zone", "lag").agg(F.round(F.corr("kp_max", "x"), 4).alias("r_kp"), F.round(F.corr("dst_min", "x"), 4).alias("r_dst"), F.count(F.lit(1)).alias("n"))
+    return sensor(spark, d).join(e, "d").groupBy("zone", "lag").agg(F.round(pair_corr("kp_max", "x"), 4).alias("r_kp"), F.round(pair_corr("dst_min", "x"), 4).alias("r_dst"), F.count(F.lit(1)).alias("n"))
 
 
 @query("d11_rate_by_bin", ctes("scored") + " SELECT CAST(floor(p * 2) AS INT) AS bin, count(*) AS n, CAST(sum(y) AS BIGINT) AS positives, round(avg(y), 6) AS rate FROM scored GROUP BY 1")
