@@ -139,3 +139,16 @@ def test_edges_are_not_brought_together_again(spark, tmp_path):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, df.collect())) == want and len(set(want)) < len(want)
     assert plan.count("Exchange hashpartitioning") == 2 and "Aggregate" not in plan and "Broadcast" not in plan
+
+
+def test_survivors_of_a_crowded_place_without_its_pairs(spark, tmp_path, monkeypatch):
+    # all events lie at one place, in windows of one another
+    from tremorlake.plans import evaluation
+
+    kept = []
+    monkeypatch.setattr(evaluation, "checkpointed", lambda df, cut=evaluation.checkpointed: kept.append((x := cut(df)).count()) or x)
+    crowd = orders(200, 150, lambda i: 36000 * i)
+    crowd |= {"o_orderkey": [18000 * i for i in range(200)], "o_totalprice": [310_000.0 + i % 9 * 20_000 for i in range(200)], "o_orderdate": [d + timedelta(days=900) for d in crowd["o_orderdate"]]}
+    region = {"r_regionkey": list(range(5))}
+    got = check(spark, tmp_path, "d23_sequence_survivors", orders=crowd, region=region)
+    assert len(got) == 1 and 0 < kept[0] and max(kept) <= 200
